@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Texts longer than this many bytes are cut into words piece by piece.
 PIECE = 4_000_000
@@ -48,6 +49,11 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def schema_with(df: DataFrame, **kinds: str) -> StructType:
+    """The schema of df and more columns after it."""
+    return StructType([*df.schema.fields, *(StructField(name, _parse_datatype_string(kind)) for name, kind in kinds.items())])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from tessera.llm.langid import op4_language_viterbi
 from tessera.llm.simhash import op3_simhash_golay
+from tessera.llm.toxicity import op5_toxicity_segments
 
 QUERIES = {
     "op3_simhash_golay": op3_simhash_golay,
+    "op4_language_viterbi": op4_language_viterbi,
+    "op5_toxicity_segments": op5_toxicity_segments,
 }
 ORACLE_SQL: dict[str, str] = {}

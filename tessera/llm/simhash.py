@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, partitions, table, word_pieces
+from tessera.llm.common import Scratch, partitions, schema_with, table, word_pieces
 from tessera.llm.components import connected_components
 
 RADIUS = 3
@@ -75,8 +75,7 @@ def with_fingerprint(docs: DataFrame, width: int = 3, text: str = "text", keep:
             fp = pa.array([_signed(fingerprint(t, width)) for t in b.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], fp], [*keep, "fp"])
 
-    schema = docs.select(*keep).schema.add("fp", "long")
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema_with(docs.select(*keep), fp="long"))
 
 
 # ---- Golay keys ----
