@@ -7,16 +7,20 @@ from tessera.llm.decontam import op10_decontaminate_lsa
 from tessera.llm.langid import op4_language_viterbi
 from tessera.llm.mixing import op2_mix_sources
 from tessera.llm.pii import op9_personal_data
+from tessera.llm.resample import op1_importance_resampling
 from tessera.llm.simhash import op3_simhash_golay
 from tessera.llm.tokens import op6_token_binary
 from tessera.llm.toxicity import op5_toxicity_segments
+from tessera.llm.vptree import op7_vantage_point_trees
 
 QUERIES = {
+    "op1_importance_resampling": op1_importance_resampling,
     "op2_mix_sources": op2_mix_sources,
     "op3_simhash_golay": op3_simhash_golay,
     "op4_language_viterbi": op4_language_viterbi,
     "op5_toxicity_segments": op5_toxicity_segments,
     "op6_token_binary": op6_token_binary,
+    "op7_vantage_point_trees": op7_vantage_point_trees,
     "op8_chat_grammar": op8_chat_grammar,
     "op9_personal_data": op9_personal_data,
     "op10_decontaminate_lsa": op10_decontaminate_lsa,
