@@ -12,6 +12,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +22,15 @@ from pyspark.sql import functions as F
 from tessera.llm.common import held_out, schema_with, table, word_pieces
 
 #: Documents of a language that the model is fitted on, at most (a sample by hash of the id); trigrams kept for a language.
-FIT_DOCUMENTS, FIT_GRAMS = 4_000, 50_000
+FIT_DOCUMENTS, FIT_GRAMS = 2_000, 50_000
 #: The sample is taken in so many parts of a language, so that no task sorts all its ids.
 SALTS = 200
 #: A word's score for a language lies at most SPREAD below its best; a change of language costs SWITCH.
 SPREAD, SWITCH = 6.0, 14.0
 #: A language uses a script if this share of its letters is in it.
 SCRIPT_SHARE = 0.01
-#: Words whose scores a task keeps.
-CACHE = 400_000
+#: Words whose scores a task keeps; documents that it labels together.
+CACHE, TOGETHER = 400_000, 256
 
 #: Script ranges (fixed values of the Unicode blocks).
 SCRIPTS = (
@@ -55,66 +56,93 @@ def trigrams(letters: str) -> list[str]:
     return [w[i : i + 3] for i in range(len(w) - 2)]
 
 
+@lru_cache(1)
+def _code_points() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: whether it is a letter; a bit for its script."""
+    letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    names = sorted({name for name, _, _ in SCRIPTS})
+    bit = np.full(0x110000, 1 << len(names), np.int64)  # any other script
+    for name, lo, hi in reversed(SCRIPTS):
+        bit[lo : hi + 1] = 1 << names.index(name)
+    return letter, bit
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
-    scripts: list[set[str]]
-    grams: dict[str, list[float]]
-    unseen: list[float]
+    scripts: np.ndarray  # bits of the scripts that each language uses
+    alphabet: np.ndarray  # code points of the trigrams, ascending
+    grams: np.ndarray  # trigrams as numbers in the base of the alphabet, ascending
+    weights: np.ndarray  # log-probabilities: a row for each trigram, a last one for any other
     rows: dict[bytes, int] = field(default_factory=dict)
     matrix: np.ndarray | None = None
 
-    def word_scores(self, word: str) -> tuple[list[float], int]:
-        """Scores by language, none above zero, and the number of letters; no letters: zeros."""
-        letters = letters_of(word.lower())
-        k = len(self.languages)
-        if not letters:
-            return [0.0] * k, 0
-        used = {script_of(c) for c in letters}
-        fit = [used <= s for s in self.scripts]
-        if not any(fit):
-            return [0.0] * k, len(letters)
-        scores = [0.0] * k
-        for g in trigrams(letters):
-            for i, x in enumerate(self.grams.get(g, self.unseen)):
-                scores[i] += x
-        best = max(s for s, ok in zip(scores, fit, strict=True) if ok)
-        return [max(s - best, -SPREAD) if ok else -SPREAD for s, ok in zip(scores, fit, strict=True)], len(letters)
-
-    def scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """A row of scores and the number of letters for each word."""
+    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A row of scores by language, none above zero, and the number of letters of each word; no letter or no language with its scripts: zeros."""
+        letter, bit = _code_points()
+        at = np.frombuffer(f" {' '.join(words)} ".lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        at = at[letter[at] | (at == 32)]
+        inside = np.flatnonzero(at != 32)
+        word = np.cumsum(at == 32)[inside] - 1
+        letters = np.bincount(word, minlength=len(words))
+        base = len(self.alphabet) + 1
+        digit = np.searchsorted(self.alphabet, at)
+        digit = np.where(self.alphabet[np.minimum(digit, base - 2)] == at, digit, base - 1) if base > 1 else np.zeros(len(at), np.int64)
+        gram = (digit[inside - 1] * base + digit[inside]) * base + digit[inside + 1]
+        row = np.searchsorted(self.grams, gram)
+        row = np.where(self.grams[np.minimum(row, len(self.grams) - 1)] == gram, row, len(self.grams)) if len(self.grams) else np.zeros(len(gram), np.int64)
+        scores = np.zeros((len(words), len(self.languages)))
+        used = np.zeros(len(words), np.int64)
+        if len(inside):
+            edge = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            scores[word[edge]] = np.add.reduceat(self.weights[row], edge, axis=0)
+            used[word[edge]] = np.bitwise_or.reduceat(bit[at[inside]], edge)
+        fit = (used[:, None] & ~self.scripts[None, :]) == 0
+        known = fit.any(axis=1) & (letters > 0)
+        best = np.where(fit, scores, -np.inf).max(axis=1, initial=-np.inf)
+        best[~known] = 0.0
+        scores = np.where(fit, np.maximum(scores - best[:, None], -SPREAD), -SPREAD)
+        scores[~known] = 0.0
+        return scores, letters
+
+    def learn(self, words: set[bytes]) -> None:
+        """Scores words that the task has not met."""
         if self.matrix is None or len(self.rows) > CACHE:
             self.rows, self.matrix = {}, np.zeros((1024, len(self.languages) + 1))
-        rows = self.rows
-        index = np.fromiter(map(lambda w: rows.get(w, -1), words), np.int64, len(words))
-        for at in np.flatnonzero(index < 0).tolist():
-            w = words[at]
-            if (row := rows.get(w)) is None:
-                row = rows[w] = len(rows)
-                if row == len(self.matrix):
-                    self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-                s, n = self.word_scores(w.decode("utf-8", "surrogatepass"))
-                self.matrix[row, :-1], self.matrix[row, -1] = s, n
-            index[at] = row
-        got = self.matrix[index]
-        return got[:, :-1], got[:, -1]
-
-    def label(self, text: str | None) -> tuple[str, float, int]:
-        """Language with most letters, its share of the letters, number of spans; und, 0, 0 without letters."""
-        if not text or not self.languages:
+        new = list(words.difference(self.rows))
+        if not new:
+            return
+        scores, letters = self.word_scores([w.decode("utf-8", "surrogatepass") for w in new])
+        start = len(self.rows)
+        while start + len(new) > len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+        self.matrix[start : start + len(new), :-1], self.matrix[start : start + len(new), -1] = scores, letters
+        self.rows.update(zip(new, range(start, start + len(new)), strict=True))
+
+    def label(self, words: list[bytes]) -> tuple[str, float, int]:
+        """Language with most letters, its share of the letters, number of spans; und, 0, 0 without letters. The words have been learnt."""
+        if not words or not self.languages:
             return "und", 0.0, 0
-        parts = [self.scores(w) for w in word_pieces(text.encode("utf-8", "surrogatepass")) if w]
-        if not parts:
-            return "und", 0.0, 0
-        s, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
+        got = self.matrix[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
+        n = got[:, -1]
         letters = n.sum()
         if not letters:
             return "und", 0.0, 0
-        path, spans = viterbi(s, SWITCH)
-        share = np.bincount(path, weights=n, minlength=len(self.languages)) / letters if spans > 1 else np.eye(len(self.languages))[path[0]]
+        path, spans = viterbi(got[:, :-1], SWITCH)
+        if spans == 1:
+            return self.languages[path[0]], 1.0, 1
+        share = np.bincount(path, weights=n, minlength=len(self.languages)) / letters
         best = int(share.argmax())
         return self.languages[best], float(share[best]), spans
 
+    def labels(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
+        out: list[tuple[str, float, int]] = []
+        for i in range(0, len(texts), TOGETHER):
+            lists = [[w for piece in word_pieces((t or "").encode("utf-8", "surrogatepass")) for w in piece] for t in texts[i : i + TOGETHER]]
+            self.learn(set().union(*lists))
+            out += map(self.label, lists)
+        return out
+
 
 def viterbi(s: np.ndarray, switch: float) -> tuple[np.ndarray, int]:
     """Best labels of the rows of s, where a change costs `switch`, and the number of spans; ties go to the first language.
@@ -176,17 +204,21 @@ def fit(docs: DataFrame, documents: int = FIT_DOCUMENTS) -> LanguageModel:
     total, letters = [0.0] * len(languages), [0.0] * len(languages)
     for r in got:
         (total if r.kind == "g" else letters)[at[r.lang]] += r.n
-    vocabulary = 1 + len({r.gram for r in got if r.kind == "g"})
-    unseen = [math.log(0.5 / (t + 0.5 * vocabulary)) for t in total]
-    grams: dict[str, list[float]] = {}
-    scripts: list[set[str]] = [set() for _ in languages]
+    grams = sorted({r.gram for r in got if r.kind == "g"})
+    alphabet = np.array(sorted({ord(c) for g in grams for c in g}), np.int64)
+    base, digit = len(alphabet) + 1, {int(c): i for i, c in enumerate(alphabet)}
+    number = {g: (digit[ord(g[0])] * base + digit[ord(g[1])]) * base + digit[ord(g[2])] for g in grams}  # in the order of grams
+    place = {g: i for i, g in enumerate(grams)}
+    size = 0.5 * (len(grams) + 1)
+    weights = np.tile([math.log(0.5 / (t + size)) for t in total], (len(grams) + 1, 1))
+    scripts, names = np.zeros(len(languages), np.int64), [*sorted({name for name, _, _ in SCRIPTS}), "other"]
     for r in got:
         i = at[r.lang]
         if r.kind == "g":
-            grams.setdefault(r.gram, list(unseen))[i] = math.log((r.n + 0.5) / (total[i] + 0.5 * vocabulary))
+            weights[place[r.gram], i] = math.log((r.n + 0.5) / (total[i] + size))
         elif r.n >= SCRIPT_SHARE * letters[i]:
-            scripts[i].add(r.gram)
-    return LanguageModel(languages, scripts, grams, unseen)
+            scripts[i] |= 1 << names.index(r.gram)
+    return LanguageModel(languages, scripts, alphabet, np.array([number[g] for g in grams], np.int64), weights)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -194,7 +226,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [model.label(t) for t in b.column(1).to_pylist()]
+            got = model.labels(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.int64())], ["doc_id", "lang_pred", "score", "spans"]
             )
