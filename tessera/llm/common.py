@@ -54,6 +54,13 @@ def schema_with(df: DataFrame, **kinds: str) -> StructType:
     return StructType([*df.schema.fields, *(StructField(name, _parse_datatype_string(kind)) for name, kind in kinds.items())])
 
 
+def unused(df: DataFrame, prefix: str = "_") -> str:
+    """A prefix that no column of df begins with."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

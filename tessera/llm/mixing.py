@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, running_total, table
+from tessera.llm.common import Scratch, running_total, table, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, EPOCHS = 1.5, 2
@@ -50,8 +50,8 @@ def source_targets(sized: DataFrame, share: float = SHARE, epochs: int = EPOCHS,
     return leveled.withColumn("target", F.least("cap", F.coalesce(own * F.col("weight"), F.col("cap")))).select("sid", "source", "source_size", "target")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 42, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: one row per row of docs.
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 42, scratch: Scratch | None = None, row: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, and the column `row` if one is named: one row per row of docs.
 
     size counts words; a null text has none, and a document of none takes none.
     The order of a source's documents is a hash of their ids and the seed, so
@@ -59,7 +59,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0)).alias("size"))
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0)).alias("size"), F.col(row).alias("row") if row else F.lit(None).cast("long").alias("row"))
     sized = scratch.write(sized, "mix-sized")
     targets = scratch.write(source_targets(sized), "mix-targets")
     wanted = targets.agg(F.sum("target")).first()[0] or 0.0
@@ -68,7 +68,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 
     rows = sized.join(targets, sized.source.eqNullSafe(targets.source)).drop(targets.source)
     rows = rows.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("part", F.pmod("h", F.lit(PARTS)))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("sid", "part").orderBy("h", "doc_id", "size")))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("sid", "part").orderBy("h", "doc_id", "size", "row")))
     placed = running_total(rows, ["sid"], "part", ["n"], "size", "pos")
     start = F.col("pos") + F.col("epoch") * F.col("source_size")
     epochs = placed.withColumn("epoch", F.explode(F.array(*(F.lit(e) for e in range(EPOCHS)))))
@@ -76,8 +76,23 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     pieces = epochs.withColumn("start", start).withColumn("rank", F.explode(F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array(F.lit(-1).cast("long")))))
     held = F.when(F.col("slot").isNotNull(), F.least(F.col("start") + F.col("size"), (F.col("rank") + 1) * block) - F.greatest(F.col("start"), F.col("rank") * block)).otherwise(0)
     got = pieces.join(slots, ["sid", "rank"], "left")
-    by_row = got.groupBy("sid", "part", "n", "doc_id", "source", "size", "source_size", "target").agg(F.sum(held).cast("long").alias("taken"))
-    return by_row.select("doc_id", "source", "size", "source_size", "target", "taken")
+    by_row = got.groupBy("sid", "part", "n", "doc_id", "source", "size", "source_size", "target", "row").agg(F.sum(held).cast("long").alias("taken"))
+    return by_row.select("doc_id", "source", "size", "source_size", "target", "taken", *([F.col("row").alias(row)] if row else []))
+
+
+def mixed(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """docs as the mix has them: each row as often as the mix takes its words, rounded; rows of which it takes less than half, or no word, go.
+
+    Documents are kept whole; a part is taken only where a source's last block
+    ends, once for each source and epoch.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    row = unused(docs) + "row"
+    numbered = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "mix-numbered")
+    taken = mix(numbered, scratch=scratch, row=row)
+    copies = F.round(F.col("taken") / F.col("size")).cast("int")
+    often = taken.where("size > 0").select(row, copies.alias(f"{row}_copies")).where(F.col(f"{row}_copies") > 0)
+    return numbered.join(often, row).withColumn(row, F.explode(F.array_repeat(F.lit(0), F.col(f"{row}_copies")))).select(*docs.columns)
 
 
 def _slots(spark: SparkSession, targets: DataFrame, count: int, wanted: float) -> DataFrame:

@@ -12,7 +12,7 @@ verified by counting bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations, repeat
 
@@ -41,25 +41,32 @@ def _byte_bits() -> np.ndarray:
     return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """Unsigned; zero for no words. Only A-Z are lower-cased; words stand between ASCII white space."""
-    data = (text or "").encode("utf-8", "surrogatepass").lower()
-    ones, n = np.zeros((8, 8), np.int64), 0
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of all shingles of a text, repeats included, for pieces of it. Only A-Z are lower-cased; words stand between ASCII white space."""
+    data, whole = (text or "").encode("utf-8", "surrogatepass").lower(), True
     for words in word_pieces(data, width - 1):
-        if not words:
-            continue
-        if len(words) < width:
-            shingles = [b" ".join(words)] if n == 0 else []
-        else:
+        if len(words) >= width:
             shingles = list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
-        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+        else:
+            shingles = [b" ".join(words)] if words and whole else []
+        whole = False
+        if shingles:
+            yield np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+
+
+def bits_of(hashes: Iterable[np.ndarray]) -> int:
+    """The fingerprint, as a signed long: a bit is set if it is in more than half of the hashes; zero for none."""
+    ones, n = np.zeros((8, 8), np.int64), 0
+    for h in hashes:
         n += len(h)
         octets = h.astype("<u8").view(np.uint8).reshape(-1, 8)
         for k in range(8):
             ones[k] += np.bincount(octets[:, k], minlength=256) @ _byte_bits()
-    if not n:
-        return 0
-    return int(sum(1 << i for i, count in enumerate(ones.ravel().tolist()) if 2 * count > n))
+    return _signed(sum(1 << i for i, count in enumerate(ones.ravel().tolist()) if 2 * count > n))
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    return bits_of(shingle_hashes(text, width))
 
 
 def _signed(x: int) -> int:
@@ -72,7 +79,7 @@ def with_fingerprint(docs: DataFrame, width: int = 3, text: str = "text", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array([_signed(fingerprint(t, width)) for t in b.column(len(keep)).to_pylist()], pa.int64())
+            fp = pa.array([fingerprint(t, width) for t in b.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], fp], [*keep, "fp"])
 
     return source.mapInArrow(run, schema_with(docs.select(*keep), fp="long"))
@@ -208,6 +215,13 @@ def fingerprint_edges(distinct: DataFrame, radius: int = RADIUS, width: int | No
     return keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(gather, "a bigint, b bigint").distinct()
 
 
+def _labelled(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """prints (fp) -> fp, label: the components of the distinct fingerprints."""
+    distinct = scratch.write(prints.select("fp").distinct(), "distinct")
+    label = connected_components(fingerprint_edges(distinct), scratch)
+    return scratch.write(distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "labelled")
+
+
 def simhash_components(docs: DataFrame, width: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, fp (signed long), component_id: the smallest doc_id that links of three bits or fewer reach.
 
@@ -218,10 +232,9 @@ def simhash_components(docs: DataFrame, width: int = 3, text: str = "text", doc_
     """
     scratch = Scratch(docs.sparkSession)
     prints = scratch.write(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width), "prints")
-    distinct = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    label = connected_components(fingerprint_edges(distinct), scratch)
-    known = distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    known = scratch.write(known, "known")
+    labelled = _labelled(prints, scratch)
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    known = scratch.write(labelled.join(first, "fp"), "known")
     smallest = known.groupBy("label").agg(F.min("first_id").alias("component_id"))
     component = scratch.write(known.join(smallest, "label").select("fp", "component_id"), "component")
     return prints.join(component, "fp").select("doc_id", "fp", "component_id")

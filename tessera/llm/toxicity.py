@@ -169,15 +169,15 @@ def _calibrated(model: ToxicityModel, seen: list[tuple[int, int, list[float]]])
     return ToxicityModel(model.weights, decay, k, float(w[0]), (float(w[1]), float(w[2])))
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """All columns of docs (with a column text), then toxic_score, toxic_passages, toxic_words.
+def score(docs: DataFrame, model: ToxicityModel, prefix: str = "") -> DataFrame:
+    """All columns of docs (with a column text), then toxic_score, toxic_passages, toxic_words, behind the prefix.
 
     A null or empty text has no passage and the score that this has. Passages
     are those that chance brings less than SIGNIFICANT times into a text of
     that length; toxic_words counts their words.
     """
     at = docs.columns.index("text")
-    names = [*docs.columns, "toxic_score", "toxic_passages", "toxic_words"]
+    names = [*docs.columns, *(prefix + c for c in ("toxic_score", "toxic_passages", "toxic_words"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = -math.log(SIGNIFICANT)
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             extra = [pa.array(out[0], pa.float64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], names)
 
-    return docs.mapInArrow(run, schema_with(docs, toxic_score="double", toxic_passages="long", toxic_words="long"))
+    return docs.mapInArrow(run, schema_with(docs, **dict(zip(names[-3:], ("double", "long", "long"), strict=True))))
 
 
 def fit_on_tables(spark: SparkSession, docs: DataFrame, sf_dir: str) -> ToxicityModel:
