@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessera.plans import asset_queries, mesh_queries, raster_queries, text_queries  # noqa: F401
+from tessera.plans.mesh_queries import flagship
+from tessera.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
