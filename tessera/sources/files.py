@@ -15,7 +15,7 @@ LARGEST = 1 << 30
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, length, content, format, error. An empty file, or one beyond LARGEST, has an error."""
+    """path, length, error, format, content. A file beyond LARGEST has an error; files without bytes are passed over by Spark's reader."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     error = F.when(F.col("length") == 0, "empty file").when(F.col("length") > LARGEST, "file too large")
     return found.select("path", "length", error.alias("error"), F.when(error.isNull(), detect_format(F.col("content"))).otherwise("unknown").alias("format"), "content")
