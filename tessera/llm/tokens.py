@@ -11,6 +11,8 @@ its frame alone.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,19 +30,33 @@ DICTIONARY_BYTES, FIT_DOCUMENTS, FIT_CHARACTERS = 64 * 1024, 1_000, 20_000
 LEVEL = 3
 #: A block ends after so many documents or bytes of frames.
 BLOCK_DOCUMENTS, BLOCK_BYTES = 4096, 4 << 20
-#: Words whose ids a task keeps.
-CACHE = 400_000
+#: Pieces of text whose ids a task keeps; documents that it encodes together.
+CACHE, TOGETHER = 500_000, 256
+_AFTER_LETTER = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])")
 
 BLOCKS = "part int, block int, dictionary string, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, before bigint, payload binary"
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that drops white space: then a text's ids are those of its words, one after another."""
+    """Ids of whole texts by a tokenizer that lower-cases, drops white space, and parts letters from punctuation.
+
+    The ids of a text are then those of its pieces between ASCII white space,
+    and before ASCII punctuation that follows a letter, one after another. New
+    pieces are encoded together, apart by a special token of the tokenizer.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = {i: str(t) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.mark, self.apart = max(added.items())
+        # Where tokens show that they end a word, a run of letters has one such token, its last.
+        words = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(1 + max([*words.values(), *added]), bool)
+        self.ends[[i for t, i in words.items() if t.endswith("</w>")]] = True
+        self.special = tuple(t.encode("utf-8") for t in added.values())
         self._clear()
 
     def _clear(self) -> None:
@@ -48,29 +64,59 @@ class WordEncoder:
         self.start, self.count, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 16, np.uint32)
         self.used = 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False), strict=True):
-            row, ids = len(self.rows), e.ids
-            while row >= len(self.start):
-                self.start, self.count = np.concatenate([self.start, self.start]), np.concatenate([self.count, self.count])
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, self.pool])
-            self.rows[w], self.start[row], self.count[row] = row, self.used, len(ids)
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-
-    def encode(self, text: str | None, end: int = END) -> np.ndarray:
-        """All ids of the text, then `end`."""
-        words = (text or "").encode("utf-8").split()
+    def _add(self, pieces: list[bytes], count: np.ndarray, ids: np.ndarray) -> None:
+        row, n = len(self.rows), len(pieces)
+        while row + n > len(self.start):
+            self.start, self.count = np.concatenate([self.start, self.start]), np.concatenate([self.count, self.count])
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, self.pool])
+        self.rows.update(zip(pieces, range(row, row + n), strict=True))
+        self.start[row : row + n], self.count[row : row + n] = self.used + np.cumsum(count) - count, count
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def learn(self, pieces: set[bytes]) -> None:
         if len(self.rows) > CACHE:
             self._clear()
-        if new := list(set(words).difference(self.rows)):
-            self._learn(new)
-        row = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        count = self.count[row]
-        total = int(count.sum())
-        at = np.arange(total) + np.repeat(self.start[row] - (np.cumsum(count) - count), count)
-        return np.append(self.pool[at], np.uint32(end)).astype("<u4")
+        new = [(w, w.decode("utf-8")) for w in pieces.difference(self.rows)]
+        if self.ends.any():
+            letters = [x for x in new if x[1].isalpha()]
+            for i in range(0, len(letters), 4096):
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in letters[i : i + 4096])], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(self.ends[ids])
+                if len(ends) == len(letters[i : i + 4096]) and (ends[-1:] == len(ids) - 1).all():
+                    self._add([w for w, _ in letters[i : i + 4096]], np.diff(ends, prepend=-1), ids)
+            new = [x for x in new if x[0] not in self.rows]
+        for i in range(0, len(new), 4096):
+            part = [w for w, _ in new[i : i + 4096]]
+            text = f" {self.apart} ".join(w.decode("utf-8") for w in part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            self._add(part, np.diff(ends, prepend=-1) - 1, ids[ids != self.mark])
+
+    def _pieces(self, text: str) -> list[bytes] | np.ndarray:
+        """The pieces of a text; its ids, if it spells out a special token."""
+        data = text.encode("utf-8")
+        if any(t in data for t in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return _AFTER_LETTER.sub(b" ", data.lower()).split()
+
+    def encode_all(self, texts: list[str | None], end: int = END) -> list[np.ndarray]:
+        """For each text all its ids, then `end`; a null text is empty."""
+        out = []
+        for i in range(0, len(texts), TOGETHER):
+            found = [self._pieces(t or "") for t in texts[i : i + TOGETHER]]
+            self.learn(set().union(*(p for p in found if isinstance(p, list))))
+            for pieces in found:
+                if not isinstance(pieces, list):
+                    out.append(np.append(pieces, np.array([end], "<u4")))
+                    continue
+                row = np.fromiter(map(self.rows.__getitem__, pieces), np.int64, len(pieces))
+                count = self.count[row]
+                ids = np.full(int(count.sum()) + 1, end, "<u4")
+                ids[:-1] = self.pool[np.arange(len(ids) - 1) + np.repeat(self.start[row] - (np.cumsum(count) - count), count)]
+                out.append(ids)
+        return out
 
 
 def serialize(ids: np.ndarray) -> bytes:
@@ -88,7 +134,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([serialize(encoder.encode(t)) for t in b.column(0).to_pylist()], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(serialize, encoder.encode_all(b.column(0).to_pylist()))), pa.binary())], ["ids"])
 
     ids = bounded(docs.where((F.length("text") > 0) & (F.length("text") <= FIT_CHARACTERS)).select("doc_id"), FIT_DOCUMENTS, "doc_id").distinct()
     sample = docs.where((F.length("text") > 0) & (F.length("text") <= FIT_CHARACTERS)).join(F.broadcast(ids), "doc_id", "left_semi").select("text").limit(2 * FIT_DOCUMENTS)
@@ -118,8 +164,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
         encoder, press = WordEncoder(tokenizer), zstandard.ZstdCompressor(LEVEL, dict_data=_dictionary(shared.value))
         for b in batches:
             counts, frames = [], []
-            for text in b.column(1).to_pylist():
-                ids = encoder.encode(text)
+            for ids in encoder.encode_all(b.column(1).to_pylist()):
                 counts.append(len(ids))
                 frames.append(press.compress(serialize(ids)))
             keys = b.column(0).to_pylist()

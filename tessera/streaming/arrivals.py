@@ -19,4 +19,4 @@ def arriving_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
 
 def violations_by_window(log: DataFrame, time: str = "ts", window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Operations and violations by family and window of time; rows later than the watermark don't count."""
-    return log.withWatermark(time, late).groupBy(F.window(time, window), "family").agg(F.count("*").alias("operations"), F.count_if(is_violation()).alias("violations"))
+    return log.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window), "family").agg(F.count("*").alias("operations"), F.count_if(is_violation()).alias("violations"))
