@@ -11,10 +11,13 @@ from tessera.plans import views
 from tessera.plans.mesh_queries import nested, r
 from tessera.plans.registry import query, rounded
 
-R, G, B = F.col("r"), F.col("g"), F.col("b")
 AT = ("img_id", "y", "x")
 
 
+def rgb() -> tuple[Column, Column, Column]:
+    return F.col("r"), F.col("g"), F.col("b")
+
+
 def each(spark: SparkSession, d: str, *values: Column) -> DataFrame:
     return views.pixels(spark, d).select(*AT, *values)
 
@@ -28,28 +31,28 @@ _YUV = "least(255,greatest(0,(77*r+150*g+29*b+128)>>8)) yy,least(255,greatest(0,
 
 @query("px_yuv", f"select img_id,y,x,{_YUV} from v_pixels")
 def yuv(spark: SparkSession, d: str) -> DataFrame:
-    return longs(spark, d, **dict(zip(("yy", "uu", "vv"), px.to_yuv(R, G, B), strict=True)))
+    return longs(spark, d, **dict(zip(("yy", "uu", "vv"), px.to_yuv(*rgb()), strict=True)))
 
 
 @query("px_yuv_roundtrip", f"select img_id,y,x,least(255,greatest(0,yy+((359*(vv-128)+128)>>8))) r2,least(255,greatest(0,yy-((88*(uu-128)+183*(vv-128)+128)>>8))) g2,least(255,greatest(0,yy+((454*(uu-128)+128)>>8))) b2 from (select img_id,y,x,{_YUV} from v_pixels) t")
 def yuv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    there = px.to_yuv(R, G, B)
+    there = px.to_yuv(*rgb())
     return longs(spark, d, **dict(zip(("r2", "g2", "b2"), px.from_yuv(*there), strict=True)))
 
 
 @query("px_gray", "select img_id,y,x,cast(floor(0.299::double*r+0.587::double*g+0.114::double*b+0.5::double) as bigint) v from v_pixels")
 def gray(spark: SparkSession, d: str) -> DataFrame:
-    return longs(spark, d, v=px.gray(R, G, B))
+    return longs(spark, d, v=px.gray(*rgb()))
 
 
 @query("px_bitshift", "select img_id,y,x,r//4*4 r2,g//4*4 g2,b//4*4 b2 from v_pixels")
 def bitshift(spark: SparkSession, d: str) -> DataFrame:
-    return longs(spark, d, r2=px.drop_bits(R, 2), g2=px.drop_bits(G, 2), b2=px.drop_bits(B, 2))
+    return longs(spark, d, r2=px.drop_bits(F.col("r"), 2), g2=px.drop_bits(F.col("g"), 2), b2=px.drop_bits(F.col("b"), 2))
 
 
 @query("px_posterize", "select img_id,y,x,r//16*16 r2,g//16*16 g2,b//16*16 b2 from v_pixels")
 def posterize(spark: SparkSession, d: str) -> DataFrame:
-    return longs(spark, d, r2=px.posterize(R, 4), g2=px.posterize(G, 4), b2=px.posterize(B, 4))
+    return longs(spark, d, r2=px.posterize(F.col("r"), 4), g2=px.posterize(F.col("g"), 4), b2=px.posterize(F.col("b"), 4))
 
 
 _HSV = "(select *,greatest(r,g,b) mx,greatest(r,g,b)-least(r,g,b) dd from v_pixels)"
@@ -60,12 +63,12 @@ _HSV = "(select *,greatest(r,g,b) mx,greatest(r,g,b)-least(r,g,b) dd from v_pixe
     f"select img_id,y,x,{r('case when h<0 then h+360 else h end h', 'case when mx=0 then 0 else dd/mx::double end s', 'mx/255.0::double v')} from (select *,case when dd=0 then 0 when r=mx then 60*((g-b)/dd::double) when g=mx then 60*((b-r)/dd::double+2) else 60*((r-g)/dd::double+4) end h from {_HSV} t) u",
 )
 def hsv(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(each(spark, d, *(v.alias(k) for k, v in zip("hsv", px.hsv(R, G, B), strict=True))), *"hsv")
+    return rounded(each(spark, d, *(v.alias(k) for k, v in zip("hsv", px.hsv(*rgb()), strict=True))), *"hsv")
 
 
 @query("px_hsv_inv", "select img_id,y,x,r r2,g g2,b b2 from v_pixels")
 def hsv_inverse(spark: SparkSession, d: str) -> DataFrame:
-    return longs(spark, d, **dict(zip(("r2", "g2", "b2"), px.from_hsv(*px.hsv(R, G, B)), strict=True)))
+    return longs(spark, d, **dict(zip(("r2", "g2", "b2"), px.from_hsv(*px.hsv(*rgb())), strict=True)))
 
 
 def _linear(c: str) -> str:
@@ -79,7 +82,7 @@ def linear(spark: SparkSession, d: str) -> DataFrame:
 
 @query("px_srgb", "select img_id,y,x,r r2 from v_pixels")
 def srgb_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    return longs(spark, d, r2=px.srgb(px.linear(R)))
+    return longs(spark, d, r2=px.srgb(px.linear(F.col("r"))))
 
 
 def _f(t: str) -> str:
@@ -94,17 +97,17 @@ def _f(t: str) -> str:
     ),
 )
 def lab(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(each(spark, d, *(v.alias(k) for k, v in zip("lab", px.lab(R, G, B), strict=True))), *"lab", digits=4)
+    return rounded(each(spark, d, *(v.alias(k) for k, v in zip("lab", px.lab(*rgb()), strict=True))), *"lab", digits=4)
 
 
 @query("px_brightness", "select img_id,y,x,least(255,r+25) r2,least(255,greatest(0,cast(trunc((r-128)*12/10.0) as bigint)+128)) contrast,least(255,cast(floor(r+(r-least(r,g,b))*0.3::double) as bigint)) saturated from v_pixels")
 def brightness(spark: SparkSession, d: str) -> DataFrame:
-    return longs(spark, d, r2=px.brightness(R), contrast=px.contrast(R), saturated=px.saturate(R, F.least(R, G, B)))
+    return longs(spark, d, r2=px.brightness(F.col("r")), contrast=px.contrast(F.col("r")), saturated=px.saturate(F.col("r"), F.least(*rgb())))
 
 
 @query("px_swizzle", "select img_id,y,x,b c0,g c1,r c2 from v_pixels where a=255")
 def swizzle(spark: SparkSession, d: str) -> DataFrame:
-    return views.pixels(spark, d).where("a = 255").select(*AT, B.alias("c0"), G.alias("c1"), R.alias("c2"))
+    return views.pixels(spark, d).where("a = 255").select(*AT, F.col("b").alias("c0"), F.col("g").alias("c1"), F.col("r").alias("c2"))
 
 
 @query("px_alpha_colors", "select img_id,max(case when a<255 then 1 else 0 end) has_alpha,count(distinct r*65536+g*256+b) colors from v_pixels group by img_id")
@@ -133,7 +136,7 @@ def nearest_weighted(spark: SparkSession, d: str) -> DataFrame:
 
 @query("px_palette_expand", "select img_id,y,x,coalesce(q.r,0) r,coalesce(q.g,0) g,coalesce(q.b,0) b from (select img_id,y,x,r%32 idx from v_pixels) p left join v_palette q on p.idx=q.idx")
 def palette_expand(spark: SparkSession, d: str) -> DataFrame:
-    return raster.expand(views.pixels(spark, d).select(*AT, (R % 32).alias("idx")), views.palette(spark, d))
+    return raster.expand(views.pixels(spark, d).select(*AT, (F.col("r") % 32).alias("idx")), views.palette(spark, d))
 
 
 def _l2(a: str, b: str) -> str:
