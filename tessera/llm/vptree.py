@@ -113,7 +113,7 @@ def _smallest_ids(kept: int):
             ids: dict[bytes, list[int]] = {}
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.setdefault((np.array(v, np.float64) + 0.0).tobytes(), []).append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.binary()), pa.array([sorted(x)[:kept] for x in ids.values()], pa.list_(pa.int64()))], ["v", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.binary()), pa.array([sorted(set(x))[:kept] for x in ids.values()], pa.list_(pa.int64()))], ["v", "ids"])
 
     return run
 
@@ -122,8 +122,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
     """vectors, queries (vec_id, embedding) -> query_id, rank, vec_id, score: the k nearest found, without the query's own row.
 
     Copies of a vector are searched once and stand for their k + 1 smallest
-    ids: no more can be among a query's k. Ties go to the smaller id. Invalid
-    vectors and null ids take no part. Queries meet shards in blocks; a task
+    ids: no more can be among a query's k. Rows that repeat both id and vector
+    count once. Ties go to the smaller id. Invalid vectors and null ids take no
+    part. Queries meet shards in blocks; a task
     holds one tree and one block.
     """
     spark = vectors.sparkSession
@@ -131,9 +132,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
     kept = k + 1
     own = _valid(vectors.where("vec_id is not null")).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     asked = _valid(queries.where("vec_id is not null")).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    merged = own.mapInArrow(_smallest_ids(kept), "v binary, ids array<bigint>").groupBy("v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, kept).alias("ids"))
+    merged = own.mapInArrow(_smallest_ids(kept), "v binary, ids array<bigint>").groupBy("v").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, kept).alias("ids"))
     merged = scratch.write(merged, "ann-distinct")
-    each = scratch.write(asked.mapInArrow(_each_vector, "v binary, query_id bigint"), "ann-queries")
+    each = scratch.write(asked.mapInArrow(_each_vector, "v binary, query_id bigint").distinct(), "ann-queries")
     questions = each.select("v").distinct()
     shards, blocks = max(1, -(-merged.count() // shard)), max(1, -(-questions.count() // block))
     trees = merged.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_build, "shard int, tree binary")
