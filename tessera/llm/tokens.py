@@ -15,6 +15,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,23 @@ LEVEL = 3
 BLOCK_DOCUMENTS, BLOCK_BYTES = 4096, 4 << 20
 #: Pieces of text whose ids a task keeps; documents that it encodes together.
 CACHE, TOGETHER = 500_000, 256
-_AFTER_LETTER = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])")
+_AFTER_LETTER = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[a-z].)")
 
 BLOCKS = "part int, block int, dictionary string, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, before bigint, payload binary"
 
 
+class _Rows(dict):
+    """piece -> row; a piece that is looked up for the first time gets the next row and is noted as new."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        row = self[piece] = len(self)
+        self.new.append(piece)
+        return row
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer that lower-cases, drops white space, and parts letters from punctuation.
 
@@ -60,58 +73,61 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.rows: dict[bytes, int] = {}
+        self.rows = _Rows()
         self.start, self.count, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 16, np.uint32)
         self.used = 0
 
-    def _add(self, pieces: list[bytes], count: np.ndarray, ids: np.ndarray) -> None:
-        row, n = len(self.rows), len(pieces)
-        while row + n > len(self.start):
-            self.start, self.count = np.concatenate([self.start, self.start]), np.concatenate([self.count, self.count])
+    def _add(self, rows: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, self.pool])
-        self.rows.update(zip(pieces, range(row, row + n), strict=True))
-        self.start[row : row + n], self.count[row : row + n] = self.used + np.cumsum(count) - count, count
+        self.start[rows], self.count[rows] = self.used + np.cumsum(count) - count, count
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
-    def learn(self, pieces: set[bytes]) -> None:
-        if len(self.rows) > CACHE:
-            self._clear()
-        new = [(w, w.decode("utf-8")) for w in pieces.difference(self.rows)]
+    def _learn(self) -> None:
+        """Encodes the pieces that were looked up but are new."""
+        new, self.rows.new = self.rows.new, []
+        while len(self.rows) > len(self.start):
+            self.start, self.count = np.concatenate([self.start, self.start]), np.concatenate([self.count, self.count])
+        known = len(self.rows) - len(new)
+        words = [(known + i, w.decode("utf-8")) for i, w in enumerate(new)]
+        left = words
         if self.ends.any():
-            letters = [x for x in new if x[1].isalpha()]
+            letters, left = [x for x in words if x[1].isalpha()], [x for x in words if not x[1].isalpha()]
             for i in range(0, len(letters), 4096):
-                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in letters[i : i + 4096])], add_special_tokens=False)[0].ids, np.uint32)
+                part = letters[i : i + 4096]
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in part)], add_special_tokens=False)[0].ids, np.uint32)
                 ends = np.flatnonzero(self.ends[ids])
-                if len(ends) == len(letters[i : i + 4096]) and (ends[-1:] == len(ids) - 1).all():
-                    self._add([w for w, _ in letters[i : i + 4096]], np.diff(ends, prepend=-1), ids)
-            new = [x for x in new if x[0] not in self.rows]
-        for i in range(0, len(new), 4096):
-            part = [w for w, _ in new[i : i + 4096]]
-            text = f" {self.apart} ".join(w.decode("utf-8") for w in part)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                if len(ends) == len(part) and ends[-1] == len(ids) - 1:
+                    self._add(np.array([r for r, _ in part]), np.diff(ends, prepend=-1), ids)
+                else:
+                    left += part
+        for i in range(0, len(left), 4096):
+            part = left[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.apart} ".join(t for _, t in part)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            self._add(part, np.diff(ends, prepend=-1) - 1, ids[ids != self.mark])
+            self._add(np.array([r for r, _ in part]), np.diff(ends, prepend=-1) - 1, ids[ids != self.mark])
 
     def _pieces(self, text: str) -> list[bytes] | np.ndarray:
         """The pieces of a text; its ids, if it spells out a special token."""
         data = text.encode("utf-8")
         if any(t in data for t in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        return _AFTER_LETTER.sub(b" ", data.lower()).split()
+        return _AFTER_LETTER.sub(rb" \g<0>", data.lower()).split()
 
     def encode_all(self, texts: list[str | None], end: int = END) -> list[np.ndarray]:
         """For each text all its ids, then `end`; a null text is empty."""
         out = []
         for i in range(0, len(texts), TOGETHER):
+            if len(self.rows) > CACHE:
+                self._clear()
             found = [self._pieces(t or "") for t in texts[i : i + TOGETHER]]
-            self.learn(set().union(*(p for p in found if isinstance(p, list))))
-            for pieces in found:
-                if not isinstance(pieces, list):
-                    out.append(np.append(pieces, np.array([end], "<u4")))
+            found = [np.fromiter(map(self.rows.__getitem__, p), np.int64, len(p)) if isinstance(p, list) else p for p in found]
+            self._learn()
+            for row in found:
+                if row.dtype != np.int64:
+                    out.append(np.append(row, np.array([end], "<u4")))
                     continue
-                row = np.fromiter(map(self.rows.__getitem__, pieces), np.int64, len(pieces))
                 count = self.count[row]
                 ids = np.full(int(count.sum()) + 1, end, "<u4")
                 ids[:-1] = self.pool[np.arange(len(ids) - 1) + np.repeat(self.start[row] - (np.cumsum(count) - count), count)]
@@ -119,6 +135,12 @@ class WordEncoder:
         return out
 
 
+@lru_cache(1)
+def encoder_of(tokenizer: str) -> WordEncoder:
+    """The encoder of a Python worker: its tasks share what one of them has learnt, CACHE pieces at most."""
+    return WordEncoder(tokenizer)
+
+
 def serialize(ids: np.ndarray) -> bytes:
     """A byte for the width, then little-endian ids, of two bytes where all fit."""
     return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + ids.astype("<u4").tobytes()
@@ -132,7 +154,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """From a bounded sample; of few documents, their ids themselves; of none, empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(list(map(serialize, encoder.encode_all(b.column(0).to_pylist()))), pa.binary())], ["ids"])
 
@@ -161,7 +183,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     shared = spark.sparkContext.broadcast(data)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, press = WordEncoder(tokenizer), zstandard.ZstdCompressor(LEVEL, dict_data=_dictionary(shared.value))
+        encoder, press = encoder_of(tokenizer), zstandard.ZstdCompressor(LEVEL, dict_data=_dictionary(shared.value))
         for b in batches:
             counts, frames = [], []
             for ids in encoder.encode_all(b.column(1).to_pylist()):

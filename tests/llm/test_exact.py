@@ -110,7 +110,7 @@ def test_nearest_awkward(spark):
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
-    folder = "/root/testdata/sf0.001"
+    folder = "/root/testdata/sf0.01"
     docs, scratch = table(spark, folder, "documents"), Scratch(spark)
     columns = docs.columns
     before = docs.count()
