@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -76,6 +77,12 @@ def bounded(df: DataFrame, rows: int, *by: str) -> DataFrame:
     return df.orderBy(F.xxhash64(*by), *by).limit(rows)
 
 
+def values_of(column: pa.Array, together: int = 256) -> Iterator:
+    """The values of a column of texts, of which no more than `together` are Python objects at a time."""
+    for i in range(0, len(column), together):
+        yield from column.slice(i, together).to_pylist()
+
+
 def word_pieces(data: bytes, overlap: int = 0) -> Iterator[list[bytes]]:
     """Words between ASCII white space, in lists for pieces of PIECE bytes; each list repeats the last `overlap` words of the one before."""
     if len(data) <= PIECE:

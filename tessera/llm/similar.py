@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, partitions, unused
+from tessera.llm.common import Scratch, partitions, unused, values_of
 from tessera.llm.components import connected_components
 from tessera.llm.simhash import bits_of, keys_of, shingle_hashes
 
@@ -48,7 +48,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps, keys, sketches = [], [], []
-        for text in b.column(1).to_pylist():
+        for text in values_of(b.column(1)):
             hashes = list(shingle_hashes(text, WIDTH))
             least = _mixed(sketch_of(hashes))
             fp = bits_of(hashes)

@@ -32,7 +32,7 @@ LEVEL = 3
 #: A block ends after so many documents or bytes of frames.
 BLOCK_DOCUMENTS, BLOCK_BYTES = 4096, 4 << 20
 #: Pieces of text whose ids a task keeps; documents that it encodes together.
-CACHE, TOGETHER = 500_000, 256
+CACHE, TOGETHER = 300_000, 256
 _AFTER_LETTER = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[a-z].)")
 
 BLOCKS = "part int, block int, dictionary string, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, before bigint, payload binary"
@@ -50,6 +50,15 @@ class _Rows(dict):
         return row
 
 
+@lru_cache(1)
+def tokenizer_of(path: str):  # noqa: ANN201
+    """The tokenizer of a Python worker, read once; what a task learns goes with the task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer that lower-cases, drops white space, and parts letters from punctuation.
 
@@ -59,10 +68,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer_of(path)
         added = {i: str(t) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.mark, self.apart = max(added.items())
         # Where tokens show that they end a word, a run of letters has one such token, its last.
@@ -135,12 +141,6 @@ class WordEncoder:
         return out
 
 
-@lru_cache(1)
-def encoder_of(tokenizer: str) -> WordEncoder:
-    """The encoder of a Python worker: its tasks share what one of them has learnt, CACHE pieces at most."""
-    return WordEncoder(tokenizer)
-
-
 def serialize(ids: np.ndarray) -> bytes:
     """A byte for the width, then little-endian ids, of two bytes where all fit."""
     return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + ids.astype("<u4").tobytes()
@@ -154,7 +154,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """From a bounded sample; of few documents, their ids themselves; of none, empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer)
+        encoder = WordEncoder(tokenizer)
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(list(map(serialize, encoder.encode_all(b.column(0).to_pylist()))), pa.binary())], ["ids"])
 
@@ -183,12 +183,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     shared = spark.sparkContext.broadcast(data)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, press = encoder_of(tokenizer), zstandard.ZstdCompressor(LEVEL, dict_data=_dictionary(shared.value))
+        encoder, press = WordEncoder(tokenizer), zstandard.ZstdCompressor(LEVEL, dict_data=_dictionary(shared.value))
         for b in batches:
             counts, frames = [], []
-            for ids in encoder.encode_all(b.column(1).to_pylist()):
-                counts.append(len(ids))
-                frames.append(press.compress(serialize(ids)))
+            for i in range(0, b.num_rows, TOGETHER):
+                for ids in encoder.encode_all(b.column(1).slice(i, TOGETHER).to_pylist()):
+                    counts.append(len(ids))
+                    frames.append(press.compress(serialize(ids)))
             keys = b.column(0).to_pylist()
             part = [0 if k is None else 1 + int(np.searchsorted(bounds, k)) for k in keys]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), b.column(0), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], ["part", "doc_id", "n_tokens", "frame"])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, held_out, schema_with, table, word_pieces
+from tessera.llm.common import bounded, held_out, schema_with, table, values_of, word_pieces
 
 #: Labelled documents that the model is fitted on, at most (a sample by hash of the id).
 FIT_DOCUMENTS = 20_000
@@ -33,7 +33,7 @@ PRIOR_WEIGHT, PRIOR_LEAST, DRIFT, SIGNIFICANT = 500.0, 0.5, 0.05, 0.05
 THRESHOLD = 0.3
 
 #: Words also count by their first bytes, so that unseen words with a known beginning score. Words whose scores a task keeps.
-BEGINNINGS, CACHE = (6, 8), 400_000
+BEGINNINGS, CACHE = (6, 8), 200_000
 
 _APART = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()), b" " * sum(not chr(c).isalnum() for c in range(128)))
 
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: ToxicityModel, prefix: str = "") -> DataFrame:
         least = -math.log(SIGNIFICANT)
         for b in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for text in b.column(at).to_pylist():
+            for text in values_of(b.column(at)):
                 n, segments = model.statistics(text)
                 up = model.surprises(n, segments)
                 passages = [s for s, u in zip(segments, up, strict=True) if u >= least]
