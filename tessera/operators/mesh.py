@@ -323,3 +323,10 @@ def invalid_data(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 def summary(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """bounds and the number of faces; meshes without vertices or faces are left out."""
     return bounds(vertices).join(faces.groupBy("mesh_id").agg(F.count("*").alias("faces")), "mesh_id").where("n > 0 and faces > 0")
+
+
+def obj_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """mesh_id, part (0 vertices, 1 faces), line, s: the lines of an OBJ text, each a row, so that no mesh is collected."""
+    v = vertices.select("mesh_id", F.lit(0).alias("part"), F.col("vid").alias("line"), F.format_string("v %.6f %.6f %.6f", "x", "y", "z").alias("s"))
+    f = faces.select("mesh_id", F.lit(1).alias("part"), F.col("fid").alias("line"), F.format_string("f %d %d %d", *(F.col(c) + 1 for c in ("i0", "i1", "i2"))).alias("s"))
+    return v.unionByName(f)

@@ -133,12 +133,12 @@ def vec_dot(spark: SparkSession, d: str) -> DataFrame:
     return rounded(views.table(spark, d, "embeddings").select("vec_id", numbers.dot(e, F.reverse(e)).alias("d"), numbers.norm(e).alias("n")), "d", "n")
 
 
-@query("mat_mul", f"select i,j,{r('sum(a*b) v')} from (select vec_id i,unnest(range(1,65)) k,unnest(embedding)::double a from embeddings where vec_id<8) p join (select unnest(range(1,65)) k,vec_id j,unnest(embedding)::double b from embeddings where vec_id between 8 and 15) q using (k) group by 1,2")
+@query("mat_mul", f"select vec_id i,j,{r('sum(a*((k*7+j*3)%11-5)) v')} from (select vec_id,unnest(range(1,len(embedding)+1)) k,unnest(embedding)::double a from embeddings) p cross join range(0,8) q(j) group by 1,2")
 def mat_mul(spark: SparkSession, d: str) -> DataFrame:
-    e = views.table(spark, d, "embeddings")
-    a = e.where("vec_id < 8").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("k", "a"))
-    b = e.where("vec_id between 8 and 15").select(F.col("vec_id").alias("j"), F.posexplode("embedding").alias("k", "b"))
-    return rounded(a.join(b, "k").groupBy("i", "j").agg(F.sum(F.col("a").cast("double") * F.col("b").cast("double")).alias("v")), "v")
+    """All vectors, as rows, times a matrix of eight columns; the cell (k, j), k from one, is (7k + 3j) mod 11 - 5."""
+    a = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("k", "a"))
+    cells = a.select("i", F.explode(F.array(*(F.struct(F.lit(j).cast("long").alias("j"), (((F.col("k") + 1) * 7 + j * 3) % 11 - 5).alias("b")) for j in range(8)))).alias("c"), "a")
+    return rounded(cells.groupBy("i", "c.j").agg(F.sum(F.col("a").cast("double") * F.col("c.b")).alias("v")), "v")
 
 
 @query("fmt_bytes", "select file_id, case when n<1024 then n||' B' when n<1048576 then printf('%.1f',round(n/1024.0::double,1))||' KB' when n<1073741824 then printf('%.1f',round(n/1048576.0::double,1))||' MB' else printf('%.1f',round(n/1073741824.0::double,1))||' GB' end s from (select file_id, length*(file_id%700) n from v_files) t")
