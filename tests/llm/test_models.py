@@ -103,6 +103,41 @@ def test_decontamination_finds_planted_passages(spark):
     assert {r.item_id for r in decontam.decontaminate(docs, benchmark.limit(0)).collect()} == {None}
 
 
+@pytest.mark.parametrize("n", [1_000, 20_000])
+def test_decontamination_finds_copies_whatever_the_size_of_the_benchmark(spark, n):
+    rnd = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(20_000)])
+    share = 1 / np.arange(1, len(words) + 1)
+    pick = lambda k: rnd.choice(words, k, p=share / share.sum()).tolist()
+    items = [pick(k) for k in rnd.integers(16, 60, n).tolist()]
+    rows, want = [], {}
+    for i in range(0, n, n // 100):
+        near = [w if k % 6 else "other" for k, w in enumerate(items[i])]  # five words of six in the same order
+        for doc, own in ((i, items[i]), (n + i, near)):
+            rows.append((doc, " ".join(pick(int(rnd.integers(5, 80))) + own + pick(60))))
+            want[doc] = i
+    rows += [(2 * n + i, " ".join(pick(150))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    found = {r.doc_id: r.item_id for r in decontam.decontaminate(docs, benchmark).collect() if r.item_id is not None}
+    assert {d: i for d, i in found.items() if d < 2 * n} == want
+    assert len(found) - len(want) <= 3  # an item of common words alone can line up with a clean document
+
+
+def test_word_index_proposes_all_that_brute_force_finds(monkeypatch):
+    monkeypatch.setattr(decontam, "PAIRS", 50)
+    rnd = np.random.default_rng(6)
+    passages = [rnd.integers(0, 40, k) for k in rnd.integers(1, 65, 30).tolist()]
+    index = decontam.WordIndex.of(passages, rnd.random(decontam.TERMS))
+    texts = []
+    for p in passages:
+        kept = np.sort(rnd.choice(len(p), -(-len(p) // 2), replace=False))
+        texts.append(np.concatenate([rnd.integers(100, 140, rnd.integers(0, 90)), p[kept], rnd.integers(100, 140, 9)]))
+    flat, doc = np.concatenate(texts), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    found = {(j, int(doc[w])) for owner, at in index.candidates(flat, doc) for j, w in zip(owner.tolist(), at.tolist(), strict=True)}
+    assert {(j, j) for j in range(len(passages))} <= found
+
+
 def test_decontamination_in_several_passes(spark, monkeypatch):
     docs = awkward(spark)
     items = spark.createDataFrame([(i, r.text) for i, r in enumerate(docs.where("doc_id < 6").select("text").distinct().collect())], "item_id long, text string")
