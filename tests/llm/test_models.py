@@ -124,6 +124,19 @@ def test_decontamination_finds_copies_whatever_the_size_of_the_benchmark(spark,
     assert len(found) - len(want) <= 3  # an item of common words alone can line up with a clean document
 
 
+@pytest.mark.parametrize(("clean", "copies"), [(40, 20), (4, 2)])
+def test_decontamination_of_a_passage_that_a_third_of_all_documents_hold(spark, clean, copies):
+    rnd = random.Random(12)
+    pick = lambda n: [f"w{rnd.randrange(3000)}" for _ in range(n)]
+    item = pick(35)
+    rows = [(i, " ".join(pick(150))) for i in range(clean)]
+    rows += [(100 + i, " ".join(pick(40 + i) + item + pick(50))) for i in range(copies)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item)), (8, " ".join(pick(35)))], "item_id long, text string")
+    found = {r.doc_id: r for r in decontam.decontaminate(docs, benchmark).collect() if r.item_id is not None}
+    assert {d: r.item_id for d, r in found.items()} == {100 + i: 7 for i in range(copies)}
+    assert all(r.common == 1 and r.cosine > 0 for r in found.values())
+
+
 def test_word_index_proposes_all_that_brute_force_finds(monkeypatch):
     monkeypatch.setattr(decontam, "PAIRS", 50)
     rnd = np.random.default_rng(6)
