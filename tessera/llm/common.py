@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -20,20 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="tessera-")
-        sc.setCheckpointDir(root)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     return root.rstrip("/")
 
 
 class Scratch:
-    """Written tables that cut lineage: a lost executor costs a re-read, never a recomputation of all that came before."""
+    """Written tables that cut lineage: a lost executor costs a re-read, never a recomputation of all that came before.
+
+    Tables that no result reads are dropped by those who wrote them, the others when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{scratch_root(spark)}/tessera-{uuid.uuid4().hex}"
+        atexit.register(self._clear)
+
+    def _clear(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            self.drop("")
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -46,7 +51,7 @@ class Scratch:
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path = jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
             path.getFileSystem(conf).delete(path, True)
 
 
@@ -73,7 +78,15 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def bounded(df: DataFrame, rows: int, *by: str) -> DataFrame:
-    """The first `rows` rows in the order of a hash of `by`: the same sample on every run, `rows` at most."""
+    """The first `rows` rows in the order of a hash of `by`: the same sample on every run, `rows` at most.
+
+    Rows whose hash is too large to be among the first go before anything is
+    ordered, so that no task passes on much more than its share: twice as many
+    as are wanted stay on average, and thousands more.
+    """
+    share = (2 * rows + 10_000) / max(1, df.count())
+    if share < 1:
+        df = df.where(F.xxhash64(*by) <= F.lit(int((2 * share - 1) * (1 << 63))))
     return df.orderBy(F.xxhash64(*by), *by).limit(rows)
 
 

@@ -79,7 +79,7 @@ def test_exact_search_with_factor_one(spark):
     rnd = np.random.default_rng(2)
     x = rnd.normal(size=(900, 8)) * rnd.uniform(0.1, 3, (900, 1))
     tree = vptree.Tree.build(x)
-    rows, score = tree.search(x[:50], 10, 1.0)
+    rows, score, _ = tree.search(x[:50], 10, 1.0)
     truth = np.sort(-(x[:50] @ x.T), axis=1)[:, :10]
     assert np.allclose(-score, truth)
 
@@ -94,6 +94,38 @@ def test_nearest_on_the_table(spark, sf):
         assert r.score == pytest.approx(float(x[ids == r.query_id][0] @ x[ids == r.vec_id][0]), abs=1e-12)
 
 
+def test_equal_products_go_by_the_smaller_id(spark):
+    rows = [(i, [1.0, float(i % 97) / 7, float(i) / 100]) for i in range(2000)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(5000, [1.0, 0.0, 0.0])] * 2, "vec_id long, embedding array<double>")
+    for shard, leaf in ((10_000, 16), (300, 16)):
+        assert [r.vec_id for r in vptree.nearest(vectors, asked, 20, shard=shard, leaf=leaf).orderBy("rank").collect()] == list(range(20))
+
+
+def test_pruning_keeps_recall_on_clusters():
+    rnd = np.random.default_rng(8)
+    centres = rnd.normal(size=(40, 16)) * 2
+    x = centres[rnd.integers(0, 40, 6000)] + 0.3 * rnd.normal(size=(6000, 16))
+    tree = vptree.Tree.build(x, leaf=32)
+    truth = np.argsort(-(x[:200] @ x.T), axis=1, kind="stable")[:, :20]
+    share, recall = {}, {}
+    for factor in (1.0, 1.25, 2.0):
+        row, _, visited = tree.search(x[:200], 20, factor)
+        share[factor], recall[factor] = visited / 200 / len(x), np.mean([len(set(a) & set(b)) / 20 for a, b in zip(row, truth, strict=True)])
+    assert recall[1.0] == 1 and recall[1.25] >= 0.9
+    assert share[2.0] < share[1.25] < share[1.0] < 0.9
+
+
+def test_shards_that_cannot_hold_a_better_vector_are_left_out(spark):
+    rnd = np.random.default_rng(9)
+    centres = rnd.normal(size=(6, 8)) * 5
+    x = centres[rnd.integers(0, 6, 900)] + 0.2 * rnd.normal(size=(900, 8))
+    vectors = spark.createDataFrame([(i, v, "x", 1.0, 2) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, v string, score double, shard int")
+    got = vptree.nearest(vectors, vectors.where("vec_id % 30 = 0"), shard=60, leaf=8).toPandas()
+    for q, g in got.groupby("query_id"):
+        assert g.sort_values("rank").vec_id.tolist() == brute_nearest(np.arange(900), x, q, 20)
+
+
 def test_nearest_awkward(spark):
     nan = float("nan")
     rows = [(i, [1.0, 0.0]) for i in range(0, 60)] + [(100, [0.5, 0.5]), (101, None), (102, [0.0, 0.0]), (103, [1.0, nan]), (104, [1.0, None]), (None, [1.0, 1.0]), (100, [0.5, 0.5])]
