@@ -287,6 +287,33 @@ def test_personal_data_awkward(spark):
     assert pii.redact("mail a@b.co or +1 234 567 89", pii.base_spans("mail a@b.co or +1 234 567 89")) == "mail [email] or [phone]"
 
 
+def test_personal_data_planted_loose_forms(spark):
+    """Loose forms planted with other seeds into documents that the trees did not see are found, look-alikes stay."""
+    docs = table(spark, SMALL, "documents").select("doc_id", "text")
+    model = pii.fit(docs.where("doc_id % 2 = 0"))
+    right, missed, wrong = [0] * 5, [0] * 5, 0
+    for r in docs.where("doc_id % 2 = 1 and text is not null").collect():
+        for shown, want, met in pii.lessons(r.text, r.doc_id + 1_000_000):
+            base = pii.base_spans(shown)
+            added = [c for c in model.spans([shown], [base])[0] if c not in base]
+            if want is not None and want not in base:
+                (right if want in added else missed)[want[0]] += 1
+            wrong += sum(c in met and c != want for c in added)
+    assert sum(right) / (sum(right) + wrong) >= 0.95
+    assert all(x / (x + y) >= 0.9 for x, y in zip(right, missed, strict=True))
+
+
+def test_personal_data_adds_spans(spark):
+    """What the method adds on the given table: numbers of cards that stand together, and secrets, which are no kind of the base patterns."""
+    text = {r.doc_id: r.text for r in table(spark, SMALL, "documents").select("doc_id", "text").collect()}
+    rows = pii.op9_personal_data(spark, SMALL).collect()
+    secrets = [text[r.doc_id][int(s) : int(e)] for r in rows for _, s, e in (x.split(":") for x in r.secrets.split(",") if x)]
+    assert len(secrets) >= 10 and all(len(s) == 40 for s in secrets)
+    added = [text[r.doc_id][int(s) : int(e)] for r in rows if r.n_added for k, s, e in (x.split(":") for x in r.spans.split(",")) if k == "card"]
+    assert added and all(pii.luhn("".join(c for c in a if c.isdigit())) for a in added)
+    assert all(r.n_found >= r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows)
+
+
 def test_boosted_trees_learn():
     rnd = np.random.default_rng(1)
     x = rnd.integers(0, 32, (2000, 4))
