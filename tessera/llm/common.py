@@ -90,6 +90,11 @@ def bounded(df: DataFrame, rows: int, *by: str) -> DataFrame:
     return df.orderBy(F.xxhash64(*by), *by).limit(rows)
 
 
+def those_of(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi", few: int = 2_000_000) -> DataFrame:
+    """The rows of df whose `on` is in ids (left_anti: is not), rows of a number each: up to `few` of them go to every task, so that df stays where it is."""
+    return df.join(F.broadcast(ids) if ids.count() <= few else ids, on, how)
+
+
 def values_of(column: pa.Array, together: int = 256) -> Iterator:
     """The values of a column of texts, of which no more than `together` are Python objects at a time."""
     for i in range(0, len(column), together):

@@ -2,9 +2,9 @@
 
 Three bits of a SimHash find copies that are nearly the same, but of texts that
 share 80 % of their five-word shingles only a few. So the Golay keys of the
-fingerprints get company: bands of a one-permutation minimum sketch, taken
-from the same shingle hashes. All keys only propose; a pair links if its
-sketches agree in enough places.
+fingerprints get company: bands of a minimum sketch of the same shingles, whose
+places are independent however short the text is. All keys only propose. A
+pair links if its sets of shingles, compared one by one, are similar enough.
 """
 
 from __future__ import annotations
@@ -13,31 +13,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, partitions, unused, values_of
+from tessera.llm.common import Scratch, partitions, those_of, unused, values_of
 from tessera.llm.components import connected_components
 from tessera.llm.simhash import bits_of, keys_of, shingle_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Places of a sketch; places of a band and bands. At 80 % a band agrees with one chance in six, some band with 97 %.
-PLACES, BAND, BANDS = 256, 8, 20
-#: Allowance for the sketch's error, one standard deviation at 80 %.
-ALLOWANCE = 0.025
+#: Places of a sketch; places of a band and bands. At 80 % a band agrees with one chance in six, some band with 99.7 %.
+PLACES, BAND, BANDS = 256, 8, 32
+#: A pair is compared if its sketches agree in the wanted share of places less this: three standard deviations at 80 %.
+ALLOWANCE = 0.075
+#: Members of a key that one task compares with each other; larger groups are dealt to several. Members that stand for a group's middle.
+GROUP, MIDDLE = 8192, 256
+#: Shingles that are hashed to places at once.
+AT_ONCE = 4096
 
+_TURNS = np.random.default_rng(5).integers(0, 1 << 32, PLACES, np.uint64).astype(np.uint32)[:, None] | np.uint32(1)
 
-def sketch_of(hashes: list[np.ndarray]) -> np.ndarray:
-    """Minimum of the hashes in each of PLACES parts; an empty part takes the next one's that is not. All ones for no hash."""
-    least = np.full(PLACES, np.iinfo(np.uint64).max, np.uint64)
-    for h in hashes:
-        np.minimum.at(least, (h % np.uint64(PLACES)).astype(np.int64), h // np.uint64(PLACES))
-    full = np.flatnonzero(least != np.iinfo(np.uint64).max)
-    if not len(full) or len(full) == PLACES:
-        return least
-    after = np.searchsorted(full, np.arange(PLACES))
-    distance = np.where(after < len(full), full[after % len(full)], full[0] + PLACES) - np.arange(PLACES)
-    return least[full[after % len(full)]] + distance.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+def set_of(hashes: list[np.ndarray]) -> np.ndarray:
+    """The distinct shingles of a text, as ascending numbers of 32 bits."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint32), *(np.unique((h >> np.uint64(32)).astype(np.uint32)) for h in hashes)]))
+
+
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    """For each place, the least of the shingles as its odd factor turns them. All ones for no shingle."""
+    least = np.full(PLACES, np.iinfo(np.uint32).max, np.uint32)
+    mixed = (shingles ^ (shingles >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    mixed ^= mixed >> np.uint32(12)
+    for i in range(0, len(mixed), AT_ONCE):
+        turned = mixed[None, i : i + AT_ONCE] * _TURNS
+        np.minimum(least, turned.min(axis=1), out=least)
+    return least
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -45,20 +54,28 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def bands_of(least: np.ndarray) -> np.ndarray:
+    band = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for i in range(BAND):
+        band = _mixed(band * np.uint64(31) + least[i * BANDS : (i + 1) * BANDS])
+    return ((band & np.uint64((1 << 62) - 1)) | np.uint64(1 << 62)).astype(np.int64)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["row", "sig", "fp", "bands", "sketch", "shingles"]
     for b in batches:
-        fps, keys, sketches = [], [], []
+        sigs, fps, bands, sketches, sets = [], [], [], [], []
         for text in values_of(b.column(1)):
             hashes = list(shingle_hashes(text, WIDTH))
-            least = _mixed(sketch_of(hashes))
-            fp = bits_of(hashes)
-            band = np.zeros(BANDS, np.uint64)
-            for i in range(BAND):
-                band = _mixed(band * np.uint64(31) + least[i * BANDS : (i + 1) * BANDS])
-            fps.append(fp)
-            keys.append(((band & np.uint64((1 << 58) - 1)) | np.uint64(1 << 62)).astype(np.int64).tolist())
-            sketches.append((least & np.uint64(0xFF)).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["row", "fp", "bands", "sketch"])
+            own = set_of(hashes)
+            least = sketch_of(own)
+            spread = _mixed(own.astype(np.uint64) + np.uint64(1 << 33))
+            sigs.append(np.array([spread.sum(dtype=np.uint64), np.bitwise_xor.reduce(spread), len(own)], np.uint64).tobytes())
+            fps.append(bits_of(hashes))
+            bands.append(bands_of(least).tobytes())
+            sketches.append((_mixed(least.astype(np.uint64)) & np.uint64(0xFF)).astype(np.uint8).tobytes())
+            sets.append(own.tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary()), pa.array(fps, pa.int64()), *(pa.array(x, pa.binary()) for x in (bands, sketches, sets))], names)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,11 +87,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = last - first
         at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
         golay = np.repeat(key, n), rep[order][at]
-        bands = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        every = np.repeat(rep, BANDS)
-        # A band's number makes its key differ from those of the other bands.
-        bands = bands ^ (np.tile(np.arange(BANDS), len(rep)) << 52)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([golay[0], bands])), pa.array(np.concatenate([golay[1], every]))], ["key", "rep"])
+        bands = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([golay[0], bands])), pa.array(np.concatenate([golay[1], np.repeat(rep, BANDS)]))], ["key", "rep"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -93,23 +107,21 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         yield pa.Table.from_batches(kept).combine_chunks().columns
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose key another row has too."""
-    for key, rep in _groups(batches):
-        key, rep = key.to_numpy(), rep.to_numpy()
-        same = np.r_[False, key[1:] == key[:-1], False]
-        some = same[1:] | same[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(rep[some])], ["key", "rep"])
+def spanning_proposals(rep: np.ndarray, sketch: np.ndarray, least: float) -> tuple[list[int], list[int]]:
+    """Pairs to compare that span what the sketches link, each member proposed once.
 
-
-def spanning_links(rep: np.ndarray, sketch: np.ndarray, least: float) -> tuple[list[int], list[int]]:
-    """Edges that span what the sketches link; each row that is linked is found once."""
+    Members go in the order of their agreement with the middle of the group, so
+    that a text of which the others are copies is held against all of them.
+    """
+    middle = sketch[0] if len(sketch) < 3 else np.array([np.bincount(c, minlength=1).argmax() for c in sketch[:MIDDLE].T], np.uint8)
+    order = np.lexsort((rep, -(sketch == middle).sum(axis=1)))
+    rep, sketch = rep[order], sketch[order]
     a, b = [], []
     while len(rep) > 1:
         frontier = [(rep[0], sketch[0])]
         rep, sketch = rep[1:], sketch[1:]
         while frontier and len(rep):
-            x, own = frontier.pop()
+            x, own = frontier.pop(0)
             near = (sketch == own).sum(axis=1) >= least * PLACES
             if near.any():
                 a += [int(x)] * int(near.sum())
@@ -119,16 +131,18 @@ def spanning_links(rep: np.ndarray, sketch: np.ndarray, least: float) -> tuple[l
     return a, b
 
 
-def _links(least: float):
+def _proposals(least: float):
+    """Rows (group, rep, sketch), sorted by group -> pairs (a, b)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rep, sketch in _groups(batches):
-            key, rep = key.to_numpy(), rep.to_numpy()
+        for group, rep, sketch in _groups(batches):
+            group, rep = group.to_numpy(), rep.to_numpy()
             places = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(-1, PLACES)
             a: list[int] = []
             b: list[int] = []
-            edge = [*np.flatnonzero(np.r_[True, key[1:] != key[:-1]]).tolist(), len(key)]
+            edge = [*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist(), len(group)]
             for s, e in zip(edge, edge[1:], strict=False):
-                x, y = spanning_links(rep[s:e], places[s:e], least)
+                x, y = spanning_proposals(rep[s:e], places[s:e], least)
                 a += x
                 b += y
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -136,29 +150,143 @@ def _links(least: float):
     return run
 
 
+def _again(least: float, most: int):
+    """Rows (group, rep, sketch, label, no), sorted by group -> for each rep with a list `no` of those that it was compared with in vain, the `most` nearest others of another label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, rep, sketch, label, no in _groups(batches):
+            group, rep, label = group.to_numpy(), rep.to_numpy(), label.to_numpy()
+            places = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(-1, PLACES)
+            a: list[int] = []
+            b: list[int] = []
+            edge = [*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist(), len(group)]
+            for s, e in zip(edge, edge[1:], strict=False):
+                for i in range(s, e):
+                    vain = no[i].as_py()
+                    if vain is None:
+                        continue
+                    agree = (places[s:e] == places[i]).sum(axis=1)
+                    agree[(label[s:e] == label[i]) | np.isin(rep[s:e], vain)] = 0
+                    best = np.argsort(-agree, kind="stable")[:most]
+                    best = best[agree[best] >= least * PLACES]
+                    a += [int(rep[i])] * len(best)
+                    b += rep[s:e][best].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two ascending arrays of distinct numbers; of two empty ones, one."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        pairs = zip(values_of(b.column(2)), values_of(b.column(3)), strict=True)
+        got = [similarity_of(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in pairs]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.float64())], ["a", "b", "j"])
+
+
+def similar_components(reps: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """reps (rep, fp, bands, sketch, shingles), of different texts -> (node, label) for those that a link reaches.
+
+    Every key's group is searched for pairs that span what its sketches link;
+    the pairs are compared exactly. A member whose pair fails is held against
+    the group again, with ever more partners, until nothing is left to
+    compare. Groups of more than GROUP members are dealt to several tasks,
+    which all hold the group's middle; a member that did not link there meets
+    all of them.
+    """
+    n, least = partitions(reps.sparkSession), similarity - ALLOWANCE
+    keyed = reps.select("rep", "fp", "bands").mapInArrow(_keys, "key bigint, rep bigint")
+    sized = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").distinct()
+    shared = scratch.write(sized.select("key", "rep", F.ceil(F.col("n") / GROUP).cast("int").alias("parts")), "dedup-shared")
+    held = scratch.write(those_of(reps.select("rep", "sketch", "shingles"), scratch.write(shared.select("rep").distinct(), "dedup-some"), "rep"), "dedup-held")
+    group = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", "part"))
+    part = F.when(F.col("parts") == 1, 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int")
+    members = shared.withColumn("part", part).withColumn("group", group)
+    first, hot = members.select("group", "rep"), shared.where("parts > 1")
+    dealt = not hot.isEmpty()
+    if dealt:
+        middles = _middles(hot, held).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("group", group)
+        first = first.unionByName(middles.select("group", "rep")).distinct()
+    first = first.join(held.select("rep", "sketch"), "rep").select("group", "rep", "sketch")
+    proposed = first.repartition(n, "group").sortWithinPartitions("group", "rep").mapInArrow(_proposals(least), "a bigint, b bigint")
+    compared, links, most, step = None, None, 4, 0
+    while True:
+        pairs = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        one, two = held.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), held.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
+        got = scratch.write(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_compare, "a bigint, b bigint, j double"), f"dedup-compared-{step}")
+        if step and got.isEmpty():
+            break
+        compared = got if compared is None else compared.unionByName(got)
+        links = compared.where(F.col("j") >= similarity).select("a", "b")
+        label = connected_components(links, scratch, f"dedup-cc-{step}")
+        failed = got.where(F.col("j") < similarity)
+        asking = failed.select(F.col("a").alias("rep")).union(failed.select("b")).distinct()
+        vain = compared.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(compared.select("b", "a")).join(asking, "rep", "left_semi").groupBy("rep").agg(F.collect_set("other").alias("no"))
+        # Members of a dealt group that no link reaches have met a part of it only.
+        if dealt and step == 0:
+            alone = hot.select("rep").distinct().join(label.select(F.col("node").alias("rep")), "rep", "left_anti")
+            vain = vain.join(alone, "rep", "full").select("rep", F.coalesce("no", F.array().cast("array<bigint>")).alias("no"))
+        vain = scratch.write(vain, f"dedup-vain-{step}")
+        if vain.isEmpty():
+            return label
+        who = shared.join(vain, "rep").select("key", "parts", "rep", "no")
+        wide = who.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("group", group).select("group", "rep", "no")
+        near = members.join(who.select("key").distinct(), "key", "left_semi").select("group", "rep").join(wide.select("group", "rep"), ["group", "rep"], "left_anti").withColumn("no", F.lit(None).cast("array<bigint>"))
+        rows = wide.unionByName(near).join(held.select("rep", "sketch"), "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("group", "rep", "sketch", F.coalesce("label", "rep").alias("label"), "no")
+        proposed = rows.repartition(n, "group").sortWithinPartitions("group", "rep").mapInArrow(_again(least, most), "a bigint, b bigint")
+        most, step = most * 4, step + 1
+    return label
+
+
+def _middles(hot: DataFrame, held: DataFrame) -> DataFrame:
+    """hot (key, rep, parts): members of large groups -> key, parts, rep: of each the member nearest to the middle of MIDDLE of them."""
+    some = hot.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep"))).where(F.col("k") <= MIDDLE)
+
+    def middle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            means = []
+            for own in b.column(1).to_pylist():
+                x = np.frombuffer(b"".join(own), np.uint8).reshape(-1, PLACES)
+                means.append(np.array([np.bincount(c).argmax() for c in x.T], np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(means, pa.binary())], ["key", "middle"])
+
+    def agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, PLACES) for i in (3, 4))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array((x == y).sum(axis=1), pa.int64())], ["key", "parts", "rep", "agree"])
+
+    means = some.join(held.select("rep", "sketch"), "rep").groupBy("key").agg(F.collect_list("sketch").alias("own")).mapInArrow(middle, "key bigint, middle binary")
+    rows = hot.join(held.select("rep", "sketch"), "rep").join(means, "key").select("key", "parts", "rep", "sketch", "middle").mapInArrow(agreement, "key bigint, parts int, rep bigint, agree bigint")
+    return rows.groupBy("key", "parts").agg(F.max(F.struct("agree", "rep"))["rep"].alias("rep"))
+
+
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:
     """docs without near-duplicates: of each component of linked texts the row with the smallest doc_id stays (nulls last).
 
-    Texts without words are copies of one another. Copies have one
-    representative before any pair is looked at, and groups of rows with a
-    common key are searched breadth first, so that each row is linked once.
+    Texts with the same shingles are copies, with or without words, and have
+    one representative before any pair is looked at. A null text is empty; of
+    repeated rows one stays; an empty table stays empty.
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
+    scratch = scratch or Scratch(docs.sparkSession)
     row = unused(docs) + "row"
     numbered = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-numbered")
-    made = numbered.select(F.col(row).alias("row"), "text").mapInArrow(_sketches, "row bigint, fp bigint, bands array<bigint>, sketch binary")
+    made = numbered.select(F.col(row).alias("row"), "text").mapInArrow(_sketches, "row bigint, sig binary, fp bigint, bands binary, sketch binary, shingles binary")
     made = scratch.write(made, "dedup-sketches")
-    reps = scratch.write(made.groupBy("fp", "sketch").agg(F.min("row").alias("rep"), F.min("bands").alias("bands")), "dedup-reps")
-    n = partitions(spark)
-    keyed = reps.select("rep", "fp", "bands").mapInArrow(_keys, "key bigint, rep bigint")
-    shared = scratch.write(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shared, "key bigint, rep bigint"), "dedup-shared")
-    proposed = shared.join(reps.select("rep", "sketch"), "rep").select("key", "rep", "sketch")
-    edges = proposed.repartition(n, "key").sortWithinPartitions("key", "rep").mapInArrow(_links(similarity - ALLOWANCE), "a bigint, b bigint")
-    label = connected_components(edges, scratch, "dedup-cc")
-    known = scratch.write(reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "sketch", F.coalesce("label", "rep").alias("label")), "dedup-known")
+    copies = scratch.write(made.groupBy("sig").agg(F.min("row").alias("rep")), "dedup-copies")
+    # Copies are fewer than texts: what is no representative goes.
+    more = scratch.write(made.select("row", "sig").join(copies, "sig").where("row <> rep").select(F.col("row").alias("rep")), "dedup-more")
+    reps = made.select(F.col("row").alias("rep"), "fp", "bands", "sketch", "shingles")
+    reps = those_of(reps, more, "rep", "left_anti")
+    label = similar_components(reps, similarity, scratch)
+    known = copies.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("label", "rep").alias("label"))
     ids = numbered.select(F.col(row).alias("row"), "doc_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    kept = made.select("row", "fp", "sketch").join(known, ["fp", "sketch"]).join(ids, "row").groupBy("label").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row))
-    scratch.drop("dedup-shared")
+    kept = made.select("row", "sig").join(known, "sig").join(ids, "row").groupBy("label").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row))
+    kept = scratch.write(kept, "dedup-kept")
+    scratch.drop("dedup-shared", "dedup-sketches", "dedup-held", "dedup-sizes")
     return numbered.join(kept, row, "left_semi").drop(row)
