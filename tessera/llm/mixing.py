@@ -17,10 +17,10 @@ from tessera.llm.common import Scratch, running_total, table, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, EPOCHS = 1.5, 2
-#: Tokens of a block: as many as give LEAST_SLOTS slots, but from 1 to LARGEST_BLOCK.
-LARGEST_BLOCK, LEAST_SLOTS = 1024, 1 << 16
+#: Tokens of a block. A source's share is met within a few blocks, whatever its size.
+BLOCK = 64
 #: Parts in which a source's documents are ordered, and slots that are ranked together.
-PARTS, RANKED = 1024, 1 << 16
+PARTS, RANKED = 1024, 1 << 12
 WORD = r"[^\x20\x09-\x0D]+"
 _SCALE = 1 << 32
 _GOLDEN = 2_654_435_769  # 2^32 divided by the golden ratio
@@ -50,12 +50,14 @@ def source_targets(sized: DataFrame, share: float = SHARE, epochs: int = EPOCHS,
     return leveled.withColumn("target", F.least("cap", F.coalesce(own * F.col("weight"), F.col("cap")))).select("sid", "source", "source_size", "target")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 42, scratch: Scratch | None = None, row: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 42, scratch: Scratch | None = None, row: str | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, and the column `row` if one is named: one row per row of docs.
 
     size counts words; a null text has none, and a document of none takes none.
     The order of a source's documents is a hash of their ids and the seed, so
-    reruns agree. taken is at most EPOCHS times size.
+    reruns agree. taken is at most EPOCHS times size. A slot takes `block`
+    tokens, so a source takes its target within a few blocks. Repeated rows
+    count each; equal ids go by size, then by row. An empty table gives none.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
@@ -63,7 +65,6 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     sized = scratch.write(sized, "mix-sized")
     targets = scratch.write(source_targets(sized), "mix-targets")
     wanted = targets.agg(F.sum("target")).first()[0] or 0.0
-    block = min(LARGEST_BLOCK, max(1, int(wanted) // LEAST_SLOTS))
     slots = _slots(spark, targets, -int(-wanted // block), wanted)
 
     rows = sized.join(targets, sized.source.eqNullSafe(targets.source)).drop(targets.source)
@@ -111,4 +112,5 @@ def _slots(spark: SparkSession, targets: DataFrame, count: int, wanted: float) -
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all `documents` by `mix`: what it takes of each."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")

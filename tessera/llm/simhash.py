@@ -241,5 +241,6 @@ def simhash_components(docs: DataFrame, width: int = 3, text: str = "text", doc_
 
 
 def op3_simhash_golay(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every whole text of `documents`, by `simhash_components`."""
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

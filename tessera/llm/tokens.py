@@ -3,9 +3,10 @@
 A file is a table of blocks in ascending doc_id order. A block holds one
 zstandard frame for each document, all made with one dictionary that was
 trained on serialized id arrays; the offsets of the frames; the ids and token
-counts of the documents; how many ids of its part lie before it; and the
-SHA-256 of the dictionary, which lies beside the blocks. A document is read by
-its frame alone.
+counts of the documents, and the least and the largest id; how many ids of its
+part lie before it; and the SHA-256 of the dictionary, which lies beside the
+blocks. A document is read from the blocks whose bounds hold its id, and of
+these by its frame alone.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, bounded, partitions, table
+from tessera.llm.common import Scratch, bounded, partitions, table, values_of
 
 END = 2
 #: The dictionary: its bytes, and the documents (of at most so many characters) that it is trained on.
@@ -35,7 +36,7 @@ BLOCK_DOCUMENTS, BLOCK_BYTES = 4096, 4 << 20
 CACHE, TOGETHER = 300_000, 256
 _AFTER_LETTER = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[a-z].)")
 
-BLOCKS = "part int, block int, dictionary string, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, before bigint, payload binary"
+BLOCKS = "part int, block int, min_id bigint, max_id bigint, dictionary string, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, before bigint, payload binary"
 
 
 class _Rows(dict):
@@ -156,10 +157,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(serialize, encoder.encode_all(b.column(0).to_pylist()))), pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(serialize, encoder.encode_all(list(values_of(b.column(0)))))), pa.binary())], ["ids"])
 
-    ids = bounded(docs.where((F.length("text") > 0) & (F.length("text") <= FIT_CHARACTERS)).select("doc_id"), FIT_DOCUMENTS, "doc_id").distinct()
-    sample = docs.where((F.length("text") > 0) & (F.length("text") <= FIT_CHARACTERS)).join(F.broadcast(ids), "doc_id", "left_semi").select("text").limit(2 * FIT_DOCUMENTS)
+    short = docs.where((F.length("text") > 0) & (F.length("text") <= FIT_CHARACTERS))
+    ids = bounded(short.select("doc_id"), FIT_DOCUMENTS, "doc_id").distinct()
+    sample = short.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", "text")).limit(2 * FIT_DOCUMENTS).select("text")
     found = sorted(bytes(r.ids) for r in sample.mapInArrow(run, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, found).as_bytes()
@@ -172,58 +174,53 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
-    """docs (doc_id, text) -> a file at `path`. Null ids come first; a null text is empty; equal ids stay apart, in the order of their counts and frames."""
+    """docs (doc_id, text) -> a file at `path`. Null ids come first; a null text is empty; equal ids stay apart, in the order of a hash of their texts.
+
+    Texts are dealt to parts by ranges of id and hash, so that no id fills a
+    part alone, and are encoded where their blocks are packed. No row is lost
+    or merged; other columns of docs are not looked at.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     data = train_dictionary(docs, tokenizer)
     name = hashlib.sha256(data).hexdigest()
     spark.createDataFrame([(name, bytearray(data))], "dictionary string, bytes binary").write.mode("overwrite").parquet(f"{path}/dictionary")
-    parts = partitions(spark)
-    bounds = np.array(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else [], np.float64)
     shared = spark.sparkContext.broadcast(data)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, press = WordEncoder(tokenizer), zstandard.ZstdCompressor(LEVEL, dict_data=_dictionary(shared.value))
-        for b in batches:
-            counts, frames = [], []
-            for i in range(0, b.num_rows, TOGETHER):
-                for ids in encoder.encode_all(b.column(1).slice(i, TOGETHER).to_pylist()):
-                    counts.append(len(ids))
-                    frames.append(press.compress(serialize(ids)))
-            keys = b.column(0).to_pylist()
-            part = [0 if k is None else 1 + int(np.searchsorted(bounds, k)) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), b.column(0), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], ["part", "doc_id", "n_tokens", "frame"])
+    long = pa.list_(pa.int64())
+    kinds = pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), long, long, long, pa.int64(), pa.binary()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, press = WordEncoder(tokenizer), zstandard.ZstdCompressor(LEVEL, dict_data=_dictionary(shared.value))
         ids: list = []
         counts: list[int] = []
         offsets, payload = [0], bytearray()
-        part, block, before = None, 0, 0
+        part, block, before = 0, 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal ids, counts, offsets, payload, block, before
-            columns = [part], [block], [name], [ids], [counts], [offsets], [before], [bytes(payload)]
+            known = [i for i in ids if i is not None]
+            columns = [part], [block], [min(known, default=None)], [max(known, default=None)], [name], [ids], [counts], [offsets], [before], [bytes(payload)]
             block, before = block + 1, before + sum(counts)
             ids, counts, offsets, payload = [], [], [0], bytearray()
-            long = pa.list_(pa.int64())
-            kinds = pa.int32(), pa.int32(), pa.string(), long, long, long, pa.int64(), pa.binary()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "block", "dictionary", "doc_ids", "n_tokens", "offsets", "before", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "block", "min_id", "max_id", "dictionary", "doc_ids", "n_tokens", "offsets", "before", "payload"])
 
         for b in batches:
-            for p, key, n, frame in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if ids and (p != part or len(ids) >= BLOCK_DOCUMENTS or len(payload) + len(frame) > BLOCK_BYTES):
-                    yield flush()
-                if p != part:
-                    part, block, before = p, 0, 0
-                ids.append(key)
-                counts.append(n)
-                payload += frame
-                offsets.append(len(payload))
+            for i in range(0, b.num_rows, TOGETHER):
+                own = b.slice(i, TOGETHER)
+                part = own.column(2)[0].as_py() if own.num_rows else part
+                for key, found in zip(own.column(0).to_pylist(), encoder.encode_all(own.column(1).to_pylist()), strict=True):
+                    frame = press.compress(serialize(found))
+                    if ids and (len(ids) >= BLOCK_DOCUMENTS or len(payload) + len(frame) > BLOCK_BYTES):
+                        yield flush()
+                    ids.append(key)
+                    counts.append(len(found))
+                    payload += frame
+                    offsets.append(len(payload))
         if ids:
             yield flush()
 
-    encoded = docs.mapInArrow(encode, "part int, doc_id bigint, n_tokens bigint, frame binary")
-    ordered = encoded.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n_tokens", "frame")
+    key, tie = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    ordered = docs.repartitionByRange(partitions(spark), key, tie).sortWithinPartitions(key, tie).withColumn("part", F.spark_partition_id())
     ordered.mapInArrow(pack, BLOCKS).write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -262,7 +259,7 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarra
     stored = spark.read.parquet(f"{path}/dictionary").first()
     press = zstandard.ZstdDecompressor(dict_data=_dictionary(bytes(stored.bytes)))
     at = F.filter(F.sequence(F.lit(0), F.size("doc_ids") - 1), lambda i: F.col("doc_ids")[i] == doc_id)
-    hit = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where(F.array_contains("doc_ids", F.lit(doc_id))).withColumn("i", F.explode(at))
+    hit = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where((F.col("min_id") <= doc_id) & (F.col("max_id") >= doc_id)).withColumn("i", F.explode(at))
     o = F.col("offsets")
     frames = hit.select("part", "block", "i", F.substring("payload", o[F.col("i")].cast("int") + 1, (o[F.col("i") + 1] - o[F.col("i")]).cast("int")).alias("frame")).orderBy("part", "block", "i")
     return [deserialize(press.decompress(bytes(r.frame))) for r in frames.collect()]
@@ -276,6 +273,7 @@ def tokenize(docs: DataFrame, tokenizer: str, scratch: Scratch | None = None) ->
 
 
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token file of every whole text of `documents`, read back."""
     import public_tokenizers
 
     return tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, held_out, schema_with, table, values_of, word_pieces
+from tessera.llm.common import Scratch, bounded, held_out, schema_with, table, values_of, word_pieces
 
 #: Labelled documents that the model is fitted on, at most (a sample by hash of the id).
 FIT_DOCUMENTS = 20_000
@@ -98,7 +98,7 @@ def maximal_segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> lis
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for b in batches:
-        for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for text, toxic in zip(values_of(b.column(0)), b.column(1).to_pylist(), strict=True):
             words: set[bytes] = set()
             for piece in word_pieces((text or "").lower().encode("utf-8", "surrogatepass").translate(_APART)):
                 words.update(piece)
@@ -110,12 +110,16 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) -> ToxicityModel:
     """docs (doc_id, text), labels (doc_id, toxic): rows to learn from; at most `documents` of them are read.
 
-    With no label of either kind every score is the share of label 1.
+    With no label of either kind every score is the share of label 1. Of
+    several labels of an id the largest counts; rows of a repeated id all count.
+    Words that are equally telling all weigh; a word takes its best feature.
     """
+    scratch = Scratch(docs.sparkSession)
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    sample = bounded(labels, documents, "doc_id")
+    sample = scratch.write(bounded(labels, documents, "doc_id"), "toxic-labels")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
     counts = rows.mapInArrow(_word_counts, "word binary, toxic bigint, other bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counts = scratch.write(counts, "toxic-counts")
     n1, n0 = (x or 0 for x in counts.agg(F.sum("toxic"), F.sum("other")).first())
     prior = F.lit(PRIOR_LEAST) + F.lit(PRIOR_WEIGHT / max(1, n1 + n0)) * (F.col("toxic") + F.col("other"))
     a, b = F.col("toxic") + prior, F.col("other") + prior
@@ -126,20 +130,22 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) -> T
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [model.statistics(t) for t in b.column(0).to_pylist()]
+            got = [model.statistics(t) for t in values_of(b.column(0))]
             scores = [[s for _, _, s in seg] for _, seg in got]
             yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.array([n for n, _ in got], pa.int64()), pa.array(scores, pa.list_(pa.float64()))], ["toxic", "n", "scores"])
 
-    seen = rows.mapInArrow(scan, "toxic int, n bigint, scores array<double>").collect()
-    return _calibrated(model, [(r.toxic, r.n, r.scores) for r in seen])
+    model = _calibrated(model, scratch.write(rows.mapInArrow(scan, "toxic int, n bigint, scores array<double>"), "toxic-seen"))
+    scratch.drop("toxic-counts", "toxic-seen", "toxic-labels")
+    return model
 
 
-def _calibrated(model: ToxicityModel, seen: list[tuple[int, int, list[float]]]) -> ToxicityModel:
-    """seen: label, words and segment scores of each fitted document."""
-    clean = [(n, s) for toxic, n, s in seen if not toxic]
-    words, chance = 1 + sum(n for n, _ in clean), [x for _, s in clean for x in s]
+def _calibrated(model: ToxicityModel, seen: DataFrame) -> ToxicityModel:
+    """seen (toxic, n, scores): label, words and segment scores of each fitted document. Only sums, and pairs of rounded features with their number, reach the driver."""
+    total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
+    words, chances, summed = seen.where("toxic = 0").agg(F.sum("n"), F.sum(F.size("scores")), F.sum(total)).first()
+    words, chances, summed = 1 + (words or 0), chances or 0, summed or 0.0
     # The density of positive scores among words of clean documents; lambda solves E[exp(lambda score)] = 1.
-    share, mean = (len(chance) + 0.5) / words, (sum(chance) + 1.0) / (len(chance) + 0.5)
+    share, mean = (chances + 0.5) / words, (summed + 1.0) / (chances + 0.5)
     lo, hi = 1e-6, 20.0
     for _ in range(80):
         mid = (lo + hi) / 2
@@ -148,21 +154,23 @@ def _calibrated(model: ToxicityModel, seen: list[tuple[int, int, list[float]]])
     decay = lo
     # K makes the expected number of chance segments that reach the mean score equal to what was seen.
     k = max(1e-9, share * math.exp(decay * mean))
-    model = ToxicityModel(model.weights, decay, k, 0.0, (0.0, 0.0))
-    x, y = np.ones((len(seen), 3)), np.array([float(t) for t, _, _ in seen])
-    for row, (_, n, scores) in zip(x, seen, strict=True):
-        up = model.surprises(n, [(0, 0, s) for s in scores])
-        row[1:] = math.log1p(max(up, default=0.0)), math.log1p(sum(up))
+    up = F.transform("scores", lambda x: F.greatest(F.lit(0.0), F.lit(decay) * x - F.log(F.lit(k) * F.col("n"))))
+    most, every = F.coalesce(F.array_max("up"), F.lit(0.0)), F.aggregate("up", F.lit(0.0), lambda a, x: a + x)
+    rounded = seen.withColumn("up", up).groupBy("toxic", F.round(F.log1p(most), 3).alias("most"), F.round(F.log1p(every), 3).alias("every")).agg(F.count("*").alias("often"))
+    met = rounded.orderBy("toxic", "most", "every").toArrow()
+    y, often = met.column("toxic").to_numpy().astype(np.float64), met.column("often").to_numpy().astype(np.float64)
+    x = np.stack([np.ones(len(y)), met.column("most").to_numpy(), met.column("every").to_numpy()], axis=1)
     ridge = np.array([1e-6, 0.1, 0.1])
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
-        return float(np.logaddexp(0, z).sum() - y @ z + ridge @ (w * w) / 2)
+        return float(often @ (np.logaddexp(0, z) - y * z) + ridge @ (w * w) / 2)
 
-    w = np.array([math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 0.0, 0.0])
+    ones, all_of = float(often @ y), float(often.sum())
+    w = np.array([math.log((ones + 0.5) / (all_of - ones + 0.5)), 0.0, 0.0])
     for _ in range(30):  # damped Newton steps of a logistic regression with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step, size = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w), 1.0
+        step, size = np.linalg.solve((x * (often * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (often * (y - p)) - ridge * w), 1.0
         while size > 1e-4 and loss(w + size * step) > loss(w):
             size /= 2
         w = w + size * step
@@ -202,6 +210,7 @@ def fit_on_tables(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Toxicity
 
 
 def op5_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every whole text of `documents`, by `score` with a model fitted on labels that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = score(docs, fit_on_tables(spark, docs, sf_dir))
     return found.select("doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= THRESHOLD).cast("int").alias("predicted"), "toxic_passages", "toxic_words")
