@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, schema_with, table, word_pieces
+from tessera.llm.common import held_out, schema_with, table, values_of, word_pieces
 
 #: Documents of a language that the model is fitted on, at most (a sample by hash of the id); trigrams kept for a language.
 FIT_DOCUMENTS, FIT_GRAMS = 2_000, 50_000
@@ -119,8 +119,8 @@ class LanguageModel:
         self.matrix[start : start + len(new), :-1], self.matrix[start : start + len(new), -1] = scores, letters
         self.rows.update(zip(new, range(start, start + len(new)), strict=True))
 
-    def label(self, words: list[bytes]) -> tuple[str, float, int]:
-        """Language with most letters, its share of the letters, number of spans; und, 0, 0 without letters. The words have been learnt."""
+    def label(self, words: list[bytes], parts: list[tuple[int, int, str]] | None = None) -> tuple[str, float, int]:
+        """Language with most letters, its share of the letters, number of spans; und, 0, 0 without letters. The words have been learnt; first word, end and language of each span are added to `parts`."""
         if not words or not self.languages:
             return "und", 0.0, 0
         got = self.matrix[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
@@ -129,6 +129,9 @@ class LanguageModel:
         if not letters:
             return "und", 0.0, 0
         path, spans = viterbi(got[:, :-1], SWITCH)
+        if parts is not None:
+            edge = [*np.flatnonzero(np.r_[True, path[1:] != path[:-1]]).tolist(), len(path)]
+            parts += [(s, e, self.languages[path[s]]) for s, e in zip(edge, edge[1:], strict=False)]
         if spans == 1:
             return self.languages[path[0]], 1.0, 1
         share = np.bincount(path, weights=n, minlength=len(self.languages)) / letters
@@ -138,12 +141,16 @@ class LanguageModel:
     def labels(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
         out: list[tuple[str, float, int]] = []
         for i in range(0, len(texts), TOGETHER):
-            lists = [[w for piece in word_pieces((t or "").encode("utf-8", "surrogatepass")) for w in piece] for t in texts[i : i + TOGETHER]]
+            lists = list(map(words_of, texts[i : i + TOGETHER]))
             self.learn(set().union(*lists))
             out += map(self.label, lists)
         return out
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return [w for piece in word_pieces((text or "").encode("utf-8", "surrogatepass")) for w in piece]
+
+
 def viterbi(s: np.ndarray, switch: float) -> tuple[np.ndarray, int]:
     """Best labels of the rows of s, where a change costs `switch`, and the number of spans; ties go to the first language.
 
@@ -222,11 +229,17 @@ def fit(docs: DataFrame, documents: int = FIT_DOCUMENTS) -> LanguageModel:
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, lang_pred, score (share of the letters that spans of lang_pred hold), spans. Only the text is looked at."""
+    """doc_id, lang_pred, score (share of the letters that spans of lang_pred hold), spans. Only the text is looked at.
+
+    A null text, one without letters, and any text under a model of no
+    documents are `und` with score 0; of languages with equal letters the first
+    by name is taken. Each row is labelled by itself, repeated or not; an empty
+    table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = model.labels(b.column(1).to_pylist())
+            got = [x for i in range(0, b.num_rows, TOGETHER) for x in model.labels(b.column(1).slice(i, TOGETHER).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.int64())], ["doc_id", "lang_pred", "score", "spans"]
             )
@@ -234,7 +247,27 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema_with(docs.select("doc_id"), lang_pred="string", score="double", spans="long"))
 
 
+def language_spans(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """doc_id, first_word, end_word, lang: the labelled spans of each text, in words between white space; no row for a text that is `und`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[int] = []
+            found: list[tuple[int, int, str]] = []
+            for i, text in enumerate(values_of(b.column(1))):
+                words, own = words_of(text), []
+                model.learn(set(words))
+                model.label(words, own)
+                rows += [i] * len(own)
+                found += own
+            spans = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *spans], ["doc_id", "first_word", "end_word", "lang"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema_with(docs.select("doc_id"), first_word="long", end_word="long", lang="string"))
+
+
 def op4_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of `documents`, by `identify` with a model of those that are not held out."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
     found = identify(docs, model)

@@ -31,6 +31,17 @@ def test_language_awkward(spark):
     assert langid.identify(nothing(spark), model).count() == 0
 
 
+def test_language_spans(spark):
+    docs = table(spark, SMALL, "documents").where("lang is not null")
+    model = langid.fit(docs.where(~held_out()))
+    one, two = (docs.where(held_out()).where(f"lang = '{lang}' and length(text) > 300").orderBy("doc_id").first() for lang in model.languages[:2])
+    words = [one.text.split()[:40], two.text.split()[:30]]
+    mixed = spark.createDataFrame([(1, " ".join(words[0] + words[1])), (2, None), (3, "12 34")], "doc_id long, text string")
+    got = langid.language_spans(mixed, model).orderBy("first_word").collect()
+    assert [(r.doc_id, r.lang) for r in got] == [(1, one.lang), (1, two.lang)]
+    assert abs(got[0].end_word - 40) <= 3 and got[0].end_word == got[1].first_word and got[1].end_word == 70
+
+
 def test_viterbi_matches_every_path():
     rnd = np.random.default_rng(3)
     for _ in range(300):
@@ -55,6 +66,8 @@ def test_toxicity_accuracy(spark):
     y, s = np.array([r.toxic for r in rows]), np.array([r.score for r in rows])
     rank = s.argsort().argsort()
     auc = (rank[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() - 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+    hit = sum(r.predicted and r.toxic for r in rows)
+    assert hit >= 0.85 * sum(r.predicted for r in rows) and hit >= 0.6 * y.sum()
     assert auc > 0.75 and all(r.predicted == (r.score >= 0.3) for r in rows)
 
 
