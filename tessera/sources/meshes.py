@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import base64
 import json
+import re
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -150,7 +153,75 @@ def _gltf(data: bytes) -> Mesh:
     return np.concatenate(points), np.concatenate(triangles)
 
 
-READERS: dict[str, Callable[[bytes], Mesh]] = {"Stl": _stl, "Ply": _ply, "Gltf": _gltf, "Glb": _gltf}
+#: Types of FBX properties: scalars and arrays, with numpy's names (fixed values).
+FBX_SCALARS = {"Y": "<i2", "C": "u1", "I": "<i4", "F": "<f4", "D": "<f8", "L": "<i8"}
+FBX_ARRAYS = {"f": "<f4", "d": "<f8", "l": "<i8", "i": "<i4", "b": "u1"}
+
+
+def _fbx_nodes(data: bytes) -> Iterator[tuple[str, list]]:
+    """Name and array properties of every node, parents first."""
+    wide = int.from_bytes(data[23:27], "little") >= 7500
+    layout, pending = struct.Struct("<QQQB" if wide else "<IIIB"), [(27, len(data))]
+    while pending:
+        at, end = pending.pop()
+        while at + layout.size <= end:
+            stop, n, size, name = layout.unpack_from(data, at)
+            if not stop:
+                break
+            start = at + layout.size
+            label, place = data[start : start + name].decode("latin-1"), start + name
+            body, values = place + size, []
+            for _ in range(n):
+                kind = chr(data[place])
+                place += 1
+                if kind in FBX_SCALARS:
+                    place += np.dtype(FBX_SCALARS[kind]).itemsize
+                elif kind in FBX_ARRAYS:
+                    count, packing, length = struct.unpack_from("<III", data, place)
+                    t = np.dtype(FBX_ARRAYS[kind])
+                    raw = data[place + 12 : place + 12 + (length if packing else count * t.itemsize)]
+                    values.append(np.frombuffer(zlib.decompress(raw) if packing else raw, t, count))
+                    place += 12 + len(raw)
+                elif kind in "SR":
+                    place += 4 + int.from_bytes(data[place : place + 4], "little")
+                else:
+                    raise ValueError(f"property of type {kind!r}")
+            yield label, values
+            if body < stop:
+                pending.append((stop, end))
+                at, end = body, stop
+                continue
+            at = stop
+
+
+def _polygons(index: np.ndarray) -> list[list[int]]:
+    """Polygons whose last corner is stored as its complement."""
+    out: list[list[int]] = [[]]
+    for i in index.tolist():
+        out[-1].append(~i if i < 0 else i)
+        if i < 0:
+            out.append([])
+    return out[:-1]
+
+
+def _fbx(data: bytes) -> Mesh:
+    points, triangles, base, corners = [np.zeros((0, 3))], [np.zeros((0, 3), np.int64)], 0, None
+    if data[:20] == b"Kaydara FBX Binary  ":
+        found = [(name, values[0]) for name, values in _fbx_nodes(data) if values and name in ("Vertices", "PolygonVertexIndex")]
+    else:
+        text = data.decode("utf-8")
+        found = [(m[1], np.array(m[2].replace("\n", " ").split(","), np.float64)) for m in re.finditer(r"(Vertices|PolygonVertexIndex):[^{}]*\{\s*a:([^}]*)\}", text)]
+    for name, values in found:
+        if name == "Vertices":
+            corners = values.astype(np.float64)[: len(values) // 3 * 3].reshape(-1, 3)
+            points.append(corners)
+        elif corners is not None:
+            triangles.append(_fans(_polygons(values.astype(np.int64))) + base)
+            base += len(corners)
+    return np.concatenate(points), np.concatenate(triangles)
+
+
+READERS: dict[str, Callable[[bytes], Mesh]] = {"Stl": _stl, "Ply": _ply, "Gltf": _gltf, "Glb": _gltf, "Fbx": _fbx}
 
 
 def read_binary(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -165,7 +236,7 @@ def read_binary(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                     v, t = READERS[name](data)
                     t = t[((t >= 0) & (t < len(v))).all(axis=1)]
                     out.append({"vertices": v.astype(np.float64).ravel().tolist(), "indices": t.ravel().tolist(), "error": None})
-                except (KeyError, ValueError, IndexError, StopIteration, TypeError, RuntimeError, UnicodeDecodeError) as e:
+                except (KeyError, ValueError, IndexError, StopIteration, TypeError, RuntimeError, UnicodeDecodeError, struct.error, zlib.error) as e:
                     out.append({"vertices": None, "indices": None, "error": f"{type(e).__name__}: {e}"[:200]})
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], ["path", "mesh"])
 
