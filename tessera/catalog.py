@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import asset_queries, loader_queries, mesh_queries, raster_queries, record_queries, text_queries  # noqa: F401
+from tessera.plans import asset_queries, codec_queries, loader_queries, mesh_queries, raster_queries, record_queries, text_queries  # noqa: F401
 from tessera.plans.mesh_queries import flagship
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
