@@ -14,6 +14,17 @@ HEADS = (
     "49492A0008000000", "4D4D002A00000008", "0000010001001010000001002000", "000002000000000000000000400040002000", "676C54460200000040000000", "706C790A666F726D6174206173636969", "4B617964617261204642582042696E617279",
     "736F6C696420637562650A", "7620302E302031202D320A662031203220330A", "00",
 )
+#: Whole small files, by p_partkey modulo their number, in turn cut by none to three bytes; the last ones are binary.
+SAMPLES = (
+    *(x.encode("ascii").hex().upper() for x in (
+        "v 0 0 0\nf 1 1 1\n", "# a comment\nmtllib a\nv 1 2 3\n", "mtllib a\n\n\n  vn 0 0 1\n", '{"asset":{"version":"2.0"},"meshes":[]}', ' {"asset":{"version":"2.0"},"nodes":[]} ', "SOLID x\nendsolid\n", "ply\nformat ascii 1.0\nelement vertex 0\nend_header\n",
+        "solid cube\nfacet normal 0 0 1\nouter loop\nvertex 0 0 0\nvertex 1 0 0\nvertex 0 1 0\nendloop\nendfacet\nendsolid cube\n   \n", "solid of many words that never comes to an end, though it is long enough to be a file of that kind\n", "ply\r\ncomment x\nend_header\n",
+        "; FBX 7.4.0 project file\nObjects:  {\n}\n", "; FBX 7.4.0 project\nnothing here at all\n", "not a valid mesh format", '<svg width="3"></svg>', '<?xml version="1.0"?><svg/>', "<?xml version='1.0'?><html/>", "<!DOCTYPE svg><svg></svg>",
+    )),
+    "676C5446020000001C000000080000004A534F4E7B7D202020202020", "676C5446010000001C000000080000004A534F4E7B7D202020202020", "FF" * 80 + "00000000", "FE" * 80 + "01000000" + "00" * 50, "FD" * 80 + "02000000" + "00" * 53,
+    "706C790A666F726D61742062696E6172795F6C6974746C655F656E6469616E20312E300A656E645F6865616465720AFFFEFD0000", "4B617964617261204642582042696E6172792020001A00E81C0000" + "00" * 20, "00000A000000000000000000400040002008", "00000A000000000000000000400040000700", "00020200000000000000000040004000200800",
+    "FF00" + "00" * 20 + "5452554556495349" + "4F4E2D5846494C45" + "2E000000" * 2 + "2E00",
+)
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -91,6 +102,14 @@ def contents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(k.alias("file_id"), F.concat(start, F.encode(F.col("props"), "UTF-8")).alias("content"))
 
 
+def samples(spark: SparkSession, d: str) -> DataFrame:
+    """file_id, content: one of SAMPLES, cut by a few bytes."""
+    k = F.col("p_partkey")
+    whole = F.element_at(F.array(*map(F.lit, SAMPLES)), (k % len(SAMPLES) + 1).cast("int"))
+    cut = (F.floor(k / len(SAMPLES)) % 4).cast("int")
+    return table(spark, d, "part").select(k.alias("file_id"), F.unhex(F.substring(whole, F.lit(1), F.length(whole) - cut * 2)).alias("content"))
+
+
 def results(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(
         F.col("o_orderkey").alias("file_id"), F.floor("o_totalprice").alias("original_size"), F.floor(F.col("o_totalprice") * (F.col("o_orderkey") % 7 + 3) / 10).alias("optimized_size"), (F.col("o_orderstatus") != "P").alias("success")
@@ -103,6 +122,7 @@ def triangles(spark: SparkSession, d: str) -> DataFrame:
 
 _PIXEL_ORDER = "l_orderkey,l_linenumber,l_partkey,l_extendedprice,l_quantity,l_shipdate"
 _NAMES = "[" + ",".join(f"'{e}'" for e in EXTENSIONS) + "]"
+_SAMPLES = "[" + ",".join(f"'{e}'" for e in SAMPLES) + "]"
 _HEADS = "[" + ",".join(f"'{e}'" for e in HEADS) + "]"
 #: name: views that it needs, SQL.
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -116,6 +136,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "v_cand": ((), "select o_custkey file_id, cast(row_number() over (partition by o_custkey order by o_orderkey)-1 as bigint) ordinal, cast(floor(o_totalprice) as bigint) len from orders"),
     "v_files": ((), f"select p_partkey file_id, 'in/' || (p_partkey%97) || '/asset_' || (p_partkey%300) || '.' || {_NAMES}[p_partkey%{len(EXTENSIONS)}+1] path, cast(case when p_partkey%17=0 then 0 else (p_partkey*3701)%5000000 end as bigint) length from part"),
     "v_content": ((), f"select event_id file_id, unhex({_HEADS}[event_id%{len(HEADS)}+1]) || encode(props) content from events"),
+    "v_samples": ((), f"select file_id, unhex(h) content, h, length(h)//2 n, try(decode(unhex(h))) t from (select p_partkey file_id, left({_SAMPLES}[p_partkey%{len(SAMPLES)}+1],length({_SAMPLES}[p_partkey%{len(SAMPLES)}+1])-2*(p_partkey//{len(SAMPLES)}%4)) h from part) s"),
     "v_results": ((), "select o_orderkey file_id, cast(floor(o_totalprice) as bigint) original_size, cast(floor(o_totalprice*(o_orderkey%7+3)/10) as bigint) optimized_size, o_orderstatus<>'P' success from orders"),
     "v_tri": (("v_faces",), "select f.*, a.x x0,a.y y0,a.z z0,b.x x1,b.y y1,b.z z1,c.x x2,c.y y2,c.z z2,a.u u0,a.v v0,b.u u1,b.v v1,c.u u2,c.v v2 from v_faces f join v_vertices a on a.mesh_id=f.mesh_id and a.vid=f.i0 join v_vertices b on b.mesh_id=f.mesh_id and b.vid=f.i1 join v_vertices c on c.mesh_id=f.mesh_id and c.vid=f.i2"),
     "v_fn": (("v_tri",), "select *,(y1-y0)*(z2-z0)-(z1-z0)*(y2-y0) nx,(z1-z0)*(x2-x0)-(x1-x0)*(z2-z0) ny,(x1-x0)*(y2-y0)-(y1-y0)*(x2-x0) nz from v_tri"),
