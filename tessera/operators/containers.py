@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import detect
 from tessera.operators import rules
+from tessera.sources.chunks import read_chunks
+from tessera.sources.rasters import little_hex
 
 PREFERRED = (16, 24, 32, 48, 64, 128, 256)
 
@@ -14,7 +17,7 @@ def keep_chunks(chunks: DataFrame, container: str, quality: int) -> DataFrame:
     """Chunks that the rules keep at that quality; of an animation's frames those after the twentieth need more."""
     table = rules.keep_rules(chunks.sparkSession).where(F.col("container") == container)
     named = table.where("tag <> '*'").select("tag", "min_quality")
-    other = {r.min_quality for r in table.where("tag = '*'").collect()}.pop()
+    other = next(least for c, tag, least in rules.KEEP if c == container and tag == "*")
     judged = chunks.join(F.broadcast(named), "tag", "left").withColumn("least", F.coalesce("min_quality", F.lit(other)))
     if container == "webp_animated":
         frame = F.row_number().over(Window.partitionBy("file_id", "tag").orderBy("seq"))
@@ -33,9 +36,9 @@ def critical_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.join(F.broadcast(need), "tag", "left_semi").select(*chunks.columns)
 
 
-def is_animated(chunks: DataFrame, tag: str = "ANMF") -> DataFrame:
-    """file_id, animated: more than one frame."""
-    return chunks.groupBy("file_id").agg((F.count_if(F.col("tag") == tag) > 1).alias("animated"))
+def is_animated(chunks: DataFrame, tag: str = "ANIM", frames: int = 1) -> DataFrame:
+    """file_id, animated: at least so many chunks of the tag; an animated WebP has an ANIM, an animated GIF two images."""
+    return chunks.groupBy("file_id").agg((F.count_if(F.col("tag") == tag) >= frames).alias("animated"))
 
 
 def merge_equal_frames(frames: DataFrame) -> DataFrame:
@@ -81,3 +84,55 @@ def plan_candidates(files: DataFrame) -> DataFrame:
 def route(family: Column, size: Column) -> Column:
     """Which path an asset takes: meshes go to theirs at any size; images by size."""
     return F.when(family == "mesh", "mesh").when(size > 2 * 1024 * 1024, "aggressive").when(size > 100_000, "fast").otherwise("full")
+
+
+# ---- whole files ----
+
+
+def strip_gif(files: DataFrame, drop: tuple[str, ...] = ("COMMENT", "APP")) -> DataFrame:
+    """files (path, content) of GIF -> path, content without blocks of those kinds; frames, delays and colours stay as they are."""
+    blocks = read_chunks(files.select("path", F.lit("Gif").alias("format"), "content"), payload=False).where("error is null")
+    # A block begins one byte (images, the trailer) or two bytes (extensions) before what the walker calls its payload.
+    lead = F.when(F.col("tag").isin("IMAGE", "TRAILER"), 1).otherwise(2)
+    piece = F.struct("seq", (F.col("offset") - lead + 1).cast("int").alias("start"), (F.col("len") + lead).cast("int").alias("size"))
+    kept = blocks.groupBy("path").agg((F.min(F.col("offset") - lead)).cast("int").alias("head"), F.array_sort(F.collect_list(F.when(~F.col("tag").isin(*drop), piece))).alias("pieces"))
+    body = F.array_join(F.transform("pieces", lambda p: F.hex(F.substring("content", p["start"], p["size"]))), "")
+    return files.join(kept, "path").select("path", F.unhex(F.concat(F.hex(F.substring("content", F.lit(1), F.col("head"))), body)).alias("content"))
+
+
+def serialize_icons(entries: DataFrame) -> DataFrame:
+    """entries (file_id, idx, w, h, bpp, data) -> file_id, content: an ICO file, its entries in order of idx, offsets counted anew."""
+    by = Window.partitionBy("file_id")
+    before = F.coalesce(F.sum(F.length("data")).over(by.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = entries.withColumn("n", F.count("*").over(by)).withColumn("at", 6 + 16 * F.col("n") + before)
+    side = lambda c: little_hex(F.col(c) % 256, 1)
+    entry = F.concat(side("w"), side("h"), F.lit("00000100"), little_hex(F.col("bpp"), 2), little_hex(F.length("data"), 4), little_hex(F.col("at"), 4))
+    whole = placed.groupBy("file_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("idx", entry.alias("entry"), F.hex("data").alias("data")))).alias("e"))
+    return whole.select("file_id", F.unhex(F.concat(F.lit("00000100"), little_hex(F.col("n"), 2), F.array_join(F.col("e.entry"), ""), F.array_join(F.col("e.data"), ""))).alias("content"))
+
+
+def parse_icons(files: DataFrame) -> DataFrame:
+    """files (path, content) of ICO -> path, seq, w, h, bpp, data."""
+    found = read_chunks(files.select("path", F.lit("Ico").alias("format"), "content")).where("error is null")
+    size = F.split("tag", "x")
+    return found.select("path", "seq", *(size[k].cast("long").alias(c) for k, c in enumerate(("w", "h", "bpp"))), F.col("payload").alias("data"))
+
+
+def dib_to_bmp(dib: Column) -> Column:
+    """An icon's bitmap as a BMP file: a file header in front, and half the height, for the mask beneath is none of the image."""
+    depth, colors = detect.little(dib, 14, 2), detect.little(dib, 32, 4)
+    palette = F.when(depth <= 8, 4 * F.when(colors > 0, colors).otherwise(F.pow(F.lit(2.0), depth).cast("long"))).otherwise(F.lit(0))
+    head = F.concat(F.lit("424D"), little_hex(F.length(dib) + 14, 4), F.lit("00000000"), little_hex(14 + detect.little(dib, 0, 4) + palette, 4))
+    rest = F.concat(F.hex(F.substring(dib, 1, 8)), little_hex(F.floor(detect.little(dib, 8, 4) / 2), 4), F.hex(F.substring(dib, F.lit(13), F.length(dib))))
+    return F.unhex(F.concat(head, rest))
+
+
+def webp_size(content: Column) -> tuple[Column, Column]:
+    """Width and height by the first chunk: VP8X, VP8L or VP8; null for any other file."""
+    kind, bits = F.hex(F.substring(content, 13, 4)), detect.little(content, 21, 4)
+
+    def of(wide: Column, lossless: Column, lossy: Column) -> Column:
+        return F.when(detect.is_webp(content), F.when(kind == "56503858", wide).when(kind == "5650384C", lossless).when(kind == "56503820", lossy))
+
+    width = of(detect.little(content, 24, 3) + 1, bits % 16384 + 1, detect.little(content, 26, 2) % 16384)
+    return width, of(detect.little(content, 27, 3) + 1, F.floor(bits / 16384) % 16384 + 1, detect.little(content, 28, 2) % 16384)

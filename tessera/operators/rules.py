@@ -12,6 +12,8 @@ KEEP = (
     *(("png", t, 0) for t in ("IHDR", "PLTE", "IDAT", "IEND", "tRNS", "sRGB", "gAMA")), ("png", "*", NEVER),
     *(("webp", t, 0) for t in ("VP8 ", "VP8L", "ALPH", "VP8X", "ANIM", "ANMF")), ("webp", "ICCP", 80), ("webp", "EXIF", 90), ("webp", "XMP ", NEVER), ("webp", "*", NEVER),
     *(("webp_animated", t, 0) for t in ("VP8X", "ANIM", "VP8 ", "VP8L", "ALPH", "ANMF")), ("webp_animated", "ICCP", 80), ("webp_animated", "EXIF", 90), ("webp_animated", "XMP ", 90), ("webp_animated", "*", 70),
+    *(("webp_meta_only", t, NEVER) for t in ("EXIF", "XMP ")), ("webp_meta_only", "*", 0),
+    *(("webp_aggressive", t, 0) for t in ("VP8X", "VP8 ", "VP8L", "ALPH", "ANIM", "ANMF")), ("webp_aggressive", "*", NEVER),
     *(("jpeg", t, 0) for t in ("SOI", "EOI", "SOS", "APP0", "SOF0", "SOF1", "SOF2", "SOF3", "DHT", "DQT", "DRI", "DNL")), ("jpeg", "APP1", 81),
     *(("jpeg", f"APP{k}", 91) for k in range(2, 16)), ("jpeg", "COM", 86), ("jpeg", "*", NEVER),
 )

@@ -159,16 +159,30 @@ def png_critical(spark: SparkSession, d: str) -> DataFrame:
     return containers.critical_chunks(renamed)
 
 
-@query("chunk_jpeg", "select tag,count(*) n,sum(len)::bigint bytes from (select case tag when 'VP8 ' then 'SOS' when 'EXIF' then 'APP1' when 'ICCP' then 'APP2' when 'ANMF' then 'COM' else 'APP0' end tag,len from v_chunks) t where tag in ('SOS','APP0','COM') group by 1")
+_JPEG = "(select file_id,seq,case tag when 'VP8 ' then 'SOS' when 'EXIF' then 'APP1' when 'ICCP' then 'APP2' when 'ANMF' then 'COM' else 'APP0' end tag,len from v_chunks)"
+
+
+@query("chunk_jpeg", f"select tag,count(*) n,sum(len)::bigint bytes from ({_kept('jpeg', 86).replace('v_chunks', _JPEG)}) t group by 1")
 def jpeg_chunks(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("tag")
     renamed = views.chunks(spark, d).withColumn("tag", F.when(t == "VP8 ", "SOS").when(t == "EXIF", "APP1").when(t == "ICCP", "APP2").when(t == "ANMF", "COM").otherwise("APP0"))
-    return containers.keep_chunks(renamed, "jpeg", 86).where("tag <> 'APP1'").groupBy("tag").agg(F.count("*").alias("n"), F.sum("len").alias("bytes"))
+    return containers.keep_chunks(renamed, "jpeg", 86).groupBy("tag").agg(F.count("*").alias("n"), F.sum("len").alias("bytes"))
+
+
+@query("chunk_webp_meta_only", f"select file_id,sum(len+8+len%2)::bigint kept_bytes,count(*) kept from ({_kept('webp_meta_only', 50)}) t group by 1")
+def webp_meta_only(spark: SparkSession, d: str) -> DataFrame:
+    return containers.container_size(containers.keep_chunks(views.chunks(spark, d), "webp_meta_only", 50))
+
+
+@query("chunk_webp_aggr", f"select file_id,sum(len+8+len%2)::bigint kept_bytes,count(*) kept from ({_kept('webp_aggressive', 50)}) t group by 1")
+def webp_aggressive(spark: SparkSession, d: str) -> DataFrame:
+    return containers.container_size(containers.keep_chunks(views.chunks(spark, d), "webp_aggressive", 50))
 
 
-@query("det_anim_webp", "select file_id,count(*) filter (tag='ANMF')>1 animated from v_chunks group by 1")
+@query("det_anim_webp", "select file_id,bool_or(tag='XMP ') animated from v_chunks group by 1")
 def anim_webp(spark: SparkSession, d: str) -> DataFrame:
-    return containers.is_animated(views.chunks(spark, d))
+    named = F.when(F.col("tag") == "XMP ", "ANIM").otherwise(F.col("tag"))
+    return containers.is_animated(views.chunks(spark, d).withColumn("tag", named))
 
 
 @query("gif_merge_frames", "select file_id,min(seq) seq,any_value(hash) hash,sum(delay)::bigint delay,count(*) frames from (select *,sum(fresh) over (partition by file_id order by seq) run from (select file_id,seq,tag hash,len delay,case when lag(tag) over (partition by file_id order by seq)=tag then 0 else 1 end fresh from v_chunks) a) b group by file_id,run")
