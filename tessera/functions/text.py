@@ -12,7 +12,7 @@ def normalize(s: Column) -> Column:
     s = F.regexp_replace(s, r"[ \t]+", " ")
     s = F.regexp_replace(s, r" *, *", ",")
     s = F.regexp_replace(s, r"(?m)^ +| +$", "")
-    return F.regexp_replace(s, r"\s+$", "")
+    return F.rtrim(s, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def squeeze(s: Column) -> Column:
@@ -26,7 +26,7 @@ def strip_comments(s: Column) -> Column:
 
 def shorten_number(x: Column, tolerance: float | None = None) -> Column:
     """At most six decimals, without zeros at the end, rounded to the tolerance first."""
-    x = x if tolerance is None else F.round(x / tolerance) * tolerance
+    x = x if tolerance is None else F.round(x / tolerance) * tolerance + F.lit(0.0)
     return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", x), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
 
 

@@ -330,3 +330,17 @@ def obj_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     v = vertices.select("mesh_id", F.lit(0).alias("part"), F.col("vid").alias("line"), F.format_string("v %.6f %.6f %.6f", "x", "y", "z").alias("s"))
     f = faces.select("mesh_id", F.lit(1).alias("part"), F.col("fid").alias("line"), F.format_string("f %d %d %d", *(F.col(c) + 1 for c in ("i0", "i1", "i2"))).alias("s"))
     return v.unionByName(f)
+
+
+def optimized_obj(vertices: DataFrame, faces: DataFrame, ratio: float, tolerance: float) -> DataFrame:
+    """The lines of an OBJ text of each mesh with a share of its faces, vertices welded, and faces in the order of the vertex cache.
+
+    mesh_id, part (0 heading, 1 vertices, 2 faces), line, s; the text is the
+    lines in the order (part, line). Welding cuts towards zero and keeps faces
+    that collapse.
+    """
+    points, welded = weld(vertices, decimate_prefix(faces, ratio), tolerance, rounded=False, degenerate=True)
+    ordered = welded.join(order_for_cache(welded), ["mesh_id", "fid"]).select("mesh_id", F.col("place").alias("fid"), "i0", "i1", "i2")
+    head = points.select("mesh_id").distinct().select("mesh_id", F.lit(0).alias("part"), F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("line"), F.lit(x).alias("s")) for k, x in enumerate(("# optimized", "o mesh"))))).alias("e"))
+    body = obj_lines(points, ordered)
+    return head.select("mesh_id", "part", "e.line", "e.s").unionByName(body.withColumn("part", F.col("part") + 1))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import detect
-from tessera.operators import mesh, metrics
+from tessera.operators import metrics
 from tessera.plans import views
 from tessera.plans.mesh_queries import r
 from tessera.plans.registry import query, rounded
@@ -27,12 +27,6 @@ def nonempty(spark: SparkSession, d: str) -> DataFrame:
     return views.vertices(spark, d).join(views.faces(spark, d).select("mesh_id").distinct(), "mesh_id", "left_semi").groupBy("mesh_id").agg(F.count("*").alias("vertices"))
 
 
-@query("opt_obj", "select mesh_id,0 part,vid line,'v '||printf('%.6f',x)||' '||printf('%.6f',y)||' '||printf('%.6f',z) s from v_vertices union all select mesh_id,1,fid,'f '||(i0+1)||' '||(i1+1)||' '||(i2+1) from v_faces")
-def obj_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The lines of an OBJ file for each mesh, in the order (part, line): vertices, then faces with indices from one."""
-    return mesh.obj_lines(views.vertices(spark, d), views.faces(spark, d))
-
-
 _HEX = "(select file_id, hex(content) h, octet_length(content) n from v_content)"
 
 
@@ -66,12 +60,6 @@ def svg_size(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "pages").select("page_id", of("width").alias("w"), of("height").alias("h"))
 
 
-@query("svg_strip_meta", r"select page_id, regexp_replace(regexp_replace(html,'<(title|desc|metadata)\b[^>]*>.*?</(title|desc|metadata)>','','gs'),'<[?!][^>]*>','','g') s from pages")
-def strip_metadata(spark: SparkSession, d: str) -> DataFrame:
-    plain = F.regexp_replace("html", r"(?s)<(title|desc|metadata)\b[^>]*>.*?</(title|desc|metadata)>", "")
-    return views.table(spark, d, "pages").select("page_id", F.regexp_replace(plain, r"<[?!][^>]*>", "").alias("s"))
-
-
 @query("fn_base64", "select item_id, length(to_base64(encode(text)))::bigint n, true same from benchmark")
 def base64(spark: SparkSession, d: str) -> DataFrame:
     """Base64 with line ends in it, read back strictly."""
