@@ -57,10 +57,9 @@ def prune_flat_json(s: Column, drop: tuple[str, ...] = ()) -> Column:
 
 
 def _bytes(s: Column) -> Column:
-    """UTF-8 bytes as an array of longs."""
-    n = F.octet_length(s)
-    h = F.hex(F.encode(s, "UTF-8"))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    """UTF-8 bytes as an array of longs; of a null, empty."""
+    each = F.split(F.decode(F.encode(s, "UTF-8"), "ISO-8859-1"), "")
+    return F.when(F.octet_length(s) > 0, F.transform(each, lambda c: F.ascii(c).cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
 
 def djb2(s: Column) -> Column:
@@ -74,9 +73,29 @@ def fnv1a(s: Column) -> Column:
 
 
 def frame_hash(s: Column) -> Column:
-    """h = 31 h + byte + position, modulo 2^32."""
-    step = F.aggregate(_bytes(s), F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("i")), lambda a, b: F.struct(((a["h"] * 31 + b + a["i"]) % (1 << 32)).alias("h"), (a["i"] + 1).alias("i")))
-    return step["h"]
+    """h = 31 h + byte + position, modulo 2^64, in decimal digits: two halves of 32 bits are folded."""
+    start = F.struct(*(F.lit(0).cast("long").alias(c) for c in ("hi", "lo", "i")))
+
+    def step(a: Column, b: Column) -> Column:
+        lo = a["lo"] * 31 + b + a["i"]
+        hi = a["hi"] * 31 + F.shiftright(lo, 32)
+        return F.struct((hi % (1 << 32)).alias("hi"), (lo % (1 << 32)).alias("lo"), (a["i"] + 1).alias("i"))
+
+    return F.aggregate(_bytes(s), start, step, lambda a: (a["hi"].cast("decimal(20,0)") * 4294967296 + a["lo"]).cast("decimal(20,0)").cast("string"))
+
+
+def huffman_bits(s: Column) -> Column:
+    """Length in bits of the bytes under an optimal prefix code: the sum of the weights of all inner nodes; 0 for fewer than two kinds of bytes."""
+    ordered = F.array_sort(_bytes(s))
+    runs = F.transform(F.array_distinct(ordered), lambda v: F.size(F.filter(ordered, lambda x: x == v)).cast("long"))
+    start = F.struct(F.array_sort(runs).alias("left"), F.lit(0).cast("long").alias("cost"))
+
+    def merge(a: Column, _: Column) -> Column:
+        both = a["left"][0] + a["left"][1]
+        return F.struct(F.array_sort(F.array_append(F.slice(a["left"], 3, 256), both)).alias("left"), (a["cost"] + both).alias("cost"))
+
+    turns = F.when(F.size(runs) > 1, F.sequence(F.lit(2), F.size(runs))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(turns, start, merge, lambda a: a["cost"])
 
 
 def human_bytes(n: Column) -> Column:

@@ -70,8 +70,8 @@ def weld(vertices: DataFrame, faces: DataFrame, tolerance: float, rounded: bool
     return cells.select("mesh_id", F.col("new_vid").alias("vid"), *AXES), moved if degenerate else drop_degenerate(moved)
 
 
-def cluster(vertices: DataFrame, ratio: float) -> DataFrame:
-    """Cells of a grid over the bounding box with about ratio x vertices cells: mesh_id, cx, cy, cz, n and the mean position."""
+def cluster(vertices: DataFrame, faces: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """Cells of a grid over the bounding box with about ratio x vertices cells: the mean position of each, numbered in their order, and faces between different cells."""
     box = vertices.groupBy("mesh_id").agg(
         F.count("*").alias("n"), *(F.min(a).alias(f"{a}_lo") for a in AXES), *(F.greatest(F.max(a) - F.min(a), F.lit(1e-6)).alias(f"{a}_size") for a in AXES)
     )
@@ -81,8 +81,13 @@ def cluster(vertices: DataFrame, ratio: float) -> DataFrame:
     def cell(a: str) -> Column:
         return F.least(F.floor((F.col(a) - F.col(f"{a}_lo")) * F.col("cells") / F.col(f"{a}_size")), F.col("cells") - 1)
 
-    placed = vertices.join(box, "mesh_id").select("mesh_id", *(cell(a).alias(f"c{a}") for a in AXES), *AXES)
-    return placed.groupBy("mesh_id", "cx", "cy", "cz").agg(F.count("*").alias("n"), *(F.avg(a).alias(f"m{a}") for a in AXES))
+    keys = ["mesh_id", *(f"c{a}" for a in AXES)]
+    placed = vertices.join(box, "mesh_id").select("mesh_id", "vid", *(cell(a).alias(f"c{a}") for a in AXES), *AXES)
+    means = placed.groupBy(*keys).agg(*(F.avg(a).alias(a) for a in AXES))
+    means = means.withColumn("new_vid", (F.row_number().over(Window.partitionBy("mesh_id").orderBy(*keys[1:])) - 1).cast("long"))
+    remap = placed.select("vid", *keys).join(means, keys).select("mesh_id", "vid", "new_vid")
+    moved = at_corners(faces, remap, ("new_vid",)).select("mesh_id", "fid", *(F.col(f"new_vid{k}").alias(f"i{k}") for k in range(3)))
+    return means.select("mesh_id", F.col("new_vid").alias("vid"), *AXES), drop_degenerate(moved)
 
 
 # ---- edges, normals, quadrics ----
@@ -187,20 +192,24 @@ def decimate_stride(faces: DataFrame, ratio: float) -> DataFrame:
     return ranked.where((F.col("_k") % step == 0) & (F.col("_k") / step < target)).drop("_k", "_n")
 
 
-def collapse(faces: DataFrame, costs: DataFrame, ratio: float) -> DataFrame:
-    """Greedy collapse of the cheapest edges until max(1, ceil(n x ratio)) faces are left: mesh_id, fid, i0, i1, i2.
+def collapse(vertices: DataFrame, faces: DataFrame, costs: DataFrame, ratio: float) -> DataFrame:
+    """Greedy collapse of the cheapest edges until max(1, ceil(n x ratio)) faces are left.
 
-    costs: mesh_id, lo, hi, cost; ties go to the smaller ends. The order of
-    collapses is inherently sequential, so each mesh is one group; the costs
-    were computed before as relations.
+    costs: mesh_id, lo, hi, cost; ties go to the smaller ends. Gives rows of
+    kind f (mesh_id, id, i0, i1, i2) and v (mesh_id, id, x, y, z): the faces
+    that are left and their vertices, each midway between the two that became
+    it last. The order of collapses is inherently sequential, so each mesh is
+    one group; the costs were computed before as relations.
     """
-
     def run(key: tuple, face: pd.DataFrame, cost: pd.DataFrame) -> pd.DataFrame:
         face = face.sort_values("fid")
         corner = face[["i0", "i1", "i2"]].to_numpy(np.int64)
         target = max(1, int(np.ceil(len(corner) * ratio)))
         ids, flat = np.unique(np.concatenate([corner.ravel(), cost[["lo", "hi"]].to_numpy(np.int64).ravel()]), return_inverse=True)
         tri, ends = flat[: corner.size].reshape(-1, 3).tolist(), flat[corner.size :].reshape(-1, 2)
+        at = np.full((len(ids), 3), np.nan)
+        for k, end in enumerate(("lo", "hi")):
+            at[ends[:, k]] = cost[[f"{end}_{a}" for a in AXES]].to_numpy(np.float64)
         parent, uses = list(range(len(ids))), [set() for _ in ids]
         for f, t in enumerate(tri):
             for v in t:
@@ -220,15 +229,17 @@ def collapse(faces: DataFrame, costs: DataFrame, ratio: float) -> DataFrame:
             if a == b:
                 continue
             parent[b] = a
-            both = uses[a] & uses[b]
-            alive -= both
+            at[a] = (at[a] + at[b]) / 2
+            alive -= uses[a] & uses[b]
             uses[a] |= uses[b]
         kept = sorted(alive)
-        out = [[ids[root(v)] for v in tri[f]] for f in kept]
-        return pd.DataFrame({"mesh_id": key[0], "fid": face["fid"].to_numpy()[kept], **{f"i{k}": np.array([t[k] for t in out], np.int64) for k in range(3)}})
+        out = np.array([[root(v) for v in tri[f]] for f in kept], np.int64).reshape(-1, 3)
+        used = np.unique(out)
+        rows = pd.DataFrame({"mesh_id": key[0], "kind": "f", "id": face["fid"].to_numpy()[kept], **{f"i{k}": ids[out[:, k]] for k in range(3)}})
+        return pd.concat([rows, pd.DataFrame({"mesh_id": key[0], "kind": "v", "id": ids[used], **{a: at[used, k] for k, a in enumerate(AXES)}})]).astype({f"i{k}": "Int64" for k in range(3)})
 
-    priced = costs.select(F.col("mesh_id").alias("mesh"), "lo", "hi", "cost")
-    return faces.groupBy("mesh_id").cogroup(priced.groupBy("mesh")).applyInPandas(run, "mesh_id long, fid long, i0 long, i1 long, i2 long")
+    priced = with_ends(costs.select("mesh_id", "lo", "hi", "cost"), vertices, AXES).select(F.col("mesh_id").alias("mesh"), "lo", "hi", "cost", *(f"{end}_{a}" for end in ("lo", "hi") for a in AXES))
+    return faces.groupBy("mesh_id").cogroup(priced.groupBy("mesh")).applyInPandas(run, "mesh_id long, kind string, id long, i0 long, i1 long, i2 long, x double, y double, z double")
 
 
 def compact(faces: DataFrame) -> DataFrame:

@@ -42,20 +42,26 @@ def weld_vertices(spark: SparkSession, d: str) -> DataFrame:
     return mesh.weld(views.vertices(spark, d), views.faces(spark, d), 0.1)[0]
 
 
-@query("mesh_weld_trunc", "select mesh_id,cast(trunc(x/0.1) as bigint) kx,cast(trunc(y/0.1) as bigint) ky,cast(trunc(z/0.1) as bigint) kz,min(vid) rep,count(*) n from v_vertices group by 1,2,3,4")
+_TRUNC = _WELD.replace("round(x/0.1)", "trunc(x/0.1)").replace("round(y/0.1)", "trunc(y/0.1)").replace("round(z/0.1)", "trunc(z/0.1)").replace(_KEYS, _KEYS.replace("round(", "trunc("))
+
+
+@query("mesh_weld_trunc", nested(_TRUNC, "select * from f"))
 def weld_trunc(spark: SparkSession, d: str) -> DataFrame:
-    return mesh.weld_keys(views.vertices(spark, d), 0.1, rounded=False).groupBy("mesh_id", "kx", "ky", "kz").agg(F.min("vid").alias("rep"), F.count("*").alias("n"))
+    """Faces renumbered after a weld by cells that are cut towards zero; those that collapse stay."""
+    return mesh.weld(views.vertices(spark, d), views.faces(spark, d), 0.1, rounded=False, degenerate=True)[1]
 
 
-@query(
-    "mesh_cluster",
-    nested(
-        "b as (select *, greatest(2,cast(ceil(round(cbrt(greatest(4,ceil(n*0.5))::double),9)) as bigint)) k from v_box), c as (select v.mesh_id,least(cast(floor((x-x0)*k/greatest(x1-x0,1e-6)) as bigint),k-1) cx,least(cast(floor((y-y0)*k/greatest(y1-y0,1e-6)) as bigint),k-1) cy,least(cast(floor((z-z0)*k/greatest(z1-z0,1e-6)) as bigint),k-1) cz,x,y,z from v_vertices v join b on v.mesh_id=b.mesh_id)",
-        f"select mesh_id,cx,cy,cz,count(*) n,{r('avg(x) mx', 'avg(y) my', 'avg(z) mz')} from c group by mesh_id,cx,cy,cz",
-    ),
-)
+_CELLS = "b as (select *, greatest(2,cast(ceil(round(cbrt(greatest(4,ceil(n*0.5))::double),9)) as bigint)) k from v_box), c as (select v.mesh_id,vid,least(cast(floor((x-x0)*k/greatest(x1-x0,1e-6)) as bigint),k-1) cx,least(cast(floor((y-y0)*k/greatest(y1-y0,1e-6)) as bigint),k-1) cy,least(cast(floor((z-z0)*k/greatest(z1-z0,1e-6)) as bigint),k-1) cz,x,y,z from v_vertices v join b on v.mesh_id=b.mesh_id), g as (select *,cast(row_number() over (partition by mesh_id order by cx,cy,cz)-1 as bigint) nv from (select mesh_id,cx,cy,cz,avg(x) mx,avg(y) my,avg(z) mz from c group by 1,2,3,4) a), m as (select c.mesh_id,c.vid,g.nv from c join g using (mesh_id,cx,cy,cz))"
+
+
+@query("mesh_cluster", nested(_CELLS, f"select mesh_id,nv vid,{r('mx x', 'my y', 'mz z')} from g"))
 def cluster(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(mesh.cluster(views.vertices(spark, d), 0.5), "mx", "my", "mz")
+    return rounded(mesh.cluster(views.vertices(spark, d), views.faces(spark, d), 0.5)[0], "x", "y", "z")
+
+
+@query("mesh_cluster_faces", nested(_CELLS, "select f.mesh_id,fid,a.nv i0,b.nv i1,c.nv i2 from v_faces f join m a on a.mesh_id=f.mesh_id and a.vid=f.i0 join m b on b.mesh_id=f.mesh_id and b.vid=f.i1 join m c on c.mesh_id=f.mesh_id and c.vid=f.i2 where a.nv<>b.nv and b.nv<>c.nv and a.nv<>c.nv"))
+def cluster_faces(spark: SparkSession, d: str) -> DataFrame:
+    return mesh.cluster(views.vertices(spark, d), views.faces(spark, d), 0.5)[1]
 
 
 @query("mesh_edges", "select * from v_edges")
@@ -109,14 +115,15 @@ def edge_cost(spark: SparkSession, d: str) -> DataFrame:
 
 @query("mesh_qem")
 def qem(spark: SparkSession, d: str) -> DataFrame:
+    """Faces and vertices that are left; a vertex that took in others stands between them."""
     v, f = views.vertices(spark, d), views.faces(spark, d)
-    return mesh.collapse(f, mesh.collapse_costs(v, f), 0.5)
+    return mesh.collapse(v, f, mesh.collapse_costs(v, f), 0.5)
 
 
 @query("mesh_collapse_shortest")
 def collapse_shortest(spark: SparkSession, d: str) -> DataFrame:
     v, f = views.vertices(spark, d), views.faces(spark, d)
-    return mesh.collapse(f, mesh.edge_lengths(v, f).withColumnRenamed("length2", "cost"), 0.5)
+    return mesh.collapse(v, f, mesh.edge_lengths(v, f).withColumnRenamed("length2", "cost"), 0.5)
 
 
 @query("mesh_vcache")
@@ -140,12 +147,12 @@ def decimate_stride(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "mesh_compact",
     nested(
-        "f as (select mesh_id,fid,i0,i1,i2 from v_faces where fid%3=0), c as (select mesh_id,fid,unnest([0,1,2]) k,unnest([i0,i1,i2]) vid from f), u as (select mesh_id,vid,min(fid*3+k) use from c group by 1,2), n as (select mesh_id,vid,cast(row_number() over (partition by mesh_id order by use)-1 as bigint) nv from u)",
+        "f as (select mesh_id,fid,i0,i1%5 i1,i2%5 i2 from v_faces where i0<>i1%5 and i1%5<>i2%5 and i0<>i2%5), c as (select mesh_id,fid,unnest([0,1,2]) k,unnest([i0,i1,i2]) vid from f), u as (select mesh_id,vid,min(fid*3+k) use from c group by 1,2), n as (select mesh_id,vid,cast(row_number() over (partition by mesh_id order by use)-1 as bigint) nv from u)",
         "select f.mesh_id,fid,a.nv i0,b.nv i1,c.nv i2 from f join n a on a.mesh_id=f.mesh_id and a.vid=i0 join n b on b.mesh_id=f.mesh_id and b.vid=i1 join n c on c.mesh_id=f.mesh_id and c.vid=i2",
     ),
 )
 def compact(spark: SparkSession, d: str) -> DataFrame:
-    return mesh.compact(views.faces(spark, d).where("fid % 3 = 0"))
+    return mesh.compact(views.faces(spark, d).withColumns({"i1": F.col("i1") % 5, "i2": F.col("i2") % 5}))
 
 
 @query("mesh_drop_degenerate", "select mesh_id,fid,i0,i1 % 5 i1,i2 % 5 i2 from v_faces where i0<>i1%5 and i1%5<>i2%5 and i0<>i2%5")
@@ -189,9 +196,10 @@ def preview_fit(spark: SparkSession, d: str) -> DataFrame:
     return rounded(mesh.fit_to_box(views.vertices(spark, d)), *"xyz")
 
 
-@query("val_mesh_data", "select mesh_id,count(*) missing,0::bigint not_finite from (select f.mesh_id,unnest([i0,i1,i2+2]) vid from v_faces f) c anti join v_vertices v using (mesh_id,vid) group by 1")
+@query("val_mesh_data", nested("m as (select mesh_id,count(*) missing from (select f.mesh_id,unnest([i0,i1,i2+2]) vid from v_faces f) c anti join v_vertices v using (mesh_id,vid) group by 1), o as (select mesh_id,count(*) odd from v_vertices where vid%9=4 group by 1)", "select mesh_id,coalesce(missing,0) missing,coalesce(odd,0) not_finite from m full join o using (mesh_id)"))
 def val_mesh_data(spark: SparkSession, d: str) -> DataFrame:
-    found = mesh.invalid_data(views.vertices(spark, d), views.faces(spark, d).withColumn("i2", F.col("i2") + 2))
+    odd = views.vertices(spark, d).withColumn("y", F.when(F.col("vid") % 18 == 4, float("nan")).when(F.col("vid") % 18 == 13, float("-inf")).otherwise(F.col("y")))
+    found = mesh.invalid_data(odd, views.faces(spark, d).withColumn("i2", F.col("i2") + 2))
     return found.select("mesh_id", F.col("missing").cast("long").alias("missing"), F.col("not_finite").cast("long").alias("not_finite"))
 
 
@@ -200,12 +208,14 @@ def analyze(spark: SparkSession, d: str) -> DataFrame:
     return rounded(mesh.summary(views.vertices(spark, d), views.faces(spark, d)), "x_size", "y_size", "z_size").select("mesh_id", "n", "faces", "x_size", "y_size", "z_size")
 
 
-@query("vec3_cross", f"select mesh_id,fid,{r('y0*z1-z0*y1 cx', 'z0*x1-x0*z1 cy', 'x0*y1-y0*x1 cz', 'x0*x1+y0*y1+z0*z1 dot')} from v_tri")
+@query("vec3_cross", f"select mesh_id,fid,{r('y0*z1-z0*y1 cx', 'z0*x1-x0*z1 cy', 'x0*y1-y0*x1 cz', 'x0*x1+y0*y1+z0*z1 dot', 'x0+x1 sum_x', 'y0-y1 diff_y', 'z0*2.5 scaled_z', 'sqrt(x0*x0+y0*y0+z0*z0) length', 'case when sqrt(x0*x0+y0*y0+z0*z0)>1e-10 then x0/sqrt(x0*x0+y0*y0+z0*z0) else x0 end unit_x')} from v_tri")
 def vec3_cross(spark: SparkSession, d: str) -> DataFrame:
+    """Products, sums, lengths and directions of two corners of each face."""
     t = views.triangles(spark, d)
     a, b = ([F.col(f"{c}{k}") for c in "xyz"] for k in (0, 1))
-    out = t.select("mesh_id", "fid", *(v.alias(n) for v, n in zip(numbers.cross(a, b), ("cx", "cy", "cz"), strict=True)), numbers.dot(F.array(*a), F.array(*b)).alias("dot"))
-    return rounded(out, "cx", "cy", "cz", "dot")
+    more = {"dot": numbers.dot(F.array(*a), F.array(*b)), "sum_x": a[0] + b[0], "diff_y": a[1] - b[1], "scaled_z": numbers.scaled(F.array(*a), F.lit(2.5))[2], "length": numbers.norm(F.array(*a)), "unit_x": numbers.normalized(F.array(*a))[0]}
+    out = t.select("mesh_id", "fid", *(v.alias(n) for v, n in zip(numbers.cross(a, b), ("cx", "cy", "cz"), strict=True)), *(v.alias(n) for n, v in more.items()))
+    return rounded(out, "cx", "cy", "cz", *more)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

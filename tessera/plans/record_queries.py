@@ -60,12 +60,13 @@ def svg_size(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "pages").select("page_id", of("width").alias("w"), of("height").alias("h"))
 
 
-@query("fn_base64", "select item_id, length(to_base64(encode(text)))::bigint n, true same from benchmark")
+@query("fn_base64", "select doc_id, to_base64(encode(coalesce(text,''))) packed, coalesce(text,'') back from documents")
 def base64(spark: SparkSession, d: str) -> DataFrame:
-    """Base64 with line ends in it, read back strictly."""
-    packed = F.base64(F.encode("text", "UTF-8"))
-    back = F.decode(F.unbase64(F.regexp_replace(packed, r"\s", "")), "UTF-8")
-    return views.table(spark, d, "benchmark").select("item_id", F.length(F.regexp_replace(packed, r"\s", "")).cast("long").alias("n"), (back == F.col("text")).alias("same"))
+    """Base64 without line ends, and what it gives when it is read back with line ends in it."""
+    plain = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    packed = F.regexp_replace(F.base64(plain), r"\s", "")
+    spaced = F.regexp_replace(packed, "(.{60})", "$1\n")
+    return views.table(spark, d, "documents").select("doc_id", packed.alias("packed"), F.decode(F.unbase64(F.regexp_replace(spaced, r"\s", "")), "UTF-8").alias("back"))
 
 
 @query("px_quant_octree", "select img_id,r//32 kr,g//32 kg,b//32 kb,count(*) n,cast(floor(sum(r)/count(*)) as bigint) r,cast(floor(sum(g)/count(*)) as bigint) g,cast(floor(sum(b)/count(*)) as bigint) b from v_pixels group by all")
@@ -77,24 +78,33 @@ def octree(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "agg_perf_update",
-    "select event_id,family,n,bytes,violations from (select event_id,family,count(*) over w n,sum(size) over w::bigint bytes,count(*) filter (elapsed_ms>case when size<512000 then 100 else 150 end) over w violations from (select *,event_id//1000 run from v_log) l window w as (partition by family,run order by event_id)) t",
+    f"select event_id,family,n,bytes,violations,longest,{r('mean', digits=3)} from (select event_id,family,count(*) over w n,sum(size) over w::bigint bytes,count(*) filter (elapsed_ms>case when size<512000 then 100 else 150 end) over w violations,max(elapsed_ms) over w longest,avg(elapsed_ms) over w mean from (select *,event_id//1000 run from v_log) l window w as (partition by family,run order by event_id)) t",
 )
 def running_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Counters after each operation of a run of a thousand."""
+    """Counters, longest and mean time after each operation of a run of a thousand."""
     w = Window.partitionBy("family", F.floor(F.col("event_id") / 1000)).orderBy("event_id")
-    return views.log(spark, d).select("event_id", "family", F.count("*").over(w).alias("n"), F.sum("size").over(w).alias("bytes"), F.count_if(metrics.is_violation()).over(w).alias("violations"))
+    out = views.log(spark, d).select("event_id", "family", F.count("*").over(w).alias("n"), F.sum("size").over(w).alias("bytes"), F.count_if(metrics.is_violation()).over(w).alias("violations"), F.max("elapsed_ms").over(w).alias("longest"), F.avg("elapsed_ms").over(w).alias("mean"))
+    return rounded(out, "mean", digits=3)
 
 
-@query("agg_ratio", f"select success,{r('case when sum(original_size)=0 then 1.0 else sum(optimized_size)/sum(original_size)::double end ratio', 'avg(success::int) hit_rate')},count(*) n from v_results group by 1")
+@query("agg_ratio", f"select file_id%97 run,{r('case when sum(original_size)=0 then 1.0 else sum(optimized_size)/sum(original_size)::double end ratio', 'avg(success::int) hit_rate')},count(*) n from v_results group by 1")
 def rates(spark: SparkSession, d: str) -> DataFrame:
-    by = views.results(spark, d).groupBy("success").agg(F.sum("original_size").alias("a"), F.sum("optimized_size").alias("b"), F.avg(F.col("success").cast("int")).alias("hit_rate"), F.count("*").alias("n"))
-    return rounded(by.select("success", metrics.ratio(F.col("a"), F.col("b")).alias("ratio"), "hit_rate", "n"), "ratio", "hit_rate")
+    by = views.results(spark, d).groupBy((F.col("file_id") % 97).alias("run")).agg(F.sum("original_size").alias("a"), F.sum("optimized_size").alias("b"), F.avg(F.col("success").cast("int")).alias("hit_rate"), F.count("*").alias("n"))
+    return rounded(by.select("run", metrics.ratio(F.col("a"), F.col("b")).alias("ratio"), "hit_rate", "n"), "ratio", "hit_rate")
 
 
-@query("sort_f32", "select vec_id,list_sort(embedding)[1] least,list_sort(embedding)[-1] most,list_position(embedding,list_sort(embedding)[1])::bigint place from embeddings")
+@query("agg_mesh_details", f"select mesh_id,n vertices,{r('(1-least(n,20)/n::double)*100 vertex_reduction', '(1-least(f,20)/f::double)*100 face_reduction')} from (select mesh_id,count(*) n from v_vertices group by 1) v join (select mesh_id,count(*) f from v_faces group by 1) f using (mesh_id)")
+def mesh_details(spark: SparkSession, d: str) -> DataFrame:
+    """Per cent of vertices and faces that go if twenty of each stay."""
+    n, f = (df.groupBy("mesh_id").agg(F.count("*").alias(c)) for df, c in ((views.vertices(spark, d), "vertices"), (views.faces(spark, d), "faces")))
+    left = lambda c: metrics.reduction(F.col(c), F.least(F.col(c), F.lit(20)))
+    return rounded(n.join(f, "mesh_id").select("mesh_id", "vertices", left("vertices").alias("vertex_reduction"), left("faces").alias("face_reduction")), "vertex_reduction", "face_reduction")
+
+
+@query("sort_f32", "select vec_id,list_sort(embedding)[1] least,list_sort(embedding)[-1] most,list_position(embedding,list_sort(embedding)[1])::bigint place,len(list_filter(embedding,lambda x: x<=embedding[1]))::bigint found from embeddings")
 def sorted_values(spark: SparkSession, d: str) -> DataFrame:
     ordered = F.sort_array("embedding")
-    return views.table(spark, d, "embeddings").select("vec_id", ordered[0].alias("least"), F.element_at(ordered, -1).alias("most"), F.array_position("embedding", ordered[0]).alias("place"))
+    return views.table(spark, d, "embeddings").select("vec_id", ordered[0].alias("least"), F.element_at(ordered, -1).alias("most"), F.array_position("embedding", ordered[0]).alias("place"), F.size(F.filter("embedding", lambda x: x <= F.get("embedding", F.lit(0)))).cast("long").alias("found"))
 
 
 @query("vec4_add_mul", f"select vec_id,{r(*(f'embedding[{i}]::double+embedding[{i + 4}] a{i}' for i in range(1, 5)), *(f'embedding[{i}]::double*embedding[{i + 4}] m{i}' for i in range(1, 5)))} from embeddings")

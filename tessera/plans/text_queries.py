@@ -31,9 +31,11 @@ def round_number(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "events").select("event_id", text.shorten_number(F.col("value")).alias("s"), text.fixed_precision(F.col("value"), 3).alias("fixed"))
 
 
-@query("txt_find_header", "select page_id, cast(instr(html,'<body') as bigint) place from pages")
+@query("txt_find_header", "select page_id, case when instr(html,'</head>')>0 then instr(html,'</head>')+6 else 0 end::bigint place from pages")
 def find_header(spark: SparkSession, d: str) -> DataFrame:
-    return views.table(spark, d, "pages").select("page_id", F.instr("html", "<body").cast("long").alias("place"))
+    """The place after the mark that ends a head; 0 if there is none."""
+    at = F.instr("html", "</head>")
+    return views.table(spark, d, "pages").select("page_id", F.when(at > 0, at + 6).otherwise(0).cast("long").alias("place"))
 
 
 @query("svg_hex_shorten", "select p_partkey, case when substr(h,1,1)=substr(h,2,1) and substr(h,3,1)=substr(h,4,1) and substr(h,5,1)=substr(h,6,1) then '#'||substr(h,1,1)||substr(h,3,1)||substr(h,5,1) else '#'||h end s from (select p_partkey, lower(repeat(printf('%X',(p_partkey%16)::int),2)||repeat(printf('%X',(p_partkey//16%16)::int),2)||printf('%X',(p_partkey%16)::int)||printf('%X',(p_partkey//3%16)::int)) h from part) t")
@@ -48,7 +50,11 @@ def strip_markup(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "pages").select("page_id", text.strip_markup_comments(F.col("html")).alias("s"))
 
 
-@query("svg_minify")
+_SPACES = r"""regexp_replace({s},'("[^"]*"|''[^'']*'')|[ \t\r\n]+','\1 ','g')"""
+_TIDY = _SPACES.format(s=_SPACES.format(s="regexp_replace(html,'<!--.*?-->','','gs')"))
+
+
+@query("svg_minify", rf"select page_id, trim(regexp_replace(regexp_replace({_TIDY},' ?([<>=]) ?','\1','g'),' +',' ','g')) s, length(html)::bigint before from pages")
 def minify(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "pages").select("page_id", text.minify_markup(F.col("html")).alias("s"), F.length("html").cast("long").alias("before"))
 
@@ -60,48 +66,62 @@ def json_prune(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "events").select("event_id", text.prune_flat_json(made, ("extras", "name", "copyright", "generator")).alias("s"))
 
 
-_BYTES = "list_transform(range(0,octet_length(encode(text))), lambda i: ('0x'||substr(hex(encode(text)),i*2+1,2))::bigint)"
-_ITEMS = f"(select item_id, {_BYTES} bytes from benchmark)"
+_ITEMS = "(select doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text,''))),'..'), lambda x: ('0x'||x)::bigint) bytes from documents)"
+
 
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return views.table(spark, d, "documents")
 
-@query("hash_djb2", f"select item_id, list_reduce(list_prepend(5381::bigint,bytes), lambda h,b: (h*33+b)%4294967296) h from {_ITEMS} t")
+
+@query("hash_djb2", f"select doc_id, list_reduce(list_prepend(5381::bigint,bytes), lambda h,b: (h*33+b)%4294967296) h from {_ITEMS} t")
 def djb2(spark: SparkSession, d: str) -> DataFrame:
-    return views.table(spark, d, "benchmark").select("item_id", text.djb2(F.col("text")).alias("h"))
+    return _docs(spark, d).select("doc_id", text.djb2(F.col("text")).alias("h"))
 
 
-@query("hash_fnv1a", f"select item_id, list_reduce(list_prepend(2166136261::bigint,bytes), lambda h,b: (xor(h,b)*16777619)%4294967296) h from {_ITEMS} t")
+@query("hash_fnv1a", f"select doc_id, list_reduce(list_prepend(2166136261::bigint,bytes), lambda h,b: (xor(h,b)*16777619)%4294967296) h from {_ITEMS} t")
 def fnv1a(spark: SparkSession, d: str) -> DataFrame:
-    return views.table(spark, d, "benchmark").select("item_id", text.fnv1a(F.col("text")).alias("h"))
+    return _docs(spark, d).select("doc_id", text.fnv1a(F.col("text")).alias("h"))
 
 
-@query("hash_frame", f"select item_id, list_reduce(list_prepend(0::bigint,list_transform(bytes,lambda b,i: b+i-1)), lambda h,b: (h*31+b)%4294967296) h from {_ITEMS} t")
+@query("hash_frame", f"select doc_id, cast(list_reduce(list_prepend(0::hugeint,list_transform(bytes,lambda b,i: (b+i-1)::hugeint)), lambda h,b: (h*31+b)%18446744073709551616::hugeint) as varchar) h from {_ITEMS} t")
 def frame_hash(spark: SparkSession, d: str) -> DataFrame:
-    return views.table(spark, d, "benchmark").select("item_id", text.frame_hash(F.col("text")).alias("h"))
+    return _docs(spark, d).select("doc_id", text.frame_hash(F.col("text")).alias("h"))
+
 
+_CRC_TABLE = "(select list_transform(range(0,256), lambda n: list_reduce(list_prepend(n,[0,0,0,0,0,0,0,0]::bigint[]), lambda c,z: case when c&1=1 then xor(c>>1,3988292384) else c>>1 end)) crcs)"
 
-@query("hash_crc32")
+
+@query("hash_crc32", f"select doc_id, xor(list_reduce(list_prepend(4294967295::bigint,bytes), lambda c,b: xor(c>>8,crcs[(xor(c,b)&255)+1])),4294967295) h from {_ITEMS} t cross join {_CRC_TABLE} k")
 def crc32(spark: SparkSession, d: str) -> DataFrame:
-    return views.table(spark, d, "documents").select("doc_id", F.crc32(F.encode("text", "UTF-8")).alias("h"))
+    return _docs(spark, d).select("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("h"))
 
 
 @query("cmp_byte_histogram", f"select b byte, count(*) n from (select unnest(bytes) b from {_ITEMS} t) u group by 1")
 def byte_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return views.table(spark, d, "benchmark").select(F.explode(text._bytes(F.col("text"))).alias("byte")).groupBy("byte").agg(F.count("*").alias("n"))
+    return _docs(spark, d).select(F.explode(text._bytes(F.col("text"))).alias("byte")).groupBy("byte").agg(F.count("*").alias("n"))
 
 
-@query("cmp_entropy", f"select item_id, {r('-sum(n/t::double*log2(n/t::double)) bits')} from (select item_id,b,count(*) n,sum(count(*)) over (partition by item_id) t from (select item_id,unnest(bytes) b from {_ITEMS} q) u group by 1,2) w group by 1")
+@query("cmp_entropy", f"select doc_id, {r('-sum(n/t::double*log2(n/t::double)) bits')} from (select doc_id,b,count(*) n,sum(count(*)) over (partition by doc_id) t from (select doc_id,unnest(bytes) b from {_ITEMS} q) u group by 1,2) w group by 1")
 def entropy(spark: SparkSession, d: str) -> DataFrame:
-    each = views.table(spark, d, "benchmark").select("item_id", F.explode(text._bytes(F.col("text"))).alias("b")).groupBy("item_id", "b").agg(F.count("*").alias("n"))
-    total = each.groupBy("item_id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    return rounded(total.select("item_id", (F.log2("t") - F.col("s") / F.col("t")).alias("bits")), "bits")
+    each = _docs(spark, d).select("doc_id", F.explode(text._bytes(F.col("text"))).alias("b")).groupBy("doc_id", "b").agg(F.count("*").alias("n"))
+    total = each.groupBy("doc_id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    return rounded(total.select("doc_id", (F.log2("t") - F.col("s") / F.col("t")).alias("bits")), "bits")
 
 
-@query("cmp_choose", f"select item_id, case when len(bytes)=0 then 'NONE' when len(list_distinct(list_slice(bytes,1,4096)))<=16 then 'HUFFMAN' when len(bytes)>200 then 'LZ4' else 'HUFFMAN' end codec from {_ITEMS} t")
+@query("cmp_choose", f"select doc_id, case when len(bytes)=0 then 'NONE' when len(list_distinct(list_slice(bytes,1,4096)))<=16 then 'HUFFMAN' when len(bytes)>1024 then 'LZ4' else 'HUFFMAN' end codec from {_ITEMS} t")
 def choose(spark: SparkSession, d: str) -> DataFrame:
     b = text._bytes(F.col("text"))
     few = F.size(F.array_distinct(F.slice(b, 1, 4096))) <= 16
-    codec = F.when(F.size(b) == 0, "NONE").when(few, "HUFFMAN").when(F.size(b) > 200, "LZ4").otherwise("HUFFMAN")
-    return views.table(spark, d, "benchmark").select("item_id", codec.alias("codec"))
+    codec = F.when(F.size(b) == 0, "NONE").when(few, "HUFFMAN").when(F.size(b) > 1024, "LZ4").otherwise("HUFFMAN")
+    return _docs(spark, d).select("doc_id", codec.alias("codec"))
+
+
+@query(
+    "cmp_huffman",
+    f"with recursive h as (select doc_id, list_sort(list(n)) l, 0::bigint cost from (select doc_id,b,count(*) n from (select doc_id,unnest(bytes) b from {_ITEMS} t) u group by 1,2) c group by 1 union all select doc_id, list_sort(list_append(l[3:],l[1]+l[2])), cost+l[1]+l[2] from h where len(l)>1) select doc_id, cost bits from h where len(l)=1 union all select doc_id, 0 from {_ITEMS} t where len(bytes)=0",
+)
+def huffman(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", text.huffman_bits(F.col("text")).alias("bits"))
 
 
 @query("bit_tools", "select event_id, bit_count(event_id)::bigint ones, case when event_id=0 then -1 else bit_count((event_id & -event_id)-1)::bigint end::bigint first, case when event_id<=1 then 1 else 1<<length(bin(event_id-1)) end::bigint power from events")
@@ -115,15 +135,16 @@ def bit_reverse(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "events").select("event_id", numbers.reversed_bits(F.col("event_id")).alias("reversed"))
 
 
-@query("safe_arith", "select event_id, case when event_id*977000000000000::hugeint between -9223372036854775808 and 9223372036854775807 then (event_id*977000000000000::hugeint)::bigint end product from events")
+@query("safe_arith", "select event_id, case when event_id+9223372036854770000::hugeint<=9223372036854775807 then (event_id+9223372036854770000::hugeint)::bigint end total, case when event_id*977000000000000::hugeint between -9223372036854775808 and 9223372036854775807 then (event_id*977000000000000::hugeint)::bigint end product from events")
 def safe_arith(spark: SparkSession, d: str) -> DataFrame:
-    return views.table(spark, d, "events").select("event_id", F.try_multiply(F.col("event_id"), F.lit(977000000000000)).alias("product"))
+    k = F.col("event_id")
+    return views.table(spark, d, "events").select("event_id", F.try_add(k, F.lit(9223372036854770000)).alias("total"), F.try_multiply(k, F.lit(977000000000000)).alias("product"))
 
 
-@query("math_scalars", f"select event_id,{r('least(greatest(value,10.0),90.0) clamped', '10+(90-10.0)*value/200 lerped', 't*t*(3-2*t) smooth')} from (select *,greatest(0.0,least(1.0,(value-20)/100)) t from events) e")
+@query("math_scalars", f"select event_id,{r('least(greatest(value,10.0),90.0) clamped', '10+(90-10.0)*value/200 lerped', 't*t*(3-2*t) smooth')},round(value-50)::bigint nearest from (select *,greatest(0.0,least(1.0,(value-20)/100)) t from events) e")
 def math_scalars(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value")
-    out = views.table(spark, d, "events").select("event_id", numbers.clamp(v, 10.0, 90.0).alias("clamped"), numbers.lerp(F.lit(10.0), F.lit(90.0), v / 200).alias("lerped"), numbers.smoothstep(20.0, 120.0, v).alias("smooth"))
+    out = views.table(spark, d, "events").select("event_id", numbers.clamp(v, 10.0, 90.0).alias("clamped"), numbers.lerp(F.lit(10.0), F.lit(90.0), v / 200).alias("lerped"), numbers.smoothstep(20.0, 120.0, v).alias("smooth"), F.round(v - 50).cast("long").alias("nearest"))
     return rounded(out, "clamped", "lerped", "smooth")
 
 

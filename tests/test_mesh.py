@@ -30,9 +30,13 @@ def test_weld_drops_collapsed_faces_and_bad_indices(spark):
 def test_collapse_reaches_its_target_and_keeps_valid_faces(spark):
     v, f = cube(spark, 2)
     for cost in (mesh.collapse_costs(v, f), mesh.edge_lengths(v, f).withColumnRenamed("length2", "cost")):
-        out = mesh.collapse(f, cost, 0.5)
+        both = mesh.collapse(v, f, cost, 0.5)
+        out, points = both.where("kind = 'f'"), both.where("kind = 'v'")
         assert {r["count"] for r in out.groupBy("mesh_id").count().collect()} <= {5, 6}
         assert mesh.drop_degenerate(out).count() == out.count()
+        used = {(r.mesh_id, i) for r in out.collect() for i in (r.i0, r.i1, r.i2)}
+        assert {(r.mesh_id, r.id) for r in points.collect()} == used
+        assert all(0 <= c <= 1 for r in points.collect() for c in (r.x, r.y, r.z)) and any(c == 0.5 for r in points.collect() for c in (r.x, r.y, r.z))
 
 
 def test_cache_order_is_a_permutation(spark):
@@ -54,5 +58,5 @@ def test_cube_bounds_normals_edges(spark):
 def test_empty_tables(spark):
     v, f = spark.createDataFrame([], V), spark.createDataFrame([], T)
     assert mesh.weld(v, f, 0.1)[1].count() == 0
-    assert mesh.collapse(f, mesh.collapse_costs(v, f), 0.5).count() == 0
+    assert mesh.collapse(v, f, mesh.collapse_costs(v, f), 0.5).count() == 0
     assert mesh.summary(v, f).count() == 0
