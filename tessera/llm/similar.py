@@ -23,8 +23,10 @@ from tessera.llm.simhash import bits_of, keys_of, shingle_hashes
 WIDTH, SIMILARITY = 5, 0.8
 #: Places of a sketch; places of a band and bands. At 80 % a band agrees with one chance in six, some band with 99.7 %.
 PLACES, BAND, BANDS = 256, 8, 32
-#: A pair is compared if its sketches agree in the wanted share of places less this: three standard deviations at 80 %.
-ALLOWANCE = 0.075
+#: A pair is compared if its sketches agree in the wanted share of places less this: 2.4 standard deviations at 80 %.
+ALLOWANCE = 0.06
+#: Partners that a member whose pair failed is held against next, and how many times as many in each turn after.
+PARTNERS = 16
 #: Members of a key that one task compares with each other; larger groups are dealt to several. Members that stand for a group's middle.
 GROUP, MIDDLE = 8192, 256
 #: Shingles that are hashed to places at once.
@@ -160,11 +162,12 @@ def _again(least: float, most: int):
             a: list[int] = []
             b: list[int] = []
             edge = [*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist(), len(group)]
+            asks = np.flatnonzero(np.asarray(no.is_valid()))
             for s, e in zip(edge, edge[1:], strict=False):
-                for i in range(s, e):
+                if (label[s:e] == label[s]).all():
+                    continue
+                for i in asks[np.searchsorted(asks, s) : np.searchsorted(asks, e)].tolist():
                     vain = no[i].as_py()
-                    if vain is None:
-                        continue
                     agree = (places[s:e] == places[i]).sum(axis=1)
                     agree[(label[s:e] == label[i]) | np.isin(rep[s:e], vain)] = 0
                     best = np.argsort(-agree, kind="stable")[:most]
@@ -214,7 +217,7 @@ def similar_components(reps: DataFrame, similarity: float, scratch: Scratch) ->
         first = first.unionByName(middles.select("group", "rep")).distinct()
     first = first.join(held.select("rep", "sketch"), "rep").select("group", "rep", "sketch")
     proposed = first.repartition(n, "group").sortWithinPartitions("group", "rep").mapInArrow(_proposals(least), "a bigint, b bigint")
-    compared, links, most, step = None, None, 4, 0
+    compared, label, most, step = None, None, PARTNERS, 0
     while True:
         pairs = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         one, two = held.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), held.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
@@ -222,8 +225,8 @@ def similar_components(reps: DataFrame, similarity: float, scratch: Scratch) ->
         if step and got.isEmpty():
             break
         compared = got if compared is None else compared.unionByName(got)
-        links = compared.where(F.col("j") >= similarity).select("a", "b")
-        label = connected_components(links, scratch, f"dedup-cc-{step}")
+        if label is None or not got.where(F.col("j") >= similarity).isEmpty():
+            label = connected_components(compared.where(F.col("j") >= similarity).select("a", "b"), scratch, f"dedup-cc-{step}")
         failed = got.where(F.col("j") < similarity)
         asking = failed.select(F.col("a").alias("rep")).union(failed.select("b")).distinct()
         vain = compared.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(compared.select("b", "a")).join(asking, "rep", "left_semi").groupBy("rep").agg(F.collect_set("other").alias("no"))
@@ -239,7 +242,7 @@ def similar_components(reps: DataFrame, similarity: float, scratch: Scratch) ->
         near = members.join(who.select("key").distinct(), "key", "left_semi").select("group", "rep").join(wide.select("group", "rep"), ["group", "rep"], "left_anti").withColumn("no", F.lit(None).cast("array<bigint>"))
         rows = wide.unionByName(near).join(held.select("rep", "sketch"), "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("group", "rep", "sketch", F.coalesce("label", "rep").alias("label"), "no")
         proposed = rows.repartition(n, "group").sortWithinPartitions("group", "rep").mapInArrow(_again(least, most), "a bigint, b bigint")
-        most, step = most * 4, step + 1
+        most, step = most * PARTNERS, step + 1
     return label
 
 
