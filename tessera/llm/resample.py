@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, bounded, schema_with, table, word_pieces
+from tessera.llm.common import Scratch, bounded, schema_with, table, values_of, word_pieces
 
 BUCKETS = 1 << 14
 #: Target documents that the target model is fitted on, at most (a sample by hash); the raw model counts every document.
@@ -47,7 +47,7 @@ class WordHash(dict):
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, hashes = np.zeros(BUCKETS, np.int64), WordHash()
     for b in batches:
-        for text in b.column(0).to_pylist():
+        for text in values_of(b.column(0)):
             for k in hashes.buckets(text):
                 total += np.bincount(k, minlength=BUCKETS)
     seen = np.flatnonzero(total)
@@ -70,7 +70,7 @@ def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
         hashes = WordHash()
         for b in batches:
             weight, grams = [], []
-            for text in b.column(1).to_pylist():
+            for text in values_of(b.column(1)):
                 parts = [(float(shared.value[k].sum()), len(k)) for k in hashes.buckets(text)]
                 weight.append(sum(w for w, _ in parts))
                 grams.append(sum(n for _, n in parts))
@@ -126,6 +126,7 @@ def resample(docs: DataFrame, target: DataFrame, keep: float = KEEP, seed: int =
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of `documents` with its importance weight towards those of good quality, and whether it is drawn."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = bounded(table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct(), FIT_DOCUMENTS, "doc_id")
     target = docs.join(F.broadcast(good), "doc_id", "left_semi")

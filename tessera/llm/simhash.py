@@ -22,15 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, partitions, schema_with, table, word_pieces
+from tessera.llm.common import Scratch, partitions, schema_with, table, values_of, word_pieces
 from tessera.llm.components import connected_components
 
 RADIUS = 3
 SEED = 42
 #: Generator of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (fixed value).
 GENERATOR = 0b110001110101
-#: Groups of more members are searched breadth first, smaller ones pair by pair.
-SMALL_GROUP = 8
+#: Groups of more members are searched breadth first, smaller ones pair by pair; groups of more than LARGE_GROUP are split by their bytes first.
+SMALL_GROUP, LARGE_GROUP = 8, 4096
 
 
 # ---- fingerprints ----
@@ -79,7 +79,7 @@ def with_fingerprint(docs: DataFrame, width: int = 3, text: str = "text", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array([fingerprint(t, width) for t in b.column(len(keep)).to_pylist()], pa.int64())
+            fp = pa.array([fingerprint(t, width) for t in values_of(b.column(len(keep)))], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], fp], [*keep, "fp"])
 
     return source.mapInArrow(run, schema_with(docs.select(*keep), fp="long"))
@@ -165,6 +165,21 @@ def links(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
 
 
+def split_links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """As links, for many fingerprints: of any radius + 1 bytes a linking pair has one in common, so members are compared within equal bytes, of those that vary most."""
+    octets = np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8)
+    kinds = [len(np.unique(octets[:, k])) for k in range(8)]
+    a, b = [fp[:0]], [fp[:0]]
+    for k in np.argsort(kinds)[::-1][: radius + 1]:
+        order = np.argsort(octets[:, k], kind="stable")
+        edge = np.flatnonzero(np.diff(octets[order, k].astype(np.int64), prepend=-1, append=256))
+        for s, e in zip(edge, edge[1:], strict=False):
+            x, y = links(fp[order[s:e]], radius)
+            a.append(x)
+            b.append(y)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _grouped_links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """key and fp sorted by both."""
     fresh = np.ones(len(key), bool)
@@ -182,7 +197,7 @@ def _grouped_links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.nda
         a.append(f[:-d][hit])
         b.append(f[d:][hit])
     for s, n in zip(start[size > SMALL_GROUP].tolist(), size[size > SMALL_GROUP].tolist(), strict=True):
-        x, y = links(fp[s : s + n], radius)
+        x, y = (split_links if n > LARGE_GROUP else links)(fp[s : s + n], radius)
         a.append(x)
         b.append(y)
     empty = np.zeros(0, np.int64)
@@ -228,7 +243,8 @@ def simhash_components(docs: DataFrame, width: int = 3, text: str = "text", doc_
     A null text counts as empty; fingerprint zero links like any other. Rows
     with the same doc_id are kept, each with its own fingerprint. Null ids give
     way to others as component_id. Copies share a fingerprint and cost one
-    representative; they are never paired.
+    representative; they are never paired. Other columns are not looked at; an
+    empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
     prints = scratch.write(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width), "prints")

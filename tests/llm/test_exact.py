@@ -60,6 +60,16 @@ def test_chat_escape_is_reversible(spark, text):
         assert r.loss == ("" if r.conv_id == 2 else text)
 
 
+def test_chat_awkward(spark):
+    kinds = "conv_id long, turn long, role string, text string, formatted string, turns int"
+    rows = [(None, 0, "user", "a", "x", 1), (None, 1, "assistant", "b", "x", 1), (5, 1, "user", "again", None, None), (5, 1, "user", "again", None, None), (5, None, "system", "first", None, None), (-1, 0, "user", "own", None, None)]
+    chats = spark.createDataFrame(rows, kinds)
+    got = {r.conv_id: r for r in chat.read_chats(chat.format_chats(chats)).collect()}
+    assert all(r.turns == r.source for r in got.values()) and set(got) == {None, 5, -1}
+    assert [t.text for t in got[5].turns] == ["first", "again", "again"] and got[None].loss == "b"
+    assert chat.read_chats(chat.format_chats(chats.limit(0))).count() == 0
+
+
 def test_chat_matches_sql(spark, sf):
     con = duckdb.connect()
     con.sql(f"create view conversations as select * from read_parquet('{sf}/conversations.parquet')")
@@ -139,6 +149,22 @@ def test_nearest_awkward(spark):
     assert vptree.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_pipeline_stages_with_extra_columns(spark):
+    """Stages keep columns whose names clash with their own, and drop what they should: copies stay once, planted passages go."""
+    import corpus_pipeline
+
+    docs = awkward(spark).withColumns({"row": F.lit(1), "label": F.lit("x"), "rep": F.lit(2), "taken": F.lit(3), "_row": F.lit(4)})
+    kept = Scratch(spark).write(dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "/root/testdata/sf0.001"), "kept")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [*range(12), 21, 24, 25, 26]
+    benchmark = table(spark, "/root/testdata/sf0.001", "benchmark")
+    item = benchmark.orderBy("item_id").first()
+    planted = docs.where("doc_id < 3").withColumn("text", F.concat(F.col("text"), F.lit(" " + item.text), F.col("text")))
+    left = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs.where("doc_id > 5").unionByName(planted), "/root/testdata/sf0.001")
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {r.doc_id for r in docs.where("doc_id > 5").collect()}
+    out = dict(corpus_pipeline.STAGES)["token_ids"](spark, docs, "/root/testdata/sf0.001")
+    assert out.count() == docs.count()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

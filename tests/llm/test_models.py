@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -263,6 +264,32 @@ def test_resampling_weights_match_brute_force(spark):
     assert resample.resample(nothing(spark), target).count() == 0
 
 
+def test_buckets_against_plain_sums():
+    """Buckets from their definition: CRC-32 of lower-case words, and a product of two of them for a pair."""
+    words = "The quick THE fox the quick".lower().split()
+    h = [zlib.crc32(w.encode()) for w in words]
+    pairs = [((a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) % (1 << 64)) >> 50 for a, b in zip(h, h[1:], strict=False)]
+    want = sorted([x % resample.BUCKETS for x in h] + [p % resample.BUCKETS for p in pairs])
+    assert sorted(np.concatenate(list(resample.WordHash().buckets("The quick THE\n fox the  quick"))).tolist()) == want
+
+
+def test_texts_in_pieces(monkeypatch):
+    """What is computed of a text does not depend on the length of the pieces that it is cut into."""
+    rnd = random.Random(4)
+    text = " ".join(rnd.choice(["alpha", "Beta", "gamma,", "delta", "été", "x1"]) for _ in range(2000))
+    model = toxicity.ToxicityModel({b"beta": 2.0, b"gamma": 1.5}, 1.0, 0.1, 0.0, (1.0, 1.0))
+
+    def all_of():
+        return (
+            sorted(np.concatenate(list(resample.WordHash().buckets(text))).tolist()), langid.words_of(text), decontam.words_of(text),
+            toxicity.ToxicityModel(model.weights, 1.0, 0.1, 0.0, (1.0, 1.0)).statistics(text),
+        )
+
+    whole = all_of()
+    monkeypatch.setattr("tessera.llm.common.PIECE", 150)
+    assert all_of() == whole
+
+
 def test_nth_largest(spark, monkeypatch):
     monkeypatch.setattr(resample, "LAST", 5)
     values = [float(x) for x in [1, 5, 5, 5, 2, 9, 9, 3, 3, 3, 3, 3, 3, 0.5, -7]]

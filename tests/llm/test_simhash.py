@@ -122,3 +122,24 @@ def test_one_of_each_keeps_columns_and_distinct_texts(spark):
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(3) == 1 and 20 not in ids and None not in ids and {0, 1, 2, 4, 24, 25, 26} <= set(ids)
+
+
+def test_large_groups_lose_no_link():
+    rnd = np.random.default_rng(12)
+    base = rnd.integers(-(1 << 63), 1 << 63, 60)
+    fp = np.unique(np.concatenate([base, *(base ^ (1 << rnd.integers(0, 62, 60)) for _ in range(20)), *(base ^ (1 << rnd.integers(0, 62, 60)) ^ (1 << rnd.integers(0, 62, 60)) for _ in range(20))]))
+
+    def parts(edges):
+        label = {x: x for x in fp.tolist()}
+
+        def root(x):
+            while label[x] != x:
+                x = label[x]
+            return x
+
+        for x, y in zip(*(e.tolist() for e in edges), strict=True):
+            low, high = sorted((root(x), root(y)))
+            label[high] = low
+        return [root(x) for x in fp.tolist()]
+
+    assert parts(simhash.split_links(fp, 3)) == parts(simhash.links(fp, 3))
