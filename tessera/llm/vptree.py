@@ -32,7 +32,7 @@ from tessera.llm.common import Scratch, partitions, table
 #: Neighbours; every how many-th vector asks; factor of the query (see README for what other factors visit and find).
 K, EVERY, FACTOR = 20, 20, 1.0
 #: Distinct vectors of a shard at most, on average; cells at most, whose centres go to every task; points of a leaf.
-SHARD, CELLS, LEAF = 10_000, 4096, 128
+SHARD, CELLS, LEAF = 10_000, 4096, 256
 #: Queries that a task searches together.
 TOGETHER = 2048
 #: Rounding allowed for, as a share of the squared distances that are compared.
