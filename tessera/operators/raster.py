@@ -20,20 +20,36 @@ def distinct_colors(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("img_id").agg(F.max(F.when(F.col("a") < 255, 1).otherwise(0)).alias("has_alpha"), F.count_distinct(packed).alias("colors"))
 
 
+def _closest(palette: Column, weights: tuple[float, float, float]) -> Column:
+    """The entry (idx, r, g, b) of an array that is nearest to the pixel's colour, ties to the lower index."""
+
+    def distance(p: Column) -> Column:
+        return reduce(lambda a, b: a + b, (F.lit(w) * (F.col(c) - p[c]) * (F.col(c) - p[c]) for w, c in zip(weights, RGB, strict=True)))
+
+    return F.array_min(F.transform(palette, lambda p: F.struct(distance(p).alias("d"), p["idx"].alias("idx"), *(p[c].alias(c) for c in RGB))))
+
+
 def nearest(pixels: DataFrame, palette: DataFrame, weights: tuple[float, float, float] = (1, 1, 1)) -> DataFrame:
     """img_id, y, x, idx: the palette colour at the least weighted squared distance, ties to the lower index.
 
-    Each distinct colour is matched once. The palette has at most 256 entries,
-    as an index is one byte; it travels as one array.
+    An index is one byte, so more than 256 entries are an error; the palette
+    travels as one array with the plan, and no pixel moves.
     """
-    entries = palette.agg(F.array_sort(F.collect_list(F.struct("idx", *RGB))).alias("palette"))
-    colors = pixels.select(*RGB).distinct().join(F.broadcast(entries))
+    entries = [tuple(r) for r in palette.select("idx", *RGB).orderBy("idx").limit(257).collect()]
+    if len(entries) > 256:
+        raise ValueError("a palette has 256 colours at most")
+    if not entries:
+        return pixels.select("img_id", "y", "x", F.lit(None).cast("long").alias("idx"))
+    array = F.array(*(F.struct(*(F.lit(int(v)).cast("long").alias(c) for v, c in zip(e, ("idx", *RGB), strict=True))) for e in entries))
+    return pixels.select("img_id", "y", "x", _closest(array, weights)["idx"].alias("idx"))
 
-    def distance(p: Column) -> Column:
-        return reduce(lambda a, b: a + b, (F.lit(w) * (F.col(c) - p[c]) * (F.col(c) - p[c]) for w, c in zip(weights, RGB, strict=True)))
 
-    best = F.array_min(F.transform("palette", lambda p: F.struct(distance(p).alias("d"), p["idx"].alias("idx"))))
-    return pixels.join(colors.select(*RGB, best["idx"].alias("idx")), list(RGB)).select("img_id", "y", "x", "idx")
+def map_to_own(pixels: DataFrame, palettes: DataFrame, weights: tuple[float, float, float] = (1, 1, 1)) -> DataFrame:
+    """palettes (img_id, idx, r, g, b), 256 colours an image at most -> img_id, y, x, r, g, b: each pixel in the nearest colour of its image's palette. Each colour of an image is matched once."""
+    own = palettes.groupBy("img_id").agg(F.array_sort(F.collect_list(F.struct("idx", *RGB))).alias("palette"))
+    colors = pixels.select("img_id", *RGB).distinct().join(own, "img_id")
+    found = colors.select("img_id", *RGB, _closest(F.col("palette"), weights).alias("new"))
+    return pixels.join(found, ["img_id", *RGB]).select("img_id", "y", "x", *(F.col(f"new.{c}").alias(c) for c in RGB))
 
 
 def expand(indices: DataFrame, palette: DataFrame, default: int = 0) -> DataFrame:
@@ -108,9 +124,44 @@ def median_cut(pixels: DataFrame, depth: int = 4) -> DataFrame:
     return colors.groupBy("img_id", "bucket").agg(F.sum("n").alias("n"), *(F.floor(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in RGB))
 
 
-def dither(pixels: DataFrame, levels: int = 4) -> DataFrame:
-    """Floyd-Steinberg error diffusion of each channel to equally spaced levels. The scan order makes an image one group."""
-    step = 255 / (levels - 1)
+def octree(pixels: DataFrame, colors: int = 64) -> DataFrame:
+    """img_id, idx, level, n, r, g, b: the leaves of an octree of each image, `colors` at most, with their mean colours.
+
+    Every colour has a cell at each of eight levels. The deepest level with no
+    more cells than wanted gives the leaves; then its fullest cells give way to
+    their children as long as all fit. No image is collected: cells are counted
+    by image, level and prefix.
+    """
+    distinct = pixels.groupBy("img_id", *RGB).agg(F.count("*").alias("n"))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(8)))
+
+    def prefix(level: Column, c: str) -> Column:
+        return F.floor(F.col(c) / F.pow(F.lit(2.0), 8 - level)).cast("long")
+
+    leveled = distinct.withColumn("level", levels)
+    key = [prefix(F.col("level"), c).alias(f"k{c}") for c in RGB]
+    cells = leveled.groupBy("img_id", "level", *key).agg(F.sum("n").alias("n"), *(F.floor(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in RGB))
+    sizes = cells.groupBy("img_id", "level").agg(F.count("*").alias("cells"))
+    best = sizes.where(F.col("cells") <= colors).groupBy("img_id").agg(F.max(F.struct("level", "cells")).alias("b")).select("img_id", F.col("b.level").alias("base"), F.col("b.cells").alias("cells"))
+    keys = ["img_id", *(f"k{c}" for c in RGB)]
+    chosen = cells.join(best, "img_id").where(F.col("level") == F.col("base"))
+    below = cells.join(best, "img_id").where(F.col("level") == F.col("base") + 1).drop("cells")
+    parents = below.select("img_id", *(F.floor(F.col(f"k{c}") / 2).cast("long").alias(f"k{c}") for c in RGB)).groupBy(*keys).agg(F.count("*").alias("children"))
+    order = Window.partitionBy("img_id").orderBy(F.desc("n"), *keys[1:]).rowsBetween(Window.unboundedPreceding, 0)
+    judged = chosen.join(parents, keys, "left").withColumn("more", F.sum(F.coalesce("children", F.lit(1)) - 1).over(order))
+    split = judged.withColumn("split", F.col("children").isNotNull() & (F.col("cells") + F.col("more") <= colors))
+    kept = split.where("not split").select(*keys, "level", "n", *RGB)
+    marks = split.where("split").select("img_id", *(F.col(f"k{c}").alias(f"p{c}") for c in RGB))
+    on = (F.floor(F.col(f"k{c}") / 2) == F.col(f"p{c}") for c in RGB)
+    opened = below.join(marks.withColumnRenamed("img_id", "own"), reduce(lambda a, b: a & b, on, F.col("img_id") == F.col("own")), "left_semi").select(*keys, "level", "n", *RGB)
+    numbered = F.row_number().over(Window.partitionBy("img_id").orderBy("level", *keys[1:])) - 1
+    return kept.unionByName(opened).select("img_id", numbered.cast("long").alias("idx"), F.col("level").cast("long").alias("level"), "n", *RGB)
+
+
+def dither(pixels: DataFrame, palette: DataFrame) -> DataFrame:
+    """Floyd-Steinberg error diffusion of each channel by itself to the nearest of the values that the palette has in it, ties to the lower. The scan order makes an image one group."""
+    values = palette.agg(*(F.array_sort(F.collect_set(c)).alias(c) for c in RGB)).first()
+    steps = [np.array(values[c] or [0], np.float64) for c in RGB]
 
     def run(key: tuple, image: pd.DataFrame) -> pd.DataFrame:
         out = image.sort_values(["y", "x"]).reset_index(drop=True)
@@ -120,7 +171,7 @@ def dither(pixels: DataFrame, levels: int = 4) -> DataFrame:
         for y in range(height):
             for x in range(1, width + 1):
                 value = grid[y, x]
-                new = np.clip(np.floor(value / step + 0.5) * step, 0, 255)
+                new = np.array([v[np.abs(v - p).argmin()] for v, p in zip(steps, value, strict=True)])
                 error = value - new
                 grid[y, x] = new
                 grid[y, x + 1] += error * (7 / 16)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +53,9 @@ def bitshift(spark: SparkSession, d: str) -> DataFrame:
     return longs(spark, d, r2=px.drop_bits(F.col("r"), 2), g2=px.drop_bits(F.col("g"), 2), b2=px.drop_bits(F.col("b"), 2))
 
 
-@query("px_posterize", "select img_id,y,x,r//16*16 r2,g//16*16 g2,b//16*16 b2 from v_pixels")
+@query("px_posterize", "select img_id,y,x,r//16*16 r2,g//16*16 g2,b//4*4 b2 from v_pixels")
 def posterize(spark: SparkSession, d: str) -> DataFrame:
-    return longs(spark, d, r2=px.posterize(F.col("r"), 4), g2=px.posterize(F.col("g"), 4), b2=px.posterize(F.col("b"), 4))
+    return longs(spark, d, r2=px.posterize(F.col("r"), 4), g2=px.posterize(F.col("g"), 4), b2=px.posterize(F.col("b"), 6))
 
 
 _HSV = "(select *,greatest(r,g,b) mx,greatest(r,g,b)-least(r,g,b) dd from v_pixels)"
@@ -105,9 +108,9 @@ def brightness(spark: SparkSession, d: str) -> DataFrame:
     return longs(spark, d, r2=px.brightness(F.col("r")), contrast=px.contrast(F.col("r")), saturated=px.saturate(F.col("r"), F.least(*rgb())))
 
 
-@query("px_swizzle", "select img_id,y,x,b c0,g c1,r c2 from v_pixels where a=255")
+@query("px_swizzle", "select img_id,y,x,b c0,g c1,r c2,a c3 from v_pixels")
 def swizzle(spark: SparkSession, d: str) -> DataFrame:
-    return views.pixels(spark, d).where("a = 255").select(*AT, F.col("b").alias("c0"), F.col("g").alias("c1"), F.col("r").alias("c2"))
+    return views.pixels(spark, d).select(*AT, F.col("b").alias("c0"), F.col("g").alias("c1"), F.col("r").alias("c2"), F.col("a").alias("c3"))
 
 
 @query("px_alpha_colors", "select img_id,max(case when a<255 then 1 else 0 end) has_alpha,count(distinct r*65536+g*256+b) colors from v_pixels group by img_id")
@@ -150,6 +153,15 @@ def perceptual(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pairs.select("a", "b", px.weighted_distance(*(tuple(F.col(f"{n}_{c}") for c in "rgb") for n in "ab")).alias("d")), "d")
 
 
+@query("px_closest", f"select a,arg_min(b,struct_pack(d,b)) closest,{r('min(d) least')} from (select p.idx a,q.idx b,round({_l2("p", "q")},9) d from v_palette p join v_palette q on p.idx<>q.idx) t group by 1")
+def closest(spark: SparkSession, d: str) -> DataFrame:
+    """For each colour of the palette the nearest other one, and how far it is."""
+    p, q = (views.palette(spark, d).select(F.col("idx").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in "rgb")) for n in "ab")
+    away = F.round(px.weighted_distance(*(tuple(F.col(f"{n}_{c}") for c in "rgb") for n in "ab")), 9)
+    pairs = p.join(q, F.col("a") != F.col("b")).select("a", "b", away.alias("d"))
+    return rounded(pairs.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("closest"), F.min("d").alias("least")), "least")
+
+
 _LAG = "coalesce(lag({c}) over (partition by img_id,y order by x),0)"
 
 
@@ -163,7 +175,25 @@ def predict_avg(spark: SparkSession, d: str) -> DataFrame:
     return raster.predict_average(views.pixels(spark, d))
 
 
-@query("px_blur_gauss")
+_TAPS = [math.exp(-((i - 2) ** 2) / (2 * 0.6**2)) for i in range(5)]
+
+
+def _blurred(source: str, fixed: str, moving: str) -> str:
+    """One pass of the blur in SQL: five taps, the outermost pixel repeated."""
+    w = f"(partition by img_id,{fixed} order by {moving})"
+    whole = f"(partition by img_id,{fixed} order by {moving} rows between unbounded preceding and unbounded following)"
+
+    def at(c: str, k: int) -> str:
+        if not k:
+            return c
+        near = f"lag({c},{-k}) over {w}" if k < 0 else f"lead({c},{k}) over {w}"
+        return f"coalesce({near},{'first' if k < 0 else 'last'}_value({c}) over {whole})"
+
+    total = np.array(_TAPS).sum()
+    return f"(select img_id,y,x,{','.join('cast(floor(' + '+'.join(f'{float(t / total)!r}::double*{at(c, i - 2)}' for i, t in enumerate(_TAPS)) + f'+0.5::double) as bigint) {c}' for c in 'rgb')} from {source})"
+
+
+@query("px_blur_gauss", f"select * from {_blurred(_blurred('v_pixels', 'y', 'x'), 'x', 'y')} t")
 def blur(spark: SparkSession, d: str) -> DataFrame:
     return raster.blur(views.pixels(spark, d))
 
@@ -178,14 +208,60 @@ def downscale(spark: SparkSession, d: str) -> DataFrame:
     return raster.downscale(views.pixels(spark, d), 8, 8)
 
 
-@query("px_quant_mediancut")
+def _cut(depth: int) -> str:
+    """Median cut in SQL: colours and their buckets, halved `depth` times."""
+    if not depth:
+        return "(select img_id,r,g,b,count(*) n,0 bucket from v_pixels group by 1,2,3,4)"
+    spread = {c: f"round(var_pop({c}) over (partition by img_id,bucket),6) v{c}" for c in "rgb"}
+    wide = f"(select *,case when vr>=vg and vr>=vb then r when vg>=vb then g else b end widest from (select *,{','.join(spread.values())} from {_cut(depth - 1)}))"
+    return f"(select img_id,r,g,b,n,bucket*2+ntile(2) over (partition by img_id,bucket order by widest,r,g,b)-1 bucket from {wide})"
+
+
+_BUCKETS = f"(select img_id,bucket::bigint idx,sum(n)::bigint n,{','.join(f'cast(floor(sum({c}*n)/sum(n)) as bigint) {c}' for c in 'rgb')} from {_cut(4)} group by 1,2)"
+
+
+def _own(palettes: str, weights: tuple[int, int, int]) -> str:
+    d = "+".join(f"{w}*(p.{c}-q.{c})*(p.{c}-q.{c})" for w, c in zip(weights, "rgb", strict=True))
+    return f"select img_id,y,x,r,g,b from (select p.img_id,p.y,p.x,q.r,q.g,q.b,row_number() over (partition by p.img_id,p.y,p.x order by {d},q.idx) k from v_pixels p join {palettes} q on p.img_id=q.img_id) t where k=1"
+
+
+@query("px_quant_mediancut", f"select img_id,idx bucket,n,r,g,b from {_BUCKETS} t")
 def median_cut(spark: SparkSession, d: str) -> DataFrame:
-    return raster.median_cut(views.pixels(spark, d))
+    return raster.median_cut(views.pixels(spark, d)).withColumn("bucket", F.col("bucket").cast("long"))
+
+
+@query("px_map_mediancut", _own(_BUCKETS, (1, 1, 1)))
+def map_median_cut(spark: SparkSession, d: str) -> DataFrame:
+    """Every pixel in the nearest colour of its image's median cut."""
+    p = views.pixels(spark, d)
+    return raster.map_to_own(p, raster.median_cut(p).withColumnRenamed("bucket", "idx"))
+
+
+_CELLS = "(select img_id,level,r>>(8-level) kr,g>>(8-level) kg,b>>(8-level) kb,count(*) n,cast(floor(sum(r)/count(*)) as bigint) r,cast(floor(sum(g)/count(*)) as bigint) g,cast(floor(sum(b)/count(*)) as bigint) b from (select *,unnest(range(0,9)) level from v_pixels) q group by 1,2,3,4,5)"
+_LEAVES = (
+    f"(with cells as {_CELLS}, best as (select img_id,max(level) base,arg_max(m,level) m from (select img_id,level,count(*) m from cells group by 1,2) s where m<=64 group by 1), own as (select c.*,m from cells c join best b on b.img_id=c.img_id and c.level=base), below as (select c.* from cells c join best b on b.img_id=c.img_id and c.level=base+1), "
+    "kids as (select img_id,kr//2 kr,kg//2 kg,kb//2 kb,count(*) children from below group by 1,2,3,4), judged as (select o.*,children,sum(coalesce(children,1)-1) over (partition by o.img_id order by o.n desc,o.kr,o.kg,o.kb rows between unbounded preceding and current row) more from own o left join kids k using (img_id,kr,kg,kb)), "
+    "open as (select * from judged where children is not null and m+more<=64), leaves as (select img_id,level,kr,kg,kb,n,r,g,b from judged where not (children is not null and m+more<=64) union all select w.img_id,w.level,w.kr,w.kg,w.kb,w.n,w.r,w.g,w.b from below w semi join open o on o.img_id=w.img_id and o.kr=w.kr//2 and o.kg=w.kg//2 and o.kb=w.kb//2) "
+    "select img_id,cast(row_number() over (partition by img_id order by level,kr,kg,kb)-1 as bigint) idx,level,n,r,g,b from leaves)"
+)
+_SQUARED = (299 * 299, 587 * 587, 114 * 114)
+
+
+@query("px_octree_leaves", f"select * from {_LEAVES} t")
+def octree_leaves(spark: SparkSession, d: str) -> DataFrame:
+    return raster.octree(views.pixels(spark, d))
+
+
+@query("px_quant_octree", _own(_LEAVES, _SQUARED))
+def octree(spark: SparkSession, d: str) -> DataFrame:
+    """Every pixel in the nearest of at most 64 colours of its image's octree."""
+    p = views.pixels(spark, d)
+    return raster.map_to_own(p, raster.octree(p), _SQUARED)
 
 
 @query("px_dither_fs")
 def dither(spark: SparkSession, d: str) -> DataFrame:
-    return raster.dither(views.pixels(spark, d))
+    return raster.dither(views.pixels(spark, d), views.palette(spark, d))
 
 
 @query("px_histogram", "select channel,value,count(*) n from (select unnest(['r','g','b']) channel,unnest([r,g,b]) value from v_pixels) t group by 1,2")

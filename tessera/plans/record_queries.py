@@ -69,22 +69,15 @@ def base64(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "documents").select("doc_id", packed.alias("packed"), F.decode(F.unbase64(F.regexp_replace(spaced, r"\s", "")), "UTF-8").alias("back"))
 
 
-@query("px_quant_octree", "select img_id,r//32 kr,g//32 kg,b//32 kb,count(*) n,cast(floor(sum(r)/count(*)) as bigint) r,cast(floor(sum(g)/count(*)) as bigint) g,cast(floor(sum(b)/count(*)) as bigint) b from v_pixels group by all")
-def octree(spark: SparkSession, d: str) -> DataFrame:
-    """Mean colour of each octree cell at depth three."""
-    keys = [F.floor(F.col(c) / 32).alias(f"k{c}") for c in "rgb"]
-    return views.pixels(spark, d).groupBy("img_id", *keys).agg(F.count("*").alias("n"), *(F.floor(F.sum(c) / F.count("*")).alias(c) for c in "rgb"))
-
-
 @query(
     "agg_perf_update",
-    f"select event_id,family,n,bytes,violations,longest,{r('mean', digits=3)} from (select event_id,family,count(*) over w n,sum(size) over w::bigint bytes,count(*) filter (elapsed_ms>case when size<512000 then 100 else 150 end) over w violations,max(elapsed_ms) over w longest,avg(elapsed_ms) over w mean from (select *,event_id//1000 run from v_log) l window w as (partition by family,run order by event_id)) t",
+    f"select event_id,family,n,bytes,violations,longest,{r('total_ms', digits=2)} from (select event_id,family,count(*) over w n,sum(size) over w::bigint bytes,count(*) filter (elapsed_ms>case when size<512000 then 100 else 150 end) over w violations,max(elapsed_ms) over w longest,sum(elapsed_ms) over w total_ms from (select *,event_id//1000 run from v_log) l window w as (partition by family,run order by event_id)) t",
 )
 def running_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Counters, longest and mean time after each operation of a run of a thousand."""
+    """Counters, longest and total time after each operation of a run of a thousand."""
     w = Window.partitionBy("family", F.floor(F.col("event_id") / 1000)).orderBy("event_id")
-    out = views.log(spark, d).select("event_id", "family", F.count("*").over(w).alias("n"), F.sum("size").over(w).alias("bytes"), F.count_if(metrics.is_violation()).over(w).alias("violations"), F.max("elapsed_ms").over(w).alias("longest"), F.avg("elapsed_ms").over(w).alias("mean"))
-    return rounded(out, "mean", digits=3)
+    out = views.log(spark, d).select("event_id", "family", F.count("*").over(w).alias("n"), F.sum("size").over(w).alias("bytes"), F.count_if(metrics.is_violation()).over(w).alias("violations"), F.max("elapsed_ms").over(w).alias("longest"), F.sum("elapsed_ms").over(w).alias("total_ms"))
+    return rounded(out, "total_ms", digits=2)
 
 
 @query("agg_ratio", f"select file_id%97 run,{r('case when sum(original_size)=0 then 1.0 else sum(optimized_size)/sum(original_size)::double end ratio', 'avg(success::int) hit_rate')},count(*) n from v_results group by 1")
