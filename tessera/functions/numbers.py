@@ -54,3 +54,17 @@ def first_set(x: Column) -> Column:
 def next_power(x: Column) -> Column:
     """Smallest power of two that is not below x; 1 for less."""
     return F.when(x <= 1, F.lit(1)).otherwise(F.pow(F.lit(2.0), F.length(F.bin(x - F.lit(1))))).cast("long")
+
+
+def identity4() -> Column:
+    return F.array(*(F.lit(1.0 if i == j else 0.0) for i in range(4) for j in range(4)))
+
+
+def transposed4(m: Column) -> Column:
+    """m: sixteen numbers, row by row."""
+    return F.array(*(m[4 * j + i].cast("double") for i in range(4) for j in range(4)))
+
+
+def product4(a: Column, b: Column) -> Column:
+    """The product of two 4 x 4 matrices, row by row."""
+    return F.array(*(sum((a[4 * i + k].cast("double") * b[4 * k + j].cast("double") for k in range(1, 4)), a[4 * i].cast("double") * b[j].cast("double")) for i in range(4) for j in range(4)))

@@ -49,6 +49,21 @@ def fan(polygons: DataFrame) -> DataFrame:
     return steps.select("mesh_id", "pid", "step", F.col("corners")[0].alias("i0"), F.col("corners")[F.col("step")].alias("i1"), F.col("corners")[F.col("step") + 1].alias("i2"))
 
 
+def numbered(df: DataFrame, order: str, name: str, bucket: int = 1 << 16) -> DataFrame:
+    """df with `name`: the place of each row of a mesh, from zero, in the order of a column of distinct numbers.
+
+    Rows are ranked within buckets of the numbers, and buckets are counted, so
+    that no task ranks a whole mesh.
+    """
+    placed = df.withColumn("_bucket", F.floor(F.col(order) / bucket))
+    counts = placed.groupBy("mesh_id", "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("mesh_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("mesh_id", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("mesh_id", "_bucket").orderBy(order)) - 1
+    ranked = placed.withColumn("_rank", rank).join(starts, ["mesh_id", "_bucket"])
+    return ranked.withColumn(name, (F.col("_start") + F.col("_rank")).cast("long")).drop("_bucket", "_start", "_rank")
+
+
 # ---- welding and clustering ----
 
 
@@ -63,8 +78,7 @@ def weld(vertices: DataFrame, faces: DataFrame, tolerance: float, rounded: bool
     """Vertices in one cell become the first of them, unchanged; faces are renumbered, and lose those that collapse unless `degenerate`."""
     keyed = weld_keys(vertices, tolerance, rounded)
     cells = keyed.groupBy("mesh_id", "kx", "ky", "kz").agg(F.min("vid").alias("rep"), *(F.min_by(a, "vid").alias(a) for a in AXES))
-    order = Window.partitionBy("mesh_id").orderBy("rep")
-    cells = cells.withColumn("new_vid", (F.row_number().over(order) - 1).cast("long"))
+    cells = numbered(cells, "rep", "new_vid")
     remap = keyed.select("mesh_id", "vid", "kx", "ky", "kz").join(cells, ["mesh_id", "kx", "ky", "kz"]).select("mesh_id", "vid", "new_vid")
     moved = at_corners(faces, remap, ("new_vid",)).select("mesh_id", "fid", *(F.col(f"new_vid{k}").alias(f"i{k}") for k in range(3)))
     return cells.select("mesh_id", F.col("new_vid").alias("vid"), *AXES), moved if degenerate else drop_degenerate(moved)
@@ -242,11 +256,24 @@ def collapse(vertices: DataFrame, faces: DataFrame, costs: DataFrame, ratio: flo
     return faces.groupBy("mesh_id").cogroup(priced.groupBy("mesh")).applyInPandas(run, "mesh_id long, kind string, id long, i0 long, i1 long, i2 long, x double, y double, z double")
 
 
+def decimate(vertices: DataFrame, faces: DataFrame, ratio: float, algorithm: str) -> DataFrame:
+    """Faces of decimated meshes (mesh_id, fid, i0, i1, i2), by one of `quadric`, `shortest`, `cluster`, `prefix` and `stride`; the ratio is kept within 0.01 and 1."""
+    ratio = min(1.0, max(0.01, ratio))
+    if algorithm in ("quadric", "shortest"):
+        costs = collapse_costs(vertices, faces) if algorithm == "quadric" else edge_lengths(vertices, faces).withColumnRenamed("length2", "cost")
+        return collapse(vertices, faces, costs, ratio).where("kind = 'f'").select("mesh_id", F.col("id").alias("fid"), "i0", "i1", "i2")
+    if algorithm == "cluster":
+        return cluster(vertices, faces, ratio)[1]
+    if algorithm in ("prefix", "stride"):
+        return (decimate_prefix if algorithm == "prefix" else decimate_stride)(faces, ratio)
+    raise ValueError(f"no algorithm {algorithm!r}")
+
+
 def compact(faces: DataFrame) -> DataFrame:
     """Faces without the degenerate ones, vertices renumbered by their first use."""
     kept = drop_degenerate(faces)
     first = corners(kept).groupBy("mesh_id", "vid").agg(F.min(F.col("fid") * 3 + F.col("corner")).alias("use"))
-    number = first.withColumn("new_vid", (F.row_number().over(Window.partitionBy("mesh_id").orderBy("use")) - 1).cast("long"))
+    number = numbered(first, "use", "new_vid")
     return at_corners(kept, number, ("new_vid",)).select("mesh_id", "fid", *(F.col(f"new_vid{k}").alias(f"i{k}") for k in range(3)))
 
 

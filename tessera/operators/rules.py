@@ -44,6 +44,18 @@ MESH_FORMATS = (
     ("Ply", "ply", "model/ply", True, False), ("Fbx", "fbx", "application/octet-stream", True, True),
 )
 
+#: format, name, textures, materials, animations, size to expect of the original's, ways to shorten it (fixed values).
+MESH_INFO = (
+    ("Obj", "Wavefront OBJ", True, True, False, 0.85, "Vertex welding|Normal recalculation|Mesh decimation"), ("Gltf", "GL Transmission Format", True, True, True, 0.75, "JSON minification|Buffer optimization|Mesh primitive merging"),
+    ("Glb", "GL Transmission Format Binary", True, True, True, 0.95, "Conservative optimization|Metadata stripping"), ("Stl", "Stereolithography", False, False, False, 0.7, "Mesh decimation|Normal optimization|Binary conversion"),
+    ("Ply", "Stanford Polygon Format", False, True, False, 0.8, "Property optimization|Binary conversion|Vertex welding"), ("Fbx", "Autodesk Filmbox", True, True, True, 0.9, "Conservative optimization|Metadata cleanup"),
+)
+#: Which encoders an image is tried with: format, animated, encoder, least and most quality; formats with a module of their own have one row (fixed values).
+DISPATCH = (
+    ("WebP", False, "webp", 0, 100), ("WebP", True, "webp", 0, 100), ("Svg", False, "svg", 0, 100), ("Ico", False, "ico", 0, 100), ("Tga", False, "tga", 0, 100), ("Png", False, "png", 0, 100), ("Jpeg", False, "jpeg", 0, 100), ("Tiff", False, "tiff", 0, 100),
+    ("Gif", True, "gif", 0, 100), ("Gif", False, "png", 70, 100), ("Gif", False, "jpeg", 0, 85), ("Gif", False, "webp", 0, 80), ("Bmp", False, "png", 85, 100), ("Bmp", False, "jpeg", 0, 84),
+)
+
 #: format, strategy, least quality, most quality, where lossless is asked for: allowed (fixed values).
 STRATEGIES = (
     ("Jpeg", "reencode", 0, 100, True), ("Jpeg", "webp", 0, 70, False), ("Jpeg", "png", 90, 100, True), ("Jpeg", "gray", 0, 60, False),
@@ -72,5 +84,29 @@ def formats(spark: SparkSession, rows: tuple = IMAGE_FORMATS) -> DataFrame:
     return spark.createDataFrame([(n, e, m, a, b) for n, es, m, a, b in rows for e in es.split(",")], f"format string, extension string, mime string, {names}")
 
 
+def mesh_info(spark: SparkSession) -> DataFrame:
+    """format, name, textures, materials, animations, typical_ratio, strategy: a row for each way to shorten a format."""
+    rows = [(*row[:6], way) for row in MESH_INFO for way in row[6].split("|")]
+    return spark.createDataFrame(rows, "format string, name string, textures boolean, materials boolean, animations boolean, typical_ratio double, strategy string")
+
+
+def dispatch(files: DataFrame) -> DataFrame:
+    """files (file_id, format, animated, quality) -> a row for each encoder that an image is tried with; formats that do not move count as not animated."""
+    table = files.sparkSession.createDataFrame(list(DISPATCH), "format string, animated boolean, encoder string, low int, high int")
+    moving = F.col("animated") & F.col("format").isin("Gif", "WebP")
+    return files.withColumn("animated", moving).join(F.broadcast(table), ["format", "animated"]).where("quality between low and high").select("file_id", "format", "animated", "quality", "encoder")
+
+
+def fast_path(format: Column, animated: Column, quality: Column) -> tuple[Column, Column]:  # noqa: A002
+    """Encoder and quality for files that are too large for a search: animations stay, a still GIF becomes PNG, all others JPEG at eight tenths of the quality."""
+    encoder = F.when(animated & format.isin("Gif", "WebP"), "keep").when(format == "Gif", "png").otherwise("jpeg")
+    return encoder, F.when(encoder == "jpeg", F.floor(quality * 0.8)).otherwise(quality).cast("long")
+
+
+def action(wanted: Column, found: Column) -> Column:
+    """What a request for a format does to a file of a format: names are compared without regard to case."""
+    return F.when(F.lower(wanted) == "auto", "optimize_auto").when(F.lower(wanted) == F.lower(found), F.concat(F.lit("optimize_"), F.lower(found))).otherwise(F.concat(F.lit("convert_to_"), F.lower(wanted)))
+
+
 def strategies(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(STRATEGIES), "format string, strategy string, low int, high int, lossless_ok boolean")

@@ -20,7 +20,7 @@ _NAME = "regexp_extract(path,'([^/]*)$',1)"
 
 def values(rows: tuple, names: str) -> str:
     def one(v: object) -> str:
-        return str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else f"'{v}'"
+        return str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else f"{v}::double" if isinstance(v, float) else f"'{v}'"
 
     return f"(values {','.join('(' + ','.join(map(one, row)) + ')' for row in rows)}) as k({names})"
 
@@ -45,9 +45,15 @@ def family(spark: SparkSession, d: str) -> DataFrame:
     return views.files(spark, d).groupBy(files.family(F.col("path")).alias("family")).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
 
 
-@query("src_preview_skip_bg", "select p_partkey,p_name from part where not regexp_matches(lower(p_name),'plane|background|a.*e')")
+_PARTS = "['Wing','Ground PLANE','body','Background_1','plan','backplane','Door']"
+
+
+@query("src_preview_skip_bg", f"select * from (select p_partkey,{_PARTS}[p_partkey%7+1]||' '||p_name name from part) t where lower(name) not like '%plane%' and lower(name) not like '%background%'")
 def skip_background(spark: SparkSession, d: str) -> DataFrame:
-    return views.table(spark, d, "part").where(~F.lower("p_name").rlike("plane|background|a.*e")).select("p_partkey", "p_name")
+    """Parts of a scene but its floor and background."""
+    part = F.element_at(F.array(*map(F.lit, ("Wing", "Ground PLANE", "body", "Background_1", "plan", "backplane", "Door"))), (F.col("p_partkey") % 7 + 1).cast("int"))
+    named = views.table(spark, d, "part").select("p_partkey", F.concat(part, F.lit(" "), "p_name").alias("name"))
+    return named.where(~F.lower("name").rlike("plane|background"))
 
 
 @query("sink_download", rf"select file_id, regexp_replace({_NAME},'\.[^.]*$','') || '_opt.' || {_EXT} out_name from v_files where length>0")
@@ -69,8 +75,13 @@ def ext_mime_mesh(spark: SparkSession, d: str) -> DataFrame:
     return files.with_format(views.files(spark, d), rules.MESH_FORMATS).select("file_id", "extension", "format", "mime", "is_binary", "materials")
 
 
-@query("dim_mesh_info", f"select * from {_formats(rules.MESH_FORMATS, 'is_binary,materials')}")
+@query("dim_mesh_info", f"select format,name,textures,materials,animations,typical_ratio,unnest(string_split(ways,'|')) strategy from {values(rules.MESH_INFO, 'format,name,textures,materials,animations,typical_ratio,ways')}")
 def mesh_info(spark: SparkSession, d: str) -> DataFrame:
+    return rules.mesh_info(spark)
+
+
+@query("dim_mesh_formats", f"select * from {_formats(rules.MESH_FORMATS, 'is_binary,materials')}")
+def mesh_formats(spark: SparkSession, d: str) -> DataFrame:
     return rules.formats(spark, rules.MESH_FORMATS)
 
 
@@ -234,6 +245,35 @@ def strategies(spark: SparkSession, d: str) -> DataFrame:
     return containers.plan_candidates(made)
 
 
+_KINDS = ("Png", "Jpeg", "Gif", "Bmp", "Tiff", "WebP", "Svg", "Ico", "Tga")
+_IMAGES_MADE = f"(select p_partkey file_id, [{','.join(repr(k) for k in _KINDS)}][p_partkey%9+1] format, p_partkey%4=0 animated, (p_size*2)::bigint quality from part)"
+
+
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return views.table(spark, d, "part").select(k.alias("file_id"), F.element_at(F.array(*map(F.lit, _KINDS)), (k % 9 + 1).cast("int")).alias("format"), (k % 4 == 0).alias("animated"), (F.col("p_size") * 2).cast("long").alias("quality"))
+
+
+@query("img_dispatch", f"select file_id,i.format,i.animated and i.format in ('Gif','WebP') animated,quality,encoder from {_IMAGES_MADE} i join {values(rules.DISPATCH, 'format,animated,encoder,low,high')} on i.format=k.format and (i.animated and i.format in ('Gif','WebP'))=k.animated where quality between low and high")
+def img_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    return rules.dispatch(_images(spark, d))
+
+
+@query("img_fast_path", f"select file_id,case when animated and format in ('Gif','WebP') then 'keep' when format='Gif' then 'png' else 'jpeg' end encoder,case when (animated and format in ('Gif','WebP')) or format='Gif' then quality else cast(floor(quality*0.8::double) as bigint) end quality from {_IMAGES_MADE} i")
+def img_fast_path(spark: SparkSession, d: str) -> DataFrame:
+    encoder, quality = rules.fast_path(F.col("format"), F.col("animated"), F.col("quality"))
+    return _images(spark, d).select("file_id", encoder.alias("encoder"), quality.alias("quality"))
+
+
+_WANTED = ("auto", "png", "JPEG", "webp", "Gif")
+
+
+@query("ui_route", f"select file_id,case when lower(w)='auto' then 'optimize_auto' when lower(w)=lower(format) then 'optimize_'||lower(format) else 'convert_to_'||lower(w) end act from (select *,[{','.join(repr(w) for w in _WANTED)}][file_id%5+1] w from {_IMAGES_MADE} i) t")
+def ui_route(spark: SparkSession, d: str) -> DataFrame:
+    wanted = F.element_at(F.array(*map(F.lit, _WANTED)), (F.col("file_id") % 5 + 1).cast("int"))
+    return _images(spark, d).select("file_id", rules.action(wanted, F.col("format")).alias("act"))
+
+
 @query("gate_size", f"select route,count(*) n from (select case when family='mesh' then 'mesh' when length>2097152 then 'aggressive' when length>100000 then 'fast' else 'full' end route from (select *,case when {_EXT} in ({_MESHES}) then 'mesh' else 'image' end family from v_files) a) b group by 1")
 def gate(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(files.family(F.col("path")) == "mesh", "mesh").otherwise("image")

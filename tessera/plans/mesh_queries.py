@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,6 +146,21 @@ def decimate_stride(spark: SparkSession, d: str) -> DataFrame:
     return mesh.decimate_stride(views.faces(spark, d), 0.3)
 
 
+@query(
+    "mesh_decimate_dispatch",
+    nested(
+        _CELLS,
+        "select 'cluster' algorithm,f.mesh_id,count(*) faces from v_faces f join m a on a.mesh_id=f.mesh_id and a.vid=f.i0 join m b on b.mesh_id=f.mesh_id and b.vid=f.i1 join m c on c.mesh_id=f.mesh_id and c.vid=f.i2 where a.nv<>b.nv and b.nv<>c.nv and a.nv<>c.nv group by 2 "
+        "union all select 'prefix',mesh_id,count(*) from v_faces group by 2 union all select 'stride',mesh_id,greatest(cast(floor(count(*)*0.3) as bigint),1) from v_faces group by 2",
+    ),
+)
+def decimate_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """Faces that three algorithms leave; a ratio above one counts as one."""
+    v, f = views.vertices(spark, d), views.faces(spark, d)
+    left = (mesh.decimate(v, f, ratio, name).groupBy("mesh_id").agg(F.count("*").alias("faces")).select(F.lit(name).alias("algorithm"), "mesh_id", "faces") for name, ratio in (("cluster", 0.5), ("prefix", 5.0), ("stride", 0.3)))
+    return reduce(DataFrame.unionByName, left)
+
+
 @query(
     "mesh_compact",
     nested(

@@ -162,6 +162,18 @@ def mat_mul(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cells.groupBy("i", "c.j").agg(F.sum(F.col("a").cast("double") * F.col("c.b")).alias("v")), "v")
 
 
+_CELL = "+".join(f"embedding[i*4+{k + 1}]::double*embedding[j*4+{k + 1}]" for k in range(4))
+
+
+@query("mat4", f"select vec_id,i*4+j cell,{r(f'{_CELL} v', 'embedding[j*4+i+1]::double turned', 'embedding[i*4+j+1]::double same')} from embeddings cross join (select unnest(range(0,4)) i) a cross join (select unnest(range(0,4)) j) b")
+def mat4(spark: SparkSession, d: str) -> DataFrame:
+    """Of the first sixteen components as a matrix: its product with its transpose, the transpose, and its product with the identity."""
+    m = F.col("embedding")
+    made = views.table(spark, d, "embeddings").select("vec_id", F.arrays_zip(numbers.product4(m, numbers.transposed4(m)).alias("v"), numbers.transposed4(m).alias("turned"), numbers.product4(m, numbers.identity4()).alias("same")).alias("z"))
+    each = made.select("vec_id", F.posexplode("z").alias("cell", "e"))
+    return rounded(each.select("vec_id", F.col("cell").cast("long").alias("cell"), "e.v", "e.turned", "e.same"), "v", "turned", "same")
+
+
 @query("fmt_bytes", "select file_id, case when n<1024 then n||' B' when n<1048576 then printf('%.1f',round(n/1024.0::double,1))||' KB' when n<1073741824 then printf('%.1f',round(n/1048576.0::double,1))||' MB' else printf('%.1f',round(n/1073741824.0::double,1))||' GB' end s from (select file_id, length*(file_id%700) n from v_files) t")
 def fmt_bytes(spark: SparkSession, d: str) -> DataFrame:
     return views.files(spark, d).select("file_id", text.human_bytes(F.col("length") * (F.col("file_id") % 700)).alias("s"))
