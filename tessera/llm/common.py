@@ -55,6 +55,16 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+    def drop_but(self, prefix: str, *names: str) -> None:
+        """Drops the tables whose names begin with the prefix, but those named."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        for entry in root.getFileSystem(conf).listStatus(root):
+            name = entry.getPath().getName()
+            if name.startswith(prefix) and name not in names:
+                self.drop(name)
+
+
 def schema_with(df: DataFrame, **kinds: str) -> StructType:
     """The schema of df and more columns after it."""
     return StructType([*df.schema.fields, *(StructField(name, _parse_datatype_string(kind)) for name, kind in kinds.items())])

@@ -34,6 +34,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
         edges = scratch.write(
             edges.join(x, "a").join(y, "b").where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), f"{name}-edges-{step}"
         )
+    scratch.drop_but(f"{name}-edges-")
+    scratch.drop_but(f"{name}-up-")
     if not maps:
         return spark.createDataFrame([], "node bigint, label bigint")
     label = maps[-1].select("node", F.col("up").alias("label"))

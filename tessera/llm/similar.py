@@ -291,5 +291,5 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, scratch: Scratc
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     kept = made.select("row", "sig").join(known, "sig").join(ids, "row").groupBy("label").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row))
     kept = scratch.write(kept, "dedup-kept")
-    scratch.drop("dedup-shared", "dedup-sketches", "dedup-held", "dedup-sizes")
+    scratch.drop_but("dedup-", "dedup-numbered", "dedup-kept")
     return numbered.join(kept, row, "left_semi").drop(row)

@@ -265,6 +265,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
         return pd.DataFrame({"shard": [key[0]], "tree": [pickle.dumps((tree, [list(x) for x in group["ids"]]))]})
 
     trees = scratch.write(dealt.select("shard", "v", "ids").groupBy("shard").applyInPandas(build, "shard bigint, tree binary"), "ann-trees")
+    scratch.drop("ann-distinct", "ann-placed")
     shared = spark.sparkContext.broadcast((radius, parts, start))
     tasks = max(partitions(spark), min(4 * CELLS, 2 * int(parts.sum())))
 
