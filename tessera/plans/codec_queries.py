@@ -68,6 +68,25 @@ def png_palette(spark: SparkSession, d: str) -> DataFrame:
     return checked(read(made, "Png"), "img_id")
 
 
+@query("conv_gif", _nested(f"select img_id,count(*) n,{_sum('q.r', 'q.g', 'q.b', '255')} checksum from ({_NEAREST.format(w=_PLAIN).replace('v_pixels', 'whole')}) i join v_palette q using (idx) group by 1"))
+def conv_gif(spark: SparkSession, d: str) -> DataFrame:
+    """Images in the colours of the palette, as GIF, read back."""
+    palette = views.palette(spark, d)
+    near = raster.expand(raster.nearest(whole(spark, d), palette), palette).withColumn("a", F.lit(255).cast("long"))
+    return checked(read(rasters.write_gif(rasters.images(near)), "Gif"), "img_id")
+
+
+@query("conv_ico", _nested(f"select img_id,max(x)+1 w,max(y)+1 h,count(*) n,{_sum()} checksum from whole group by 1"))
+def conv_ico(spark: SparkSession, d: str) -> DataFrame:
+    """Images as PNG in an icon file of one entry, taken out and read back."""
+    made = rasters.png_candidates(rasters.images(whole(spark, d))).where("strategy = 'rgba-adaptive'")
+    c = F.col("content")
+    entries = made.select(F.col("img_id").alias("file_id"), F.lit(0).cast("long").alias("idx"), detect.big(c, 16, 4).alias("w"), detect.big(c, 20, 4).alias("h"), F.lit(32).cast("long").alias("bpp"), c.alias("data"))
+    icons = containers.parse_icons(containers.serialize_icons(entries).select(F.col("file_id").cast("string").alias("path"), "content"))
+    found = icons.select(F.col("path").cast("long").alias("img_id"), "w", "h", F.col("data").alias("content"))
+    return found.select("img_id", "w", "h").join(checked(read(found, "Png"), "img_id"), "img_id")
+
+
 _GRAY = "((r*299+g*587+b*114+500)//1000)"
 
 
