@@ -36,11 +36,6 @@ SMALL_GROUP, LARGE_GROUP = 8, 4096
 # ---- fingerprints ----
 
 
-@lru_cache(1)
-def _byte_bits() -> np.ndarray:
-    return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-
-
 def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
     """XXH64 of all shingles of a text, repeats included, for pieces of it. Only A-Z are lower-cased; words stand between ASCII white space."""
     data, whole = (text or "").encode("utf-8", "surrogatepass").lower(), True
@@ -56,13 +51,13 @@ def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
 
 def bits_of(hashes: Iterable[np.ndarray]) -> int:
     """The fingerprint, as a signed long: a bit is set if it is in more than half of the hashes; zero for none."""
-    ones, n = np.zeros((8, 8), np.int64), 0
+    ones, n = np.zeros(64, np.int64), 0
     for h in hashes:
         n += len(h)
-        octets = h.astype("<u8").view(np.uint8).reshape(-1, 8)
-        for k in range(8):
-            ones[k] += np.bincount(octets[:, k], minlength=256) @ _byte_bits()
-    return _signed(sum(1 << i for i, count in enumerate(ones.ravel().tolist()) if 2 * count > n))
+        for i in range(0, len(h), 4096):
+            octets = h[i : i + 4096].astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return _signed(int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little"))
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:

@@ -30,14 +30,15 @@ PARTNERS = 16
 #: Members of a key that one task compares with each other; larger groups are dealt to several. Members that stand for a group's middle.
 GROUP, MIDDLE = 8192, 256
 #: Shingles that are hashed to places at once.
-AT_ONCE = 4096
+AT_ONCE = 512
 
-_TURNS = np.random.default_rng(5).integers(0, 1 << 32, PLACES, np.uint64).astype(np.uint32)[:, None] | np.uint32(1)
+_TURNS = np.random.default_rng(5).integers(0, 1 << 32, PLACES, np.uint64).astype(np.uint32) | np.uint32(1)
 
 
 def set_of(hashes: list[np.ndarray]) -> np.ndarray:
     """The distinct shingles of a text, as ascending numbers of 32 bits."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint32), *(np.unique((h >> np.uint64(32)).astype(np.uint32)) for h in hashes)]))
+    parts = [(h >> np.uint64(32)).astype(np.uint32) for h in hashes] or [np.zeros(0, np.uint32)]
+    return np.unique(parts[0] if len(parts) == 1 else np.concatenate(parts))
 
 
 def sketch_of(shingles: np.ndarray) -> np.ndarray:
@@ -46,8 +47,7 @@ def sketch_of(shingles: np.ndarray) -> np.ndarray:
     mixed = (shingles ^ (shingles >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     mixed ^= mixed >> np.uint32(12)
     for i in range(0, len(mixed), AT_ONCE):
-        turned = mixed[None, i : i + AT_ONCE] * _TURNS
-        np.minimum(least, turned.min(axis=1), out=least)
+        np.minimum(least, (mixed[i : i + AT_ONCE, None] * _TURNS).min(axis=0), out=least)
     return least
 
 
@@ -57,26 +57,31 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def bands_of(least: np.ndarray) -> np.ndarray:
+    """Keys of the bands of one sketch, or of the rows of several."""
     band = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(BAND):
-        band = _mixed(band * np.uint64(31) + least[i * BANDS : (i + 1) * BANDS])
+        band = _mixed(band * np.uint64(31) + least[..., i * BANDS : (i + 1) * BANDS])
     return ((band & np.uint64((1 << 62) - 1)) | np.uint64(1 << 62)).astype(np.int64)
 
 
+def octets_of(least: np.ndarray) -> np.ndarray:
+    """One byte for each place of a sketch, by which sketches are compared."""
+    return (_mixed(least.astype(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["row", "sig", "fp", "bands", "sketch", "shingles"]
     for b in batches:
-        sigs, fps, bands, sketches, sets = [], [], [], [], []
-        for text in values_of(b.column(1)):
+        sigs, fps, least, sets = [], [], np.empty((b.num_rows, PLACES), np.uint32), []
+        for k, text in enumerate(values_of(b.column(1))):
             hashes = list(shingle_hashes(text, WIDTH))
             own = set_of(hashes)
-            least = sketch_of(own)
+            least[k] = sketch_of(own)
             spread = _mixed(own.astype(np.uint64) + np.uint64(1 << 33))
             sigs.append(np.array([spread.sum(dtype=np.uint64), np.bitwise_xor.reduce(spread), len(own)], np.uint64).tobytes())
             fps.append(bits_of(hashes))
-            bands.append(bands_of(least).tobytes())
-            sketches.append((_mixed(least.astype(np.uint64)) & np.uint64(0xFF)).astype(np.uint8).tobytes())
             sets.append(own.tobytes())
+        bands, sketches = [x.tobytes() for x in bands_of(least)], [x.tobytes() for x in octets_of(least)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary()), pa.array(fps, pa.int64()), *(pa.array(x, pa.binary()) for x in (bands, sketches, sets))], names)
 
 
@@ -206,7 +211,7 @@ def similar_components(reps: DataFrame, similarity: float, scratch: Scratch) ->
     keyed = reps.select("rep", "fp", "bands").mapInArrow(_keys, "key bigint, rep bigint")
     sized = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").distinct()
     shared = scratch.write(sized.select("key", "rep", F.ceil(F.col("n") / GROUP).cast("int").alias("parts")), "dedup-shared")
-    held = scratch.write(those_of(reps.select("rep", "sketch", "shingles"), scratch.write(shared.select("rep").distinct(), "dedup-some"), "rep"), "dedup-held")
+    held = scratch.write(those_of(reps.select("rep", "sketch"), scratch.write(shared.select("rep").distinct(), "dedup-some"), "rep"), "dedup-held")
     group = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", "part"))
     part = F.when(F.col("parts") == 1, 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int")
     members = shared.withColumn("part", part).withColumn("group", group)
@@ -219,12 +224,16 @@ def similar_components(reps: DataFrame, similarity: float, scratch: Scratch) ->
     proposed = first.repartition(n, "group").sortWithinPartitions("group", "rep").mapInArrow(_proposals(least), "a bigint, b bigint")
     compared, label, most, step = None, None, PARTNERS, 0
     while True:
-        pairs = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        one, two = held.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), held.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
+        pairs = scratch.write(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"dedup-pairs-{step}")
+        # Sets of shingles are read for the members of pairs alone.
+        met = scratch.write(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), f"dedup-met-{step}")
+        sets = scratch.write(those_of(reps.select("rep", "shingles"), met, "rep"), f"dedup-sets-{step}")
+        one, two = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
         got = scratch.write(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_compare, "a bigint, b bigint, j double"), f"dedup-compared-{step}")
         if step and got.isEmpty():
             break
         compared = got if compared is None else compared.unionByName(got)
+        scratch.drop(f"dedup-sets-{step}", f"dedup-met-{step}", f"dedup-pairs-{step}")
         if label is None or not got.where(F.col("j") >= similarity).isEmpty():
             label = connected_components(compared.where(F.col("j") >= similarity).select("a", "b"), scratch, f"dedup-cc-{step}")
         failed = got.where(F.col("j") < similarity)

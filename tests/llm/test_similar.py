@@ -33,7 +33,7 @@ def test_recall_by_length(n, share):
             h = [np.concatenate([both, rnd.integers(0, 1 << 63, n - common).astype(np.uint64)])]
             least = similar.sketch_of(similar.set_of(h))
             keys.append({*similar.bands_of(least).tolist(), *keys_of(np.array([bits_of(h)]))[0].tolist()})
-            sketches.append((similar._mixed(least.astype(np.uint64)) & np.uint64(0xFF)).astype(np.uint8))
+            sketches.append(similar.octets_of(least))
         found += bool(keys[0] & keys[1]) and (sketches[0] == sketches[1]).mean() >= similar.SIMILARITY - similar.ALLOWANCE
     assert found >= (0.95 if share >= 0.8 else 0.1) * 300
 
