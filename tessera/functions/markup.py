@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.sources.rasters import UNREADABLE
 from tessera.sources.writers import glb_of
 
 #: Elements without effect, colour attributes, versions that say nothing, keys that a viewer does not need (fixed values).
@@ -139,7 +140,7 @@ def _each(change: Callable[[bytes], bytes]) -> Callable[[Column], Column]:
     def one(data: bytes | None) -> bytes | None:
         try:
             return None if data is None else change(bytes(data))
-        except (ValueError, KeyError, IndexError, TypeError):
+        except UNREADABLE:
             return None
 
     @F.pandas_udf("binary")

@@ -58,7 +58,7 @@ def _parse(kind: pd.Series, content: pd.Series, quality: pd.Series) -> pd.DataFr
     for k, data, q in zip(kind, content, quality, strict=True):
         try:
             rows.append(_parsed(k, bytes(data), int(q)) if k is not None and data is not None else (None, None))
-        except (ValueError, KeyError, IndexError, TypeError, ArithmeticError):
+        except rasters.UNREADABLE:
             rows.append((None, None))
     return pd.DataFrame(rows, columns=["strategy", "content"])
 

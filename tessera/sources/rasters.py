@@ -20,6 +20,8 @@ from tessera.sources.chunks import WALKERS
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 #: Channels of a PNG's colour types (fixed values).
 PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+#: What a reader raises for a file that it can't read.
+UNREADABLE = (ValueError, KeyError, IndexError, TypeError, ArithmeticError, StopIteration, RuntimeError, struct.error, zlib.error)
 FILTERS = ("none", "sub", "up", "average", "paeth", "adaptive")
 
 
@@ -270,7 +272,7 @@ def read_pixels(files: DataFrame) -> tuple[DataFrame, DataFrame]:
                 try:
                     x = READERS[name](data)
                     out.append({"w": x.shape[1], "data": x.reshape(-1, 4).astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1]), "error": None})
-                except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error) as e:
+                except UNREADABLE as e:
                     out.append({"w": None, "data": None, "error": f"{type(e).__name__}: {e}"[:200]})
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], ["path", "image"])
 

@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, Stru
 from tessera.operators import optimize
 from tessera.sources.chunks import WALKERS
 from tessera.sources.meshes import READERS
+from tessera.sources.rasters import UNREADABLE
 
 #: First bytes, in hexadecimal digits, by which SQL tells formats apart.
 _HEADS = {
@@ -38,7 +40,7 @@ def _optimized(content: pd.Series, quality: pd.Series) -> pd.Series:
         kind = next((k for k, head in (("Png", b"\x89PNG"), ("Bmp", b"BM"), ("Gif", b"GIF8"), ("Glb", b"glTF"), ("Svg", b"<svg"), ("Svg", b"<?xml"), ("Gltf", b"{")) if data.lstrip().startswith(head)), None)
         try:
             made = optimize._parsed(kind, data, q)[1] if kind else data
-        except (ValueError, KeyError, IndexError, TypeError, ArithmeticError):
+        except UNREADABLE:
             made = data
         return made if len(made) < len(data) else data
 
@@ -47,21 +49,25 @@ def _optimized(content: pd.Series, quality: pd.Series) -> pd.Series:
 
 @udtf(returnType=StructType([StructField("seq", LongType()), StructField("tag", StringType()), StructField("offset", LongType()), StructField("len", LongType())]))
 class ParseChunks:
-    """The chunks of one container file."""
+    """The chunks of one container file, as far as it can be read."""
 
     def eval(self, content: bytes, format: str) -> Iterator[tuple]:  # noqa: A002
         if content is not None and format in WALKERS:
-            for seq, (tag, offset, n) in enumerate(WALKERS[format](bytes(content))):
-                yield seq, tag, offset, n
+            with contextlib.suppress(*UNREADABLE):
+                for seq, (tag, offset, n) in enumerate(WALKERS[format](bytes(content))):
+                    yield seq, tag, offset, n
 
 
 @udtf(returnType=StructType([StructField("kind", StringType()), StructField("id", LongType()), *(StructField(c, DoubleType()) for c in "abc")]))
 class ParseMesh:
-    """The vertices and triangles of one mesh file of a binary or tree format."""
+    """The vertices and triangles of one mesh file of a binary or tree format; no row for a file that can't be read."""
 
     def eval(self, content: bytes, format: str) -> Iterator[tuple]:  # noqa: A002
         if content is not None and format in READERS:
-            points, corners = READERS[format](bytes(content))
+            try:
+                points, corners = READERS[format](bytes(content))
+            except UNREADABLE:
+                return
             for kind, rows in (("v", points), ("f", corners)):
                 for k, (a, b, c) in enumerate(rows.tolist()):
                     yield kind, k, float(a), float(b), float(c)
