@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from tessera.llm.chat import OP8_SQL, op8_chat_grammar
+from tessera.llm.collocations import OP12_SQL, op12_phrase_collocations
 from tessera.llm.decontam import op10_decontaminate_lsa
 from tessera.llm.langid import op4_language_viterbi
+from tessera.llm.maxscore import OP13_SQL, op13_maxscore_search
 from tessera.llm.mixing import op2_mix_sources
+from tessera.llm.periodic import op11_periodic_runs
 from tessera.llm.pii import op9_personal_data
 from tessera.llm.resample import op1_importance_resampling
 from tessera.llm.simhash import op3_simhash_golay
@@ -24,7 +27,12 @@ QUERIES = {
     "op8_chat_grammar": op8_chat_grammar,
     "op9_personal_data": op9_personal_data,
     "op10_decontaminate_lsa": op10_decontaminate_lsa,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_maxscore_search": op13_maxscore_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_chat_grammar": OP8_SQL,
+    "op12_phrase_collocations": OP12_SQL,
+    "op13_maxscore_search": OP13_SQL,
 }
