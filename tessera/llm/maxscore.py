@@ -53,7 +53,7 @@ class Shard:
             self.blocks.append((low, np.ascontiguousarray(own.T), own.max(axis=0), own.min(axis=0)))
 
     def best(self, query: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-        """Scores and ids of the k best, best first, equals by the smaller id; postings that were read."""
+        """Scores and ids of the k best, best first, equals by the smaller id; postings that were read. A score beyond a long is the nearest long."""
         scores, ids, read = np.zeros(0, query.dtype), np.zeros(0, np.int64), 0
         for low, columns, most, least in self.blocks:
             bound = np.maximum(np.maximum(query * most, query * least), 0)
@@ -81,6 +81,8 @@ class Shard:
                 some = term[at : at + PROBE]
                 read += len(some) * len(place)
                 have = have + (columns[np.ix_(some, place)] * columns_q[some]).sum(axis=0)
+            if have.dtype == object:
+                have = np.array([max(1 - _LONG, min(_LONG - 1, s)) for s in have.tolist()], dtype=object)
             key = self.ids[low + place]
             if own is not None:
                 other = key != own
@@ -113,7 +115,7 @@ def quantised(vectors: list, scale: int = SCALE) -> np.ndarray:
 
 
 def _answers(k: int, scale: int):
-    """Rows of (shard, part): its postings, then its queries; out: the k best of the shard for each query. Scores beyond a long saturate."""
+    """Rows of (shard, part): its postings, then its queries; out: the k best of the shard for each query."""
     kind = pa.list_(pa.struct([("loss", pa.int64()), ("vec_id", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +130,7 @@ def _answers(k: int, scale: int):
                     ask = quantised([b.column("embedding")[i].as_py()], scale)[0]
                     score, ids, _ = shard.best(ask, k, query)
                     asked.append(i)
-                    found.append([{"loss": -max(1 - _LONG, min(_LONG - 1, int(s))), "vec_id": v} for s, v in zip(score.tolist(), ids.tolist(), strict=True)])
+                    found.append([{"loss": -int(s), "vec_id": v} for s, v in zip(score.tolist(), ids.tolist(), strict=True)])
             at = pa.array(asked, pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("query_id", "ask", "shard")), pa.array(found, kind)], ["query_id", "ask", "shard", "found"])
 
@@ -142,8 +144,8 @@ def top_scores(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int =
     non-finite component, and null ids, take no part; zero vectors do, with
     score 0. Rows that repeat both id and vector count once. Vectors must have
     one length. Other columns are not looked at. An empty table gives no rows.
-    Products beyond 62 bits are summed as whole numbers of any size, and
-    scores beyond a long are reported as the nearest long.
+    Products beyond 62 bits are summed as whole numbers of any size; a score
+    beyond a long counts as the nearest long.
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark)
