@@ -84,20 +84,6 @@ def frame_hash(s: Column) -> Column:
     return F.aggregate(_bytes(s), start, step, lambda a: (a["hi"].cast("decimal(20,0)") * 4294967296 + a["lo"]).cast("decimal(20,0)").cast("string"))
 
 
-def huffman_bits(s: Column) -> Column:
-    """Length in bits of the bytes under an optimal prefix code: the sum of the weights of all inner nodes; 0 for fewer than two kinds of bytes."""
-    ordered = F.array_sort(_bytes(s))
-    runs = F.transform(F.array_distinct(ordered), lambda v: F.size(F.filter(ordered, lambda x: x == v)).cast("long"))
-    start = F.struct(F.array_sort(runs).alias("left"), F.lit(0).cast("long").alias("cost"))
-
-    def merge(a: Column, _: Column) -> Column:
-        both = a["left"][0] + a["left"][1]
-        return F.struct(F.array_sort(F.array_append(F.slice(a["left"], 3, 256), both)).alias("left"), (a["cost"] + both).alias("cost"))
-
-    turns = F.when(F.size(runs) > 1, F.sequence(F.lit(2), F.size(runs))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(turns, start, merge, lambda a: a["cost"])
-
-
 def human_bytes(n: Column) -> Column:
     def of(unit: int, name: str) -> Column:
         return F.concat(F.format_string("%.1f", F.round(n / float(unit), 1)), F.lit(f" {name}"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera import sqlfunctions
 from tessera.operators import optimize
 from tessera.plans import views
-from tessera.plans.codec_queries import whole
+from tessera.plans.codec_queries import _W, _sum, checked, whole
 from tessera.plans.markup_queries import _svg, svg_files
 from tessera.plans.registry import query
 from tessera.sources import rasters
@@ -33,12 +33,20 @@ def opt_auto(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("path").cast("long").alias("p_partkey"), "format", "strategy", F.decode("content", "UTF-8").alias("made"), "optimized_size")
 
 
-@query("opt_image", "select img_id,true shorter,'png' kind,count(*) pixels from v_pixels p where y<(select count(*)//16 from v_pixels q where q.img_id=p.img_id) group by 1")
+@query("opt_image", f"select * from (with {_W} select img_id,54+48*(max(y)+1) original,true as expected,count(*) n,{_sum(a='255')} checksum from whole group by 1)")
 def opt_image(spark: SparkSession, d: str) -> DataFrame:
-    """BMP files that become PNG: whether they are shorter, what they are, and how many pixels they give when read again."""
-    made = optimize.optimize(rasters.write_bmp(whole(spark, d)).select(F.col("img_id").cast("string").alias("path"), "content"))
-    back = rasters.read_pixels(made.select("path", F.lit("Png").alias("format"), "content"))[0].groupBy("path").agg(F.count("*").alias("pixels"))
-    return made.join(back, "path").select(F.col("path").cast("long").alias("img_id"), (F.col("optimized_size") < F.col("original_size")).alias("shorter"), F.substring_index("strategy", "-", 1).alias("kind"), "pixels")
+    """BMP files and the shortest form of each, read again in the format that it has.
+
+    Their sizes before; whether a file is a PNG exactly if that is shorter, and
+    the BMP as it was if not; and how many pixels it gives, and which.
+    """
+    files = rasters.write_bmp(whole(spark, d)).select(F.col("img_id").cast("string").alias("path"), "content").repartition("path")  # files are made once, whatever reads them
+    made = optimize.optimize(files).withColumn("now", F.when(F.substring("content", 1, 8) == F.unhex(F.lit("89504E470D0A1A0A")), "Png").otherwise("Bmp"))
+    size, before = F.col("optimized_size"), F.col("original_size")
+    expected = F.when(size < before, (F.col("now") == "Png") & F.col("strategy").like("png-%")).otherwise((F.col("now") == "Bmp") & (F.col("strategy") == "keep") & (size == before))
+    back = rasters.read_pixels(made.select("path", F.col("now").alias("format"), "content"))[0]
+    found = made.select("path", before.alias("original"), expected.alias("expected")).join(checked(back, "path"), "path")
+    return found.select(F.col("path").cast("long").alias("img_id"), "original", "expected", "n", "checksum")
 
 
 @query("api_sql_functions", "select file_id, case when h like '676C5446%' then 'mesh:Glb' when h like '4B617964617261%' or h like '3B2046425820%' then 'mesh:Fbx' when h like '706C790A%' or h like '706C790D0A%' then 'mesh:Ply' when h like '762030%' or contains(h,'0A762031') then 'mesh:Obj' else 'unknown' end format, h like '676C5446%' glb from v_samples")

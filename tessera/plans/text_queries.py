@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers, text
+from tessera.operators import entropy as codes
 from tessera.plans import views
 from tessera.plans.mesh_queries import r
 from tessera.plans.registry import query, rounded
@@ -98,14 +99,14 @@ def crc32(spark: SparkSession, d: str) -> DataFrame:
 
 @query("cmp_byte_histogram", f"select b byte, count(*) n from (select unnest(bytes) b from {_ITEMS} t) u group by 1")
 def byte_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select(F.explode(text._bytes(F.col("text"))).alias("byte")).groupBy("byte").agg(F.count("*").alias("n"))
+    counts = _docs(spark, d).select(F.explode(codes.byte_counts(F.encode("text", "UTF-8"))).alias("c"))
+    return counts.groupBy(F.col("c.byte").cast("long").alias("byte")).agg(F.sum("c.n").alias("n"))
 
 
 @query("cmp_entropy", f"select doc_id, {r('-sum(n/t::double*log2(n/t::double)) bits')} from (select doc_id,b,count(*) n,sum(count(*)) over (partition by doc_id) t from (select doc_id,unnest(bytes) b from {_ITEMS} q) u group by 1,2) w group by 1")
 def entropy(spark: SparkSession, d: str) -> DataFrame:
-    each = _docs(spark, d).select("doc_id", F.explode(text._bytes(F.col("text"))).alias("b")).groupBy("doc_id", "b").agg(F.count("*").alias("n"))
-    total = each.groupBy("doc_id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    return rounded(total.select("doc_id", (F.log2("t") - F.col("s") / F.col("t")).alias("bits")), "bits")
+    bits = codes.entropy_bits(codes.byte_counts(F.encode("text", "UTF-8")))
+    return rounded(_docs(spark, d).select("doc_id", bits.alias("bits")).where("bits is not null"), "bits")
 
 
 @query("cmp_choose", f"select doc_id, case when len(bytes)=0 then 'NONE' when len(list_distinct(list_slice(bytes,1,4096)))<=16 then 'HUFFMAN' when len(bytes)>1024 then 'LZ4' else 'HUFFMAN' end codec from {_ITEMS} t")
@@ -121,7 +122,32 @@ def choose(spark: SparkSession, d: str) -> DataFrame:
     f"with recursive h as (select doc_id, list_sort(list(n)) l, 0::bigint cost from (select doc_id,b,count(*) n from (select doc_id,unnest(bytes) b from {_ITEMS} t) u group by 1,2) c group by 1 union all select doc_id, list_sort(list_append(l[3:],l[1]+l[2])), cost+l[1]+l[2] from h where len(l)>1) select doc_id, cost bits from h where len(l)=1 union all select doc_id, 0 from {_ITEMS} t where len(bytes)=0",
 )
 def huffman(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", text.huffman_bits(F.col("text")).alias("bits"))
+    coded = codes.with_lengths(_docs(spark, d).select("doc_id", "text"), F.encode("text", "UTF-8"))
+    return coded.select("doc_id", codes.huffman_bits(F.col("counts"), F.col("lengths")).alias("bits"))
+
+
+_CODED = f"(select doc_id,b,count(*) n from (select doc_id,unnest(bytes) b from {_ITEMS} t) u group by 1,2)"
+
+
+@query("cmp_huffman_codes", f"select doc_id, count(*) symbols, (count(*)>1)::bigint whole, sum(n)::bigint n from {_CODED} c group by 1")
+def huffman_codes(spark: SparkSession, d: str) -> DataFrame:
+    """The code table of each text: its symbols, the sum of 2^-length over them (one where there are two or more), and how often they occur."""
+    texts = _docs(spark, d).select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    table = codes.code_table(texts, "doc_id")
+    share = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(codes.MOST) - F.col("length"))
+    whole = F.when(F.count("*") > 1, F.sum(share) / (1 << codes.MOST)).otherwise(0).cast("long")
+    return table.groupBy("doc_id").agg(F.count("*").alias("symbols"), whole.alias("whole"), F.sum("n").alias("n"))
+
+
+@query("cmp_huffman_stream", "select doc_id, strlen(text)::bigint n, md5(text) md5, true fits from documents")
+def huffman_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Every text as a bit stream of its own code, and read back: its bytes, their digest, and whether the stream has the bits that the code promises, padded to a byte."""
+    texts = _docs(spark, d).select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    table = codes.code_table(texts, "doc_id")
+    made = codes.encode(texts, table, "doc_id")
+    back = codes.decode(made, table, "doc_id")
+    fits = F.length("stream") == F.ceil(F.col("bits") / 8)
+    return made.select("doc_id", "n", fits.alias("fits")).join(back, "doc_id").select("doc_id", "n", F.md5("content").alias("md5"), "fits")
 
 
 @query("bit_tools", "select event_id, bit_count(event_id)::bigint ones, case when event_id=0 then -1 else bit_count((event_id & -event_id)-1)::bigint end::bigint first, case when event_id<=1 then 1 else 1<<length(bin(event_id-1)) end::bigint power from events")
