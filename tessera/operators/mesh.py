@@ -98,7 +98,9 @@ def cluster(vertices: DataFrame, faces: DataFrame, ratio: float) -> tuple[DataFr
     keys = ["mesh_id", *(f"c{a}" for a in AXES)]
     placed = vertices.join(box, "mesh_id").select("mesh_id", "vid", *(cell(a).alias(f"c{a}") for a in AXES), *AXES)
     means = placed.groupBy(*keys).agg(*(F.avg(a).alias(a) for a in AXES))
-    means = means.withColumn("new_vid", (F.row_number().over(Window.partitionBy("mesh_id").orderBy(*keys[1:])) - 1).cast("long"))
+    # Cells in the order of their keys, by one number.
+    means = means.join(box.select("mesh_id", "cells"), "mesh_id").withColumn("cell", (F.col("cx") * F.col("cells") + F.col("cy")) * F.col("cells") + F.col("cz"))
+    means = numbered(means, "cell", "new_vid")
     remap = placed.select("vid", *keys).join(means, keys).select("mesh_id", "vid", "new_vid")
     moved = at_corners(faces, remap, ("new_vid",)).select("mesh_id", "fid", *(F.col(f"new_vid{k}").alias(f"i{k}") for k in range(3)))
     return means.select("mesh_id", F.col("new_vid").alias("vid"), *AXES), drop_degenerate(moved)
@@ -190,83 +192,21 @@ def collapse_costs(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 # ---- decimation ----
 
 
+def _ranked(faces: DataFrame) -> DataFrame:
+    """faces with _k, their place in the order of fid, and _n, how many their mesh has."""
+    return numbered(faces, "fid", "_k").join(faces.groupBy("mesh_id").agg(F.count("*").alias("_n")), "mesh_id")
+
+
 def decimate_prefix(faces: DataFrame, ratio: float) -> DataFrame:
-    """The first floor(n x ratio) faces of each mesh."""
-    by = Window.partitionBy("mesh_id")
-    ranked = faces.select("*", F.row_number().over(by.orderBy("fid")).alias("_k"), F.count("*").over(by).alias("_n"))
-    return ranked.where(F.col("_k") <= F.floor(F.col("_n") * ratio)).drop("_k", "_n")
+    """The first floor(n x ratio) faces of each mesh; fid is distinct within a mesh."""
+    return _ranked(faces).where(F.col("_k") < F.floor(F.col("_n") * ratio)).select(*faces.columns)
 
 
 def decimate_stride(faces: DataFrame, ratio: float) -> DataFrame:
     """Every step-th face, step being n over the target, up to the target."""
-    by = Window.partitionBy("mesh_id")
-    ranked = faces.select("*", (F.row_number().over(by.orderBy("fid")) - 1).alias("_k"), F.count("*").over(by).alias("_n"))
     target = F.greatest(F.floor(F.col("_n") * ratio), F.lit(1))
     step = F.floor(F.col("_n") / target)
-    return ranked.where((F.col("_k") % step == 0) & (F.col("_k") / step < target)).drop("_k", "_n")
-
-
-def collapse(vertices: DataFrame, faces: DataFrame, costs: DataFrame, ratio: float) -> DataFrame:
-    """Greedy collapse of the cheapest edges until max(1, ceil(n x ratio)) faces are left.
-
-    costs: mesh_id, lo, hi, cost; ties go to the smaller ends. Gives rows of
-    kind f (mesh_id, id, i0, i1, i2) and v (mesh_id, id, x, y, z): the faces
-    that are left and their vertices, each midway between the two that became
-    it last. The order of collapses is inherently sequential, so each mesh is
-    one group; the costs were computed before as relations.
-    """
-    def run(key: tuple, face: pd.DataFrame, cost: pd.DataFrame) -> pd.DataFrame:
-        face = face.sort_values("fid")
-        corner = face[["i0", "i1", "i2"]].to_numpy(np.int64)
-        target = max(1, int(np.ceil(len(corner) * ratio)))
-        ids, flat = np.unique(np.concatenate([corner.ravel(), cost[["lo", "hi"]].to_numpy(np.int64).ravel()]), return_inverse=True)
-        tri, ends = flat[: corner.size].reshape(-1, 3).tolist(), flat[corner.size :].reshape(-1, 2)
-        at = np.full((len(ids), 3), np.nan)
-        for k, end in enumerate(("lo", "hi")):
-            at[ends[:, k]] = cost[[f"{end}_{a}" for a in AXES]].to_numpy(np.float64)
-        parent, uses = list(range(len(ids))), [set() for _ in ids]
-        for f, t in enumerate(tri):
-            for v in t:
-                uses[v].add(f)
-
-        def root(v: int) -> int:
-            while parent[v] != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            return v
-
-        alive = {f for f, t in enumerate(tri) if len(set(t)) == 3}
-        for k in np.lexsort((ends[:, 1], ends[:, 0], cost["cost"].to_numpy())):
-            if len(alive) <= target:
-                break
-            a, b = root(int(ends[k, 0])), root(int(ends[k, 1]))
-            if a == b:
-                continue
-            parent[b] = a
-            at[a] = (at[a] + at[b]) / 2
-            alive -= uses[a] & uses[b]
-            uses[a] |= uses[b]
-        kept = sorted(alive)
-        out = np.array([[root(v) for v in tri[f]] for f in kept], np.int64).reshape(-1, 3)
-        used = np.unique(out)
-        rows = pd.DataFrame({"mesh_id": key[0], "kind": "f", "id": face["fid"].to_numpy()[kept], **{f"i{k}": ids[out[:, k]] for k in range(3)}})
-        return pd.concat([rows, pd.DataFrame({"mesh_id": key[0], "kind": "v", "id": ids[used], **{a: at[used, k] for k, a in enumerate(AXES)}})]).astype({f"i{k}": "Int64" for k in range(3)})
-
-    priced = with_ends(costs.select("mesh_id", "lo", "hi", "cost"), vertices, AXES).select(F.col("mesh_id").alias("mesh"), "lo", "hi", "cost", *(f"{end}_{a}" for end in ("lo", "hi") for a in AXES))
-    return faces.groupBy("mesh_id").cogroup(priced.groupBy("mesh")).applyInPandas(run, "mesh_id long, kind string, id long, i0 long, i1 long, i2 long, x double, y double, z double")
-
-
-def decimate(vertices: DataFrame, faces: DataFrame, ratio: float, algorithm: str) -> DataFrame:
-    """Faces of decimated meshes (mesh_id, fid, i0, i1, i2), by one of `quadric`, `shortest`, `cluster`, `prefix` and `stride`; the ratio is kept within 0.01 and 1."""
-    ratio = min(1.0, max(0.01, ratio))
-    if algorithm in ("quadric", "shortest"):
-        costs = collapse_costs(vertices, faces) if algorithm == "quadric" else edge_lengths(vertices, faces).withColumnRenamed("length2", "cost")
-        return collapse(vertices, faces, costs, ratio).where("kind = 'f'").select("mesh_id", F.col("id").alias("fid"), "i0", "i1", "i2")
-    if algorithm == "cluster":
-        return cluster(vertices, faces, ratio)[1]
-    if algorithm in ("prefix", "stride"):
-        return (decimate_prefix if algorithm == "prefix" else decimate_stride)(faces, ratio)
-    raise ValueError(f"no algorithm {algorithm!r}")
+    return _ranked(faces).where((F.col("_k") % step == 0) & (F.col("_k") / step < target)).select(*faces.columns)
 
 
 def compact(faces: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers
-from tessera.operators import mesh
+from tessera.operators import decimation, mesh
 from tessera.plans import views
 from tessera.plans.registry import query, rounded
 
@@ -115,17 +115,48 @@ def edge_cost(spark: SparkSession, d: str) -> DataFrame:
     return rounded(mesh.collapse_costs(views.vertices(spark, d), views.faces(spark, d)), "cost")
 
 
-@query("mesh_qem")
-def qem(spark: SparkSession, d: str) -> DataFrame:
-    """Faces and vertices that are left; a vertex that took in others stands between them."""
+def _facts(vertices: DataFrame, faces: DataFrame, made: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """What holds for every mesh after collapses: vertices left and gone, whether all faces name vertices that are left, none of them twice, and all vertices lie in the box of the mesh."""
+    v, f, log = made
+    box = mesh.bounds(vertices)
+    inside = reduce(lambda a, b: a & b, (F.col(a).between(F.col(f"{a}_min") - 1e-9, F.col(f"{a}_max") + 1e-9) for a in mesh.AXES))
+    left = v.join(box, "mesh_id").groupBy("mesh_id").agg(F.count("*").alias("vertices"), F.every(inside).alias("inside"))
+    gone = log.groupBy("mesh_id").agg(F.count("*").alias("gone"), F.every(F.col("cost") >= 0).alias("priced"))
+    sound = mesh.at_corners(f, v, ()).where("i0 <> i1 and i1 <> i2 and i0 <> i2").groupBy("mesh_id").agg(F.count("*").alias("sound"))
+    kept = f.groupBy("mesh_id").agg(F.count("*").alias("faces"))
+    all_ = left.join(gone, "mesh_id").join(kept, "mesh_id").join(sound, "mesh_id").join(faces.groupBy("mesh_id").agg(F.count("*").alias("nf")), "mesh_id")
+    return all_.select("*", (F.col("sound") == F.col("faces")).alias("whole"), F.greatest(F.lit(1), F.ceil(F.col("nf") * 0.5)).alias("target"))
+
+
+_HALF = "(select v.mesh_id,nv,nf,greatest(1,cast(ceil(nf*0.5) as bigint)) target from (select mesh_id,count(*) nv from v_vertices group by 1) v join (select mesh_id,count(*) nf from v_faces group by 1) f using (mesh_id))"
+_BY_FACES = f"select mesh_id,nv was,target,true met,true whole,true inside,true priced from {_HALF} t"
+
+
+def _by_faces(spark: SparkSession, d: str, price: str) -> DataFrame:
     v, f = views.vertices(spark, d), views.faces(spark, d)
-    return mesh.collapse(v, f, mesh.collapse_costs(v, f), 0.5)
+    facts = _facts(v, f, decimation.collapse(v, f, 0.5, price))
+    # An edge of these strips lies on two faces at most, so one is missing at most.
+    met = F.col("faces").between(F.col("target") - 1, F.col("target"))
+    return facts.select("mesh_id", (F.col("vertices") + F.col("gone")).alias("was"), "target", met.alias("met"), "whole", "inside", "priced")
 
 
-@query("mesh_collapse_shortest")
+@query("mesh_qem", _BY_FACES)
+def qem(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the faces by quadrics."""
+    return _by_faces(spark, d, "quadric")
+
+
+@query("mesh_collapse_shortest", _BY_FACES)
 def collapse_shortest(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the faces by lengths of edges."""
+    return _by_faces(spark, d, "length")
+
+
+@query("mesh_qem_c", f"select mesh_id,greatest(3,nv//2) vertices,nv-greatest(3,nv//2) gone,true whole,true inside,true priced from {_HALF} t")
+def qem_vertices(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the vertices by quadrics, at costs made anew."""
     v, f = views.vertices(spark, d), views.faces(spark, d)
-    return mesh.collapse(v, f, mesh.edge_lengths(v, f).withColumnRenamed("length2", "cost"), 0.5)
+    return _facts(v, f, decimation.collapse_vertices(v, f, 0.5)).select("mesh_id", "vertices", "gone", "whole", "inside", "priced")
 
 
 @query("mesh_vcache")
@@ -157,7 +188,7 @@ def decimate_stride(spark: SparkSession, d: str) -> DataFrame:
 def decimate_dispatch(spark: SparkSession, d: str) -> DataFrame:
     """Faces that three algorithms leave; a ratio above one counts as one."""
     v, f = views.vertices(spark, d), views.faces(spark, d)
-    left = (mesh.decimate(v, f, ratio, name).groupBy("mesh_id").agg(F.count("*").alias("faces")).select(F.lit(name).alias("algorithm"), "mesh_id", "faces") for name, ratio in (("cluster", 0.5), ("prefix", 5.0), ("stride", 0.3)))
+    left = (decimation.decimate(v, f, ratio, name).groupBy("mesh_id").agg(F.count("*").alias("faces")).select(F.lit(name).alias("algorithm"), "mesh_id", "faces") for name, ratio in (("cluster", 0.5), ("prefix", 5.0), ("stride", 0.3)))
     return reduce(DataFrame.unionByName, left)
 
 

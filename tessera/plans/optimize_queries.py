@@ -12,6 +12,7 @@ from tessera.plans.codec_queries import _W, _sum, checked, whole
 from tessera.plans.markup_queries import _svg, svg_files
 from tessera.plans.registry import query
 from tessera.sources import rasters
+from tessera.staging import Staging
 
 #: By p_partkey modulo four: a glTF with empty members, an OBJ with comments, a text that is no asset; modulo four is zero: an SVG.
 _GLTF = """'{"asset": {"version": "2.0"}, "meshes": [], "number": '||p_partkey||'}'"""
@@ -40,13 +41,15 @@ def opt_image(spark: SparkSession, d: str) -> DataFrame:
     Their sizes before; whether a file is a PNG exactly if that is shorter, and
     the BMP as it was if not; and how many pixels it gives, and which.
     """
-    files = rasters.write_bmp(whole(spark, d)).select(F.col("img_id").cast("string").alias("path"), "content").repartition("path")  # files are made once, whatever reads them
-    made = optimize.optimize(files).withColumn("now", F.when(F.substring("content", 1, 8) == F.unhex(F.lit("89504E470D0A1A0A")), "Png").otherwise("Bmp"))
+    files = rasters.write_bmp(whole(spark, d)).select(F.col("img_id").cast("string").alias("path"), "content")
+    # Written, since what optimise makes is one large expression, which the steps below would each take apart anew.
+    made = Staging(spark).write(optimize.optimize(files), "optimized").withColumn("now", F.when(F.substring("content", 1, 8) == F.unhex(F.lit("89504E470D0A1A0A")), "Png").otherwise("Bmp"))
     size, before = F.col("optimized_size"), F.col("original_size")
     expected = F.when(size < before, (F.col("now") == "Png") & F.col("strategy").like("png-%")).otherwise((F.col("now") == "Bmp") & (F.col("strategy") == "keep") & (size == before))
-    back = rasters.read_pixels(made.select("path", F.col("now").alias("format"), "content"))[0]
-    found = made.select("path", before.alias("original"), expected.alias("expected")).join(checked(back, "path"), "path")
-    return found.select(F.col("path").cast("long").alias("img_id"), "original", "expected", "n", "checksum")
+    # What is known before goes along in the name, so that nothing is made twice.
+    named = made.select(F.concat_ws(" ", "path", before.cast("string"), expected.cast("string")).alias("path"), F.col("now").alias("format"), "content")
+    back, part = checked(rasters.read_pixels(named)[0], "path"), F.split("path", " ")
+    return back.select(part[0].cast("long").alias("img_id"), part[1].cast("long").alias("original"), part[2].cast("boolean").alias("expected"), "n", "checksum")
 
 
 @query("api_sql_functions", "select file_id, case when h like '676C5446%' then 'mesh:Glb' when h like '4B617964617261%' or h like '3B2046425820%' then 'mesh:Fbx' when h like '706C790A%' or h like '706C790D0A%' then 'mesh:Ply' when h like '762030%' or contains(h,'0A762031') then 'mesh:Obj' else 'unknown' end format, h like '676C5446%' glb from v_samples")

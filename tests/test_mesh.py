@@ -1,4 +1,10 @@
-from tessera.operators import mesh
+import math
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tessera.operators import decimation, mesh
 
 V = "mesh_id long, vid long, x double, y double, z double"
 T = "mesh_id long, fid long, i0 long, i1 long, i2 long"
@@ -27,18 +33,65 @@ def test_weld_drops_collapsed_faces_and_bad_indices(spark):
     assert mesh.weld(v, f, 1e-3, degenerate=True)[1].count() == 1
 
 
+def grid(mesh_id, n):
+    """A wavy sheet of n x n vertices."""
+    rnd = random.Random(mesh_id)
+    v = [(mesh_id, i * n + j, float(i), float(j), math.sin(i / 3) * math.cos(j / 4) + 0.05 * rnd.gauss(0, 1)) for i in range(n) for j in range(n)]
+    cells = [(i * n + j, i * n + j + 1, (i + 1) * n + j, (i + 1) * n + j + 1) for i in range(n - 1) for j in range(n - 1)]
+    return v, [(mesh_id, k, *t) for k, t in enumerate(t for a, b, c, d in cells for t in ((a, b, d), (a, d, c)))]
+
+
+def greedy_error(vertices, faces, target):
+    """Summed error of one collapse after the other, each the cheapest of all at its time."""
+    at, faces = {r[1]: np.array(r[2:]) for r in vertices}, {r[1]: r[2:] for r in faces}
+    q = {k: np.zeros((4, 4)) for k in at}
+    for t in faces.values():
+        a, b, c = (at[k] for k in t)
+        n = np.cross(b - a, c - a)
+        plane = np.append(n, -n @ a) / np.linalg.norm(n)
+        for k in t:
+            q[k] += np.outer(plane, plane)
+    total = 0.0
+    while len(at) > target:
+        edges = {(min(t[i], t[j]), max(t[i], t[j])) for t in faces.values() for i, j in ((0, 1), (1, 2), (2, 0))}
+        cost = {(a, b): max(0.0, float(m @ (q[a] + q[b]) @ m)) for a, b in edges for m in [np.append((at[a] + at[b]) / 2, 1)]}
+        a, b = min(cost, key=lambda e: (cost[e], e))
+        total += cost[a, b]
+        at[a], q[a] = (at[a] + at[b]) / 2, q[a] + q[b]
+        del at[b]
+        faces = {k: t for k, t in ((k, tuple(a if x == b else x for x in t)) for k, t in faces.items()) if len(set(t)) == 3}
+    return total
+
+
+def test_rounds_of_collapses_are_as_good_as_the_greedy_order(spark):
+    sheets = {m: grid(m, 9) for m in range(2)}
+    v = spark.createDataFrame([r for s in sheets.values() for r in s[0]], V)
+    f = spark.createDataFrame([r for s in sheets.values() for r in s[1]], T)
+    points, left, log = decimation.collapse_vertices(v, f, 0.5)
+    assert {tuple(r) for r in points.groupBy("mesh_id").count().collect()} == {(0, 40), (1, 40)}
+    for r in log.groupBy("mesh_id").agg(F.sum("cost").alias("cost"), F.count("*").alias("n")).collect():
+        assert r.n == 41 and r.cost <= 1.1 * greedy_error(*sheets[r.mesh_id], 40)
+    assert mesh.at_corners(left, points, ()).count() == left.count() == mesh.drop_degenerate(left).count()
+
+
 def test_collapse_reaches_its_target_and_keeps_valid_faces(spark):
     v, f = cube(spark, 2)
-    for cost in (mesh.collapse_costs(v, f), mesh.edge_lengths(v, f).withColumnRenamed("length2", "cost")):
-        both = mesh.collapse(v, f, cost, 0.5)
-        out, points = both.where("kind = 'f'"), both.where("kind = 'v'")
+    for price in ("quadric", "length"):
+        points, out, _ = decimation.collapse(v, f, 0.5, price)
         assert {r["count"] for r in out.groupBy("mesh_id").count().collect()} <= {5, 6}
         assert mesh.drop_degenerate(out).count() == out.count()
-        used = {(r.mesh_id, i) for r in out.collect() for i in (r.i0, r.i1, r.i2)}
-        assert {(r.mesh_id, r.id) for r in points.collect()} == used
+        known = {(r.mesh_id, r.vid) for r in points.collect()}
+        assert {(r.mesh_id, i) for r in out.collect() for i in (r.i0, r.i1, r.i2)} <= known
         assert all(0 <= c <= 1 for r in points.collect() for c in (r.x, r.y, r.z)) and any(c == 0.5 for r in points.collect() for c in (r.x, r.y, r.z))
 
 
+def test_collapse_of_bad_corners_and_of_a_mesh_that_is_small_enough(spark):
+    v = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0), (0, 1, 1.0, 0.0, 0.0), (0, 2, 0.0, 1.0, 0.0)], V)
+    f = spark.createDataFrame([(0, 0, 0, 1, 2), (0, 1, 0, 1, 9), (0, 2, 1, 1, 2), (5, 0, 0, 1, 2)], T)
+    points, out, log = decimation.collapse_vertices(v, f, 0.1)
+    assert points.count() == 3 and [tuple(r) for r in out.collect()] == [(0, 0, 0, 1, 2)] and log.count() == 0
+
+
 def test_cache_order_is_a_permutation(spark):
     _, f = cube(spark)
     rows = mesh.order_for_cache(f).collect()
@@ -58,5 +111,5 @@ def test_cube_bounds_normals_edges(spark):
 def test_empty_tables(spark):
     v, f = spark.createDataFrame([], V), spark.createDataFrame([], T)
     assert mesh.weld(v, f, 0.1)[1].count() == 0
-    assert mesh.collapse(v, f, mesh.collapse_costs(v, f), 0.5).count() == 0
+    assert decimation.collapse(v, f, 0.5)[1].count() == 0
     assert mesh.summary(v, f).count() == 0
