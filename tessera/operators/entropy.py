@@ -56,7 +56,7 @@ def code_lengths(n: np.ndarray) -> np.ndarray:
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
-def _lengths(counts: pd.Series) -> pd.Series:
+def optimal_lengths(counts: pd.Series) -> pd.Series:
     return pd.Series([code_lengths(np.array([c["n"] for c in row], np.int64)).astype(np.int32) for row in counts])
 
 
@@ -67,7 +67,7 @@ def huffman_bits(counts: Column, lengths: Column) -> Column:
 
 def with_lengths(df: DataFrame, content: Column) -> DataFrame:
     """df with `counts` and `lengths`, arrays over the bytes that occur."""
-    return df.withColumn("counts", byte_counts(content)).withColumn("lengths", _lengths("counts"))
+    return df.withColumn("counts", byte_counts(content)).withColumn("lengths", optimal_lengths("counts"))
 
 
 def code_table(texts: DataFrame, key: str) -> DataFrame:
