@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import pixels as px
+from tessera.staging import Staging
 
 RGB = ("r", "g", "b")
 
@@ -44,12 +47,65 @@ def nearest(pixels: DataFrame, palette: DataFrame, weights: tuple[float, float,
     return pixels.select("img_id", "y", "x", _closest(array, weights)["idx"].alias("idx"))
 
 
+def packed_palettes(palettes: DataFrame) -> DataFrame:
+    """palettes (img_id, idx, r, g, b), 256 colours an image at most -> img_id, palette: their colours in the order of idx, three bytes each."""
+    entry = F.struct("idx", F.concat(*(F.lpad(F.hex(c), 2, "0") for c in RGB)).alias("s"))
+    own = palettes.groupBy("img_id").agg(F.array_sort(F.collect_list(entry)).alias("p"))
+    return own.select("img_id", F.unhex(F.array_join(F.col("p.s"), "")).alias("palette"))
+
+
+def matched(colored: DataFrame, palettes: DataFrame, weights: tuple[float, float, float] = (1, 1, 1)) -> DataFrame:
+    """colored (img_id, r, g, b, ...) with `place`, the position in its image's palette of the nearest colour (ties: the first), that colour as pr, pg, pb, and the weighted square `d` of its distance.
+
+    Palettes travel with the rows as a few hundred bytes; a task compares whole
+    Arrow batches with numpy. Rows of an image without a palette go.
+    """
+    given = colored.join(packed_palettes(palettes), "img_id").select(*colored.columns, "palette")
+    weight, names = np.array(weights, np.float64), colored.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            color = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in RGB], axis=1).astype(np.float64)
+            own = b.column("palette").dictionary_encode()
+            which, place, square = own.indices.to_numpy(zero_copy_only=False), np.zeros(len(color), np.int64), np.zeros(len(color))
+            found = np.zeros((len(color), 3), np.int64)
+            for k, raw in enumerate(own.dictionary.to_pylist()):
+                rows, table = np.flatnonzero(which == k), np.frombuffer(raw, np.uint8).reshape(-1, 3)
+                d = ((color[rows, None, :] - table[None, :, :].astype(np.float64)) ** 2 * weight).sum(axis=2)
+                place[rows] = d.argmin(axis=1)
+                square[rows], found[rows] = d[np.arange(len(rows)), place[rows]], table[place[rows]]
+            kept = [b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(place), *(pa.array(found[:, i]) for i in range(3)), pa.array(square)], [*names, "place", "pr", "pg", "pb", "d"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in colored.schema)
+    return given.mapInArrow(run, f"{kinds}, place bigint, pr bigint, pg bigint, pb bigint, d double")
+
+
 def map_to_own(pixels: DataFrame, palettes: DataFrame, weights: tuple[float, float, float] = (1, 1, 1)) -> DataFrame:
-    """palettes (img_id, idx, r, g, b), 256 colours an image at most -> img_id, y, x, r, g, b: each pixel in the nearest colour of its image's palette. Each colour of an image is matched once."""
-    own = palettes.groupBy("img_id").agg(F.array_sort(F.collect_list(F.struct("idx", *RGB))).alias("palette"))
-    colors = pixels.select("img_id", *RGB).distinct().join(own, "img_id")
-    found = colors.select("img_id", *RGB, _closest(F.col("palette"), weights).alias("new"))
-    return pixels.join(found, ["img_id", *RGB]).select("img_id", "y", "x", *(F.col(f"new.{c}").alias(c) for c in RGB))
+    """palettes (img_id, idx, r, g, b), 256 colours an image at most -> img_id, y, x, r, g, b: each pixel in the nearest colour of its image's palette, ties to the lower idx."""
+    return matched(pixels.select("img_id", "y", "x", *RGB), palettes, weights).select("img_id", "y", "x", *(F.col(f"p{c}").alias(c) for c in RGB))
+
+
+def learned_palettes(pixels: DataFrame, start: DataFrame, rounds: int = 3, staging: Staging | None = None) -> tuple[DataFrame, DataFrame]:
+    """start (img_id, idx, r, g, b) -> palettes after every round (img_id, round, idx, n, r, g, b), errors (img_id, round, error).
+
+    A round gives each distinct colour of an image to the nearest colour of the
+    palette, and moves that to the mean of what it got, weighted by pixels and
+    rounded; colours that get nothing go. `error` is the sum over pixels of the
+    squared distance before the move. A mean rounded to whole numbers is the
+    best whole colour for what it got, so the error never grows.
+    """
+    staging = staging or Staging(pixels.sparkSession)
+    colors = staging.write(pixels.groupBy("img_id", *RGB).agg(F.count("*").alias("n")), "colors")
+    now, palettes, errors = start.select("img_id", "idx", *RGB), [], []
+    for k in range(1, rounds + 1):
+        given = staging.write(matched(colors, now), f"given-{k}")
+        errors.append(given.groupBy("img_id").agg(F.sum(F.col("d") * F.col("n")).cast("long").alias("error")).select("img_id", F.lit(k).alias("round"), "error"))
+        mean = (F.floor((2 * F.sum(F.col(c) * F.col("n")) + F.sum("n")) / (2 * F.sum("n"))).alias(c) for c in RGB)
+        moved = given.groupBy("img_id", F.col("place").alias("idx")).agg(F.sum("n").alias("n"), *mean)
+        now = staging.write(moved.select("img_id", F.lit(k).alias("round"), "idx", "n", *RGB), f"palettes-{k}")
+        palettes.append(now)
+    return reduce(DataFrame.unionByName, palettes), reduce(DataFrame.unionByName, errors)
 
 
 def expand(indices: DataFrame, palette: DataFrame, default: int = 0) -> DataFrame:
@@ -124,7 +180,7 @@ def median_cut(pixels: DataFrame, depth: int = 4) -> DataFrame:
     return colors.groupBy("img_id", "bucket").agg(F.sum("n").alias("n"), *(F.floor(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in RGB))
 
 
-def octree(pixels: DataFrame, colors: int = 64) -> DataFrame:
+def octree(pixels: DataFrame, colors: int = 64, staging: Staging | None = None) -> DataFrame:
     """img_id, idx, level, n, r, g, b: the leaves of an octree of each image, `colors` at most, with their mean colours.
 
     Every colour has a cell at each of eight levels. The deepest level with no
@@ -141,6 +197,7 @@ def octree(pixels: DataFrame, colors: int = 64) -> DataFrame:
     leveled = distinct.withColumn("level", levels)
     key = [prefix(F.col("level"), c).alias(f"k{c}") for c in RGB]
     cells = leveled.groupBy("img_id", "level", *key).agg(F.sum("n").alias("n"), *(F.floor(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in RGB))
+    cells = (staging or Staging(pixels.sparkSession)).write(cells, "cells")  # read four times below
     sizes = cells.groupBy("img_id", "level").agg(F.count("*").alias("cells"))
     best = sizes.where(F.col("cells") <= colors).groupBy("img_id").agg(F.max(F.struct("level", "cells")).alias("b")).select("img_id", F.col("b.level").alias("base"), F.col("b.cells").alias("cells"))
     keys = ["img_id", *(f"k{c}" for c in RGB)]

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tessera.functions import detect
 from tessera.operators import containers, raster
 from tessera.plans import views
-from tessera.plans.raster_queries import _NEAREST, _PLAIN
+from tessera.plans.raster_queries import _NEAREST, _PLAIN, ROUNDS, _rounds
 from tessera.plans.registry import query
-from tessera.sources import rasters
+from tessera.sources import gifs, rasters
 
 
 
@@ -76,6 +76,44 @@ def conv_gif(spark: SparkSession, d: str) -> DataFrame:
     return checked(read(rasters.write_gif(rasters.images(near)), "Gif"), "img_id")
 
 
+_LEARNED = _rounds(ROUNDS).replace("v_pixels", "whole")
+_LEARNT = f"""select * from (with {_W}, {_LEARNED}, own as (select w.img_id,w.y,w.x,p.r,p.g,p.b from whole w join p{ROUNDS} p using (img_id) qualify row_number() over (partition by w.img_id,w.y,w.x order by {"+".join(f"(w.{c}-p.{c})*(w.{c}-p.{c})" for c in "rgb")},p.idx)=1) select img_id,count(*) n,{_sum(a='255')} checksum from own group by 1)"""
+
+
+def learnt(spark: SparkSession, d: str) -> DataFrame:
+    """Every image in the colours of the palette that it has learned."""
+    p = whole(spark, d)
+    palettes = raster.learned_palettes(p, raster.median_cut(p).withColumnRenamed("bucket", "idx"), ROUNDS)[0].where(F.col("round") == ROUNDS)
+    return raster.map_to_own(p, palettes).withColumn("a", F.lit(255).cast("long"))
+
+
+@query("png_palette_learned", _LEARNT)
+def png_palette_learned(spark: SparkSession, d: str) -> DataFrame:
+    """Images in their own palettes, as PNG with indices, read back."""
+    return checked(read(rasters.png_candidates(rasters.images(learnt(spark, d))).where("strategy = 'palette-none'"), "Png"), "img_id")
+
+
+@query("gif_palette_learned", _LEARNT)
+def gif_palette_learned(spark: SparkSession, d: str) -> DataFrame:
+    """Images in their own palettes, as compressed GIF, read back."""
+    return checked(read(rasters.write_gif(rasters.images(learnt(spark, d))), "Gif"), "img_id")
+
+
+#: Frames: the rows of an image, each of them twice over if its number is a multiple of three, shown for a while that goes with the number.
+_FRAMES = f"select * from (with {_W}, frames as (select img_id,y*2+k seq,y%3+1 delay,x,g//8*65536+g//8*256+g//8 v from whole, (select unnest([0,1]) k) t where k=0 or y%3=0), lines as (select img_id,seq,delay,list(v order by x) data from frames group by 1,2,3), told as (select *,coalesce(data=lag(data) over (partition by img_id order by seq),false) same from lines), runs as (select *,sum((not same)::int) over (partition by img_id order by seq rows unbounded preceding) run from told) select img_id,(row_number() over (partition by img_id order by min(seq))-1)::bigint seq,sum(delay)::bigint delay,md5(array_to_string(first(data),',')) md5 from runs group by img_id,run)"
+
+
+@query("gif_frames", _FRAMES)
+def gif_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Animations of the rows of images in gray, equal frames merged, written and read back: delays and pixels of every frame that is left."""
+    gray = F.floor(F.col("g") / 8) * 65793
+    p = whole(spark, d).select("img_id", "y", "x", gray.cast("long").alias("v")).withColumn("k", F.explode(F.when(F.col("y") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    lines = p.groupBy(F.col("img_id").alias("file_id"), (F.col("y") * 2 + F.col("k")).alias("seq"), (F.col("y") % 3 + 1).alias("delay")).agg(F.count("*").alias("w"), F.array_sort(F.collect_list(F.struct("x", "v"))).alias("p"))
+    made = gifs.write_animations(lines.select("file_id", "seq", "delay", "w", F.col("p.v").alias("data")))
+    back = gifs.read_animations(made.select(F.col("file_id").cast("string").alias("path"), "content"))[0]
+    return back.select(F.col("path").cast("long").alias("img_id"), "seq", "delay", F.md5(F.array_join(F.col("data").cast("array<string>"), ",")).alias("md5"))
+
+
 @query("conv_ico", _nested(f"select img_id,max(x)+1 w,max(y)+1 h,count(*) n,{_sum()} checksum from whole group by 1"))
 def conv_ico(spark: SparkSession, d: str) -> DataFrame:
     """Images as PNG in an icon file of one entry, taken out and read back."""

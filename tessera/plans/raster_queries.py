@@ -237,6 +237,39 @@ def map_median_cut(spark: SparkSession, d: str) -> DataFrame:
     return raster.map_to_own(p, raster.median_cut(p).withColumnRenamed("bucket", "idx"))
 
 
+def _rounds(n: int) -> str:
+    """Palettes p1 ... pn after each round, from that of the median cut, and errors e1 ... en, in SQL."""
+    parts = [f"colors as (select img_id,r,g,b,count(*) n from v_pixels group by 1,2,3,4), p0 as (select img_id,idx,r,g,b from {_BUCKETS} q)"]
+    for k in range(1, n + 1):
+        d = "+".join(f"(c.{x}-p.{x})*(c.{x}-p.{x})" for x in "rgb")
+        # Colours that got nothing before are gone, and places count anew.
+        parts.append(f"o{k} as (select *,row_number() over (partition by img_id order by idx)-1 place from p{k - 1})")
+        parts.append(f"g{k} as (select c.img_id,p.place,c.r,c.g,c.b,c.n,{d} d from colors c join o{k} p using (img_id) qualify row_number() over (partition by c.img_id,c.r,c.g,c.b order by {d},p.place)=1)")
+        parts.append(f"e{k} as (select img_id,{k} round,sum(d*n)::bigint error from g{k} group by 1)")
+        parts.append(f"p{k} as (select img_id,place::bigint idx,sum(n)::bigint n,{','.join(f'((2*sum({x}*n)+sum(n))//(2*sum(n)))::bigint {x}' for x in 'rgb')} from g{k} group by 1,2)")
+    return ", ".join(parts)
+
+
+#: Rounds of the learned palettes.
+ROUNDS = 3
+
+
+@query("png_palette_rounds", f"select * from (with {_rounds(ROUNDS)} {' union all '.join(f'select img_id,{k} round,idx,n,r,g,b from p{k}' for k in range(1, ROUNDS + 1))})")
+def palette_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The palette that each image learns, after every round."""
+    p = views.pixels(spark, d)
+    return raster.learned_palettes(p, raster.median_cut(p).withColumnRenamed("bucket", "idx"), ROUNDS)[0]
+
+
+@query("png_palette_error", f"select * from (with {_rounds(ROUNDS)} select img_id,e1.error first,e{ROUNDS}.error last,e{ROUNDS}.error<=e1.error falls from e1 join e{ROUNDS} using (img_id))")
+def palette_error(spark: SparkSession, d: str) -> DataFrame:
+    """The squared error of an image in its palette, in the first and in the last round."""
+    p = views.pixels(spark, d)
+    errors = raster.learned_palettes(p, raster.median_cut(p).withColumnRenamed("bucket", "idx"), ROUNDS)[1]
+    at = {name: F.max(F.when(F.col("round") == k, F.col("error"))).alias(name) for name, k in (("first", 1), ("last", ROUNDS))}
+    return errors.groupBy("img_id").agg(*at.values()).withColumn("falls", F.col("last") <= F.col("first"))
+
+
 _CELLS = "(select img_id,level,r>>(8-level) kr,g>>(8-level) kg,b>>(8-level) kb,count(*) n,cast(floor(sum(r)/count(*)) as bigint) r,cast(floor(sum(g)/count(*)) as bigint) g,cast(floor(sum(b)/count(*)) as bigint) b from (select *,unnest(range(0,9)) level from v_pixels) q group by 1,2,3,4,5)"
 _LEAVES = (
     f"(with cells as {_CELLS}, best as (select img_id,max(level) base,arg_max(m,level) m from (select img_id,level,count(*) m from cells group by 1,2) s where m<=64 group by 1), own as (select c.*,m from cells c join best b on b.img_id=c.img_id and c.level=base), below as (select c.* from cells c join best b on b.img_id=c.img_id and c.level=base+1), "

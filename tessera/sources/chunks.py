@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: What a reader raises for a file that it can't read.
+UNREADABLE = (ValueError, KeyError, IndexError, TypeError, ArithmeticError, StopIteration, RuntimeError, struct.error, zlib.error)
 Chunk = tuple[str, int, int]  # tag, offset and length of the payload
 #: JPEG markers without a payload, and names of some others (fixed values).
 _BARE = {0xD8: "SOI", 0xD9: "EOI", 0x01: "TEM", **{0xD0 + k: f"RST{k}" for k in range(8)}}

@@ -15,13 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.chunks import WALKERS
+from tessera.sources import gifs
+from tessera.sources.chunks import UNREADABLE
 
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 #: Channels of a PNG's colour types (fixed values).
 PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
-#: What a reader raises for a file that it can't read.
-UNREADABLE = (ValueError, KeyError, IndexError, TypeError, ArithmeticError, StopIteration, RuntimeError, struct.error, zlib.error)
 FILTERS = ("none", "sub", "up", "average", "paeth", "adaptive")
 
 
@@ -184,78 +183,9 @@ def read_tga(data: bytes) -> np.ndarray:
     return _rgba(rows if step == 1 else np.concatenate([rows[:, :, 2::-1], rows[:, :, 3:]], axis=2))
 
 
-def gif_bytes(index: np.ndarray, palette: np.ndarray) -> bytes:
-    """A still GIF of indices (h, w) and a palette (n, 3) of 256 colours at most.
-
-    Codes have nine bits throughout: the table is cleared before it would need
-    ten, so the image is stored, not compressed.
-    """
-    h, w = index.shape
-    table = np.zeros((256, 3), np.uint8)
-    table[: len(palette)] = palette
-    flat = index.reshape(-1).astype(np.int64)
-    runs = [np.concatenate([[256], flat[i : i + 254]]) for i in range(0, len(flat), 254)]
-    codes = np.concatenate([*runs, [257]])
-    bits = ((codes[:, None] >> np.arange(9)) & 1).astype(np.uint8).reshape(-1)
-    data = np.packbits(bits, bitorder="little").tobytes()
-    blocks = b"".join(bytes([len(data[i : i + 255])]) + data[i : i + 255] for i in range(0, len(data), 255))
-    head = b"GIF89a" + struct.pack("<HHBBB", w, h, 0xF7, 0, 0) + table.tobytes()
-    return head + b"\x2c" + struct.pack("<HHHHB", 0, 0, w, h, 0) + b"\x08" + blocks + b"\0\x3b"
-
-
-def _unpacked(data: bytes, size: int, count: int) -> np.ndarray:
-    """The indices that LZW codes of GIF stand for, `count` at most."""
-    clear, end = 1 << size, (1 << size) + 1
-    table: list[bytes] = []
-    width, last, buffer, held, out, n = size + 1, None, 0, 0, [], 0
-    for byte in data:
-        buffer |= byte << held
-        held += 8
-        while held >= width and n < count:
-            code, buffer, held = buffer & ((1 << width) - 1), buffer >> width, held - width
-            if code == end:
-                return np.frombuffer(b"".join(out), np.uint8)[:count]
-            if code == clear:
-                table, width, last = [bytes([k]) for k in range(clear)] + [b"", b""], size + 1, None
-                continue
-            if last is None:
-                entry = table[code]
-            else:
-                entry = table[code] if code < len(table) else last + last[:1]
-                if len(table) < 4096:
-                    table.append(last + entry[:1])
-                    if len(table) == 1 << width and width < 12:
-                        width += 1
-            out.append(entry)
-            n, last = n + len(entry), entry
-    return np.frombuffer(b"".join(out), np.uint8)[:count]
-
-
 def read_gif(data: bytes) -> np.ndarray:
     """(h, w, 4) of the first image of a GIF, where it stands in the canvas; not interlaced."""
-    if data[:6] not in (b"GIF87a", b"GIF89a"):
-        raise ValueError("no GIF")
-    w, h, flags = struct.unpack_from("<HHB", data, 6)
-    own = np.frombuffer(data, np.uint8, 3 << ((flags & 7) + 1), 13).reshape(-1, 3) if flags & 0x80 else None
-    at = next(offset for tag, offset, _ in WALKERS["Gif"](data) if tag == "IMAGE")
-    left, top, iw, ih, local = struct.unpack_from("<HHHHB", data, at)
-    if local & 0x40:
-        raise ValueError("only images that are not interlaced")
-    at += 9
-    if local & 0x80:
-        own = np.frombuffer(data, np.uint8, 3 << ((local & 7) + 1), at).reshape(-1, 3)
-        at += 3 << ((local & 7) + 1)
-    if own is None:
-        raise ValueError("no colours")
-    size, at, packed = data[at], at + 1, b""
-    while data[at]:
-        packed, at = packed + data[at + 1 : at + 1 + data[at]], at + 1 + data[at]
-    index = _unpacked(packed, size, iw * ih)
-    if len(index) < iw * ih:
-        raise ValueError("fewer pixels than the image has")
-    out = np.zeros((h, w, 4), np.uint8)
-    out[top : top + ih, left : left + iw] = _rgba(index.reshape(ih, iw, 1), own)
-    return out
+    return next(gifs.each_frame(data))[0]
 
 
 READERS: dict[str, Callable[[bytes], np.ndarray]] = {"Png": read_png, "Bmp": read_bmp, "Tga": read_tga, "Gif": read_gif}
@@ -312,7 +242,7 @@ def write_gif(image: DataFrame) -> DataFrame:
                 v = data.values.to_numpy(zero_copy_only=False).astype(np.int64)
                 x = np.stack([(v >> s) & 255 for s in (24, 16, 8, 0)], axis=1).astype(np.uint8).reshape(-1, w, 4)
                 made = next(((own, palette) for name, own, palette in forms(x) if name == "palette"), None)
-                out.append(None if made is None else gif_bytes(made[0][:, :, 0], made[1]))
+                out.append(None if made is None else gifs.gif_file([(made[0][:, :, 0], 0)], made[1]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["img_id", "content"])
 
     return image.mapInArrow(run, "img_id bigint, content binary")
