@@ -48,7 +48,7 @@ def _parsed(kind: str, data: bytes, quality: int) -> tuple[str, bytes]:
 
 
 #: Formats that a parser shortens, one file at a time; texts of lines are Column expressions.
-PARSED = ("Png", "Bmp", "Tga", "Gif", "Svg", "Glb", "Gltf")
+PARSED = ("Png", "Bmp", "Tga", "Tiff", "Gif", "Svg", "Glb", "Gltf")
 
 
 @F.pandas_udf(StructType([StructField("strategy", StringType()), StructField("content", BinaryType())]))
@@ -68,7 +68,7 @@ def optimize(files: DataFrame, quality: Column | int = 80) -> DataFrame:
 
     The candidate of a file's format is taken if it is shorter; else the file
     stays as it is, under the strategy `keep`. So do files of unknown format,
-    null and empty ones, and those that can't be read. BMP and TGA become PNG.
+    null and empty ones, and those that can't be read. BMP, TGA and TIFF become PNG.
     """
     quality = F.lit(quality) if isinstance(quality, int) else quality
     found = detect.detect_format(F.col("content"))

@@ -10,7 +10,7 @@ from tessera.operators import containers, raster
 from tessera.plans import views
 from tessera.plans.raster_queries import _NEAREST, _PLAIN, ROUNDS, _rounds
 from tessera.plans.registry import query
-from tessera.sources import gifs, rasters
+from tessera.sources import gifs, rasters, tiffs
 
 
 
@@ -114,6 +114,48 @@ def gif_frames(spark: SparkSession, d: str) -> DataFrame:
     return back.select(F.col("path").cast("long").alias("img_id"), "seq", "delay", F.md5(F.array_join(F.col("data").cast("array<string>"), ",")).alias("md5"))
 
 
+_TIFFS = ",".join(f"'tiff-{form}'" for form in tiffs.FORMS)
+#: Bytes of a strip in the queries, so that images have several.
+_STRIP = 512
+
+
+def _tiffs(spark: SparkSession, d: str) -> DataFrame:
+    return tiffs.tiff_candidates(rasters.images(whole(spark, d)), _STRIP)
+
+
+@query("conv_tiff", _nested(f"select img_id,s strategy,count(*) n,{_sum()} checksum from whole cross join (select unnest([{_TIFFS}]) s) k group by 1,2"))
+def conv_tiff(spark: SparkSession, d: str) -> DataFrame:
+    """Images as TIFF in every form, read back."""
+    files = _tiffs(spark, d).select(F.concat_ws(" ", F.col("img_id").cast("string"), "strategy").alias("path"), F.lit("Tiff").alias("format"), "content")
+    back = rasters.read_pixels(files)[0].select("*", F.split("path", " ")[0].cast("long").alias("img_id"), F.split("path", " ")[1].alias("strategy"))
+    return checked(back, "img_id", "strategy")
+
+
+_ROWS = f"greatest(1,{_STRIP}//(16*c))"
+_TAGS = ((256, "16"), (257, "h"), (258, "8"), (259, "1"), (262, "2"), (273, "8"), (277, "c"), (278, _ROWS), (279, f"least(h,{_ROWS})*16*c"))
+
+
+@query("tiff_directories", _nested("select * from (select img_id,t.tag,case t.tag " + " ".join(f"when {k} then {v}" for k, v in _TAGS) + f" when 338 then 2 end::bigint as value,case t.tag when 258 then c when 273 then (h+{_ROWS}-1)//{_ROWS} when 279 then (h+{_ROWS}-1)//{_ROWS} else 1 end::bigint as n from (select img_id,max(y)+1 h,case when min(a)=255 then 3 else 4 end c from whole group by 1) s, (select unnest([{','.join(str(k) for k, _ in _TAGS)},338]) tag) t) u where value is not null and (tag<>338 or img_id in (select img_id from whole where a<255))"))
+def tiff_directories(spark: SparkSession, d: str) -> DataFrame:
+    """The tags of stored TIFF files: how many values each has, and the first."""
+    made = _tiffs(spark, d).where("strategy = 'tiff-stored'")
+    tags = tiffs.read_directories(made.select(F.col("img_id").cast("string").alias("path"), "content"))
+    return tags.select(F.col("path").cast("long").alias("img_id"), "tag", F.get("values", F.lit(0)).cast("long").alias("value"), F.col("count").alias("n"))
+
+
+@query("opt_tiff", _nested(f"select img_id,true shorter,count(*) n,{_sum()} checksum from whole group by 1"))
+def opt_tiff(spark: SparkSession, d: str) -> DataFrame:
+    """Stored TIFF files read, the shortest of all TIFF and PNG forms taken, and read back; none is longer than what was given."""
+    given = _tiffs(spark, d).where("strategy = 'tiff-stored'")
+    pixels = read(given, "Tiff").select("img_id", "y", "x", *"rgba")
+    image = rasters.images(pixels)
+    best = containers.smallest(tiffs.with_png(tiffs.tiff_candidates(image), rasters.png_candidates(image)).withColumnRenamed("img_id", "file_id"))
+    shorter = best.join(given.select(F.col("img_id").alias("file_id"), F.col("len").alias("before")), "file_id").withColumn("shorter", F.col("len") <= F.col("before"))
+    named = shorter.select(F.concat_ws(" ", F.col("file_id").cast("string"), F.col("shorter").cast("string")).alias("path"), F.when(F.col("strategy").like("tiff-%"), "Tiff").otherwise("Png").alias("format"), "content")
+    back = checked(rasters.read_pixels(named)[0], "path")
+    return back.select(F.split("path", " ")[0].cast("long").alias("img_id"), F.split("path", " ")[1].cast("boolean").alias("shorter"), "n", "checksum")
+
+
 @query("conv_ico", _nested(f"select img_id,max(x)+1 w,max(y)+1 h,count(*) n,{_sum()} checksum from whole group by 1"))
 def conv_ico(spark: SparkSession, d: str) -> DataFrame:
     """Images as PNG in an icon file of one entry, taken out and read back."""
