@@ -10,7 +10,8 @@ from tessera.operators import containers, metrics, rules
 from tessera.plans import views
 from tessera.plans.mesh_queries import nested, r
 from tessera.plans.registry import query, rounded
-from tessera.sources import files
+from tessera.sources import assets, files
+from tessera.staging import Staging
 
 _IMAGES = ",".join(f"'{e}'" for e in files.IMAGE_EXTENSIONS)
 _MESHES = ",".join(f"'{e}'" for e in files.MESH_EXTENSIONS)
@@ -61,6 +62,19 @@ def download(spark: SparkSession, d: str) -> DataFrame:
     return views.files(spark, d).where("length > 0").select("file_id", files.output_name(F.col("path"), files.extension(F.col("path"))).alias("out_name"))
 
 
+@query("sink_download_files", f"select t.name,'image:'||kind format,octet_length(content)::bigint length,md5(content) md5 from (select 'part_'||p_partkey||'_opt.bin' name,case p_partkey%3 when 0 then 'Png' when 1 then 'Gif' else 'Bmp' end kind,unhex(case p_partkey%3 when 0 then '89504E470D0A1A0A' when 1 then '474946383961' else '424D' end)||encode(p_name) content from part) t where kind='Png' or kind='Gif' and name<'part_15'")
+def download_files(spark: SparkSession, d: str) -> DataFrame:
+    """Results written as files under their names by the data source, and those of two formats read again by it: conditions on the format reach the reader."""
+    assets.register(spark)
+    k = F.col("p_partkey") % 3
+    head = F.unhex(F.when(k == 0, "89504E470D0A1A0A").when(k == 1, "474946383961").otherwise("424D"))
+    made = views.table(spark, d, "part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string"), F.lit("_opt.bin")).alias("name"), F.concat(head, F.encode("p_name", "UTF-8")).alias("content"))
+    folder = f"{Staging(spark).root}/files"
+    made.write.format("assets").mode("append").save(folder)
+    back = spark.read.format("assets").load(folder).where(F.col("format").isin("image:Png", "image:Gif"))
+    return back.where("format = 'image:Png' or name < 'part_15'").select("name", "format", "length", F.md5("content").alias("md5"))
+
+
 def _formats(rows: tuple, names: str) -> str:
     return values(tuple((n, e, m, a, b) for n, es, m, a, b in rows for e in es.split(",")), f"format,extension,mime,{names}")
 

@@ -10,6 +10,7 @@ from tessera.operators import metrics
 from tessera.plans import views
 from tessera.plans.mesh_queries import r
 from tessera.plans.registry import query, rounded
+from tessera.streaming import running
 
 _BOX = "(select mesh_id,min(x) x0,max(x) x1,min(y) y0,max(y) y1,min(z) z0,max(z) z1 from v_vertices group by 1)"
 
@@ -80,6 +81,12 @@ def running_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, "total_ms", digits=2)
 
 
+@query("agg_perf_running", f"select event_id,family,count(*) over w n,sum(size) over w::bigint bytes,count(*) filter (elapsed_ms>case when size<512000 then 100 else 150 end) over w violations,max(elapsed_ms) over w longest,{r('sum(elapsed_ms) over w total_ms', digits=2)} from v_log window w as (partition by family order by event_id)")
+def running_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Counters, longest and total time of a family after each of its operations; `running_stream` gives the same as they come."""
+    return rounded(running.running_table(views.log(spark, d)), "total_ms", digits=2)
+
+
 @query("agg_ratio", f"select file_id%97 run,{r('case when sum(original_size)=0 then 1.0 else sum(optimized_size)/sum(original_size)::double end ratio', 'avg(success::int) hit_rate')},count(*) n from v_results group by 1")
 def rates(spark: SparkSession, d: str) -> DataFrame:
     by = views.results(spark, d).groupBy((F.col("file_id") % 97).alias("run")).agg(F.sum("original_size").alias("a"), F.sum("optimized_size").alias("b"), F.avg(F.col("success").cast("int")).alias("hit_rate"), F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import numbers, text
+from tessera.functions import hashing, numbers, text
 from tessera.operators import entropy as codes
 from tessera.plans import views
 from tessera.plans.mesh_queries import r
@@ -97,6 +97,30 @@ def crc32(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("h"))
 
 
+def _rot(x: str, bits: int) -> str:
+    return f"((({x})*{1 << bits})%4294967296+(({x})//{1 << (32 - bits)}))"
+
+
+def _word(at: str) -> str:
+    return f"(bytes[{at}+1]+256*bytes[{at}+2]+65536*bytes[{at}+3]+16777216*bytes[{at}+4])::hugeint"
+
+
+_M32 = "%4294967296"
+_LANE = _rot(f"(l[k]+s[k]*{hashing.P2}){_M32}", 13)
+#: The lanes of each text over its stripes, what is left folded on, and the last mixing, step by step.
+_XX32 = f"""select * from (with b as (select doc_id,bytes,len(bytes)::hugeint n from {_ITEMS} t),
+  lanes as (select *,list_reduce(list_prepend([{(hashing.P1 + hashing.P2) % 2**32},{hashing.P2},0,{-hashing.P1 % 2**32}]::hugeint[],list_transform(range(0,(n//16)::bigint),lambda i: list_transform(range(0,4),lambda k: {_word('16*i+4*k')}))),lambda l,s: list_transform(range(1,5),lambda k: ({_LANE})*{hashing.P1}{_M32})) v from b),
+  whole as (select *,((case when n>=16 then {'+'.join(_rot(f'v[{k + 1}]', r) for k, r in enumerate((1, 7, 12, 18)))} else {hashing.P5} end)+n){_M32} h0,case when n>=16 then (n//16*16)::bigint else 0 end done from lanes),
+  words as (select *,list_reduce(list_prepend(h0,list_transform(range(0,((n-done)//4)::bigint),lambda i: {_word('done+4*i')})),lambda h,w: ({_rot(f'(h+w*{hashing.P3}){_M32}', 17)})*{hashing.P4}{_M32}) h1 from whole),
+  tail as (select *,list_reduce(list_prepend(h1,list_transform(bytes[(n//4*4)::bigint+1:],lambda x: x::hugeint)),lambda h,w: ({_rot(f'(h+w*{hashing.P5}){_M32}', 11)})*{hashing.P1}{_M32}) h2 from words),
+  mix1 as (select doc_id,xor(h2,h2//32768)*{hashing.P2}{_M32} h from tail), mix2 as (select doc_id,xor(h,h//8192)*{hashing.P3}{_M32} h from mix1) select doc_id,xor(h,h//65536)::bigint h from mix2)"""
+
+
+@query("hash_xx32", _XX32)
+def xx32(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", hashing.xx32(F.encode("text", "UTF-8")).alias("h"))
+
+
 @query("cmp_byte_histogram", f"select b byte, count(*) n from (select unnest(bytes) b from {_ITEMS} t) u group by 1")
 def byte_histogram(spark: SparkSession, d: str) -> DataFrame:
     counts = _docs(spark, d).select(F.explode(codes.byte_counts(F.encode("text", "UTF-8"))).alias("c"))
