@@ -114,6 +114,18 @@ def gif_frames(spark: SparkSession, d: str) -> DataFrame:
     return back.select(F.col("path").cast("long").alias("img_id"), "seq", "delay", F.md5(F.array_join(F.col("data").cast("array<string>"), ",")).alias("md5"))
 
 
+_SHADE = "((r>>(8-least(depth,8)))*(255//((1<<least(depth,8))-1)))"
+
+
+@query("png_depths", _nested(f"select img_id,depth,interlaced,count(*) n,{_sum(_SHADE, _SHADE, _SHADE, '255')} checksum from whole, (select unnest([1,2,4,8,16])::bigint depth) d, (select unnest([false,true]) interlaced) i group by 1,2,3"))
+def png_depths(spark: SparkSession, d: str) -> DataFrame:
+    """The red of images as gray PNG of every depth, straight and interlaced, read back."""
+    made = rasters.png_depths(rasters.images(whole(spark, d)))
+    files = made.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in ("img_id", "depth", "interlaced"))).alias("path"), F.lit("Png").alias("format"), "content")
+    back, part = checked(rasters.read_pixels(files)[0], "path"), F.split("path", " ")
+    return back.select(part[0].cast("long").alias("img_id"), part[1].cast("long").alias("depth"), part[2].cast("boolean").alias("interlaced"), "n", "checksum")
+
+
 _TIFFS = ",".join(f"'tiff-{form}'" for form in tiffs.FORMS)
 #: Bytes of a strip in the queries, so that images have several.
 _STRIP = 512

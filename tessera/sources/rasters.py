@@ -21,6 +21,8 @@ from tessera.sources.chunks import UNREADABLE
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 #: Channels of a PNG's colour types (fixed values).
 PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+#: First column and row of the passes of an interlaced PNG, and their steps (fixed values).
+ADAM7 = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 FILTERS = ("none", "sub", "up", "average", "paeth", "adaptive")
 
 
@@ -95,19 +97,73 @@ def _chunk(tag: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data))
 
 
-def png_bytes(x: np.ndarray, name: str = "adaptive", palette: np.ndarray | None = None) -> bytes:
-    """x (h, w, channels): gray, RGB or RGBA, or with a palette (n, 3) its indices."""
+def _packed(samples: np.ndarray, depth: int) -> np.ndarray:
+    """(h, w, channels) of samples -> (h, units, bytes of a unit): a unit is a pixel, or a byte where pixels are smaller."""
+    h, w, n = samples.shape
+    if depth == 8:
+        return samples.astype(np.uint8)
+    if depth == 16:
+        return samples.astype(">u2").view(np.uint8).reshape(h, w, 2 * n)
+    bits = ((samples.reshape(h, w * n, 1).astype(np.uint8) >> np.arange(depth - 1, -1, -1, dtype=np.uint8)) & 1).reshape(h, -1)
+    return np.packbits(bits, axis=1)[:, :, None]
+
+
+def _unpacked_samples(lines: np.ndarray, w: int, channels: int, depth: int) -> np.ndarray:
+    """Rows of bytes -> (h, w, channels) of samples."""
+    h = len(lines)
+    if depth == 8:
+        return lines.reshape(h, w, channels)
+    if depth == 16:
+        return lines.reshape(h, -1).view(">u2").astype(np.uint16).reshape(h, w, channels)
+    bits = np.unpackbits(lines, axis=1)[:, : w * channels * depth].reshape(h, w * channels, depth)
+    return (bits @ (1 << np.arange(depth - 1, -1, -1))).astype(np.uint8).reshape(h, w, channels)
+
+
+def passes(h: int, w: int, interlaced: bool) -> Iterator[tuple[slice, slice]]:
+    """Rows and columns of each pass that has pixels; a single one if not interlaced."""
+    for x, y, dx, dy in ADAM7 if interlaced else ((0, 0, 1, 1),):
+        if x < w and y < h:
+            yield slice(y, None, dy), slice(x, None, dx)
+
+
+def png_bytes(x: np.ndarray, name: str = "adaptive", palette: np.ndarray | None = None, depth: int = 8, interlaced: bool = False) -> bytes:
+    """x (h, w, channels): gray, RGB or RGBA samples, or with a palette (n, 3) its indices; fewer bits than eight for one channel only."""
     kind = 3 if palette is not None else {1: 0, 3: 2, 4: 6}[x.shape[2]]
-    rows, body = filtered(x, name)
-    data = np.concatenate([rows[:, None], body.reshape(len(x), -1)], axis=1).tobytes()
-    head = struct.pack(">IIBBBBB", x.shape[1], x.shape[0], 8, kind, 0, 0, 0)
+    if depth not in (1, 2, 4, 8, 16) or (depth < 8 and x.shape[2] > 1) or (depth == 16 and kind == 3):
+        raise ValueError(f"no PNG has {depth} bits in {x.shape[2]} channels")
+    data = b""
+    for rows, columns in passes(x.shape[0], x.shape[1], interlaced):
+        body = _packed(x[rows, columns], depth)
+        f, lines = filtered(body, name)
+        data += np.concatenate([f[:, None], lines.reshape(len(body), -1)], axis=1).tobytes()
+    head = struct.pack(">IIBBBBB", x.shape[1], x.shape[0], depth, kind, 0, 0, int(interlaced))
     colors = _chunk(b"PLTE", palette.astype(np.uint8).tobytes()) if palette is not None else b""
     return PNG_MAGIC + _chunk(b"IHDR", head) + colors + _chunk(b"IDAT", zlib.compress(data, 9)) + _chunk(b"IEND", b"")
 
 
+def _unfiltered(raw: np.ndarray, unit: int) -> np.ndarray:
+    """Rows of a filter and bytes -> rows of bytes."""
+    h, n = len(raw), (raw.shape[1] - 1) // unit
+    out = np.zeros((h + 1, n + 1, unit), np.uint8)  # a row and a unit of zeros before
+    for y in range(1, h + 1):
+        line = raw[y - 1, 1:].reshape(n, unit)
+        f = raw[y - 1, 0]
+        if f == 0:
+            out[y, 1:] = line
+        elif f == 1:
+            out[y, 1:] = np.cumsum(line, axis=0, dtype=np.uint8)
+        elif f == 2:
+            out[y, 1:] = line + out[y - 1, 1:]
+        else:
+            for x in range(1, n + 1):
+                a, b, c = out[y, x - 1], out[y - 1, x], out[y - 1, x - 1]
+                out[y, x] = line[x - 1] + (((a.astype(np.uint16) + b) // 2).astype(np.uint8) if f == 3 else _paeth(a, b, c))
+    return out[1:, 1:].reshape(h, -1)
+
+
 def read_png(data: bytes) -> np.ndarray:
-    """(h, w, 4). Eight bits a channel, not interlaced; anything else is a ValueError."""
-    at, body, palette, head = 8, b"", None, b""
+    """(h, w, 4) of eight bits, from any depth, interlaced or not; of sixteen bits the upper eight."""
+    at, body, palette, clear, head = 8, b"", None, b"", b""
     if data[:8] != PNG_MAGIC:
         raise ValueError("not a PNG")
     while at + 12 <= len(data):
@@ -117,29 +173,27 @@ def read_png(data: bytes) -> np.ndarray:
             head = own
         elif tag == b"PLTE":
             palette = np.frombuffer(own, np.uint8).reshape(-1, 3)
+        elif tag == b"tRNS":
+            clear = own
         elif tag == b"IDAT":
             body += own
         at += 12 + n
     w, h, depth, kind, _, _, interlaced = struct.unpack(">IIBBBBB", head)
-    if depth != 8 or interlaced:
-        raise ValueError("only eight bits a channel, not interlaced")
     channels = PNG_CHANNELS[kind]
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * channels)
-    out = np.zeros((h + 1, w + 1, channels), np.uint8)  # a row and a column of zeros before
-    for y in range(1, h + 1):
-        line = raw[y - 1, 1:].reshape(w, channels)
-        f = raw[y - 1, 0]
-        if f == 0:
-            out[y, 1:] = line
-        elif f == 1:
-            out[y, 1:] = np.cumsum(line, axis=0, dtype=np.uint8)
-        elif f == 2:
-            out[y, 1:] = line + out[y - 1, 1:]
-        else:
-            for x in range(1, w + 1):
-                a, b, c = out[y, x - 1], out[y - 1, x], out[y - 1, x - 1]
-                out[y, x] = line[x - 1] + (((a.astype(np.uint16) + b) // 2).astype(np.uint8) if f == 3 else _paeth(a, b, c))
-    return _rgba(out[1:, 1:], palette if kind == 3 else None)
+    if depth not in (1, 2, 4, 8, 16) or interlaced > 1 or (depth < 8 and channels > 1):
+        raise ValueError(f"no PNG has {depth} bits in {channels} channels")
+    raw, out, at = np.frombuffer(zlib.decompress(body), np.uint8), np.zeros((h, w, channels), np.uint16 if depth == 16 else np.uint8), 0
+    for rows, columns in passes(h, w, bool(interlaced)):
+        ph, pw = out[rows, columns].shape[:2]
+        line = 1 + -(-pw * channels * depth // 8)
+        lines = _unfiltered(raw[at : at + ph * line].reshape(ph, line), max(1, channels * depth // 8))
+        out[rows, columns] = _unpacked_samples(lines, pw, channels, depth)
+        at += ph * line
+    if kind == 3:
+        alpha = np.full(len(palette), 255, np.uint8)
+        alpha[: len(clear)] = np.frombuffer(clear, np.uint8)[: len(palette)]
+        return np.concatenate([palette, alpha[:, None]], axis=1)[out[:, :, 0]]
+    return _rgba((out >> 8).astype(np.uint8) if depth == 16 else out if depth == 8 else (out * (255 // ((1 << depth) - 1))).astype(np.uint8))
 
 
 def _rgba(x: np.ndarray, palette: np.ndarray | None = None) -> np.ndarray:
@@ -248,6 +302,21 @@ def write_gif(image: DataFrame) -> DataFrame:
     return image.mapInArrow(run, "img_id bigint, content binary")
 
 
+def png_depths(image: DataFrame, depths: tuple[int, ...] = (1, 2, 4, 8, 16)) -> DataFrame:
+    """images -> img_id, depth, interlaced, content: their first channel as gray PNG of each depth, straight and interlaced; fewer bits keep the upper ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for key, w, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                gray = (data.values.to_numpy(zero_copy_only=False).astype(np.int64) >> 24 & 255).reshape(-1, w, 1)
+                rows += [(key, d, i, png_bytes(gray * 257 if d == 16 else gray >> (8 - d), "adaptive", None, d, i)) for d in depths for i in (False, True)]
+            kinds = pa.int64(), pa.int64(), pa.bool_(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 4, kinds, strict=True)], ["img_id", "depth", "interlaced", "content"])
+
+    return image.select("img_id", "w", "data").mapInArrow(run, "img_id bigint, depth bigint, interlaced boolean, content binary")
+
+
 def png_candidates(image: DataFrame) -> DataFrame:
     """images -> img_id, ordinal, strategy, len, content: each form with each filter."""
 
