@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, partitions, those_of, unused, values_of
@@ -25,10 +25,12 @@ WIDTH, SIMILARITY = 5, 0.8
 PLACES, BAND, BANDS = 256, 8, 32
 #: A pair is compared if its sketches agree in the wanted share of places less this: 2.4 standard deviations at 80 %.
 ALLOWANCE = 0.06
-#: Partners that a member whose pair failed is held against next, and how many times as many in each turn after.
+#: Partners that a member is held against first, and how many times as many in each turn after.
 PARTNERS = 16
-#: Members of a key that one task compares with each other; larger groups are dealt to several. Members that stand for a group's middle.
-GROUP, MIDDLE = 8192, 256
+#: Members of a key that one task compares with each other; larger groups are cut into parts.
+GROUP = 8192
+#: Bands whose centres every text is held against; components of more members are asked as a whole.
+STARS, BIG = 8, 64
 #: Shingles that are hashed to places at once.
 AT_ONCE = 512
 
@@ -86,16 +88,27 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rep, fp, bands, ...) -> key, rep, ... for each distinct key of a text."""
     for b in batches:
         rep, fp = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+        line = np.arange(len(rep))
         order = np.argsort(fp, kind="stable")
         key, owner = keys_of(np.unique(fp))
         first, last = np.searchsorted(fp[order], owner, "left"), np.searchsorted(fp[order], owner, "right")
         n = last - first
         at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
-        golay = np.repeat(key, n), rep[order][at]
         bands = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([golay[0], bands])), pa.array(np.concatenate([golay[1], np.repeat(rep, BANDS)]))], ["key", "rep"])
+        both = np.stack([np.concatenate([np.repeat(key, n), bands]), np.concatenate([line[order][at], np.repeat(line, BANDS)])])
+        both = np.unique(both, axis=1)
+        rows = pa.array(both[1])
+        yield pa.RecordBatch.from_arrays([pa.array(both[0]), *(c.take(rows) for i, c in enumerate(b.columns) if i not in (1, 2))], ["key", "rep", *b.schema.names[3:]])
+
+
+def _first_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rep, bands) -> key, rep for the first STARS bands."""
+    for b in batches:
+        bands = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64).reshape(-1, BANDS)[:, :STARS]
+        yield pa.RecordBatch.from_arrays([pa.array(bands.reshape(-1)), b.column(0).take(pa.array(np.repeat(np.arange(len(bands)), STARS)))], ["key", "rep"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -114,72 +127,52 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         yield pa.Table.from_batches(kept).combine_chunks().columns
 
 
-def spanning_proposals(rep: np.ndarray, sketch: np.ndarray, least: float) -> tuple[list[int], list[int]]:
-    """Pairs to compare that span what the sketches link, each member proposed once.
-
-    Members go in the order of their agreement with the middle of the group, so
-    that a text of which the others are copies is held against all of them.
-    """
-    middle = sketch[0] if len(sketch) < 3 else np.array([np.bincount(c, minlength=1).argmax() for c in sketch[:MIDDLE].T], np.uint8)
-    order = np.lexsort((rep, -(sketch == middle).sum(axis=1)))
-    rep, sketch = rep[order], sketch[order]
-    a, b = [], []
-    while len(rep) > 1:
-        frontier = [(rep[0], sketch[0])]
-        rep, sketch = rep[1:], sketch[1:]
-        while frontier and len(rep):
-            x, own = frontier.pop(0)
-            near = (sketch == own).sum(axis=1) >= least * PLACES
-            if near.any():
-                a += [int(x)] * int(near.sum())
-                b += rep[near].tolist()
-                frontier += zip(rep[near], sketch[near], strict=True)
-                rep, sketch = rep[~near], sketch[~near]
-    return a, b
-
-
-def _proposals(least: float):
-    """Rows (group, rep, sketch), sorted by group -> pairs (a, b)."""
+def _agreeing(least: float):
+    """Rows (a, b, x, y) with the sketches of two texts -> the pairs (a, b) whose sketches agree often enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, rep, sketch in _groups(batches):
-            group, rep = group.to_numpy(), rep.to_numpy()
-            places = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(-1, PLACES)
-            a: list[int] = []
-            b: list[int] = []
-            edge = [*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist(), len(group)]
-            for s, e in zip(edge, edge[1:], strict=False):
-                x, y = spanning_proposals(rep[s:e], places[s:e], least)
-                a += x
-                b += y
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, PLACES) for i in (2, 3))
+            yield b.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= least * PLACES))
 
     return run
 
 
-def _again(least: float, most: int):
-    """Rows (group, rep, sketch, label, no), sorted by group -> for each rep with a list `no` of those that it was compared with in vain, the `most` nearest others of another label."""
+def _nearest(least: float, low: int, high: int):
+    """Rows (group, gid, after, rep, label, ask, member, sketch), sorted by group -> for each rep that asks, the members of another label among its nearest `low` to `high`.
+
+    Where `after` is set only members with a larger number count, so that a pair
+    comes up once. Members are ranked by agreement, then number, whatever their
+    label, so that ranks stay as labels grow together. A row without b, but
+    with the gid, says that members of another label come later.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, rep, sketch, label, no in _groups(batches):
-            group, rep, label = group.to_numpy(), rep.to_numpy(), label.to_numpy()
+        for group, gid, after, rep, label, ask, member, sketch in _groups(batches):
+            group, gid, rep, label = (c.to_numpy() for c in (group, gid, rep, label))
+            after, ask, member = (c.to_numpy(zero_copy_only=False) for c in (after, ask, member))
             places = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(-1, PLACES)
-            a: list[int] = []
-            b: list[int] = []
+            a, b, more = [], [], []
             edge = [*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist(), len(group)]
-            asks = np.flatnonzero(np.asarray(no.is_valid()))
             for s, e in zip(edge, edge[1:], strict=False):
-                if (label[s:e] == label[s]).all():
-                    continue
-                for i in asks[np.searchsorted(asks, s) : np.searchsorted(asks, e)].tolist():
-                    vain = no[i].as_py()
-                    agree = (places[s:e] == places[i]).sum(axis=1)
-                    agree[(label[s:e] == label[i]) | np.isin(rep[s:e], vain)] = 0
-                    best = np.argsort(-agree, kind="stable")[:most]
-                    best = best[agree[best] >= least * PLACES]
-                    a += [int(rep[i])] * len(best)
-                    b += rep[s:e][best].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                there = s + np.flatnonzero(member[s:e])
+                table, numbers = places[there], rep[there]
+                for i in (s + np.flatnonzero(ask[s:e])).tolist():
+                    near = np.flatnonzero(numbers > rep[i] if after[i] else numbers != rep[i])
+                    agree = (table[near] == places[i]).sum(axis=1)
+                    fit = agree >= least * PLACES
+                    near, agree = near[fit], agree[fit]
+                    near = there[near[np.lexsort((numbers[near], -agree))]]
+                    other = label[near] != label[i]
+                    own = near[low:high][other[low:high]]
+                    a += [int(rep[i])] * len(own)
+                    b += rep[own].tolist()
+                    more += [None] * len(own)
+                    if other[high:].any():
+                        a.append(int(rep[i]))
+                        b.append(None)
+                        more.append(int(gid[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, more)], ["a", "b", "gid"])
 
     return run
 
@@ -197,84 +190,103 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.float64())], ["a", "b", "j"])
 
 
+def _to_ask(reps: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
+    """Who is held against whom: gid, after, rep, ask, member, size.
+
+    Only keys whose members have more than one label count. Members of small
+    components meet within their key. A component of more than BIG members is
+    one group of its own, whatever keys its members share: those who share a
+    key with it ask the whole of it, once.
+    """
+    sizes = label.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") > BIG)
+    known = label.join(F.broadcast(sizes) if sizes.count() <= 1_000_000 else sizes, "label", "left").select(F.col("node").alias("rep"), "label", F.col("size").isNotNull().alias("big"))
+    base = reps.select("rep", "fp", "bands").join(known, "rep", "left").select("rep", "fp", "bands", F.coalesce("label", "rep").alias("label"), F.coalesce("big", F.lit(False)).alias("big"))
+    base = scratch.write(base, "dedup-base")
+    keyed = base.mapInArrow(_keys, "key bigint, rep bigint, label bigint, big boolean")
+    open_ = keyed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count_if(~F.col("big")).alias("small"), F.collect_set(F.when(F.col("big"), F.col("label"))).alias("bigs")).where("x <> y").select("key", "small", "bigs")
+    open_ = scratch.write(open_, "dedup-open")
+    within = keyed.where("not big").join(open_.where("small > 1").select("key", F.col("small").alias("size")), "key").select(F.col("key").alias("gid"), F.lit(True).alias("after"), "rep", F.lit(True).alias("ask"), F.lit(True).alias("member"), "size")
+    # Of two large components the one with the smaller label asks.
+    some = keyed.join(open_.where("size(bigs) > 0").select(F.col("key").alias("k"), "bigs"), (F.col("key") == F.col("k")) & (~F.col("big") | (F.size("bigs") > 1)))
+    asked = some.select("rep", "label", "big", F.explode("bigs").alias("gid")).where("gid <> label and (not big or label < gid)").select("gid", "rep").distinct()
+    asked = scratch.write(asked, "dedup-asked")
+    of = asked.select("gid").distinct().join(sizes, F.col("gid") == F.col("label")).select("gid", "size")
+    # Numbers of components and keys must not meet.
+    number = (-1 - F.col("gid")).alias("gid")
+    ask = asked.join(of, "gid").select(number, F.lit(False).alias("after"), "rep", F.lit(True).alias("ask"), F.lit(False).alias("member"), "size")
+    members = label.join(of, F.col("gid") == F.col("label")).select(number, F.lit(False).alias("after"), F.col("node").alias("rep"), F.lit(False).alias("ask"), F.lit(True).alias("member"), "size")
+    return scratch.write(within.unionByName(ask).unionByName(members), "dedup-groups")
+
+
 def similar_components(reps: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """reps (rep, fp, bands, sketch, shingles), of different texts -> (node, label) for those that a link reaches.
 
-    Every key's group is searched for pairs that span what its sketches link;
-    the pairs are compared exactly. A member whose pair fails is held against
-    the group again, with ever more partners, until nothing is left to
-    compare. Groups of more than GROUP members are dealt to several tasks,
-    which all hold the group's middle; a member that did not link there meets
-    all of them.
+    First every text is held against the centres of its first STARS bands: of a
+    band's texts the one whose bands have most texts. In a family of copies that
+    is the text of which the others are copies, and the same for all bands, so
+    a family becomes one component at one comparison for each of its members.
+    Then all keys are looked at. Those whose texts all have one label are done,
+    however many these are. In the others what has different labels is held
+    against each other, nearest first, a few at a time, until nothing is left
+    (`_to_ask`, `_nearest`): of two texts that share a key, and whose sketches
+    agree, either the pair is compared exactly, or they have the same label
+    already. Groups of more than GROUP members are cut into parts, and what
+    asks goes to all of them.
     """
     n, least = partitions(reps.sparkSession), similarity - ALLOWANCE
-    keyed = reps.select("rep", "fp", "bands").mapInArrow(_keys, "key bigint, rep bigint")
-    sized = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").distinct()
-    shared = scratch.write(sized.select("key", "rep", F.ceil(F.col("n") / GROUP).cast("int").alias("parts")), "dedup-shared")
-    held = scratch.write(those_of(reps.select("rep", "sketch"), scratch.write(shared.select("rep").distinct(), "dedup-some"), "rep"), "dedup-held")
-    group = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", "part"))
-    part = F.when(F.col("parts") == 1, 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int")
-    members = shared.withColumn("part", part).withColumn("group", group)
-    first, hot = members.select("group", "rep"), shared.where("parts > 1")
-    dealt = not hot.isEmpty()
-    if dealt:
-        middles = _middles(hot, held).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("group", group)
-        first = first.unionByName(middles.select("group", "rep")).distinct()
-    first = first.join(held.select("rep", "sketch"), "rep").select("group", "rep", "sketch")
-    proposed = first.repartition(n, "group").sortWithinPartitions("group", "rep").mapInArrow(_proposals(least), "a bigint, b bigint")
-    compared, label, most, step = None, None, PARTNERS, 0
-    while True:
-        pairs = scratch.write(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"dedup-pairs-{step}")
+    held = reps.select("rep", "sketch")
+    compared, label, step = None, None, 0
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        """Exact similarity of pairs that have not been compared before."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if compared is not None:
+            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = scratch.write(pairs, f"dedup-pairs-{step}")
         # Sets of shingles are read for the members of pairs alone.
         met = scratch.write(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), f"dedup-met-{step}")
         sets = scratch.write(those_of(reps.select("rep", "shingles"), met, "rep"), f"dedup-sets-{step}")
         one, two = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
         got = scratch.write(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_compare, "a bigint, b bigint, j double"), f"dedup-compared-{step}")
-        if step and got.isEmpty():
-            break
-        compared = got if compared is None else compared.unionByName(got)
         scratch.drop(f"dedup-sets-{step}", f"dedup-met-{step}", f"dedup-pairs-{step}")
-        if label is None or not got.where(F.col("j") >= similarity).isEmpty():
-            label = connected_components(compared.where(F.col("j") >= similarity).select("a", "b"), scratch, f"dedup-cc-{step}")
-        failed = got.where(F.col("j") < similarity)
-        asking = failed.select(F.col("a").alias("rep")).union(failed.select("b")).distinct()
-        vain = compared.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(compared.select("b", "a")).join(asking, "rep", "left_semi").groupBy("rep").agg(F.collect_set("other").alias("no"))
-        # Members of a dealt group that no link reaches have met a part of it only.
-        if dealt and step == 0:
-            alone = hot.select("rep").distinct().join(label.select(F.col("node").alias("rep")), "rep", "left_anti")
-            vain = vain.join(alone, "rep", "full").select("rep", F.coalesce("no", F.array().cast("array<bigint>")).alias("no"))
-        vain = scratch.write(vain, f"dedup-vain-{step}")
-        if vain.isEmpty():
+        return got
+
+    def labels() -> DataFrame:
+        return connected_components(compared.where(F.col("j") >= similarity).select("a", "b"), scratch, f"dedup-cc-{step}")
+
+    banded = scratch.write(reps.select("rep", "bands").mapInArrow(_first_bands, "key bigint, rep bigint"), "dedup-banded")
+    counted = banded.join(banded.groupBy("key").agg(F.count("*").alias("n")), "key")
+    weight = counted.groupBy("rep").agg(F.sum("n").alias("weight"))
+    centres = banded.join(weight, "rep").groupBy("key").agg(F.max(F.struct("weight", "rep"))["rep"].alias("b"))
+    stars = scratch.write(banded.join(centres, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "dedup-stars")
+    sketched = stars.join(held.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(held.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
+    compared = compare(sketched.select("a", "b", "x", "y").mapInArrow(_agreeing(least), "a bigint, b bigint"))
+    label = labels()
+    groups = _to_ask(reps, label, scratch)
+    scratch.drop("dedup-banded", "dedup-stars", "dedup-base", "dedup-open", "dedup-asked")
+    low, high, asking = 0, PARTNERS, None
+    while True:
+        step += 1
+        now = groups
+        if asking is not None:
+            now = groups.join(asking.select("gid").distinct(), "gid", "left_semi").drop("ask").join(asking.withColumn("ask", F.lit(True)), ["gid", "rep"], "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+        parts = F.ceil(F.col("size") / GROUP).cast("int")
+        own = F.pmod(F.xxhash64("rep"), parts).cast("int")
+        dealt = now.where("ask or member").withColumn("own", own).withColumn("part", F.explode(F.when(F.col("ask"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array("own"))))
+        rows = dealt.select(F.xxhash64("gid", "part").alias("group"), "gid", "after", "rep", "ask", (F.col("member") & (F.col("own") == F.col("part"))).alias("member"))
+        rows = rows.join(held, "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("group", "gid", "after", "rep", F.coalesce("label", "rep").alias("label"), "ask", "member", "sketch")
+        near = rows.repartition(n, "group").sortWithinPartitions("group", "gid", "rep").mapInArrow(_nearest(least, low, high), "a bigint, b bigint, gid bigint")
+        near = scratch.write(near, f"dedup-near-{step}")
+        got = compare(near.where("b is not null").select("a", "b"))
+        linked = not got.where(F.col("j") >= similarity).isEmpty()
+        compared = compared.unionByName(got)
+        if linked:
+            label = labels()
+        asking = scratch.write(near.where("b is null").select("gid", F.col("a").alias("rep")).distinct(), f"dedup-asking-{step}")
+        scratch.drop(f"dedup-near-{step}")
+        if asking.isEmpty():
             return label
-        who = shared.join(vain, "rep").select("key", "parts", "rep", "no")
-        wide = who.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("group", group).select("group", "rep", "no")
-        near = members.join(who.select("key").distinct(), "key", "left_semi").select("group", "rep").join(wide.select("group", "rep"), ["group", "rep"], "left_anti").withColumn("no", F.lit(None).cast("array<bigint>"))
-        rows = wide.unionByName(near).join(held.select("rep", "sketch"), "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("group", "rep", "sketch", F.coalesce("label", "rep").alias("label"), "no")
-        proposed = rows.repartition(n, "group").sortWithinPartitions("group", "rep").mapInArrow(_again(least, most), "a bigint, b bigint")
-        most, step = most * PARTNERS, step + 1
-    return label
-
-
-def _middles(hot: DataFrame, held: DataFrame) -> DataFrame:
-    """hot (key, rep, parts): members of large groups -> key, parts, rep: of each the member nearest to the middle of MIDDLE of them."""
-    some = hot.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep"))).where(F.col("k") <= MIDDLE)
-
-    def middle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            means = []
-            for own in b.column(1).to_pylist():
-                x = np.frombuffer(b"".join(own), np.uint8).reshape(-1, PLACES)
-                means.append(np.array([np.bincount(c).argmax() for c in x.T], np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(means, pa.binary())], ["key", "middle"])
-
-    def agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, PLACES) for i in (3, 4))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array((x == y).sum(axis=1), pa.int64())], ["key", "parts", "rep", "agree"])
-
-    means = some.join(held.select("rep", "sketch"), "rep").groupBy("key").agg(F.collect_list("sketch").alias("own")).mapInArrow(middle, "key bigint, middle binary")
-    rows = hot.join(held.select("rep", "sketch"), "rep").join(means, "key").select("key", "parts", "rep", "sketch", "middle").mapInArrow(agreement, "key bigint, parts int, rep bigint, agree bigint")
-    return rows.groupBy("key", "parts").agg(F.max(F.struct("agree", "rep"))["rep"].alias("rep"))
+        low, high = high, high * PARTNERS
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:

@@ -241,7 +241,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor(dict_data=_dictionary(shared.value))
         for b in batches:
-            for row in b.to_pylist():
+            for k in range(b.num_rows):  # one block at a time as Python objects
+                row = b.slice(k, 1).to_pylist()[0]
                 if row["dictionary"] != name:
                     raise ValueError("a block names another dictionary")
                 view, o = memoryview(row["payload"]), row["offsets"]

@@ -68,6 +68,7 @@ def brute_components(texts, least=0.8):
 def test_components_match_brute_force(spark, monkeypatch, group):
     """Families whose members are near the first text but not near each other; small groups are dealt to several tasks."""
     monkeypatch.setattr(similar, "GROUP", group)
+    monkeypatch.setattr(similar, "BIG", 64 if group == 8192 else 4)
     rnd = random.Random(4)
     words = [f"w{i}" for i in range(4000)]
     texts = []
@@ -81,6 +82,37 @@ def test_components_match_brute_force(spark, monkeypatch, group):
     assert kept == set(brute_components(texts))
 
 
+def test_bridges_between_components(spark, monkeypatch):
+    """Chains whose ends are far apart, and families that meet only through one text, with groups, parts and turns as small as they can be."""
+    monkeypatch.setattr(similar, "GROUP", 4)
+    monkeypatch.setattr(similar, "BIG", 3)
+    monkeypatch.setattr(similar, "PARTNERS", 2)
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for _ in range(4):
+        chain = [rnd.choice(words) for _ in range(300)]
+        for k in range(25):  # each text has a stretch of ten other words than the one before
+            chain = list(chain)
+            chain[k * 12 : k * 12 + 10] = rnd.sample(words, 10)
+            texts.append(" ".join(chain))
+    for _ in range(3):
+        left = [rnd.choice(words) for _ in range(240)]
+        right = list(left)
+        right[100:140] = rnd.sample(words, 40)
+        middle = left[:120] + right[120:]
+        texts += [" ".join(middle)]
+        for side in (left, right):
+            for _ in range(12):
+                own = list(side)
+                own[rnd.randrange(90)] = rnd.choice(words)
+                texts.append(" ".join(own))
+    order = list(range(len(texts)))
+    rnd.shuffle(order)
+    docs = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string")
+    assert {r.doc_id for r in similar.one_of_each(docs).collect()} == set(brute_components(texts))
+
+
 def test_one_of_each_awkward(spark):
     docs = awkward(spark)
     out = similar.one_of_each(docs)
