@@ -7,8 +7,9 @@
 The reader is given conditions on name and format. Files whose name is not
 wanted are not opened; of the others the first bytes are read, and only files
 of the wanted format are read whole. The writer puts files into a folder of its
-attempt and moves them to their names when every task has ended; a task that
-fails, and one that runs twice, leaves nothing behind.
+attempt and moves them to their names when every task has ended. A task that
+fails, and one that runs twice, leaves no file under its name; what a task puts
+down after its attempt was given up lies in a folder that readers pass over.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ class AssetReader(DataSourceReader):
         where, root = pafs.FileSystem.from_uri(self.path)
         parts, size = [[]], 0
         for info in sorted(where.get_file_info(pafs.FileSelector(root, recursive=True)), key=lambda i: i.path):
-            if info.type != pafs.FileType.File or info.base_name not in self.name or posixpath.basename(posixpath.dirname(info.path)).startswith(STAGED):
+            if info.type != pafs.FileType.File or info.base_name not in self.name or f"/{STAGED}" in info.path.removeprefix(root):
                 continue
             if parts[-1] and size + info.size + OPENING > PARTITION:
                 parts.append([])
