@@ -20,7 +20,9 @@ import hashlib
 import random
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +46,15 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: Maximal runs of what numbers of any kind consist of; every match of the three patterns above lies within one.
-_RUN = re.compile(r"[+(0-9][0-9+ ().-]{5,}[0-9]")
+#: Runs of what numbers of any kind consist of; every match of the three patterns above lies within one, from a sign that begins numbers to a digit.
+_RUN = re.compile(r"[0-9+ ().-]{7,}")
+_BEGIN = re.compile(r"[+(0-9]")
 _AT, _DOT = r"(?: ?[(\[{] ?(?:at|AT|@) ?[)\]}] ?| at | AT | ?@ ?)", r"(?: ?[(\[{] ?(?:dot|DOT|\.) ?[)\]}] ?| dot | DOT | \. |\.)"
-_WIDE_EMAIL = re.compile(rf"[\w.%+-]+{_AT}[\w-]+(?:{_DOT}[\w-]+)+")
+_WIDE_AT = re.compile(_AT)
+_WIDE_DOMAIN = re.compile(rf"[\w-]++(?:{_DOT}[\w-]++)+")
 #: Without one of these no text holds a wide address.
 _EMAIL_SIGN = re.compile(r"@|[(\[{] ?(?:at|AT) ?[)\]}]| (?:dot|DOT) ")
-_WIDE_RUN = re.compile(r"[+(0-9][0-9+ ()\[\]{}._/dot-]{5,}[0-9]")
+_WIDE_RUN = re.compile(r"[0-9+ ()\[\]{}._/dot-]{7,}")
 _WIDE_IP = re.compile(r"(?<![0-9.])[0-9]{1,4}(?:(?: ?\. ?| ?[(\[{]\.[)\]}] ?| dot )[0-9]{1,4}){3}(?![0-9])")
 _WIDE_CARD = re.compile(r"(?<![0-9])[0-9](?:[ ._/-]{0,3}[0-9]){12,18}(?![0-9])")
 _WIDE_PHONE = re.compile(r"(?<![0-9])[+(]{0,2}[0-9](?:[ ()./_-]{0,3}[0-9]){6,14}(?![0-9])")
@@ -99,25 +103,43 @@ def _octets(s: str) -> bool:
 def base_spans(text: str) -> list[Span]:
     """Leftmost non-overlapping matches of each kind that pass its check, by kind, then start; a match that fails is not tried again."""
     found = list(_emails(text))
-    for run in _runs(text):
-        s, e = run
+    for s, e in _runs(text, _RUN):
         found += ((1, m.start(), m.end()) for m in _IP.finditer(text, s, e) if _octets(m[0]))
         found += ((2, m.start(), m.end()) for m in _CARD.finditer(text, s, e) if 16 <= len(d := _digits(m[0])) <= 19 and luhn(d))
         found += ((3, m.start(), m.end()) for m in _PHONE.finditer(text, s, e) if 8 <= len(_digits(m[0])) <= 15)
     return sorted(found)
 
 
-def _runs(text: str) -> Iterator[tuple[int, int]]:
-    return ((m.start(), m.end()) for m in _RUN.finditer(text))
+def _runs(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Of each run of the pattern's characters what reaches from its first sign that begins a number to its last digit, if that is seven long."""
+    for m in pattern.finditer(text):
+        start, end = _BEGIN.search(text, m.start(), m.end()), m.end()
+        while end > m.start() and not "0" <= text[end - 1] <= "9":
+            end -= 1
+        if start and end - start.start() >= 7:
+            yield start.start(), end
+
+
+def _wide_emails(text: str) -> Iterator[Span]:
+    """From each sign to the left over what stands in an address, to the right over names between dots: every character is met a few times, however long a run of them is."""
+    done, at = 0, _WIDE_AT.search(text)
+    while at:
+        start = at.start()
+        while start > done and (text[start - 1].isalnum() or text[start - 1] in "_.%+-"):
+            start -= 1
+        m = _WIDE_DOMAIN.match(text, at.end()) if start < at.start() else None
+        if m:
+            done = m.end()
+            yield 0, start, done
+        at = _WIDE_AT.search(text, max(at.start() + 1, done))
 
 
 def candidates(text: str, base: list[Span] | None = None) -> list[Span]:
     """Overlapping spans of all kinds, base spans included."""
     found = set(base_spans(text) if base is None else base)
     if _EMAIL_SIGN.search(text):
-        found.update((0, m.start(), m.end()) for m in _WIDE_EMAIL.finditer(text))
-    for run in _WIDE_RUN.finditer(text):
-        s, e = run.span()
+        found.update(_wide_emails(text))
+    for s, e in _runs(text, _WIDE_RUN):
         for k, pattern in ((1, _WIDE_IP), (2, _WIDE_CARD), (3, _WIDE_PHONE)):
             found.update((k, m.start(), m.end()) for m in pattern.finditer(text, s, e))
     for m in _WIDE_SECRET.finditer(text):
@@ -267,22 +289,35 @@ def lessons(text: str, seed: int) -> Iterator[tuple[str, Span | None, list[Span]
         yield around(lambda: (" ", look_alike(rnd)), at, at, -1)
 
 
+def _apart(spans: list[Span]) -> Callable[[Span], bool]:
+    """Whether a span overlaps none of those given, which may overlap each other."""
+    by_start = sorted(spans, key=lambda c: c[1])
+    starts, ends = [c[1] for c in by_start], list(accumulate((c[2] for c in by_start), max))
+
+    def apart(c: Span) -> bool:
+        before = bisect_left(starts, c[2])
+        return not before or ends[before - 1] <= c[1]
+
+    return apart
+
+
 class SpanModel:
     def __init__(self, trees: BoostedTrees, thresholds: tuple[float, ...]):
         self.trees, self.thresholds = trees, thresholds
 
     def spans(self, texts: list[str], bases: list[list[Span]]) -> list[list[Span]]:
         """For each text its base spans and the candidates that are added, by kind, then start; better scores first, ties to the longer, then the earlier."""
-        rest = [[c for c in candidates(t, b) if not any(c[1] < e and s < c[2] for _, s, e in b)] for t, b in zip(texts, bases, strict=True)]
+        rest = [list(filter(_apart(b), candidates(t, b))) for t, b in zip(texts, bases, strict=True)]
         x = np.array([features(t, c) for t, r in zip(texts, rest, strict=True) for c in r], np.int64).reshape(-1, N_FEATURES)
         scores, at, out = self.trees.probability(x).tolist(), 0, []
         for base, own in zip(bases, rest, strict=True):
-            taken = list(base)
+            added: list[tuple[int, int, int]] = []  # start, end, kind; none overlaps another
             for p, c in sorted(zip(scores[at : at + len(own)], own, strict=True), key=lambda x: (-x[0], x[1][1] - x[1][2], x[1])):
-                if p >= self.thresholds[c[0]] and not any(c[1] < e and s < c[2] for _, s, e in taken):
-                    taken.append(c)
+                k = bisect_left(added, (c[1], c[2], c[0]))
+                if p >= self.thresholds[c[0]] and (k == 0 or added[k - 1][1] <= c[1]) and (k == len(added) or added[k][0] >= c[2]):
+                    added.insert(k, (c[1], c[2], c[0]))
             at += len(own)
-            out.append(sorted(taken))
+            out.append(sorted([*base, *((k, s, e) for s, e, k in added)]))
         return out
 
 
@@ -306,7 +341,8 @@ def fit(docs: DataFrame, documents: int = FIT_DOCUMENTS) -> SpanModel:
                 base = base_spans(text)
                 for c in base[:PLANTED]:
                     learn(text, c, True, fold)
-                hopeless = [c for c in candidates(text, base) if c not in base and _hopeless(text, c)]
+                given = set(base)
+                hopeless = [c for c in candidates(text, base) if c not in given and _hopeless(text, c)]
                 for c in hopeless[: 2 * PLANTED]:
                     learn(text, c, False, fold)
                 for shown, right, met in lessons(text, zlib.crc32(text.encode("utf-8", "surrogatepass"))):

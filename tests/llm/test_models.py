@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -360,3 +361,28 @@ def test_boosted_trees_learn():
     y = ((x[:, 0] > 15) ^ (x[:, 2] > 7)).astype(float)
     model = boosting.fit_trees(x[:1000], y[:1000])
     assert ((model.probability(x[1000:]) > 0.5) == y[1000:]).mean() > 0.97
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "a" * 1_000_000 + " x@y.com", "(" * 1_000_000, "+1" * 500_000, "1" * 1_000_000, "1 " * 500_000, "a@" * 300_000, "a at " * 200_000, "x@y.z " * 100_000, ". " * 400_000])
+def test_long_texts_take_time_in_proportion(text):
+    """One token, or one sign again and again, of a million characters: what a quadratic scan would not end on."""
+    start = time.perf_counter()
+    base = pii.base_spans(text)
+    found = pii.candidates(text, base)
+    list(filter(pii._apart(base), found))
+    assert time.perf_counter() - start < 10
+    assert set(base) <= set(found) and all(text[s:e].strip() == text[s:e] for _, s, e in base[:1000])
+
+
+def test_wide_addresses_where_signs_meet():
+    assert [t[s:e] for t in ("x at at y.com", "mail a.b(at)c (dot) org now", "a at b at c.d", "(at) x.y", "a @ b", "é_1 [at] ü.de") for k, s, e in pii.candidates(t) if k == 0] == ["at at y.com", "a.b(at)c (dot) org", "b at c.d", "é_1 [at] ü.de"]
+
+
+def test_overlaps_by_bisection():
+    rnd = random.Random(5)
+    for _ in range(300):
+        spans = [(rnd.randrange(4), s, s + rnd.randrange(1, 9)) for s in (rnd.randrange(60) for _ in range(rnd.randrange(8)))]
+        apart = pii._apart(spans)
+        for s in range(60):
+            for e in range(s + 1, min(60, s + 6)):
+                assert apart((0, s, e)) == (not any(s < b and a < e for _, a, b in spans))
