@@ -73,7 +73,7 @@ def octets_of(least: np.ndarray) -> np.ndarray:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["row", "sig", "fp", "bands", "sketch", "shingles"]
-    for b in batches:
+    for b in _slices(batches):
         sigs, fps, least, sets = [], [], np.empty((b.num_rows, PLACES), np.uint32), []
         for k, text in enumerate(values_of(b.column(1))):
             hashes = list(shingle_hashes(text, WIDTH))
@@ -87,9 +87,16 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary()), pa.array(fps, pa.int64()), *(pa.array(x, pa.binary()) for x in (bands, sketches, sets))], names)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most: what a task makes of a batch is far larger than the batch."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (rep, fp, bands, ...) -> key, rep, ... for each distinct key of a text."""
-    for b in batches:
+    for b in _slices(batches):
         rep, fp = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
         line = np.arange(len(rep))
         order = np.argsort(fp, kind="stable")
@@ -98,10 +105,13 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = last - first
         at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
         bands = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
-        both = np.stack([np.concatenate([np.repeat(key, n), bands]), np.concatenate([line[order][at], np.repeat(line, BANDS)])])
-        both = np.unique(both, axis=1)
-        rows = pa.array(both[1])
-        yield pa.RecordBatch.from_arrays([pa.array(both[0]), *(c.take(rows) for i, c in enumerate(b.columns) if i not in (1, 2))], ["key", "rep", *b.schema.names[3:]])
+        key, line = np.concatenate([np.repeat(key, n), bands]), np.concatenate([line[order][at], np.repeat(line, BANDS)])
+        by = np.lexsort((key, line))
+        key, line = key[by], line[by]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+        rows = pa.array(line[fresh])
+        yield pa.RecordBatch.from_arrays([pa.array(key[fresh]), *(c.take(rows) for i, c in enumerate(b.columns) if i not in (1, 2))], ["key", "rep", *b.schema.names[3:]])
 
 
 def _first_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
