@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import blocks, containers, resampling
 from tessera.plans import views
-from tessera.plans.codec_queries import _W, whole
+from tessera.plans.codec_queries import _W, _sum, checked, read, whole
 from tessera.plans.raster_queries import _YUV
 from tessera.plans.registry import query
+from tessera.sources import jpegs
 
 #: Name, quality, and whether the strong ladder is meant.
 STEPS = (("gentle-30", 30, False), ("gentle-50", 50, False), ("strong-20", 20, True), ("strong-40", 40, True), ("strong-60", 60, True), ("strong-90", 90, True))
@@ -109,3 +110,17 @@ def opt_jpeg(spark: SparkSession, d: str) -> DataFrame:
 def kernel(spark: SparkSession, d: str) -> DataFrame:
     """What a JPEG of quality 75 is made of, where 500 pixels count as large."""
     return blocks.prepared(views.pixels(spark, d), 75, 500)
+
+
+#: Pixels that the quantised blocks give when they are transformed back.
+_BACK = f"""{_BLOCKS}, deq as (select img_id,channel,sy,sx,p.v,p.u,z*(case when channel=0 then {_DIV[0]} else {_DIV[1]} end)[v*8+u+1] f from z join place p using (k)),
+  half as (select img_id,channel,sy,sx,u,b.i yy,sum(f*c) f from deq join basis b on b.k=v group by all),
+  back as (select img_id,channel,sy*8+yy y,sx*8+b.i x,least(255,greatest(0,cast(floor(round(sum(f*c),6)+0.5::double) as bigint)+128)) value from half join basis b on b.k=u group by img_id,channel,sy,sx,yy,b.i),
+  wide as (select img_id,y,x,max(value) filter (channel=0) yy,max(value) filter (channel=1)-128 u,max(value) filter (channel=2)-128 v from back join side using (img_id) where y<h and x<w group by 1,2,3),
+  rgb as (select img_id,y,x,least(255,greatest(0,yy+((359*v+128)>>8))) r,least(255,greatest(0,yy-((88*u+183*v+128)>>8))) g,least(255,greatest(0,yy+((454*u+128)>>8))) b from wide)"""
+
+
+@query("conv_jpeg", f"select * from (with {_BACK} select img_id,count(*) n,{_sum(a='255')} checksum from rgb group by 1)")
+def conv_jpeg(spark: SparkSession, d: str) -> DataFrame:
+    """Images as baseline JPEG, read back: the pixels that the quantised blocks stand for."""
+    return checked(read(jpegs.write_jpegs(whole(spark, d), _FILE_Q), "Jpeg"), "img_id")

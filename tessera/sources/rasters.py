@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources import gifs, tiffs
+from tessera.sources import gifs, jpegs, tiffs
 from tessera.sources.chunks import UNREADABLE
 
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -242,7 +242,7 @@ def read_gif(data: bytes) -> np.ndarray:
     return next(gifs.each_frame(data))[0]
 
 
-READERS: dict[str, Callable[[bytes], np.ndarray]] = {"Png": read_png, "Bmp": read_bmp, "Tga": read_tga, "Gif": read_gif, "Tiff": tiffs.read_tiff}
+READERS: dict[str, Callable[[bytes], np.ndarray]] = {"Png": read_png, "Bmp": read_bmp, "Tga": read_tga, "Gif": read_gif, "Tiff": tiffs.read_tiff, "Jpeg": jpegs.read_jpeg}
 
 
 def read_pixels(files: DataFrame) -> tuple[DataFrame, DataFrame]:

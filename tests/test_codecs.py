@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.hashing import xx32_of
 from tessera.operators import blocks, entropy, raster, resampling
-from tessera.sources import gifs, rasters, tiffs
+from tessera.sources import gifs, jpegs, rasters, tiffs
 
 
 def noise(seed, h, w, n, colors=256):
@@ -224,3 +224,90 @@ def test_learned_palettes_get_better(spark):
     assert [r.error for r in errors.where("img_id = 1").collect()] == [0] * 5
     last = palettes.where("round = 5 and img_id = 0")
     assert last.count() <= 8 and last.agg(F.sum("n")).first()[0] == 900
+
+
+# ---- JPEG ----
+
+
+def quantised_planes(x, quality):
+    """Quantised blocks of an image by plain numpy: the first plane is brightness."""
+    r, g, b = (x[:, :, k].astype(np.int64) for k in range(3))
+    yuv = [(77 * r + 150 * g + 29 * b + 128) >> 8, ((-43 * r - 85 * g + 128 * b + 128) >> 8) + 128, ((128 * r - 107 * g - 21 * b + 128) >> 8) + 128]
+    out, c, order = [], np.array(blocks.basis()), [v * 8 + u for v, u in blocks.zigzag()]
+    for k, plane in enumerate(yuv):
+        h, w = plane.shape
+        plane = np.pad(np.clip(plane, 0, 255), ((0, -h % 8), (0, -w % 8)), mode="edge") - 128
+        cells = plane.reshape(plane.shape[0] // 8, 8, -1, 8).transpose(0, 2, 1, 3).reshape(-1, 8, 8)
+        f = (c @ cells @ c.T).reshape(-1, 64) / np.array(blocks.divisors(quality, blocks.CHROMINANCE if k else blocks.LUMINANCE))
+        out.append((np.sign(f) * np.floor(np.abs(np.round(f, 6)) + 0.5)).astype(np.int64)[:, order])
+    return out
+
+
+@pytest.mark.parametrize("quality", [1, 30, 50, 90, 100])
+def test_jpeg_is_near_what_was_given(quality):
+    for h, w in ((1, 1), (8, 8), (17, 23), (40, 31)):
+        smooth = np.stack([np.add.outer(np.arange(h) * a, np.arange(w) * b) % 200 for a, b in ((1, 2), (2, 1), (1, 1))], axis=2)
+        got = jpegs.read_jpeg(jpegs.jpeg_bytes(quantised_planes(smooth, quality), w, h, quality))
+        assert got.shape == (h, w, 4)
+        if quality >= 90:
+            assert np.abs(got[:, :, :3].astype(int) - smooth).mean() < (4 if quality == 100 else 12)
+
+
+def test_jpeg_of_noise_and_gray_and_runs():
+    x = noise(3, 33, 47, 3)
+    planes = quantised_planes(x, 100)
+    got = jpegs.read_jpeg(jpegs.jpeg_bytes(planes, 47, 33, 100))
+    assert np.abs(got[:, :, :3].astype(int) - x).mean() < 4
+    gray = jpegs.read_jpeg(jpegs.jpeg_bytes(planes[:1], 47, 33, 100))
+    assert (gray[:, :, 0] == gray[:, :, 2]).all()
+    lonely = np.zeros((6, 64), np.int64)
+    lonely[1, 63], lonely[2, 40], lonely[3, 17], lonely[4, 0] = 5, -3, 1000, -800
+    data = jpegs.jpeg_bytes([lonely], 16, 24, 50)
+    again = jpegs.read_jpeg(data)
+    assert again.shape == (24, 16, 4) and len(np.unique(again[:8, :8, :3])) == 1
+    for bad in (data[:100], b"\xff\xd8\xff", data[:-30], data.replace(b"\xff\xc0", b"\xff\xc2"), b""):
+        with pytest.raises(rasters.UNREADABLE):
+            jpegs.read_jpeg(bad)
+
+
+def test_code_lengths_stay_within_sixteen():
+    rnd = random.Random(9)
+    fibonacci = [1, 1]
+    while len(fibonacci) < 40:
+        fibonacci.append(fibonacci[-1] + fibonacci[-2])
+    for counts in ([dict(enumerate(fibonacci)), {5: 3}, {1: 1, 2: 1}] + [{k: rnd.choice([1, 2, 7, 10**6]) for k in range(rnd.randrange(1, 160))} for _ in range(50)]):
+        length = jpegs.limited_lengths(counts)
+        assert set(length) == set(counts) and max(length.values()) <= 16
+        assert sum(2.0**-n for n in length.values()) <= 1 - 2.0**-16
+        codes = jpegs.canonical(length)
+        assert all(c != (1 << n) - 1 for c, n in codes.values())
+        as_bits = sorted(f"{c:0{n}b}" for c, n in codes.values())
+        assert not any(b.startswith(a) for a, b in zip(as_bits, as_bits[1:], strict=False))
+
+
+def test_jpeg_with_fewer_colours_and_restarts():
+    """A file as other writers make it: colours at half the size, restarts after each group of blocks."""
+    y, u, v = np.zeros((4, 64), np.int64), np.zeros((1, 64), np.int64), np.zeros((1, 64), np.int64)
+    y[:, 0], u[0, 0], v[0, 0] = [10, 20, 30, 40], 8, -8
+    # In order: four blocks of brightness, then one of each colour; differences start anew after a restart, here there is one group only.
+    plain = jpegs.jpeg_bytes([y], 16, 16, 50)
+    assert jpegs.read_jpeg(plain)[0, 0, 0] == 128 + 10 * 16 // 8
+    said = [(0, d) for d in (10, 10, 10, 10)] + [(1, 8), (2, -8)]
+    bits = ""
+    for c, d in said:
+        n = abs(d).bit_length()
+        bits += f"{n - 4:01b}" + f"{d if d > 0 else d + (1 << n) - 1:0{n}b}" + "0"
+    bits += "1" * (-len(bits) % 8)
+    scan = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+    seg = lambda m, d: struct.pack(">BBH", 0xFF, m, len(d) + 2) + d
+    dqt = seg(0xDB, b"\0" + bytes([16] + [1] * 63))
+    first = seg(0xC4, bytes([0x00, 0, 2, *[0] * 14])[:1] + bytes([1, 0, *[0] * 14]) + bytes([4]))
+    others = seg(0xC4, b"\x10" + bytes([1, *[0] * 15]) + b"\0")
+    frame = seg(0xC0, struct.pack(">BHHB", 8, 16, 16, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    start = seg(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0]))
+    got = jpegs.read_jpeg(b"\xff\xd8" + dqt + frame + first + others + seg(0xDD, b"\0\x01") + start + scan + b"\xff\xd9")
+    assert got.shape == (16, 16, 4)
+    want = [128 + 2 * k for k in (10, 20, 30, 40)]
+    tone = lambda y: [y + (359 * -16 + 128 >> 8), y - (88 * 16 + 183 * -16 + 128 >> 8), y + (454 * 16 + 128 >> 8)]
+    for k, (r, c) in enumerate(((0, 0), (0, 8), (8, 0), (8, 8))):
+        assert (got[r : r + 8, c : c + 8, :3] == np.clip(tone(want[k]), 0, 255)).all()
