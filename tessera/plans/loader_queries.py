@@ -98,3 +98,36 @@ def opt_stl_bin(spark: SparkSession, d: str) -> DataFrame:
     written = writers.write_binary(writers.packed(views.vertices(spark, d), mesh.decimate_prefix(views.faces(spark, d), 0.5)), "Stl")
     faces = meshes.read_binary(as_files(written, "Stl"))[1].groupBy("path").agg(F.count("*").alias("faces"))
     return written.join(faces, F.col("mesh_id").cast("string") == F.col("path")).select("mesh_id", "faces", F.length("content").cast("long").alias("bytes"))
+
+
+def _attributed(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    v = views.textured(spark, d)
+    return writers.write_attributed(v.join(mesh.vertex_normals(v, views.faces(spark, d)), ["mesh_id", "vid"]), views.faces(spark, d), kind)
+
+
+_CARRIED = "select '{k}' kind,mesh_id,vid,nx::float nx,ny::float ny,nz::float nz,u::float u,v::float v from v_normals join v_vertices using (mesh_id,vid)"
+
+
+@query("load_attributes", " union all ".join(_CARRIED.format(k=k) for k in ("Ply", "PlyBig", "Glb")))
+def load_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """Normals and texture coordinates written to PLY of both byte orders and to GLB, and read back."""
+
+    def one(kind: str) -> DataFrame:
+        found = meshes.read_attributes(as_files(_attributed(spark, d, kind), kind.removesuffix("Big")))
+        return found.select(F.lit(kind).alias("kind"), F.col("path").cast("long").alias("mesh_id"), "vid", *(F.col(c).cast("float").alias(c) for c in meshes.ATTRIBUTES))
+
+    return one("Ply").unionByName(one("PlyBig")).unionByName(one("Glb"))
+
+
+_MOST = ",".join(f"('a_{t}',{most}::bigint)" for t, most in writers.SCALARS)
+
+
+@query("ply_scalar", f"select o kind,mesh_id,vid,property,((vid*7919)%most)::double value from v_vertices cross join (values {_MOST}) m(property,most) cross join (select unnest(['Ply','PlyBig']) o) k")
+def ply_scalar(spark: SparkSession, d: str) -> DataFrame:
+    """Properties of every scalar type, written in both byte orders and read back."""
+
+    def one(kind: str) -> DataFrame:
+        found = meshes.read_ply_scalars(as_files(_attributed(spark, d, kind), "Ply")).where(F.col("property").startswith("a_"))
+        return found.select(F.lit(kind).alias("kind"), F.col("path").cast("long").alias("mesh_id"), F.col("row").alias("vid"), "property", "value")
+
+    return one("Ply").unionByName(one("PlyBig"))

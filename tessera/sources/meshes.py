@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.chunks import UNREADABLE
+
 NUMBER = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
 #: PLY's names of scalars and numpy's (fixed values).
 PLY_TYPES = {
@@ -81,7 +83,8 @@ def _fans(polygons: list[list[int]]) -> np.ndarray:
     return np.array([(p[0], p[k], p[k + 1]) for p in polygons for k in range(1, len(p) - 1)], np.int64).reshape(-1, 3)
 
 
-def _ply(data: bytes) -> Mesh:
+def _ply_elements(data: bytes) -> Iterator[tuple[str, dict[str, np.ndarray | list]]]:
+    """Name and properties of each element: an array for a scalar, a list of arrays for a list."""
     head, _, _ = data.partition(b"end_header")
     body = data[data.index(b"\n", len(head)) + 1 :]
     elements: list[tuple[str, int, list[list[str]]]] = []
@@ -103,28 +106,32 @@ def _ply(data: bytes) -> Mesh:
         at += t.itemsize * n
         return np.frombuffer(body, t, n, at - t.itemsize * n)
 
-    xyz, polygons = np.zeros((0, 3)), []
     for name, n, properties in elements:
-        scalar = all(p[0] != "list" for p in properties)
-        if scalar and order != "ascii":
+        if all(p[0] != "list" for p in properties) and order != "ascii":
             t = np.dtype([(p[1], order + PLY_TYPES[p[0]]) for p in properties])
             rows = np.frombuffer(body, t, n, at)
             at += t.itemsize * n
-            if name == "vertex":
-                xyz = np.stack([rows[a].astype(np.float64) for a in "xyz"], 1)
+            yield name, {p[1]: rows[p[1]] for p in properties}
             continue
-        listed = []
+        found: dict[str, list] = {p[-1]: [] for p in properties}
         for _ in range(n):
-            row = {p[-1]: take(p[1], 1)[0] if p[0] != "list" else take(p[2], int(take(p[1], 1)[0])) for p in properties}
-            listed.append(row)
+            for p in properties:
+                found[p[-1]].append(take(p[0], 1)[0] if p[0] != "list" else take(p[2], int(take(p[1], 1)[0])))
+        yield name, {p[-1]: found[p[-1]] if p[0] == "list" else np.array(found[p[-1]], np.float64) for p in properties}
+
+
+def _ply(data: bytes) -> Mesh:
+    xyz, polygons = np.zeros((0, 3)), []
+    for name, found in _ply_elements(data):
         if name == "vertex":
-            xyz = np.array([[r[a] for a in "xyz"] for r in listed], np.float64).reshape(-1, 3)
+            xyz = np.stack([np.asarray(found[a], np.float64) for a in "xyz"], 1)
         elif name == "face":
-            polygons = [[int(i) for i in r.get("vertex_indices", r.get("vertex_index", []))] for r in listed]
+            polygons = [[int(i) for i in row] for row in found.get("vertex_indices", found.get("vertex_index", []))]
     return xyz, _fans(polygons)
 
 
-def _gltf(data: bytes) -> Mesh:
+def _gltf_primitives(data: bytes) -> Iterator[dict[str, np.ndarray]]:
+    """Attributes of each primitive, and its `indices` where it has some."""
     chunks: dict[bytes, bytes] = {}
     if data[:4] == b"glTF":
         at = 12
@@ -141,18 +148,86 @@ def _gltf(data: bytes) -> Mesh:
         t, width = np.dtype("<" + GLTF_COMPONENTS[a["componentType"]]), GLTF_WIDTH[a["type"]]
         start, step = view.get("byteOffset", 0) + a.get("byteOffset", 0), view.get("byteStride", t.itemsize * width)
         raw = np.ndarray((a["count"], width), t, buffers[view["buffer"]], start, (step, t.itemsize))
-        return raw.copy()
+        return raw / np.iinfo(t).max if a.get("normalized") else raw.copy()
 
-    points, triangles, base = [np.zeros((0, 3))], [np.zeros((0, 3), np.int64)], 0
     for primitive in (p for m in doc.get("meshes", []) for p in m.get("primitives", [])):
-        xyz = accessor(primitive["attributes"]["POSITION"])
-        index = accessor(primitive["indices"]).ravel() if "indices" in primitive else np.arange(len(xyz))
+        found = {name: accessor(i) for name, i in primitive["attributes"].items()}
+        yield found | ({"indices": accessor(primitive["indices"])} if "indices" in primitive else {})
+
+
+def _gltf(data: bytes) -> Mesh:
+    points, triangles, base = [np.zeros((0, 3))], [np.zeros((0, 3), np.int64)], 0
+    for found in _gltf_primitives(data):
+        xyz = found["POSITION"]
+        index = found["indices"].ravel() if "indices" in found else np.arange(len(xyz))
         points.append(xyz)
         triangles.append(index[: len(index) // 3 * 3].astype(np.int64).reshape(-1, 3) + base)
         base += len(xyz)
     return np.concatenate(points), np.concatenate(triangles)
 
 
+# ---- what vertices carry besides their place ----
+
+ATTRIBUTES = ("nx", "ny", "nz", "u", "v")
+#: Names of texture coordinates in PLY files (fixed values).
+PLY_UV = (("u", "v"), ("s", "t"), ("texture_u", "texture_v"))
+
+
+def _columns(n: int, normal: np.ndarray | None, uv: np.ndarray | None) -> np.ndarray:
+    out = np.full((n, 5), np.nan)
+    if normal is not None:
+        out[:, :3] = normal
+    if uv is not None:
+        out[:, 3:] = uv
+    return out
+
+
+def _ply_attributes(data: bytes) -> np.ndarray:
+    found = next(f for name, f in _ply_elements(data) if name == "vertex")
+    pick = lambda names: np.stack([np.asarray(found[c], np.float64) for c in names], 1) if all(c in found for c in names) else None
+    uv = next((x for x in map(pick, PLY_UV) if x is not None), None)
+    return _columns(len(found["x"]), pick(("nx", "ny", "nz")), uv)
+
+
+def _gltf_attributes(data: bytes) -> np.ndarray:
+    return np.concatenate([np.zeros((0, 5)), *(_columns(len(f["POSITION"]), f.get("NORMAL"), f.get("TEXCOORD_0")) for f in _gltf_primitives(data))])
+
+
+CARRIERS: dict[str, Callable[[bytes], np.ndarray]] = {"Ply": _ply_attributes, "Gltf": _gltf_attributes, "Glb": _gltf_attributes}
+
+
+def read_attributes(files: DataFrame) -> DataFrame:
+    """files (path, format, content) of CARRIERS' formats -> path, vid, nx, ny, nz, u, v: normals and texture coordinates of vertices, null where a file has none. Files that can't be read give no row; `read_binary` says why."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                try:
+                    x = CARRIERS[name](data.as_py() or b"")
+                except UNREADABLE:
+                    continue
+                values = [pa.array(x[:, k], mask=np.isnan(x[:, k])) for k in range(5)]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(x), pa.string()), pa.array(np.arange(len(x))), *values], ["path", "vid", *ATTRIBUTES])
+
+    return files.where(F.col("format").isin(*CARRIERS)).select("path", "format", "content").mapInArrow(run, f"path string, vid bigint, {', '.join(f'{c} double' for c in ATTRIBUTES)}")
+
+
+def read_ply_scalars(files: DataFrame) -> DataFrame:
+    """files (path, content) -> path, element, row, property, value: every scalar of PLY files, whatever its type. Files that can't be read give no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                try:
+                    found = [(name, c, np.asarray(v, np.float64)) for name, f in _ply_elements(data.as_py() or b"") for c, v in f.items() if isinstance(v, np.ndarray)]
+                except UNREADABLE:
+                    continue
+                for name, c, v in found:
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(v), pa.string()), pa.array([name] * len(v), pa.string()), pa.array(np.arange(len(v))), pa.array([c] * len(v), pa.string()), pa.array(v)], ["path", "element", "row", "property", "value"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, element string, row bigint, property string, value double")
+
+
 #: Types of FBX properties: scalars and arrays, with numpy's names (fixed values).
 FBX_SCALARS = {"Y": "<i2", "C": "u1", "I": "<i4", "F": "<f4", "D": "<f8", "L": "<i8"}
 FBX_ARRAYS = {"f": "<f4", "d": "<f8", "l": "<i8", "i": "<i4", "b": "u1"}
@@ -236,7 +311,7 @@ def read_binary(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                     v, t = READERS[name](data)
                     t = t[((t >= 0) & (t < len(v))).all(axis=1)]
                     out.append({"vertices": v.astype(np.float64).ravel().tolist(), "indices": t.ravel().tolist(), "error": None})
-                except (KeyError, ValueError, IndexError, StopIteration, TypeError, RuntimeError, UnicodeDecodeError, struct.error, zlib.error) as e:
+                except UNREADABLE as e:
                     out.append({"vertices": None, "indices": None, "error": f"{type(e).__name__}: {e}"[:200]})
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], ["path", "mesh"])
 

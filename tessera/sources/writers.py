@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.meshes import PLY_TYPES
+
 
 def packed(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """mesh_id, points (structs with vid, x, y, z in order), corners (structs with fid, i0, i1, i2 in order). A mesh without faces has none."""
@@ -157,3 +159,59 @@ def write_binary(meshes: DataFrame, kind: str) -> DataFrame:
 
     flat = meshes.select("mesh_id", F.flatten(F.transform("points", lambda p: F.array(*(p[a] for a in "xyz")))).alias("p"), F.flatten(F.transform("corners", lambda t: F.array(*(t[f"i{k}"] for k in range(3))))).alias("c"))
     return flat.mapInArrow(run, "mesh_id bigint, content binary")
+
+
+# ---- with normals and texture coordinates ----
+
+
+def attributed_ply(columns: dict[str, tuple[str, np.ndarray]], corners: np.ndarray, order: str = "<") -> bytes:
+    """columns: name -> (PLY's type, values) of the vertices."""
+    name = "binary_little_endian" if order == "<" else "binary_big_endian"
+    n = len(next(iter(columns.values()))[1])
+    rows = np.zeros(n, np.dtype([(c, order + PLY_TYPES[kind]) for c, (kind, _) in columns.items()]))
+    for c, (_, values) in columns.items():
+        rows[c] = values
+    listed = np.zeros(len(corners), np.dtype([("n", "u1"), ("i", f"{order}i4", 3)]))
+    listed["n"], listed["i"] = 3, corners
+    properties = "".join(f"property {kind} {c}\n" for c, (kind, _) in columns.items())
+    head = f"ply\nformat {name} 1.0\nelement vertex {n}\n{properties}element face {len(corners)}\nproperty list uchar int vertex_indices\nend_header\n"
+    return head.encode("ascii") + rows.tobytes() + listed.tobytes()
+
+
+def attributed_glb(points: np.ndarray, normals: np.ndarray, uv: np.ndarray, corners: np.ndarray) -> bytes:
+    doc, data = _gltf_parts(points, corners)
+    for name, kind, values in (("NORMAL", "VEC3", normals), ("TEXCOORD_0", "VEC2", uv)):
+        raw = values.astype("<f4").tobytes()
+        doc["bufferViews"].append({"buffer": 0, "byteOffset": len(data), "byteLength": len(raw)})
+        doc["accessors"].append({"bufferView": len(doc["bufferViews"]) - 1, "componentType": 5126, "count": len(values), "type": kind})
+        doc["meshes"][0]["primitives"][0]["attributes"][name] = len(doc["accessors"]) - 1
+        data += raw
+    doc["buffers"][0]["byteLength"] = len(data)
+    return glb_of(json.dumps(doc, separators=(",", ":")).encode("utf-8"), data)
+
+
+#: The eight types of PLY's scalars, each as a property of its name with the vertex's number within its range.
+SCALARS = (("char", 100), ("uchar", 200), ("short", 30_000), ("ushort", 60_000), ("int", 1 << 30), ("uint", 1 << 31), ("float", 1 << 20), ("double", 1 << 40))
+
+
+def write_attributed(vertices: DataFrame, faces: DataFrame, kind: str) -> DataFrame:
+    """vertices (mesh_id, vid, x, y, z, nx, ny, nz, u, v) and faces -> mesh_id, content: `Glb`, or `Ply` or `PlyBig` with a property of every scalar type besides."""
+    names = ("x", "y", "z", "nx", "ny", "nz", "u", "v")
+    v = vertices.groupBy("mesh_id").agg(F.array_sort(F.collect_list(F.struct("vid", *names))).alias("p"))
+    f = faces.groupBy("mesh_id").agg(F.array_sort(F.collect_list(F.struct("fid", "i0", "i1", "i2"))).alias("c"))
+    whole = v.join(f, "mesh_id", "left").select("mesh_id", F.flatten(F.transform("p", lambda p: F.array(*(p[c] for c in names)))).alias("p"), F.coalesce(F.flatten(F.transform("c", lambda t: F.array(*(t[f"i{k}"] for k in range(3))))), F.array().cast("array<bigint>")).alias("c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for p, c in zip(b.column("p"), b.column("c"), strict=True):
+                x = p.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, 8)
+                corners = c.values.to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 3)
+                if kind == "Glb":
+                    out.append(attributed_glb(x[:, :3], x[:, 3:6], x[:, 6:], corners))
+                else:
+                    more = {f"a_{t}": (t, np.arange(len(x)) * 7919 % most) for t, most in SCALARS}
+                    out.append(attributed_ply({n: ("double", x[:, k]) for k, n in enumerate(names)} | more, corners, ">" if kind == "PlyBig" else "<"))
+            yield pa.RecordBatch.from_arrays([b.column("mesh_id"), pa.array(out, pa.binary())], ["mesh_id", "content"])
+
+    return whole.mapInArrow(run, "mesh_id bigint, content binary")
