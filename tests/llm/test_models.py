@@ -386,3 +386,23 @@ def test_overlaps_by_bisection():
         for s in range(60):
             for e in range(s + 1, min(60, s + 6)):
                 assert apart((0, s, e)) == (not any(s < b and a < e for _, a, b in spans))
+
+
+@pytest.mark.parametrize("n", [1000, 20_000])
+def test_cells_leave_out_nothing_that_is_near(monkeypatch, n):
+    """Latent search against all products, with and without cells: paraphrases share a direction with their passage and no pair of words has a part in it."""
+    monkeypatch.setattr(decontam, "CELLS_FROM", 500)
+    rnd = np.random.default_rng(n)
+    centres = rnd.normal(size=(40, decontam.RANK))
+    unit = (centres[rnd.integers(0, 40, n)] + 0.7 * rnd.normal(size=(n, decontam.RANK))).astype(np.float32)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    target = rnd.integers(0, n, 200)
+    window = (unit[target] * rnd.uniform(0.2, 1, (200, 1)) + 0.05 * rnd.normal(size=(200, decontam.RANK))).astype(np.float32)
+    length = np.ones(200, np.float32)
+    cells = decontam.Cells(list(range(n)), unit)
+    assert len(cells.centres) > 20
+    got = {(b, j) for b, j, _ in cells.near(window, length)}
+    cosine = window @ unit.T
+    sure, perhaps = np.argwhere(cosine >= decontam.COSINE + 1e-5), np.argwhere(cosine >= decontam.COSINE - 1e-5)
+    assert {tuple(x) for x in sure.tolist()} <= got <= {tuple(x) for x in perhaps.tolist()}
+    assert len(sure) > 200
