@@ -239,8 +239,17 @@ def cache_score(valence: Column, position: Column, size: int = 32) -> Column:
     return F.when(valence == 0, -1.0).otherwise(place + 2.0 / F.sqrt(valence.cast("double")))
 
 
-def order_for_cache(faces: DataFrame, size: int = 32) -> DataFrame:
-    """mesh_id, place, fid: faces in the order that a greedy choice by cache scores gives. A mesh is one group."""
+#: Faces that are put in order together: a cache of 64 vertices forgets what lies further apart.
+TILE = 1 << 14
+
+
+def order_for_cache(faces: DataFrame, size: int = 32, tile: int = TILE) -> DataFrame:
+    """mesh_id, place, fid: faces in the order that a greedy choice by cache scores gives.
+
+    A mesh is cut into tiles of faces in the order of fid, each of which is one
+    group and keeps its places, so that no mesh is in one task. fid is distinct
+    within a mesh.
+    """
     size = min(64, max(4, size))
 
     def score(left: int, at: int | None) -> float:
@@ -266,9 +275,10 @@ def order_for_cache(faces: DataFrame, size: int = 32) -> DataFrame:
             for v in tri[f]:
                 uses[v].discard(f)
             cache = ([*dict.fromkeys(tri[f])] + [v for v in cache if v not in tri[f]])[:size]
-        return pd.DataFrame({"mesh_id": key[0], "place": np.arange(len(order)), "fid": face["fid"].to_numpy()[order]})
+        return pd.DataFrame({"mesh_id": key[0], "place": key[1] * tile + np.arange(len(order)), "fid": face["fid"].to_numpy()[order]})
 
-    return faces.groupBy("mesh_id").applyInPandas(run, "mesh_id long, place long, fid long")
+    cut = numbered(faces, "fid", "_k").withColumn("_tile", F.floor(F.col("_k") / tile))
+    return cut.groupBy("mesh_id", "_tile").applyInPandas(run, "mesh_id long, place long, fid long")
 
 
 # ---- summaries and checks ----

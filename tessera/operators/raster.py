@@ -215,13 +215,23 @@ def octree(pixels: DataFrame, colors: int = 64, staging: Staging | None = None)
     return kept.unionByName(opened).select("img_id", numbered.cast("long").alias("idx"), F.col("level").cast("long").alias("level"), "n", *RGB)
 
 
-def dither(pixels: DataFrame, palette: DataFrame) -> DataFrame:
-    """Floyd-Steinberg error diffusion of each channel by itself to the nearest of the values that the palette has in it, ties to the lower. The scan order makes an image one group."""
+#: Side of the squares in which errors are diffused.
+SQUARE = 512
+
+
+def dither(pixels: DataFrame, palette: DataFrame, square: int = SQUARE) -> DataFrame:
+    """Floyd-Steinberg error diffusion of each channel by itself to the nearest of the values that the palette has in it, ties to the lower.
+
+    Images are cut into squares, each of which is one group; no error crosses
+    their sides, so images up to that size are as by one scan.
+    """
     values = palette.agg(*(F.array_sort(F.collect_set(c)).alias(c) for c in RGB)).first()
     steps = [np.array(values[c] or [0], np.float64) for c in RGB]
 
     def run(key: tuple, image: pd.DataFrame) -> pd.DataFrame:
         out = image.sort_values(["y", "x"]).reset_index(drop=True)
+        top, left = key[1] * square, key[2] * square
+        out["y"], out["x"] = out["y"] - top, out["x"] - left
         height, width = int(out["y"].max()) + 1, int(out["x"].max()) + 1
         grid = np.zeros((height + 1, width + 2, 3))
         grid[out["y"], out["x"] + 1] = out[list(RGB)]
@@ -234,9 +244,11 @@ def dither(pixels: DataFrame, palette: DataFrame) -> DataFrame:
                 grid[y, x + 1] += error * (7 / 16)
                 grid[y + 1, x - 1 : x + 2] += error * np.array([[3 / 16], [5 / 16], [1 / 16]])
         out[list(RGB)] = np.floor(grid[out["y"], out["x"] + 1] + 0.5).astype(np.int64)
+        out["y"], out["x"] = out["y"] + top, out["x"] + left
         return out[["img_id", "y", "x", *RGB]]
 
-    return pixels.select("img_id", "y", "x", *RGB).groupBy("img_id").applyInPandas(run, "img_id long, y long, x long, r long, g long, b long")
+    cut = pixels.select("img_id", "y", "x", *RGB, *(F.floor(F.col(c) / square).alias(f"_{c}") for c in "yx"))
+    return cut.groupBy("img_id", "_y", "_x").applyInPandas(run, "img_id long, y long, x long, r long, g long, b long")
 
 
 def histogram(pixels: DataFrame) -> DataFrame:

@@ -164,6 +164,15 @@ def vcache(spark: SparkSession, d: str) -> DataFrame:
     return mesh.order_for_cache(views.faces(spark, d))
 
 
+@query("mesh_vcache_tiles", "select mesh_id,count(*) n,count(*) places,sum(fid)::bigint faces,(count(*)*(count(*)-1)//2)::bigint total,true near from v_faces group by 1")
+def vcache_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """The order for the cache in tiles of 16 faces: every face once, every place once, and no face outside its tile's places."""
+    f = views.faces(spark, d)
+    made = mesh.order_for_cache(f, tile=16)
+    near = F.every(F.floor(F.col("fid") / 16) == F.floor(F.col("place") / 16))
+    return made.groupBy("mesh_id").agg(F.count_distinct("fid").alias("n"), F.count_distinct("place").alias("places"), F.sum("fid").alias("faces"), F.sum("place").alias("total"), near.alias("near"))
+
+
 @query("mesh_decimate_prefix", "select mesh_id,fid,i0,i1,i2 from (select *,row_number() over (partition by mesh_id order by fid) rn,count(*) over (partition by mesh_id) n from v_faces) t where rn<=floor(n*0.3)")
 def decimate_prefix(spark: SparkSession, d: str) -> DataFrame:
     return mesh.decimate_prefix(views.faces(spark, d), 0.3)

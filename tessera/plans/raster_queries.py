@@ -297,6 +297,16 @@ def dither(spark: SparkSession, d: str) -> DataFrame:
     return raster.dither(views.pixels(spark, d), views.palette(spark, d))
 
 
+@query("px_dither_squares", "select img_id,count(*) n,sum(y*16+x)::bigint places,true known from v_pixels group by 1")
+def dither_squares(spark: SparkSession, d: str) -> DataFrame:
+    """Errors diffused in squares of eight: every pixel once, and only values that the palette has in its channel."""
+    palette = views.palette(spark, d)
+    made = raster.dither(views.pixels(spark, d), palette, 8)
+    values = palette.agg(*(F.collect_set(c).alias(c) for c in "rgb")).first()
+    known = F.every(F.col("r").isin(values.r) & F.col("g").isin(values.g) & F.col("b").isin(values.b))
+    return made.groupBy("img_id").agg(F.count("*").alias("n"), F.sum(F.col("y") * 16 + F.col("x")).alias("places"), known.alias("known"))
+
+
 @query("px_histogram", "select channel,value,count(*) n from (select unnest(['r','g','b']) channel,unnest([r,g,b]) value from v_pixels) t group by 1,2")
 def histogram(spark: SparkSession, d: str) -> DataFrame:
     return raster.histogram(views.pixels(spark, d))

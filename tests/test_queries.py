@@ -36,6 +36,22 @@ def test_query(spark, sf, duck, name):
         assert rows == _sorted(tuple(r[i] for i in at) for r in want.fetchall())
 
 
+#: Queries whose answers have depended on the size of the tables.
+LARGER = ("cmp_huffman", "cmp_huffman_codes", "gif_frames", "hash_xx32", "opt_image", "opt_jpeg", "png_palette_rounds", "webp_quality_resize")
+
+
+@pytest.mark.parametrize("name", LARGER)
+def test_query_on_larger_tables(spark, name):
+    folder = SF.replace("0.001", "0.01")
+    con = duckdb.connect()
+    for f in os.listdir(folder):
+        con.sql(f"create view {f.removesuffix('.parquet')} as select * from read_parquet('{folder}/{f}')")
+    df = catalog.QUERIES[name](spark, folder)
+    want = con.sql(catalog.ORACLE_SQL[name])
+    at = [want.columns.index(c) for c in df.columns]
+    assert _sorted(map(tuple, df.collect())) == _sorted(tuple(r[i] for i in at) for r in want.fetchall())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
