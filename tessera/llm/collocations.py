@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -60,30 +61,6 @@ class _Words(dict):
         return number
 
 
-class Shard:
-    """The words of some texts of one language."""
-
-    def __init__(self) -> None:
-        self.numbers, self.parts, self.size = _Words(), [], 0
-
-    def add(self, text: bytes) -> None:
-        for piece in _pieces_of(text):
-            found = _BOUNDS.sub(b" \n ", piece.lower().translate(_TO_SPACE)).split(b" ")
-            ids = np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found))
-            ids = ids[ids >= 0]
-            self.parts.append(ids)
-            self.size += len(ids)
-        self.parts.append(np.zeros(1, np.int64))
-        self.size += 1
-
-    def ids(self) -> np.ndarray:
-        return np.concatenate([*self.parts, np.zeros(LONGEST, np.int64)])
-
-    def words(self) -> list[bytes]:
-        """Each word at its number."""
-        return [b"", *(w for w, n in self.numbers.items() if n > 0)]
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -106,6 +83,49 @@ def _ahead(x: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([x[k:], np.zeros(min(k, len(x)), x.dtype)])
 
 
+class Shard:
+    """The words of some texts of one language. What is pruned is kept apart, as it will be sorted."""
+
+    def __init__(self) -> None:
+        self.numbers, self.parts, self.size = _Words(), [], 0
+        self.hashes, self.line, self.kept = _word_hashes([b""]), [], 0
+
+    def add(self, text: bytes) -> None:
+        for piece in _pieces_of(text):
+            found = _BOUNDS.sub(b" \n ", piece.lower().translate(_TO_SPACE)).split(b" ")
+            ids = np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found))
+            ids = ids[ids >= 0]
+            self.parts.append(ids)
+            self.size += len(ids)
+        self.parts.append(np.zeros(1, np.int64))
+        self.size += 1
+
+    def ids(self) -> np.ndarray:
+        return np.concatenate([*self.parts, np.zeros(LONGEST, np.int64)])
+
+    def words(self) -> list[bytes]:
+        """Each word at its number."""
+        return [b"", *islice(self.numbers, 2, None)]
+
+    def prune(self, lang: bytes, mask: np.ndarray) -> None:
+        """Of the words added since, those that stand in a pair that passes; a bound follows each whose pair with the next word does not."""
+        if not self.parts:
+            return
+        ids = np.concatenate(self.parts)
+        self.parts, self.size = [], 0
+        self.hashes = np.concatenate([self.hashes, _word_hashes(list(islice(self.numbers, 1 + len(self.hashes), None)))])
+        own, ahead = self.hashes[ids], _ahead(ids, 1)
+        # As in the JVM: the remainder of a negative number counts up from zero, here of a power of two.
+        at = (_pair_hashes(own, _ahead(own, 1), lang) & np.uint64(64 * len(mask) - 1)).astype(np.int64)
+        good = ((mask[at >> 6] >> (at & 63)) & 1 == 1) & (ids > 0) & (ahead > 0)
+        kept = good | np.concatenate([[False], good[:-1]])
+        ends = kept & ~good
+        line = np.zeros(int(kept.sum() + ends.sum()), np.int64)
+        line[(np.cumsum(kept) + np.cumsum(ends) - ends - 1)[kept]] = ids[kept]
+        self.line.append(line)
+        self.kept += len(line)
+
+
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
     """Places in the order of the `depth` words from each on, by prefix doubling."""
     rank, known = ids, 1
@@ -186,22 +206,32 @@ def _filter(pairs: DataFrame, number: int) -> np.ndarray:
     return out
 
 
+def _pruned_shards(batches: Iterator[pa.RecordBatch], size: int, mask: np.ndarray) -> Iterator[tuple[bytes, Shard]]:
+    """As _shards, but what counts are the words that pass, of which there are far fewer: a shard holds more texts, and phrases that they share are counted together."""
+    open_: dict[bytes, Shard] = {}
+
+    def prune() -> int:
+        for lang, x in open_.items():
+            x.prune(lang, mask)
+        return max(sum(x.kept for x in open_.values()), sum(len(x.numbers) for x in open_.values()))
+
+    for b in batches:
+        for lang, text in zip(values_of(b.column(0).cast(pa.binary())), values_of(b.column(1).cast(pa.binary())), strict=True):
+            if text:
+                open_.setdefault(lang, Shard()).add(text)
+                if sum(x.size for x in open_.values()) >= size // 4 and prune() >= size:
+                    yield from open_.items()
+                    open_.clear()
+    prune()
+    yield from open_.items()
+
+
 def _phrases(size: int, depth: int, passing):
     """Rows (lang, phrase, words, a) of a shard: phrases of two words and more, all of whose pairs pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = passing.value
-        for lang, shard in _shards(batches, size):
-            ids, words = shard.ids(), shard.words()
-            hashes = _word_hashes(words)[ids]
-            # As in the JVM: the remainder of a negative number counts up from zero, here of a power of two.
-            at = (_pair_hashes(hashes, _ahead(hashes, 1), lang) & np.uint64(64 * len(mask) - 1)).astype(np.int64)
-            good = ((mask[at >> 6] >> (at & 63)) & 1 == 1) & (ids > 0) & (_ahead(ids, 1) > 0)
-            kept = good | np.concatenate([[False], good[:-1]])
-            # A kept word whose pair with the next does not pass gets a bound after it.
-            ends = kept & ~good
-            line = np.zeros(int(kept.sum() + ends.sum()) + depth, np.int64)
-            line[(np.cumsum(kept) + np.cumsum(ends) - ends - 1)[kept]] = ids[kept]
+        for lang, shard in _pruned_shards(batches, size, passing.value):
+            line, words = np.concatenate([*shard.line, np.zeros(depth, np.int64)]), shard.words()
             for m, place, count in phrase_counts(line, depth):
                 if m == 1:
                     continue
