@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import detect
 from tessera.operators import rules
-from tessera.sources.chunks import read_chunks
+from tessera.sources.chunks import UNREADABLE, WALKERS, read_chunks
 from tessera.sources.rasters import little_hex
 
 PREFERRED = (16, 24, 32, 48, 64, 128, 256)
@@ -49,6 +52,56 @@ def merge_equal_frames(frames: DataFrame) -> DataFrame:
     return runs.groupBy("file_id", "run").agg(F.min("seq").alias("seq"), F.first("hash").alias("hash"), F.sum("delay").alias("delay"), F.count("*").alias("frames")).drop("run")
 
 
+def kept_segments(data: bytes, quality: int) -> bytes:
+    """A JPEG without the segments that the rules drop at that quality; the end marker is there, whether it was or not."""
+    least = {t: q for c, t, q in rules.KEEP if c == "jpeg"}
+    out, scan = b"\xff\xd8", False
+    for tag, at, n in WALKERS["Jpeg"](data):
+        if n < 0 or at + n > len(data):
+            raise ValueError(f"{tag} at {at} claims {n} bytes")
+        scan |= tag == "SOS"
+        if tag not in ("SOI", "EOI") and least.get(tag, least["*"]) <= quality:
+            out += data[at - 4 : at + n]
+    if not scan:
+        raise ValueError("no scan")
+    return out + b"\xff\xd9"
+
+
+def kept_riff(data: bytes, quality: int, container: str = "webp") -> bytes:
+    """A WebP file of the chunks that the rules keep at that quality, padded to even, with a size that is right."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        raise ValueError("no WebP")
+    least, frames, out = {t: q for c, t, q in rules.KEEP if c == container}, 0, b"WEBP"
+    for tag, at, n in WALKERS["WebP"](data):
+        if at + n > len(data):
+            raise ValueError(f"{tag} at {at} claims {n} bytes")
+        frames += tag == "ANMF"
+        more = container == "webp_animated" and tag == "ANMF" and frames > rules.FRAMES
+        if (rules.MORE_FRAMES if more else least.get(tag, least["*"])) <= quality:
+            out += data[at - 8 : at + n] + b"\0" * (n % 2)
+    return b"RIFF" + len(out).to_bytes(4, "little") + out
+
+
+def rewritten(files: DataFrame, quality: int) -> DataFrame:
+    """files (path, format, content) of JPEG and WebP -> path, content, error: what the rules keep, as a file; a file that can't be read has an error and no content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, errors = [], []
+            for name, data in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                data = data.as_py() or b""
+                try:
+                    animated = name == "WebP" and any(t == "ANIM" for t, _, _ in WALKERS["WebP"](data))
+                    out.append(kept_segments(data, quality) if name == "Jpeg" else kept_riff(data, quality, "webp_animated" if animated else "webp"))
+                    errors.append(None)
+                except UNREADABLE as e:
+                    out.append(None)
+                    errors.append(f"{type(e).__name__}: {e}"[:200])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), pa.array(errors, pa.string())], ["path", "content", "error"])
+
+    return files.where(F.col("format").isin("Jpeg", "WebP")).select("path", "format", "content").mapInArrow(run, "path string, content binary, error string")
+
+
 def first_icons(icons: DataFrame) -> DataFrame:
     """icons (file_id, idx, w, h, bpp): the first entry of each size and depth."""
     rank = F.row_number().over(Window.partitionBy("file_id", "w", "h", "bpp").orderBy("idx"))

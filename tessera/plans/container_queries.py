@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators import containers
 from tessera.plans import views
-from tessera.plans.codec_queries import _le
+from tessera.plans.codec_queries import _W, _le, whole
 from tessera.plans.registry import query
-from tessera.sources import chunks
+from tessera.sources import chunks, jpegs
 from tessera.sources.rasters import little_hex
 
 _GIF_HEAD = "474946383961" + "10001000" + "800000" + "FF00000000FF"
@@ -98,3 +98,33 @@ def webp_dims(spark: SparkSession, d: str) -> DataFrame:
     body = F.when(k % 4 == 0, wide).when(k % 4 == 1, lossless).when(k % 4 == 2, lossy).otherwise(F.lit("414C504800000000" + "00" * 16))
     size = containers.webp_size(F.unhex(F.concat(riff, body)))
     return views.table(spark, d, "part").select(k.alias("file_id"), size[0].alias("w"), size[1].alias("h"))
+
+
+def riff(chunks: DataFrame) -> DataFrame:
+    """chunks (file_id, seq, tag, len) -> path, content: WebP files whose payloads are one byte again and again."""
+    one = F.concat(F.hex("tag"), little_hex(F.col("len"), 4), F.repeat(F.lit("AB"), F.col("len").cast("int")), F.repeat(F.lit("00"), (F.col("len") % 2).cast("int")))
+    files = chunks.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("seq", one.alias("s")))).alias("p"), F.sum(8 + F.col("len") + F.col("len") % 2).alias("n"))
+    return files.select(F.col("file_id").cast("string").alias("path"), F.unhex(F.concat(F.lit("52494646"), little_hex(4 + F.col("n"), 4), F.lit("57454250"), F.array_join("p.s", ""))).alias("content"))
+
+
+_LE4 = "printf('%02X%02X%02X%02X',({n})%256,({n})//256%256,({n})//65536%256,({n})//16777216)"
+
+
+@query("opt_webp", f"select file_id,md5(unhex('52494646'||{_LE4.format(n='4+n')}||'57454250'||coalesce(s,''))) md5 from (select file_id,sum(case when keep then 8+len+len%2 else 0 end)::bigint n,string_agg(hex(tag)||{_LE4.format(n='len')}||repeat('AB',len)||repeat('00',len%2),'' order by seq) filter (keep) s from (select *,tag in ('VP8 ','ANMF') or tag='ICCP' keep from v_chunks) c group by 1) t")
+def opt_webp(spark: SparkSession, d: str) -> DataFrame:
+    """WebP files without what the rules drop at quality 85: bytes, padding and sizes."""
+    made = containers.rewritten(riff(views.chunks(spark, d)).withColumn("format", F.lit("WebP")), 85)
+    return made.select(F.col("path").cast("long").alias("file_id"), F.md5("content").alias("md5"))
+
+
+@query("chunk_jpeg_bytes", f"select * from (with {_W} select img_id,true same,true ended,22::bigint dropped from whole group by 1)")
+def jpeg_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """JPEG files with a comment and two metadata segments put in, and every other one without its end: at quality 50 they become what they were."""
+    made = jpegs.write_jpegs(whole(spark, d), 50)
+    more = F.unhex(F.lit("FFE10006ABCDABCD" + "FFFE00044142" + "FFE20006FFD8FFD9"))
+    cut = F.when(F.col("img_id") % 2 == 0, F.expr("substring(content, 3, length(content) - 4)")).otherwise(F.expr("substring(content, 3)"))
+    files = made.select("img_id", "content", F.concat(F.unhex(F.lit("FFD8")), more, cut).alias("longer"))
+    kept = containers.rewritten(files.select(F.col("img_id").cast("string").alias("path"), F.lit("Jpeg").alias("format"), F.col("longer").alias("content")), 50)
+    both = files.join(kept.select(F.col("path").cast("long").alias("img_id"), F.col("content").alias("made")), "img_id")
+    dropped = F.length("longer") - F.length("made") + F.when(F.col("img_id") % 2 == 0, 2).otherwise(0)
+    return both.select("img_id", (F.col("made") == F.col("content")).alias("same"), (F.expr("substring(made, length(made) - 1)") == F.unhex(F.lit("FFD9"))).alias("ended"), dropped.cast("long").alias("dropped"))

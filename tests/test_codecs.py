@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import xx32_of
-from tessera.operators import blocks, entropy, raster, resampling
+from tessera.operators import blocks, containers, entropy, raster, resampling
 from tessera.sources import gifs, jpegs, rasters, tiffs
 
 
@@ -311,3 +311,24 @@ def test_jpeg_with_fewer_colours_and_restarts():
     tone = lambda y: [y + (359 * -16 + 128 >> 8), y - (88 * 16 + 183 * -16 + 128 >> 8), y + (454 * 16 + 128 >> 8)]
     for k, (r, c) in enumerate(((0, 0), (0, 8), (8, 0), (8, 8))):
         assert (got[r : r + 8, c : c + 8, :3] == np.clip(tone(want[k]), 0, 255)).all()
+
+
+# ---- containers ----
+
+
+def test_segments_and_chunks_that_the_rules_keep(spark):
+    data = jpegs.jpeg_bytes(quantised_planes(noise(2, 9, 9, 3), 50), 9, 9, 50)
+    segment = lambda m, d: struct.pack(">BBH", 0xFF, m, len(d) + 2) + d
+    long = data[:2] + segment(0xE1, b"Exif\0\0") + segment(0xFE, b"") + segment(0xE2, b"\xff\xd9") + data[2:]
+    assert containers.kept_segments(long, 50) == data == containers.kept_segments(long[:-2], 50)
+    assert containers.kept_segments(long, 100) == long and containers.kept_segments(long, 85) == data[:2] + segment(0xE1, b"Exif\0\0") + data[2:]
+    chunk = lambda t, d: t + struct.pack("<I", len(d)) + d + b"\0" * (len(d) % 2)
+    riff = lambda body: b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WEBP" + body
+    kept, dropped = chunk(b"VP8 ", b"abc"), chunk(b"EXIF", b"x")
+    assert containers.kept_riff(riff(kept + dropped)[:-1], 50) == riff(kept)  # padding that is missing is no fault
+    frames = b"".join(chunk(b"ANMF", bytes([k])) for k in range(25))
+    assert containers.kept_riff(riff(frames), 30, "webp_animated") == riff(frames[: 20 * 10])
+    files = [("a", "Jpeg", long), ("b", "Jpeg", b"\xff\xd8"), ("c", "WebP", riff(kept + dropped)), ("d", "WebP", b"RIFF"), ("e", "WebP", None), ("f", "Jpeg", long[:30]), ("g", "Png", b"x")]
+    rows = {r.path: r for r in containers.rewritten(spark.createDataFrame(files, "path string, format string, content binary"), 50).collect()}
+    assert set(rows) == set("abcdef") and bytes(rows["a"].content) == data and bytes(rows["c"].content) == riff(kept)
+    assert all(rows[k].content is None and rows[k].error for k in "bdef")
