@@ -213,3 +213,15 @@ def slim_obj(s: Column) -> Column:
     """OBJ without comments, blank lines, and repeated blanks."""
     kept = F.filter(_lines(s), lambda x: (_trim(x) != "") & ~_trim(x).startswith("#"))
     return F.array_join(F.transform(kept, lambda x: F.regexp_replace(_trim(x), r"\s+", " ")), "\n")
+
+
+def svg_dims(text: Column, default: int = 100) -> tuple[Column, Column]:
+    """Whole width and height of the first svg element, by its attributes, else by its viewBox, else the default; comments don't count."""
+    root = F.regexp_extract(F.regexp_replace(text, r"(?s)<!--.*?-->", ""), r"<(?:[A-Za-z]+:)?svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", 0)
+
+    def of(name: str, place: int) -> Column:
+        own = F.regexp_extract(root, rf"\s{name}\s*=\s*[\"']\s*([0-9]+)(?:\.[0-9]+)?(?:px)?\s*[\"']", 1).try_cast("long")
+        box = F.get(F.split(F.regexp_extract(root, r"\sviewBox\s*=\s*[\"']\s*([-0-9. ,]+)", 1), r"[ ,]+"), F.lit(place)).try_cast("double").cast("long")
+        return F.coalesce(own, box, F.lit(default).cast("long"))
+
+    return of("width", 2), of("height", 3)

@@ -148,3 +148,15 @@ _PREFIX = "(select mesh_id,fid,i0,i1,i2 from (select *,row_number() over (partit
 def opt_obj(spark: SparkSession, d: str) -> DataFrame:
     """The lines, with their number; their order, the vertex cache's, has no form in SQL."""
     return mesh.optimized_obj(views.vertices(spark, d), views.faces(spark, d), 0.5, 0.1).groupBy("mesh_id", "part", "s").agg(F.count("*").alias("n"))
+
+
+@query("info_svg_files", "select p_partkey,p_size::bigint w,case p_partkey%3 when 0 then 100 when 1 then p_size*2 else 7 end::bigint h from part")
+def info_svg_files(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of SVG files: by attributes, by a viewBox where there is one, and by default; another element and a comment have sizes as well."""
+    k = F.col("p_partkey") % 3
+    text = F.decode("content", "UTF-8")
+    put = F.when(k == 1, F.concat(F.lit(' viewBox="0 0 '), F.col("p_size").cast("string"), F.lit(" "), (F.col("p_size") * 2).cast("string"), F.lit('"'))).when(k == 2, F.lit(" height='7.5px'")).otherwise("")
+    both = svg_files(spark, d).join(views.table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
+    own = F.concat(F.lit('<!-- <svg width="1" height="2"> -->'), F.concat_ws("", F.substring_index(text, "<svg", 1), F.lit("<svg"), put, F.expr("substring(decode(content, 'UTF-8'), instr(decode(content, 'UTF-8'), '<svg') + 4)")))
+    w, h = markup.svg_dims(F.replace(own, F.lit("<rect"), F.lit('<rect width="900" height="901"')))
+    return both.select("p_partkey", w.alias("w"), h.alias("h"))
