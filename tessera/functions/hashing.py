@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StringType
 
 #: The five odd factors of xxHash32 (fixed values).
 P1, P2, P3, P4, P5 = 2654435761, 2246822519, 3266489917, 668265263, 374761393
@@ -44,3 +45,43 @@ def xx32_of(data: bytes, seed: int = 0) -> int:
 def xx32(content: pd.Series) -> pd.Series:
     """xxHash32 with seed zero; of a null, that of no bytes."""
     return pd.Series([xx32_of(bytes(x) if x is not None else b"") for x in content], dtype="int64")
+
+
+def _polynomial(values: np.ndarray, factor: int, start: int, kind: type) -> int:
+    """start x factor^n + the values times falling powers of the factor, modulo 2^bits of the kind: what a loop h = factor h + value ends with."""
+    n = len(values)
+    if not n:
+        return start
+    powers = np.cumprod(np.full(n, factor, kind), dtype=kind)
+    falling = np.concatenate([powers[:-1][::-1], np.ones(1, kind)])
+    total = (values.astype(kind) * falling).sum(dtype=kind) + powers[-1:] * kind(start)
+    return int(total[0])
+
+
+@F.pandas_udf(LongType())
+def djb2(content: pd.Series) -> pd.Series:
+    """h = 33 h + byte from 5381, modulo 2^32; of a null, that of no bytes."""
+    return pd.Series([_polynomial(np.frombuffer(bytes(x) if x is not None else b"", np.uint8), 33, 5381, np.uint32) for x in content], dtype="int64")
+
+
+@F.pandas_udf(LongType())
+def fnv1a(content: pd.Series) -> pd.Series:
+    """FNV-1a of 32 bits: xor a byte, times 16777619, modulo 2^32."""
+
+    def one(data: bytes) -> int:
+        h = 2166136261
+        for byte in data:
+            h = ((h ^ byte) * 16777619) & _M
+        return h
+
+    return pd.Series([one(bytes(x) if x is not None else b"") for x in content], dtype="int64")
+
+
+@F.pandas_udf(StringType())
+def frame_hash(content: pd.Series) -> pd.Series:
+    """h = 31 h + byte + position, modulo 2^64, in decimal digits."""
+    out = []
+    for x in content:
+        data = np.frombuffer(bytes(x) if x is not None else b"", np.uint8)
+        out.append(str(_polynomial(data.astype(np.uint64) + np.arange(len(data), dtype=np.uint64), 31, 0, np.uint64)))
+    return pd.Series(out, dtype="object")

@@ -56,34 +56,6 @@ def prune_flat_json(s: Column, drop: tuple[str, ...] = ()) -> Column:
     return F.to_json(kept)
 
 
-def _bytes(s: Column) -> Column:
-    """UTF-8 bytes as an array of longs; of a null, empty."""
-    each = F.split(F.decode(F.encode(s, "UTF-8"), "ISO-8859-1"), "")
-    return F.when(F.octet_length(s) > 0, F.transform(each, lambda c: F.ascii(c).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-
-
-def djb2(s: Column) -> Column:
-    """h = 33 h + byte from 5381, modulo 2^32."""
-    return F.aggregate(_bytes(s), F.lit(5381).cast("long"), lambda h, b: (h * 33 + b) % (1 << 32))
-
-
-def fnv1a(s: Column) -> Column:
-    """FNV-1a of 32 bits: xor a byte, times 16777619, modulo 2^32."""
-    return F.aggregate(_bytes(s), F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * 16777619) % (1 << 32))
-
-
-def frame_hash(s: Column) -> Column:
-    """h = 31 h + byte + position, modulo 2^64, in decimal digits: two halves of 32 bits are folded."""
-    start = F.struct(*(F.lit(0).cast("long").alias(c) for c in ("hi", "lo", "i")))
-
-    def step(a: Column, b: Column) -> Column:
-        lo = a["lo"] * 31 + b + a["i"]
-        hi = a["hi"] * 31 + F.shiftright(lo, 32)
-        return F.struct((hi % (1 << 32)).alias("hi"), (lo % (1 << 32)).alias("lo"), (a["i"] + 1).alias("i"))
-
-    return F.aggregate(_bytes(s), start, step, lambda a: (a["hi"].cast("decimal(20,0)") * 4294967296 + a["lo"]).cast("decimal(20,0)").cast("string"))
-
-
 def human_bytes(n: Column) -> Column:
     def of(unit: int, name: str) -> Column:
         return F.concat(F.format_string("%.1f", F.round(n / float(unit), 1)), F.lit(f" {name}"))

@@ -76,17 +76,17 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("hash_djb2", f"select doc_id, list_reduce(list_prepend(5381::bigint,bytes), lambda h,b: (h*33+b)%4294967296) h from {_ITEMS} t")
 def djb2(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", text.djb2(F.col("text")).alias("h"))
+    return _docs(spark, d).select("doc_id", hashing.djb2(F.encode("text", "UTF-8")).alias("h"))
 
 
 @query("hash_fnv1a", f"select doc_id, list_reduce(list_prepend(2166136261::bigint,bytes), lambda h,b: (xor(h,b)*16777619)%4294967296) h from {_ITEMS} t")
 def fnv1a(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", text.fnv1a(F.col("text")).alias("h"))
+    return _docs(spark, d).select("doc_id", hashing.fnv1a(F.encode("text", "UTF-8")).alias("h"))
 
 
 @query("hash_frame", f"select doc_id, cast(list_reduce(list_prepend(0::hugeint,list_transform(bytes,lambda b,i: (b+i-1)::hugeint)), lambda h,b: (h*31+b)%18446744073709551616::hugeint) as varchar) h from {_ITEMS} t")
 def frame_hash(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", text.frame_hash(F.col("text")).alias("h"))
+    return _docs(spark, d).select("doc_id", hashing.frame_hash(F.encode("text", "UTF-8")).alias("h"))
 
 
 _CRC_TABLE = "(select list_transform(range(0,256), lambda n: list_reduce(list_prepend(n,[0,0,0,0,0,0,0,0]::bigint[]), lambda c,z: case when c&1=1 then xor(c>>1,3988292384) else c>>1 end)) crcs)"
@@ -135,9 +135,10 @@ def entropy(spark: SparkSession, d: str) -> DataFrame:
 
 @query("cmp_choose", f"select doc_id, case when len(bytes)=0 then 'NONE' when len(list_distinct(list_slice(bytes,1,4096)))<=16 then 'HUFFMAN' when len(bytes)>1024 then 'LZ4' else 'HUFFMAN' end codec from {_ITEMS} t")
 def choose(spark: SparkSession, d: str) -> DataFrame:
-    b = text._bytes(F.col("text"))
-    few = F.size(F.array_distinct(F.slice(b, 1, 4096))) <= 16
-    codec = F.when(F.size(b) == 0, "NONE").when(few, "HUFFMAN").when(F.size(b) > 1024, "LZ4").otherwise("HUFFMAN")
+    content = F.encode("text", "UTF-8")
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    few = F.size(codes.byte_counts(F.substring(content, 1, 4096))) <= 16
+    codec = F.when(size == 0, "NONE").when(few, "HUFFMAN").when(size > 1024, "LZ4").otherwise("HUFFMAN")
     return _docs(spark, d).select("doc_id", codec.alias("codec"))
 
 
