@@ -181,10 +181,15 @@ def _rounded(word: Column, tolerance: float) -> Column:
 def slim_ply(s: Column, tolerance: float = 1e-6) -> Column:
     """ASCII PLY without comment lines; numbers of vertices rounded to the tolerance and written short."""
     lines = F.filter(_lines(s), lambda x: ~_trim(x).startswith("#"))
-    first = F.array_position(F.transform(lines, _trim), F.lit("end_header"))
     count = F.coalesce(F.nullif(F.regexp_extract(s, r"(?m)^element vertex (\d+)", 1), F.lit("")).cast("int"), F.lit(0))
     vertex = lambda x: F.array_join(F.transform(F.split(_trim(x), r"\s+"), lambda w: _rounded(w, tolerance)), " ")
-    return F.array_join(F.transform(lines, lambda x, i: F.when((first > 0) & (i >= first) & (i < first + count), vertex(x)).otherwise(x)), "\n")
+
+    def slim(t: Column) -> Column:
+        return F.array_join(F.transform(t["lines"], lambda x, i: F.when((t["first"] > 0) & (i >= t["first"]) & (i < t["first"] + t["count"]), vertex(x)).otherwise(x)), "\n")
+
+    # What a lambda names from outside is evaluated anew for each line, so each of these is bound as a lambda's own first.
+    placed = F.transform(F.array(lines), lambda x: F.struct(x.alias("lines"), F.array_position(F.transform(x, _trim), F.lit("end_header")).alias("first"), count.alias("count")))
+    return F.element_at(F.transform(placed, slim), 1)
 
 
 def slim_stl(s: Column, digits: int = 6) -> Column:

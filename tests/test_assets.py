@@ -1,6 +1,7 @@
 """Files that are written, read, shortened, and those that can't be."""
 
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -113,3 +114,13 @@ def test_sql_functions(spark):
 def test_little_numbers(spark):
     value = spark.range(1).select(rasters.little_hex(F.lit(0x01020304), 4).alias("h")).first().h
     assert value == "04030201" and zlib.crc32(b"IEND") == 0xAE426082
+
+
+def test_ply_text_is_slimmed_in_proportion_to_its_lines(spark):
+    n = 8_000
+    text = "ply\nformat ascii 1.0\nelement vertex %d\nproperty double x\nelement face 0\nend_header\n" % n + "".join(f"{i}.50000\n" for i in range(n))
+    df = spark.createDataFrame([(text,)], "s string")
+    begin = time.monotonic()
+    lines = df.select(markup.slim_ply(F.col("s")).alias("s")).first().s.split("\n")
+    assert time.monotonic() - begin < 30
+    assert lines[5:8] == ["end_header", "0.5", "1.5"] and lines[-2:] == [f"{n - 1}.5", ""]
