@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -113,3 +114,13 @@ def test_empty_tables(spark):
     assert mesh.weld(v, f, 0.1)[1].count() == 0
     assert decimation.collapse(v, f, 0.5)[1].count() == 0
     assert mesh.summary(v, f).count() == 0
+
+
+def test_cache_order_of_a_tile_with_few_vertices(spark):
+    n, v = 6_000, 40
+    rnd = random.Random(1)
+    f = spark.createDataFrame([(0, k, *(rnd.randrange(v) for _ in range(3))) for k in range(n)], T)
+    begin = time.monotonic()
+    rows = mesh.order_for_cache(f).collect()
+    assert time.monotonic() - begin < 45
+    assert sorted(r.fid for r in rows) == list(range(n)) == sorted(r.place for r in rows)
