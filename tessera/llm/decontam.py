@@ -1,8 +1,8 @@
 """Operator 10: benchmark decontamination by latent semantic retrieval.
 
 Words are hashed to terms and weighted by inverse document frequency over all
-documents. A distributed randomised SVD of TF-IDF passages (those of the
-benchmark and a bounded sample of the corpus) gives a latent space. Windows of
+documents. A distributed randomised SVD of the TF-IDF passages of the whole
+benchmark gives a latent space. Windows of
 every document are projected to it; those whose cosine with a benchmark
 passage is high enough become candidates. The cosine is that of the whole
 window, so it falls as the benchmark outgrows the rank; hence candidates come
@@ -24,12 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, bounded, schema_with, table, unused, values_of, word_pieces
+from tessera.llm.common import Scratch, schema_with, table, unused, values_of, word_pieces
 
 #: Hashed terms, latent dimensions, extra dimensions of the random projection.
 TERMS, RANK, EXTRA = 1 << 15, 128, 8
-#: Corpus documents whose passages the SVD is fitted on, at most, passages of each, and their weight beside benchmark passages.
-FIT_DOCUMENTS, FIT_PASSAGES, CORPUS_WEIGHT = 2_000, 10, 0.03
 #: Tasks of the fit, each of which sums TERMS x (RANK + EXTRA) numbers at most.
 FIT_TASKS = 4
 #: Words of a block; windows are two blocks (for passages of fewer words than that) or four.
@@ -209,20 +207,16 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def fit_space(docs: DataFrame, benchmark: DataFrame, seed: int = 42) -> LatentSpace:
-    """Inverse frequencies from all documents; the SVD from benchmark passages and a bounded sample of documents.
+    """Inverse frequencies from all documents; the SVD from all passages of the benchmark.
 
-    Randomised SVD: with A the passages (each benchmark passage weighs as much
-    as the corpus passages do together on average), A'A is applied to a random
-    basis three times, passages staying where they are; TERMS x (RANK + EXTRA)
-    numbers go to the tasks and come back summed.
+    Randomised SVD: with A the passages, A'A is applied to a random basis three
+    times, passages staying where they are; TERMS x (RANK + EXTRA) numbers go
+    to the tasks and come back summed.
     """
     spark = docs.sparkSession
     count, n = document_frequencies(docs)
     idf = np.where(count <= max(1, FREQUENT * n), np.log((n + 1) / (count + 1)) + 1, FAINT) if n else np.ones(TERMS)
-    ids = bounded(docs.where("doc_id is not null").select("doc_id"), FIT_DOCUMENTS, "doc_id").distinct()
-    sample = docs.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", "text")).limit(2 * FIT_DOCUMENTS).select("text", F.lit(False).alias("whole"))
-    rows = sample.unionAll(bounded(benchmark.where("text is not null"), PASSAGES_AT_ONCE, "item_id").select("text", F.lit(True).alias("whole")))
-    rows = Scratch(spark).write(rows.repartition(FIT_TASKS), "svd-rows")
+    rows = Scratch(spark).write(benchmark.where("text is not null").select("text").repartition(FIT_TASKS), "svd-rows")
     shared_idf = spark.sparkContext.broadcast(idf)
 
     def apply(basis: np.ndarray) -> np.ndarray:
@@ -233,13 +227,11 @@ def fit_space(docs: DataFrame, benchmark: DataFrame, seed: int = 42) -> LatentSp
             terms, idf, q = Terms(), shared_idf.value, shared.value
             out = np.zeros((TERMS, width), np.float32)
             for b in batches:
-                for text, whole in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    words = words_of(text)
-                    parts = passages_of(words) if whole else [words[i : i + LONG] for i in range(0, len(words), max(LONG, len(words) // FIT_PASSAGES))][:FIT_PASSAGES]
-                    for part in parts:
+                for text in b.column(0).to_pylist():
+                    for part in passages_of(words_of(text)):
                         t, k = np.unique(terms.of(part), return_counts=True)
                         x = (k * idf[t]).astype(np.float32)
-                        x *= (1.0 if whole else CORPUS_WEIGHT) / max(1e-9, float(np.linalg.norm(x)))
+                        x /= max(1e-9, float(np.linalg.norm(x)))
                         out[t] += np.outer(x, x @ q[t])
             seen = np.flatnonzero(out.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array([x.tobytes() for x in out[seen]], pa.binary())], ["term", "x"])

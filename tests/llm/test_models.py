@@ -406,3 +406,16 @@ def test_cells_leave_out_nothing_that_is_near(monkeypatch, n):
     sure, perhaps = np.argwhere(cosine >= decontam.COSINE + 1e-5), np.argwhere(cosine >= decontam.COSINE - 1e-5)
     assert {tuple(x) for x in sure.tolist()} <= got <= {tuple(x) for x in perhaps.tolist()}
     assert len(sure) > 200
+
+
+def test_latent_space_takes_nothing_but_frequencies_from_documents(spark):
+    from tessera.llm import decontam
+
+    bench = spark.createDataFrame([(k, " ".join(f"w{(k * 7 + i * i) % 40}" for i in range(30))) for k in range(20)], "item_id long, text string")
+
+    def fitted(texts):
+        return decontam.fit_space(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench)
+
+    one, other = fitted(["w1 w2", "w3 w4", "w5 w6"]), fitted(["w1 w3", "w2 w5", "w4 w6"])
+    assert (one.idf == other.idf).all()
+    assert abs(one.project @ one.project[decontam.Terms().of([b"w1", b"w2"])].T - other.project @ other.project[decontam.Terms().of([b"w1", b"w2"])].T).max() < 1e-3
