@@ -11,7 +11,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,14 +23,20 @@ MOST = 60
 AT_ONCE, LOOK = 1 << 16, 16
 
 
-@F.pandas_udf(COUNTS)
-def byte_counts(content: pd.Series) -> pd.Series:
+def _lists(parts: list[np.ndarray], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), values)
+
+
+@F.arrow_udf(COUNTS)
+def byte_counts(content: pa.Array) -> pa.Array:
     """The bytes that occur, ascending, with their counts; of a null, none."""
-    out = []
+    seen, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for data in content:
-        n = np.bincount(np.frombuffer(data or b"", np.uint8), minlength=256)
-        out.append([{"byte": int(b), "n": int(n[b])} for b in np.flatnonzero(n)])
-    return pd.Series(out)
+        n = np.bincount(np.frombuffer(data.as_buffer() if data.is_valid else b"", np.uint8), minlength=256)
+        seen.append(np.flatnonzero(n))
+        counts.append(n[seen[-1]])
+    both = pa.StructArray.from_arrays([pa.array(np.concatenate(seen), pa.int32()), pa.array(np.concatenate(counts), pa.int64())], ["byte", "n"])
+    return _lists(seen[1:], both)
 
 
 def entropy_bits(counts: Column) -> Column:
@@ -43,21 +48,26 @@ def entropy_bits(counts: Column) -> Column:
 
 def code_lengths(n: np.ndarray) -> np.ndarray:
     """Lengths of an optimal prefix code for the counts; zero for a single symbol. Equal weights merge in the order in which they came."""
-    heap = [(int(w), i, (i,)) for i, w in enumerate(n)]
+    heap = [(int(w), i) for i, w in enumerate(n)]
     heapq.heapify(heap)
-    length, made = np.zeros(len(n), np.int64), len(n)
+    above, made = [0] * (2 * len(n)), len(n)
     while len(heap) > 1:
-        (v, _, a), (w, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-        both = a + b
-        length[list(both)] += 1
-        heapq.heappush(heap, (v + w, made, both))
+        (v, a), (w, b) = heapq.heappop(heap), heapq.heappop(heap)
+        above[a] = above[b] = made
+        heapq.heappush(heap, (v + w, made))
         made += 1
-    return length
-
-
-@F.pandas_udf(ArrayType(IntegerType()))
-def optimal_lengths(counts: pd.Series) -> pd.Series:
-    return pd.Series([code_lengths(np.array([c["n"] for c in row], np.int64)).astype(np.int32) for row in counts])
+    length = [0] * made
+    for i in range(made - 2, -1, -1):
+        length[i] = length[above[i]] + 1
+    return np.array(length[: len(n)], np.int64)
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def optimal_lengths(counts: pa.Array) -> pa.Array:
+    n = counts.flatten().field("n").to_numpy(zero_copy_only=False)
+    end = np.cumsum(counts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    lengths = [code_lengths(n[a:b]) for a, b in zip([0, *end[:-1]], end, strict=True)]
+    return _lists(lengths, pa.array(np.concatenate([np.zeros(0, np.int64), *lengths]), pa.int32()))
 
 
 def huffman_bits(counts: Column, lengths: Column) -> Column:
