@@ -15,6 +15,10 @@ down after its attempt was given up lies in a folder that readers pass over.
 from __future__ import annotations
 
 import contextlib
+import heapq
+import io
+import itertools
+import json
 import posixpath
 import uuid
 from collections.abc import Iterator
@@ -32,7 +36,7 @@ HEADS = (
 )
 #: Bytes that are looked at to tell a format; bytes of files that make a partition, about, and what opening one counts.
 HEAD, PARTITION, OPENING = 16, 128 << 20, 1 << 20
-STAGED = "_attempt-"
+STAGED, LISTED = "_attempt-", "_names"
 
 
 def format_of(head: bytes) -> str:
@@ -105,7 +109,7 @@ class AssetReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    names: list[tuple[str, str]]  # where a file lies, and its name
+    folder: str  # of a task; its list LISTED has the names, ascending, and where each file lies
 
 
 class AssetWriter(DataSourceWriter):
@@ -113,31 +117,42 @@ class AssetWriter(DataSourceWriter):
         self.path, self.overwrite, self.attempt = path, overwrite, f"{STAGED}{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator) -> Written:
-        """Files of one task, in a folder of its own; a name with a folder in it, a null name and a null content are errors."""
+        """Files of one task, in a folder of its own with a list of them; a name with a folder in it, a null name and a null content are errors."""
         where, root = pafs.FileSystem.from_uri(self.path)
         folder, done = f"{root}/{self.attempt}/{uuid.uuid4().hex}", []
         where.create_dir(folder)
         for k, row in enumerate(rows):
             if not row.name or "/" in row.name or row.content is None:
                 raise ValueError(f"no file can be written as {row.name!r}")
-            place = f"{folder}/{k}"
-            with where.open_output_stream(place) as out:
+            with where.open_output_stream(f"{folder}/{k}") as out:
                 out.write(bytes(row.content))
-            done.append((place, row.name))
-        return Written(done)
+            done.append((row.name, k))
+        with where.open_output_stream(f"{folder}/{LISTED}") as out:
+            for entry in sorted(done):
+                out.write(json.dumps(entry).encode("ascii") + b"\n")
+        return Written(folder)
 
     def commit(self, messages: list[Written | None]) -> None:
         """All files take their names. Two rows of one name are an error, and nothing is written."""
         where, root = pafs.FileSystem.from_uri(self.path)
-        moves = [m for w in messages if w is not None for m in w.names]
-        if len({name for _, name in moves}) < len(moves):
+        folders = [w.folder for w in messages if w is not None]
+
+        def listed(folder: str) -> Iterator[tuple[str, str]]:
+            with where.open_input_stream(f"{folder}/{LISTED}") as f, io.TextIOWrapper(f, "ascii") as lines:
+                for name, k in map(json.loads, lines):
+                    yield name, f"{folder}/{k}"
+
+        def moves() -> Iterator[tuple[str, str]]:
+            return heapq.merge(*map(listed, folders))
+
+        if any(a == b for (a, _), (b, _) in itertools.pairwise(moves())):
             self.abort(messages)
             raise ValueError("two files of one name")
         if self.overwrite:
             for info in where.get_file_info(pafs.FileSelector(root)):
                 if info.type == pafs.FileType.File:
                     where.delete_file(info.path)
-        for place, name in moves:
+        for name, place in moves():
             where.move(place, f"{root}/{name}")
         self.abort(messages)
 

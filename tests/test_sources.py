@@ -5,7 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.sources import chunks, meshes
+from tessera.sources import assets, chunks, meshes
 from tessera.sources.files import read_files
 from tessera.streaming.arrivals import arriving_files, violations_by_window
 
@@ -115,3 +115,14 @@ def test_streams(spark, files, sf):
     query = violations_by_window(log).writeStream.format("memory").queryName("violations").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("violations").agg(F.sum("operations")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_tasks_send_no_names_of_files_to_the_driver(tmp_path):
+    import pickle
+    from types import SimpleNamespace
+
+    writer = assets.AssetWriter(f"file://{tmp_path}", False)
+    sent = [writer.write(iter([SimpleNamespace(name=f"f{t}\n{k}", content=b"x") for k in range(500)])) for t in range(2)]
+    assert all(len(pickle.dumps(s)) < 1000 for s in sent)
+    writer.commit(sent)
+    assert sorted(p.name for p in tmp_path.iterdir()) == sorted(f"f{t}\n{k}" for t in range(2) for k in range(500))
