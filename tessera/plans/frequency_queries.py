@@ -42,8 +42,7 @@ _RESIZED = f"""select * from (with {_W}, sized as ({_SIZED.format(m=_MODES)}), t
 @query("webp_quality_resize", _RESIZED)
 def webp_quality_resize(spark: SparkSession, d: str) -> DataFrame:
     """Every image on every step of both ladders: its new size, and a sum that tells which colour stands where."""
-    p = whole(spark, d)
-    all_ = resampling.stacked([(F.lit(name), resampling.for_quality(p, q, strong)) for name, q, strong in STEPS])
+    all_ = resampling.for_qualities(whole(spark, d), list(STEPS))
     value = (F.col("y") * 16 + F.col("x") + 1) * (F.col("r") + 256 * F.col("g") + 65536 * F.col("b"))
     return all_.groupBy("kind", "img_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.count("*").alias("n"), F.sum(value).cast("long").alias("checksum"))
 

@@ -215,6 +215,35 @@ def test_resizing(spark):
     assert row[1:-1] == [10 * k + 3 if (10 * k + 2.5) % 1 else 10 * k + 2 for k in range(1, 19)]
 
 
+def test_ladder_deals_pixels_once_and_in_squares(spark):
+    p = image(spark, noise(3, 41, 29, 3)).unionByName(image(spark, noise(4, 16, 16, 3)).withColumn("img_id", F.lit(7).cast("long")))
+    steps = [("a", 30, False), ("b", 20, True), ("c", 90, True), ("d", 100, False)]
+    every = resampling.for_qualities(p, steps)
+    rows = {(r.kind, r.img_id, r.y, r.x, r.r, r.g, r.b) for r in every.collect()}
+    assert rows == {(r.kind, r.img_id, r.y, r.x, r.r, r.g, r.b) for r in resampling.for_qualities(p, steps, square=5).collect()}
+    assert rows == {(name, r.img_id, r.y, r.x, r.r, r.g, r.b) for name, q, strong in steps for r in resampling.for_quality(p, q, strong).collect()}
+    plan = every._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Join") == 1
+
+
+def test_resize_skips_missing_pixels_and_shrinks_far(spark):
+    x = noise(5, 30, 40, 3)
+    p = image(spark, x).where("(x * 7 + y * 3) % 11 > 2")
+    size = spark.createDataFrame([(r.img_id, 40, 30, 3, 2) for r in p.select("img_id").distinct().collect()], "img_id long, w long, h long, nw long, nh long")
+
+    def weights(n, m):
+        w = 1 - np.abs((np.arange(n) + 0.5)[None] - (np.arange(m) + 0.5)[:, None] * n / m) / max(1, n / m)
+        return np.where(w > 1e-12, w, 0)
+
+    there = np.array([[(i * 7 + j * 3) % 11 > 2 for i in range(40)] for j in range(30)], float)
+    down, across = weights(30, 2), weights(40, 3)
+    tall = np.einsum("oy,yxc->oxc", down, x[..., :3] * there[..., None]) / (down @ there)[..., None]
+    want = np.floor(np.round(np.einsum("px,oxc->opc", across / across.sum(axis=1, keepdims=True), tall), 6) + 0.5)
+    for square in (512, 7):
+        got = {(r.y, r.x): (r.r, r.g, r.b) for r in resampling.resize(p, size, square).collect()}
+        assert got == {(o, q): tuple(want[o, q]) for o in range(2) for q in range(3)}
+
+
 def test_learned_palettes_get_better(spark):
     p = image(spark, noise(7, 30, 30, 3)).unionByName(image(spark, np.zeros((2, 2, 3), int), 1))
     start = raster.median_cut(p, 3).withColumnRenamed("bucket", "idx")
