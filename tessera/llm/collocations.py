@@ -6,10 +6,12 @@ in that order share a prefix, and each interval of neighbours that share m
 words is a phrase of m words with its number of occurrences. Counts of shards
 are merged by phrase.
 
-A phrase can't be more frequent than any pair of words in it. So a first pass
-counts words, and pairs by a hash; the second pass cuts texts at pairs whose
-hash is not frequent, which leaves phrases that are, and few others: equal
-hashes only let more phrases through, and these are counted exactly.
+A phrase can't be more frequent than any pair or triple of words in it. So a
+first pass counts words, and pairs by a hash; the second cuts texts at pairs
+whose hash is not frequent, counts the pairs that are left, and triples by a
+hash; the third cuts at triples as well, and counts the longer phrases that are
+left. Few of them are not frequent: equal hashes only let more phrases through,
+and these are counted exactly.
 """
 
 from __future__ import annotations
@@ -74,6 +76,16 @@ def _pair_hashes(first: np.ndarray, second: np.ndarray, lang: bytes) -> np.ndarr
     return _mixed(_mixed(first + np.uint64(xxhash.xxh3_64_intdigest(lang))) + second)
 
 
+def _triple_hashes(first: np.ndarray, second: np.ndarray, third: np.ndarray, lang: bytes) -> np.ndarray:
+    return _mixed(_pair_hashes(first, second, lang) + third)
+
+
+def _passes(mask: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    # As in the JVM: the remainder of a negative number counts up from zero, here of a power of two.
+    at = (hashes & np.uint64(64 * len(mask) - 1)).astype(np.int64)
+    return (mask[at >> 6] >> (at & 63)) & 1 == 1
+
+
 def _ranks(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Numbers in the order of (high, low), equal for equal pairs."""
     return np.unique(high * (int(low.max(initial=0)) + 1) + low, return_inverse=True)[1]
@@ -107,17 +119,20 @@ class Shard:
         """Each word at its number."""
         return [b"", *islice(self.numbers, 2, None)]
 
-    def prune(self, lang: bytes, mask: np.ndarray) -> None:
-        """Of the words added since, those that stand in a pair that passes; a bound follows each whose pair with the next word does not."""
+    def prune(self, lang: bytes, masks: list[np.ndarray]) -> None:
+        """Of the words added since, those that stand in a pair that passes the first mask or, if there are two, in a triple that passes the second and whose pairs pass the first; a bound follows each that is not the first of a pair within one."""
         if not self.parts:
             return
         ids = np.concatenate(self.parts)
         self.parts, self.size = [], 0
         self.hashes = np.concatenate([self.hashes, _word_hashes(list(islice(self.numbers, 1 + len(self.hashes), None)))])
-        own, ahead = self.hashes[ids], _ahead(ids, 1)
-        # As in the JVM: the remainder of a negative number counts up from zero, here of a power of two.
-        at = (_pair_hashes(own, _ahead(own, 1), lang) & np.uint64(64 * len(mask) - 1)).astype(np.int64)
-        good = ((mask[at >> 6] >> (at & 63)) & 1 == 1) & (ids > 0) & (ahead > 0)
+        own = self.hashes[ids]
+        good = _passes(masks[0], _pair_hashes(own, _ahead(own, 1), lang)) & (ids > 0) & (_ahead(ids, 1) > 0)
+        if len(masks) > 1:
+            triple = np.flatnonzero(good & _ahead(good, 1))
+            triple = triple[_passes(masks[1], _triple_hashes(own[triple], own[triple + 1], own[triple + 2], lang))]
+            good = np.zeros(len(ids), bool)
+            good[triple] = good[triple + 1] = True
         kept = good | np.concatenate([[False], good[:-1]])
         ends = kept & ~good
         line = np.zeros(int(kept.sum() + ends.sum()), np.int64)
@@ -196,7 +211,7 @@ def _bit(key: Column, bits: int) -> Column:
 
 
 def _filter(pairs: DataFrame, number: int) -> np.ndarray:
-    """One bit for each frequent pair's hash; the driver gets one row for each 64 bits at most."""
+    """One bit for each frequent hash in the column `pair`; the driver gets one row for each 64 bits at most."""
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(BITS * number).bit_length()))
     at = _bit(F.col("pair"), bits)
     rows = pairs.select(F.shiftright(at, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit"))
@@ -206,13 +221,13 @@ def _filter(pairs: DataFrame, number: int) -> np.ndarray:
     return out
 
 
-def _pruned_shards(batches: Iterator[pa.RecordBatch], size: int, mask: np.ndarray) -> Iterator[tuple[bytes, Shard]]:
+def _pruned_shards(batches: Iterator[pa.RecordBatch], size: int, masks: list[np.ndarray]) -> Iterator[tuple[bytes, Shard]]:
     """As _shards, but what counts are the words that pass, of which there are far fewer: a shard holds more texts, and phrases that they share are counted together."""
     open_: dict[bytes, Shard] = {}
 
     def prune() -> int:
         for lang, x in open_.items():
-            x.prune(lang, mask)
+            x.prune(lang, masks)
         return max(sum(x.kept for x in open_.values()), sum(len(x.numbers) for x in open_.values()))
 
     for b in batches:
@@ -226,20 +241,43 @@ def _pruned_shards(batches: Iterator[pa.RecordBatch], size: int, mask: np.ndarra
     yield from open_.items()
 
 
-def _phrases(size: int, depth: int, passing):
-    """Rows (lang, phrase, words, a) of a shard: phrases of two words and more, all of whose pairs pass the filter."""
+def _named(lang: bytes, words: list[bytes], line: np.ndarray, place: np.ndarray, count: np.ndarray, m: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, phrase, words, a) of phrases of m words at the places; further names stay null."""
+    for k in range(0, len(place), 100_000):
+        some = place[k : k + 100_000]
+        parts = [[words[x] for x in line[some + j].tolist()] for j in range(m)]
+        phrase = pa.array([b" ".join(x) for x in zip(*parts, strict=True)], pa.binary()).cast(pa.string())
+        columns = [pa.array([lang] * len(some), pa.binary()).cast(pa.string()), phrase, pa.array(np.full(len(some), m, np.int32)), pa.array(count[k : k + 100_000])]
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(some), pa.int64()) for _ in names[4:])], names)
+
+
+def _pairs_and_triples(size: int, passing):
+    """Rows of a shard: (lang, phrase, 2, a, null) of pairs that pass the filter, and (null, null, 3, a, hash) of triples both of whose pairs do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, shard in _pruned_shards(batches, size, passing.value):
-            line, words = np.concatenate([*shard.line, np.zeros(depth, np.int64)]), shard.words()
+        names = ["lang", "phrase", "words", "a", "pair"]
+        for lang, shard in _pruned_shards(batches, size, [passing.value]):
+            line, words, hashes = np.concatenate([*shard.line, np.zeros(3, np.int64)]), shard.words(), shard.hashes
+            for m, place, count in phrase_counts(line, 3):
+                if m == 2:
+                    yield from _named(lang, words, line, place, count, 2, names)
+                elif m == 3:
+                    key, none = _triple_hashes(*(hashes[line[place + j]] for j in range(3)), lang).view(np.int64), pa.nulls(len(place), pa.string())
+                    yield pa.RecordBatch.from_arrays([none, none, pa.array(np.full(len(place), 3, np.int32)), pa.array(count), pa.array(key)], names)
+
+    return run
+
+
+def _phrases(size: int, depth: int, passing, passing3):
+    """Rows (lang, phrase, words, a) of a shard: phrases of three words and more, all of whose pairs and triples pass the filters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, shard in _pruned_shards(batches, size, [passing.value, passing3.value]):
+            line = np.concatenate([*shard.line, np.zeros(depth, np.int64)])
+            words = shard.words()
             for m, place, count in phrase_counts(line, depth):
-                if m == 1:
-                    continue
-                for k in range(0, len(place), 100_000):
-                    some = place[k : k + 100_000]
-                    parts = [[words[x] for x in line[some + j].tolist()] for j in range(m)]
-                    phrase = pa.array([b" ".join(x) for x in zip(*parts, strict=True)], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.binary()).cast(pa.string()), phrase, pa.array(np.full(len(some), m, np.int32)), pa.array(count[k : k + 100_000])], ["lang", "phrase", "words", "a"])
+                if m > 2:
+                    yield from _named(lang, words, line, place, count, m, ["lang", "phrase", "words", "a"])
 
     return run
 
@@ -260,8 +298,15 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard:
     singles = scratch.write(singles, "phrase-singles")
     pairs = singles.where("pair is not null")
     passing = spark.sparkContext.broadcast(_filter(pairs, pairs.count()))
-    longer = texts.mapInArrow(_phrases(shard, longest, passing), "lang string, phrase string, words int, a bigint")
-    longer = longer.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    twos = texts.mapInArrow(_pairs_and_triples(shard, passing), "lang string, phrase string, words int, a bigint, pair bigint")
+    twos = twos.groupBy("lang", "phrase", "words", "pair").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    twos = scratch.write(twos, "phrase-pairs")
+    longer = twos.where((F.col("words") == 2) & F.lit(longest > 1)).select("lang", "phrase", "words", "a")
+    if longest > 2:
+        triples = twos.where("words = 3")
+        passing3 = spark.sparkContext.broadcast(_filter(triples, triples.count()))
+        more = texts.mapInArrow(_phrases(shard, longest, passing, passing3), "lang string, phrase string, words int, a bigint")
+        longer = longer.unionByName(more.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least))
     words = singles.where("word is not null").select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "a")
     found = scratch.write(longer.unionByName(words), "phrase-counts")
     return found, singles.where("word is null and pair is null").select("lang", F.col("a").alias("n"))

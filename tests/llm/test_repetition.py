@@ -5,8 +5,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from tessera.llm import collocations, periodic
@@ -165,6 +168,23 @@ def test_products_beyond_64_bits(spark, monkeypatch):
     assert row.score == 1000 * (big // 9) * big // ((big // 7) * (big // 3))
 
 
+def test_longer_phrases_are_cut_at_triples_that_are_not_frequent():
+    """All pairs of 12 words are frequent here, hardly any triple is: what is left to count are the planted phrase and its neighbours, not every place."""
+    rnd = random.Random(6)
+    texts = [" ".join(["p q r s", *(rnd.choice("abcdefghijkl") for _ in range(40))]) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], ["lang", "text"])
+    passing = SimpleNamespace(value=np.full(1024, -1, np.int64))
+    twos = pa.Table.from_batches(collocations._pairs_and_triples(10**6, passing)(iter([batch])))
+    triples = twos.filter(pc.and_(pc.equal(twos["words"], 3), pc.greater_equal(twos["a"], 100)))
+    mask = np.zeros(1024, np.int64)
+    for h in triples["pair"].to_pylist():
+        mask[h % 65536 >> 6] |= np.uint64(1 << h % 64).astype(np.int64)
+    left = pa.Table.from_batches(collocations._phrases(10**6, 5, passing, SimpleNamespace(value=mask))(iter([batch]))).to_pylist()
+    got = {r["phrase"]: r["a"] for r in left}
+    assert (got["p q r"], got["q r s"], got["p q r s"]) == (200, 200, 200)
+    assert len(left) < 100 < twos.num_rows
+
+
 def test_phrases_of_a_hot_and_a_long_text(spark):
     """A third of all words are one pair, and one text without a bound is longer than a piece that is cut at once."""
     rows = [("en", "hot pair " * 600_000)] + [("en", f"w{i} z{i % 3} hot pair") for i in range(300)]
