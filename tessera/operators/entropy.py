@@ -2,7 +2,8 @@
 
 Bytes are counted where the rows are scanned, at most 256 counts a row leave a
 task. A code table is rows (key, byte, n, length, code); codes follow from the
-lengths by one running sum.
+lengths by one running sum. Texts that keep their table beside them are coded
+and read where they are, without a shuffle.
 """
 
 from __future__ import annotations
@@ -12,14 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 COUNTS = ArrayType(StructType([StructField("byte", IntegerType()), StructField("n", LongType())]))
+TABLE = ArrayType(StructType([StructField("byte", IntegerType()), StructField("n", LongType()), StructField("length", IntegerType()), StructField("code", LongType())]))
 #: Bits that a code has at most: a longer one needs a text of over 10^12 bytes, by the growth of Fibonacci's numbers.
 MOST = 60
-#: Bytes that are turned to bits at once; bits that one look into the table decides.
+#: Bytes that are turned to bits, or from them, at once; bits that one look into the table decides at most.
 AT_ONCE, LOOK = 1 << 16, 16
 
 
@@ -80,95 +82,132 @@ def with_lengths(df: DataFrame, content: Column) -> DataFrame:
     return df.withColumn("counts", byte_counts(content)).withColumn("lengths", optimal_lengths("counts"))
 
 
+@F.arrow_udf(TABLE)
+def code_tables(content: pa.Array) -> pa.Array:
+    """The code table of each text, by byte: canonical codes, shorter ones first, equally long ones by byte; of a null, none."""
+    parts: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 4]
+    for data in content:
+        n = np.bincount(np.frombuffer(data.as_buffer() if data.is_valid else b"", np.uint8), minlength=256)
+        byte = np.flatnonzero(n)
+        length, code = code_lengths(n[byte]) if len(byte) else byte, np.zeros(len(byte), np.int64)
+        order = np.lexsort((byte, length))
+        share = 1 << (MOST - length[order])
+        code[order] = (np.cumsum(share) - share) >> (MOST - length[order])
+        parts.append((byte, n[byte], length, code))
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64())
+    return _lists([p[0] for p in parts[1:]], pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], TABLE.elementType.names))
+
+
 def code_table(texts: DataFrame, key: str) -> DataFrame:
     """texts (key, content binary), keys distinct -> key, byte, n, length, code: canonical codes, shorter ones first, equally long ones by byte."""
-    rows = with_lengths(texts, F.col("content")).select(key, F.explode(F.arrays_zip("counts", "lengths")).alias("e"))
-    rows = rows.select(key, F.col("e.counts.byte").alias("byte"), F.col("e.counts.n").alias("n"), F.col("e.lengths").alias("length"))
-    share = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(MOST) - F.col("length"))
-    before = Window.partitionBy(key).orderBy("length", "byte").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("code", F.call_function("shiftright", F.coalesce(F.sum(share).over(before), F.lit(0)), F.lit(MOST) - F.col("length")))
+    return texts.select(key, F.explode(code_tables("content")).alias("e")).select(key, "e.*")
 
 
 def _stream(data: np.ndarray, code: np.ndarray, length: np.ndarray) -> bytes:
     """The codes of the bytes, most significant bit first."""
-    bits = []
-    for i in range(0, len(data), AT_ONCE):
-        part = data[i : i + AT_ONCE]
-        n = length[part]
-        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        bits.append(((np.repeat(code[part], n) >> (np.repeat(n, n) - 1 - place)) & 1).astype(np.uint8))
+    place = np.arange(int(length.max(initial=0)))
+    there = place < length[:, None]
+    bit = ((code[:, None] >> np.where(there, length[:, None] - 1 - place, 0)) & 1).astype(np.uint8)
+    bits = [bit[part][there[part]] for part in (data[i : i + AT_ONCE] for i in range(0, len(data), AT_ONCE))]
     return np.packbits(np.concatenate(bits)).tobytes() if bits else b""
 
 
 def _read_stream(stream: bytes, n: int, byte: np.ndarray, code: np.ndarray, length: np.ndarray) -> bytes:
-    """The n bytes of a stream. A table says for each window of LOOK bits which code it begins with; longer codes are compared one by one."""
-    if len(byte) == 1:
-        return bytes([int(byte[0])]) * n
+    """The n bytes of a stream. A table as wide as the longest code, LOOK bits at most, says for each place which code may begin there, and so where the next one does; longer codes are compared one by one."""
     if not n:
         return b""
-    symbol, size = np.zeros(1 << LOOK, np.uint8), np.zeros(1 << LOOK, np.uint8)
+    if len(byte) == 1:
+        return bytes([int(byte[0])]) * n
+    look = min(LOOK, int(length.max(initial=1)))
+    symbol, size = np.zeros(1 << look, np.uint8), np.zeros(1 << look, np.uint8)
     for b, c, m in zip(byte.tolist(), code.tolist(), length.tolist(), strict=True):
-        if m <= LOOK:
-            symbol[c << (LOOK - m) : (c + 1) << (LOOK - m)], size[c << (LOOK - m) : (c + 1) << (LOOK - m)] = b, m
-    long = {(int(m), int(c)): int(b) for b, c, m in zip(byte, code, length, strict=True) if m > LOOK}
-    data = np.frombuffer(stream + b"\0" * 12, np.uint8).astype(np.uint32)
-    triple = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
-    size_of, symbol_of, out, at = size.tolist(), symbol.tolist(), bytearray(), 0
-    window = triple.tolist()
-    whole = int.from_bytes(stream + b"\0" * 12, "big") if long else 0
-    total = 8 * (len(stream) + 12)
-    while len(out) < n:
-        look = (window[at >> 3] >> (8 - (at & 7))) & 0xFFFF
-        m = size_of[look]
-        if m:
-            out.append(symbol_of[look])
-        else:
-            m = LOOK + 1
-            while (m, (whole >> (total - at - m)) & ((1 << m) - 1)) not in long:
+        if m <= look:
+            symbol[c << (look - m) : (c + 1) << (look - m)], size[c << (look - m) : (c + 1) << (look - m)] = b, m
+    long = {(m, c): b for b, c, m in zip(byte.tolist(), code.tolist(), length.tolist(), strict=True) if m > look}
+    data = np.frombuffer(stream + b"\0" * 12, np.uint8).astype(np.int32)
+    triple, whole = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:], int.from_bytes(stream, "big") if long else 0
+    shift, total = 24 - look - np.arange(8, dtype=np.int32), 8 * len(stream)
+    out, made, at, nowhere = [], 0, 0, 1 << 62
+    while made < n:
+        start = at >> 3
+        window = ((triple[start : start + AT_ONCE, None] >> shift) & ((1 << look) - 1)).reshape(-1)
+        step = size[window].astype(np.int64)
+        following = np.where(step > 0, np.arange(len(window)) + step, nowhere).tolist()
+        at, places = at - 8 * start, []
+        while at < len(window):
+            places.append(at)
+            at = following[at]
+        if at == nowhere:
+            at = places.pop()
+        if places:
+            out.append(symbol[window[places[: n - made]]].tobytes())
+            if len(places) >= n - made:
+                at = following[places[n - made - 1]]
+            made += len(out[-1])
+        at += 8 * start
+        if at > total:
+            raise ValueError("the stream ends within a code")
+        if made < n and at - 8 * start < len(window) and following[at - 8 * start] == nowhere:
+            m = look + 1
+            while (m, (whole >> (total - at - m)) & ((1 << m) - 1) if at + m <= total else -1) not in long:
                 m += 1
                 if m > MOST:
                     raise ValueError("no code begins here")
-            out.append(long[m, (whole >> (total - at - m)) & ((1 << m) - 1)])
-        at += m
-    return bytes(out)
+            out.append(bytes([long[m, (whole >> (total - at - m)) & ((1 << m) - 1)]]))
+            made, at = made + 1, at + m
+    return b"".join(out)
 
 
-def _tables(b: pa.RecordBatch, at: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    for row in b.column(at).to_pylist():
-        yield tuple(np.array([e[c] for e in row or ()], np.int64) for c in ("byte", "code", "length"))
+def _tables(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    flat, end = column.flatten(), np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    parts = [flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("byte", "code", "length")]
+    for a, b in zip([0, *end[:-1]], end, strict=True):
+        yield tuple(p[a:b] for p in parts)
 
 
 def _with_tables(texts: DataFrame, codes: DataFrame, key: str) -> DataFrame:
-    table = codes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("byte", "code", "length"))).alias("table"))
+    table = codes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("byte", "n", "length", "code"))).alias("table"))
     return texts.join(table, key, "left")
 
 
-def encode(texts: DataFrame, codes: DataFrame, key: str) -> DataFrame:
-    """texts (key, content), codes from `code_table` -> key, n (bytes of the text), bits, stream."""
+def encoded(texts: DataFrame, key: str) -> DataFrame:
+    """texts (key, content, table), tables from `code_tables` -> key, n (bytes of the text), bits, stream, table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, bits, streams = [], [], []
-            for data, (byte, code, length) in zip(b.column(1), _tables(b, 2), strict=True):
+            for data, (byte, code, length) in zip(b.column(1), _tables(b.column(2)), strict=True):
                 data = np.frombuffer(data.as_py() or b"", np.uint8)
                 code_of, length_of = np.zeros(256, np.int64), np.zeros(256, np.int64)
                 code_of[byte], length_of[byte] = code, length
                 sizes.append(len(data))
                 bits.append(int(length_of[data].sum()))
                 streams.append(_stream(data, code_of, length_of))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(bits, pa.int64()), pa.array(streams, pa.binary())], [key, "n", "bits", "stream"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(bits, pa.int64()), pa.array(streams, pa.binary()), b.column(2)], [key, "n", "bits", "stream", "table"])
 
-    kind = texts.schema[key].dataType.simpleString()
-    return _with_tables(texts.select(key, "content"), codes, key).mapInArrow(run, f"{key} {kind}, n bigint, bits bigint, stream binary")
+    kind, table = texts.schema[key].dataType.simpleString(), TABLE.simpleString()
+    return texts.select(key, "content", F.col("table").cast(TABLE)).mapInArrow(run, f"{key} {kind}, n bigint, bits bigint, stream binary, table {table}")
 
 
-def decode(streams: DataFrame, codes: DataFrame, key: str) -> DataFrame:
-    """streams from `encode` and their codes -> key, content."""
+def decoded(streams: DataFrame) -> DataFrame:
+    """streams (n, stream, table, more columns) from `encoded` -> all but the table, and content, the text."""
+    rest = [c for c in streams.columns if c != "table"]
+    names = [*rest, "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [_read_stream(s.as_py(), n, *t) for n, s, t in zip(b.column(1).to_pylist(), b.column(2), _tables(b, 3), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], [key, "content"])
+            out = [_read_stream(s.as_py(), n, *t) for n, s, t in zip(b.column("n").to_pylist(), b.column("stream"), _tables(b.column("table")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(out, pa.binary())], names)
+
+    return streams.mapInArrow(run, StructType([*(streams.schema[c] for c in rest), StructField("content", BinaryType())]))
+
+
+def encode(texts: DataFrame, codes: DataFrame, key: str) -> DataFrame:
+    """texts (key, content), codes from `code_table` -> key, n (bytes of the text), bits, stream."""
+    return encoded(_with_tables(texts.select(key, "content"), codes, key), key).drop("table")
+
 
-    kind = streams.schema[key].dataType.simpleString()
-    return _with_tables(streams.select(key, "n", "stream"), codes, key).mapInArrow(run, f"{key} {kind}, content binary")
+def decode(streams: DataFrame, codes: DataFrame, key: str) -> DataFrame:
+    """streams from `encode` and their codes -> key, content."""
+    return decoded(_with_tables(streams.select(key, "n", "stream"), codes, key)).select(key, "content")

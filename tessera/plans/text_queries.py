@@ -168,11 +168,9 @@ def huffman_codes(spark: SparkSession, d: str) -> DataFrame:
 def huffman_stream(spark: SparkSession, d: str) -> DataFrame:
     """Every text as a bit stream of its own code, and read back: its bytes, their digest, and whether the stream has the bits that the code promises, padded to a byte."""
     texts = _docs(spark, d).select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    table = codes.code_table(texts, "doc_id")
-    made = codes.encode(texts, table, "doc_id")
-    back = codes.decode(made, table, "doc_id")
+    back = codes.decoded(codes.encoded(texts.withColumn("table", codes.code_tables("content")), "doc_id"))
     fits = F.length("stream") == F.ceil(F.col("bits") / 8)
-    return made.select("doc_id", "n", fits.alias("fits")).join(back, "doc_id").select("doc_id", "n", F.md5("content").alias("md5"), "fits")
+    return back.select("doc_id", "n", F.md5("content").alias("md5"), fits.alias("fits"))
 
 
 @query("bit_tools", "select event_id, bit_count(event_id)::bigint ones, case when event_id=0 then -1 else bit_count((event_id & -event_id)-1)::bigint end::bigint first, case when event_id<=1 then 1 else 1<<length(bin(event_id-1)) end::bigint power from events")

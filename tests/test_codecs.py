@@ -215,6 +215,18 @@ def test_resizing(spark):
     assert row[1:-1] == [10 * k + 3 if (10 * k + 2.5) % 1 else 10 * k + 2 for k in range(1, 19)]
 
 
+def test_texts_are_coded_and_read_without_a_shuffle(spark):
+    fibonacci = [1, 1]
+    while len(fibonacci) < 24:  # codes of more than LOOK bits
+        fibonacci.append(fibonacci[-1] + fibonacci[-2])
+    texts = [b"", b"a", b"aaaa", bytes(noise(8, 1, 5000, 1).reshape(-1)), b"".join(bytes([k]) * n for k, n in enumerate(fibonacci))]
+    df = spark.createDataFrame([(k, bytearray(t)) for k, t in enumerate(texts)], "id long, content binary")
+    back = entropy.decoded(entropy.encoded(df.withColumn("table", entropy.code_tables("content")), "id"))
+    assert {r.id: (bytes(r.content), r.n) for r in back.collect()} == {k: (t, len(t)) for k, t in enumerate(texts)}
+    assert all(len(r.stream) == -(-r.bits // 8) for r in back.collect())
+    assert "Exchange" not in back._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ladder_deals_pixels_once_and_in_squares(spark):
     p = image(spark, noise(3, 41, 29, 3)).unionByName(image(spark, noise(4, 16, 16, 3)).withColumn("img_id", F.lit(7).cast("long")))
     steps = [("a", 30, False), ("b", 20, True), ("c", 90, True), ("d", 100, False)]
