@@ -3,6 +3,8 @@
 A mesh is vertices (mesh_id, vid, x, y, z) and faces (mesh_id, fid, i0, i1, i2).
 No mesh is gathered anywhere: prices, the cheapest edge of a vertex, the share
 of a round and the new corners are joins and groupings by mesh and vertex.
+Sides of joins that have a row for each vertex or edge are merged, not
+broadcast: every round would send them through the driver.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ def locally_cheapest(edges: DataFrame) -> DataFrame:
     order = F.struct("cost", "lo", "hi")
     at = edges.select("mesh_id", F.explode(F.array("lo", "hi")).alias("vid"), order.alias("e")).groupBy("mesh_id", "vid").agg(F.min("e").alias("e"))
     twice = at.groupBy("mesh_id", F.col("e.lo").alias("lo"), F.col("e.hi").alias("hi")).agg(F.count("*").alias("ends")).where("ends = 2")
-    return edges.join(twice.drop("ends"), ["mesh_id", "lo", "hi"])
+    return edges.join(twice.drop("ends").hint("merge"), ["mesh_id", "lo", "hi"])
 
 
 def within_need(edges: DataFrame, need: DataFrame, weight: Column) -> DataFrame:
@@ -65,7 +67,7 @@ def within_need(edges: DataFrame, need: DataFrame, weight: Column) -> DataFrame:
     before = Window.partitionBy("mesh_id").orderBy("_level").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("mesh_id", "_level", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
     inner = Window.partitionBy("mesh_id", "_level").orderBy("cost", "lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.withColumn("_own", F.coalesce(F.sum("_w").over(inner), F.lit(0))).join(sums, ["mesh_id", "_level"]).join(need, "mesh_id")
+    ranked = placed.withColumn("_own", F.coalesce(F.sum("_w").over(inner), F.lit(0))).join(sums.hint("merge"), ["mesh_id", "_level"]).join(need, "mesh_id")
     return ranked.where(F.col("_before") + F.col("_own") < F.col("need")).select(*edges.columns)
 
 
@@ -88,7 +90,7 @@ def collapse_rounds(vertices: DataFrame, faces: DataFrame, target: Column, by: s
     v = vertices.select("mesh_id", "vid", *AXES)
     if price == "quadric":
         zero = {q: F.coalesce(q, F.lit(0.0)) for q in _Q}
-        v = v.join(mesh.vertex_quadrics(v, f), ["mesh_id", "vid"], "left").withColumns(zero)
+        v = v.join(mesh.vertex_quadrics(v, f).hint("merge"), ["mesh_id", "vid"], "left").withColumns(zero)
     v = staging.write(v, "vertices-0")
     counted = v.groupBy("mesh_id").agg(F.count("*").alias("nv")).join(f.groupBy("mesh_id").agg(F.count("*").alias("nf")), "mesh_id")
     limit = staging.write(counted.select("mesh_id", target.alias("target")), "targets")
@@ -104,9 +106,9 @@ def collapse_rounds(vertices: DataFrame, faces: DataFrame, target: Column, by: s
             break
         done += 1
         log.append(chosen)
-        into = chosen.select("mesh_id", F.col("hi").alias("vid"), F.col("lo").alias("new"))
+        into = chosen.select("mesh_id", F.col("hi").alias("vid"), F.col("lo").alias("new")).hint("merge")
         gone = v.join(into, ["mesh_id", "vid"]).select("mesh_id", F.col("new").alias("vid"), *(F.col(c).alias(f"_{c}") for c in columns))
-        merged = v.join(into, ["mesh_id", "vid"], "left_anti").join(gone, ["mesh_id", "vid"], "left")
+        merged = v.join(into, ["mesh_id", "vid"], "left_anti").join(gone.hint("merge"), ["mesh_id", "vid"], "left")
         place = {a: F.when(F.col(f"_{a}").isNull(), F.col(a)).otherwise((F.col(a) + F.col(f"_{a}")) / 2) for a in AXES}
         sums = {q: F.col(q) + F.coalesce(f"_{q}", F.lit(0.0)) for q in columns if q not in AXES}
         v = staging.write(merged.select("mesh_id", "vid", *((place | sums)[c].alias(c) for c in columns)), f"vertices-{done}")

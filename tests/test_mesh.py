@@ -93,6 +93,15 @@ def test_collapse_of_bad_corners_and_of_a_mesh_that_is_small_enough(spark):
     assert points.count() == 3 and [tuple(r) for r in out.collect()] == [(0, 0, 0, 1, 2)] and log.count() == 0
 
 
+def test_rounds_send_no_rows_of_vertices_to_the_driver(spark):
+    v, f = grid(0, 6)
+    v, f = spark.createDataFrame(v, V), spark.createDataFrame(f, T)
+    for made in (mesh.with_ends(mesh.edges(f), v, mesh.AXES), decimation.locally_cheapest(decimation.priced_edges(v, f, decimation.length_price, mesh.AXES)), mesh.at_corners(f, v, ())):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+        made.collect()
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cache_order_is_a_permutation(spark):
     _, f = cube(spark)
     rows = mesh.order_for_cache(f).collect()
