@@ -227,6 +227,14 @@ def test_texts_are_coded_and_read_without_a_shuffle(spark):
     assert "Exchange" not in back._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ways_of_a_jpeg_share_one_transform(spark):
+    made = blocks.jpeg_candidates(image(spark, noise(9, 20, 27, 3)), 60)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    z = blocks.quantised(blocks.coefficients(blocks.planes(image(spark, noise(9, 20, 27, 3)))), 50).where("channel = 0")
+    bits = blocks.scan_bits(blocks.symbols(z)).agg(F.sum("bits")).first()[0]
+    assert {r.strategy: r.len for r in made.collect()}["jpeg-gray-50"] == -(-bits // 8)
+
+
 def test_ladder_deals_pixels_once_and_in_squares(spark):
     p = image(spark, noise(3, 41, 29, 3)).unionByName(image(spark, noise(4, 16, 16, 3)).withColumn("img_id", F.lit(7).cast("long")))
     steps = [("a", 30, False), ("b", 20, True), ("c", 90, True), ("d", 100, False)]
