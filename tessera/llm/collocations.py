@@ -9,9 +9,10 @@ are merged by phrase.
 A phrase can't be more frequent than any pair or triple of words in it. So a
 first pass counts words, and pairs by a hash; the second cuts texts at pairs
 whose hash is not frequent, counts the pairs that are left, and triples by a
-hash; the third cuts at triples as well, and counts the longer phrases that are
-left. Few of them are not frequent: equal hashes only let more phrases through,
-and these are counted exactly.
+hash; the third cuts at triples as well, and writes the runs of words that are
+left. These are dealt anew, to as many shards as they fill, where the longer
+phrases are counted. Few of them are not frequent: equal hashes only let more
+phrases through, and these are counted exactly.
 """
 
 from __future__ import annotations
@@ -32,8 +33,12 @@ from tessera.llm.common import PIECE, Scratch, table, values_of
 LEAST, LONGEST, BEST = 100, 5, 2000
 #: Words of a shard (a shard ends with the text that passes this).
 SHARD = 2_000_000
-#: Bits of the filter for each frequent pair, and in all: what every task gets is at most MOST_BITS / 8 bytes.
+#: Bits of a part of the filter for each frequent pair, and of all parts: what every task gets is at most MOST_BITS / 8 bytes.
 BITS, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 30
+#: What passes has its bit in each part; a part's bit is that of the hash shifted by so much.
+SHIFTS = (0, 18, 36)
+#: Words that are dealt together.
+DEALT = 50_000
 #: Parts in which a language's phrases are ranked before they are ranked together.
 PARTS = 64
 
@@ -81,9 +86,13 @@ def _triple_hashes(first: np.ndarray, second: np.ndarray, third: np.ndarray, lan
 
 
 def _passes(mask: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    # As in the JVM: the remainder of a negative number counts up from zero, here of a power of two.
-    at = (hashes & np.uint64(64 * len(mask) - 1)).astype(np.int64)
-    return (mask[at >> 6] >> (at & 63)) & 1 == 1
+    """Whether every part of the filter (a row; one part may come as it is) has a hash's bit."""
+    good = np.ones(len(hashes), bool)
+    for part, shift in zip(np.atleast_2d(mask), SHIFTS, strict=False):
+        # As in the JVM: the remainder of a negative number counts up from zero, here of a power of two.
+        at = ((hashes >> np.uint64(shift)) & np.uint64(64 * len(part) - 1)).astype(np.int64)
+        good &= (part[at >> 6] >> (at & 63)) & 1 == 1
+    return good
 
 
 def _ranks(high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -95,6 +104,21 @@ def _ahead(x: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([x[k:], np.zeros(min(k, len(x)), x.dtype)])
 
 
+def _runs(ids: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The words of each run of neighbouring places `at`, at which k words begin, with a bound after it.
+
+    A word that ends a run and begins the next stands in both, with a bound
+    between: so the k words from any place that is not in `at` never meet.
+    """
+    first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    size = np.diff(np.append(first, len(at))) + k  # k - 1 words more than places, and the bound
+    end = np.cumsum(size)
+    place = np.arange(int(size.sum())) + np.repeat(at[first] - (end - size), size)
+    line = ids[np.minimum(place, len(ids) - 1)]
+    line[end - 1] = 0
+    return line
+
+
 class Shard:
     """The words of some texts of one language. What is pruned is kept apart, as it will be sorted."""
 
@@ -120,7 +144,7 @@ class Shard:
         return [b"", *islice(self.numbers, 2, None)]
 
     def prune(self, lang: bytes, masks: list[np.ndarray]) -> None:
-        """Of the words added since, those that stand in a pair that passes the first mask or, if there are two, in a triple that passes the second and whose pairs pass the first; a bound follows each that is not the first of a pair within one."""
+        """Of the words added since, the runs of pairs that pass the first mask or, if there are two, of triples that pass the second and whose pairs pass the first."""
         if not self.parts:
             return
         ids = np.concatenate(self.parts)
@@ -131,12 +155,9 @@ class Shard:
         if len(masks) > 1:
             triple = np.flatnonzero(good & _ahead(good, 1))
             triple = triple[_passes(masks[1], _triple_hashes(own[triple], own[triple + 1], own[triple + 2], lang))]
-            good = np.zeros(len(ids), bool)
-            good[triple] = good[triple + 1] = True
-        kept = good | np.concatenate([[False], good[:-1]])
-        ends = kept & ~good
-        line = np.zeros(int(kept.sum() + ends.sum()), np.int64)
-        line[(np.cumsum(kept) + np.cumsum(ends) - ends - 1)[kept]] = ids[kept]
+            line = _runs(ids, triple, 3)
+        else:
+            line = _runs(ids, np.flatnonzero(good), 2)
         self.line.append(line)
         self.kept += len(line)
 
@@ -211,13 +232,14 @@ def _bit(key: Column, bits: int) -> Column:
 
 
 def _filter(pairs: DataFrame, number: int) -> np.ndarray:
-    """One bit for each frequent hash in the column `pair`; the driver gets one row for each 64 bits at most."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(BITS * number).bit_length()))
-    at = _bit(F.col("pair"), bits)
-    rows = pairs.select(F.shiftright(at, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit"))
-    got = rows.groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[got.column("at").to_numpy()] = got.column("bit").to_numpy()
+    """In each part one bit for each frequent hash in the column `pair`; the driver gets one row for each 64 bits at most."""
+    bits = min(max(64, MOST_BITS // 4), max(LEAST_BITS, 1 << int(BITS * number).bit_length()))
+    out = np.zeros((len(SHIFTS), bits // 64), np.int64)
+    for part, shift in zip(out, SHIFTS, strict=True):
+        at = _bit(F.shiftrightunsigned("pair", shift), bits)
+        rows = pairs.select(F.shiftright(at, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit"))
+        got = rows.groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+        part[got.column("at").to_numpy()] = got.column("bit").to_numpy()
     return out
 
 
@@ -268,6 +290,22 @@ def _pairs_and_triples(size: int, passing):
     return run
 
 
+def _frequent_runs(size: int, passing, passing3):
+    """Rows (lang, words, text): the runs of triples that pass the filters, a line each, about DEALT words together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, shard in _pruned_shards(batches, size, [passing.value, passing3.value]):
+            line, words, start = np.concatenate([np.zeros(0, np.int64), *shard.line]), [b"\n", *shard.words()[1:]], 0
+            ends = np.flatnonzero(line == 0) + 1
+            while start < len(line):
+                stop = int(ends[min(len(ends) - 1, int(np.searchsorted(ends, start + DEALT)))])
+                text = b" ".join(map(words.__getitem__, line[start:stop].tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.binary()).cast(pa.string()), pa.array([stop - start]), pa.array([text], pa.binary()).cast(pa.string())], ["lang", "words", "text"])
+                start = stop
+
+    return run
+
+
 def _phrases(size: int, depth: int, passing, passing3):
     """Rows (lang, phrase, words, a) of a shard: phrases of three words and more, all of whose pairs and triples pass the filters."""
 
@@ -305,7 +343,11 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard:
     if longest > 2:
         triples = twos.where("words = 3")
         passing3 = spark.sparkContext.broadcast(_filter(triples, triples.count()))
-        more = texts.mapInArrow(_phrases(shard, longest, passing, passing3), "lang string, phrase string, words int, a bigint")
+        runs = scratch.write(texts.mapInArrow(_frequent_runs(shard, passing, passing3), "lang string, words bigint, text string"), "phrase-runs")
+        # As many shards as the words that are left fill, a language in as few as can be: each shard gives a row for each of its phrases.
+        shards = -(-(runs.agg(F.sum("words")).first()[0] or 1) // shard)
+        dealt = runs.repartitionByRange(shards, "lang", F.xxhash64("text")).select("lang", "text")
+        more = dealt.mapInArrow(_phrases(shard, longest, passing, passing3), "lang string, phrase string, words int, a bigint")
         longer = longer.unionByName(more.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least))
     words = singles.where("word is not null").select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "a")
     found = scratch.write(longer.unionByName(words), "phrase-counts")

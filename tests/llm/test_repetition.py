@@ -185,6 +185,29 @@ def test_longer_phrases_are_cut_at_triples_that_are_not_frequent():
     assert len(left) < 100 < twos.num_rows
 
 
+def test_triples_between_frequent_ones_are_cut():
+    """The triples at places 0 and 2 pass, that at 1 does not: no phrase has it. A frequent run is the same when it is dealt and cut again."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 3), pa.array(["a b c d e", "p Q r s, p q r", "c d e"])], ["lang", "text"])
+    passing, mask = SimpleNamespace(value=np.full(1024, -1, np.int64)), np.zeros(1024, np.int64)
+    for triple in ("abc", "cde", "pqr", "qrs"):
+        h = int(collocations._triple_hashes(*(collocations._word_hashes([w.encode()]) for w in triple), b"en")[0])
+        mask[h % 65536 >> 6] |= np.uint64(1 << h % 64).astype(np.int64)
+    masks = passing, SimpleNamespace(value=mask)
+    dealt = pa.Table.from_batches(collocations._frequent_runs(10**6, *masks)(iter([batch])))
+    assert [r["text"].split("\n") for r in dealt.to_pylist()] == [["a b c ", " c d e ", " p q r s ", " p q r ", " c d e ", ""]]
+    for rows in ([batch], dealt.select(["lang", "text"]).to_batches()):
+        got = {r["phrase"]: r["a"] for r in pa.Table.from_batches(collocations._phrases(10**6, 5, *masks)(iter(rows))).to_pylist()}
+        assert got == {"a b c": 1, "c d e": 2, "p q r": 2, "q r s": 1, "p q r s": 1}
+
+
+def test_filter_lets_few_others_through(spark):
+    """Of hashes that are not in the filter, fewer than one in a thousand passes; of those in it, all do."""
+    hashes = np.random.default_rng(4).integers(-(1 << 63), 1 << 63, 120_000, np.int64)
+    pairs = spark.createDataFrame(pa.table({"pair": hashes[:20_000]}))
+    good = collocations._passes(collocations._filter(pairs, 20_000), hashes.view(np.uint64))
+    assert good[:20_000].all() and good[20_000:].sum() < 100
+
+
 def test_phrases_of_a_hot_and_a_long_text(spark):
     """A third of all words are one pair, and one text without a bound is longer than a piece that is cut at once."""
     rows = [("en", "hot pair " * 600_000)] + [("en", f"w{i} z{i % 3} hot pair") for i in range(300)]
