@@ -8,11 +8,11 @@ are merged by phrase.
 
 A phrase can't be more frequent than any pair or triple of words in it. So a
 first pass counts words, and pairs by a hash; the second cuts texts at pairs
-whose hash is not frequent, counts the pairs that are left, and triples by a
-hash; the third cuts at triples as well, and writes the runs of words that are
-left. These are dealt anew, to as many shards as they fill, where the longer
-phrases are counted. Few of them are not frequent: equal hashes only let more
-phrases through, and these are counted exactly.
+whose hash is not frequent, and deals the runs of words that are left anew, to
+as many shards as they fill. There the third counts pairs, and triples by a
+hash; the fourth cuts at triples as well, and counts the longer phrases that
+are left. Few of them are not frequent: equal hashes only let more phrases
+through, and these are counted exactly.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ SHARD = 2_000_000
 BITS, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 30
 #: What passes has its bit in each part; a part's bit is that of the hash shifted by so much.
 SHIFTS = (0, 18, 36)
-#: Words that are dealt together.
-DEALT = 50_000
+#: Words that are dealt together; languages, the largest first, whose shards may leave out rare triples.
+DEALT, LANGUAGES = 50_000, 1000
 #: Parts in which a language's phrases are ranked before they are ranked together.
 PARTS = 64
 
@@ -273,28 +273,40 @@ def _named(lang: bytes, words: list[bytes], line: np.ndarray, place: np.ndarray,
         yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(some), pa.int64()) for _ in names[4:])], names)
 
 
-def _pairs_and_triples(size: int, passing):
-    """Rows of a shard: (lang, phrase, 2, a, null) of pairs that pass the filter, and (null, null, 3, a, hash) of triples both of whose pairs do."""
+def _pairs_and_triples(size: int, passing, totals: dict[bytes, int] | None = None, least: int = LEAST):
+    """Rows of a shard: (lang, phrase, 2, a, null) of pairs that pass the filter, and (lang, null, 3, a - s, hash) of triples both of whose pairs do, where they occur a > s times; (lang, null, 0, s, null) tells s.
+
+    s is less than the shard's share of `least` by its share of the language's
+    words, `totals`: zero for a language of very many shards, or without a total.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "phrase", "words", "a", "pair"]
         for lang, shard in _pruned_shards(batches, size, [passing.value]):
             line, words, hashes = np.concatenate([*shard.line, np.zeros(3, np.int64)]), shard.words(), shard.hashes
+            rare = max(0, -(-least * shard.kept // totals[lang]) - 1) if totals and totals.get(lang) else 0
+
+            def numbered(m: int, a: np.ndarray, key: pa.Array) -> pa.RecordBatch:
+                n = len(a)
+                return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.binary()).cast(pa.string()), pa.nulls(n, pa.string()), pa.array(np.full(n, m, np.int32)), pa.array(a), key], names)  # noqa: B023
+
+            if rare:
+                yield numbered(0, np.array([rare]), pa.nulls(1, pa.int64()))
             for m, place, count in phrase_counts(line, 3):
                 if m == 2:
                     yield from _named(lang, words, line, place, count, 2, names)
                 elif m == 3:
-                    key, none = _triple_hashes(*(hashes[line[place + j]] for j in range(3)), lang).view(np.int64), pa.nulls(len(place), pa.string())
-                    yield pa.RecordBatch.from_arrays([none, none, pa.array(np.full(len(place), 3, np.int32)), pa.array(count), pa.array(key)], names)
+                    place, count = place[count > rare], count[count > rare]
+                    yield numbered(3, count - rare, pa.array(_triple_hashes(*(hashes[line[place + j]] for j in range(3)), lang).view(np.int64)))
 
     return run
 
 
-def _frequent_runs(size: int, passing, passing3):
-    """Rows (lang, words, text): the runs of triples that pass the filters, a line each, about DEALT words together."""
+def _frequent_runs(size: int, *passing):
+    """Rows (lang, words, text): the runs of pairs, or of triples, that pass the filters, a line each, about DEALT words together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, shard in _pruned_shards(batches, size, [passing.value, passing3.value]):
+        for lang, shard in _pruned_shards(batches, size, [p.value for p in passing]):
             line, words, start = np.concatenate([np.zeros(0, np.int64), *shard.line]), [b"\n", *shard.words()[1:]], 0
             ends = np.flatnonzero(line == 0) + 1
             while start < len(line):
@@ -336,17 +348,21 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard:
     singles = scratch.write(singles, "phrase-singles")
     pairs = singles.where("pair is not null")
     passing = spark.sparkContext.broadcast(_filter(pairs, pairs.count()))
-    twos = texts.mapInArrow(_pairs_and_triples(shard, passing), "lang string, phrase string, words int, a bigint, pair bigint")
-    twos = twos.groupBy("lang", "phrase", "words", "pair").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    runs = scratch.write(texts.mapInArrow(_frequent_runs(shard, passing), "lang string, words bigint, text string"), "phrase-runs")
+    sizes = runs.groupBy("lang").agg(F.sum("words").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 1
+    totals = {r.lang.encode(): r.n for r in sizes.orderBy(F.desc("n")).limit(LANGUAGES).collect()}
+    # As many shards as the words that are left fill with some room, a language in as few as can be: each shard gives a row for each of its phrases.
+    dealt = runs.repartitionByRange(-(-5 * total // (4 * shard)), "lang", F.xxhash64("text")).select("lang", "text")
+    twos = dealt.mapInArrow(_pairs_and_triples(shard, passing, totals, least), "lang string, phrase string, words int, a bigint, pair bigint")
+    twos = twos.groupBy("lang", "phrase", "words", "pair").agg(F.sum("a").alias("a")).where((F.col("words") != 2) | (F.col("a") >= least))
     twos = scratch.write(twos, "phrase-pairs")
     longer = twos.where((F.col("words") == 2) & F.lit(longest > 1)).select("lang", "phrase", "words", "a")
     if longest > 2:
-        triples = twos.where("words = 3")
+        # A shard that tells nothing of a triple has it s times at most.
+        untold = twos.where("words = 0").select("lang", F.col("a").alias("s"))
+        triples = twos.where("words = 3").join(F.broadcast(untold), "lang", "left").where(F.col("a") + F.coalesce("s", F.lit(0)) >= least).select("pair")
         passing3 = spark.sparkContext.broadcast(_filter(triples, triples.count()))
-        runs = scratch.write(texts.mapInArrow(_frequent_runs(shard, passing, passing3), "lang string, words bigint, text string"), "phrase-runs")
-        # As many shards as the words that are left fill, a language in as few as can be: each shard gives a row for each of its phrases.
-        shards = -(-(runs.agg(F.sum("words")).first()[0] or 1) // shard)
-        dealt = runs.repartitionByRange(shards, "lang", F.xxhash64("text")).select("lang", "text")
         more = dealt.mapInArrow(_phrases(shard, longest, passing, passing3), "lang string, phrase string, words int, a bigint")
         longer = longer.unionByName(more.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least))
     words = singles.where("word is not null").select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "a")

@@ -200,6 +200,18 @@ def test_triples_between_frequent_ones_are_cut():
         assert got == {"a b c": 1, "c d e": 2, "p q r": 2, "q r s": 1, "p q r s": 1}
 
 
+def test_shards_leave_out_rare_triples_but_no_frequent_one(spark):
+    """A shard of half a language's words tells of the triples that occur there as often as half of `least`; a phrase just frequent enough, in parts in both, is found."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 60), pa.array(["a b c"] * 50 + ["c b a"] * 10)], ["lang", "text"])
+    passing = SimpleNamespace(value=np.full(1024, -1, np.int64))
+    rows = pa.Table.from_batches(collocations._pairs_and_triples(10**6, passing, {b"en": 480})(iter([batch]))).to_pylist()
+    assert [(r["words"], r["a"]) for r in rows if r["words"] != 2] == [(0, 49), (3, 1)]
+    rnd = random.Random(8)
+    rows = [("en", " ".join(["x y z w" if i % 3 else "x y z", *(rnd.choice("abcdefgh") for _ in range(30))])) for i in range(90)]
+    got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string"), least=20, shard=400)
+    assert sorted(map(tuple, got.collect())) == brute_collocations(rows, 20, 2000)
+
+
 def test_filter_lets_few_others_through(spark):
     """Of hashes that are not in the filter, fewer than one in a thousand passes; of those in it, all do."""
     hashes = np.random.default_rng(4).integers(-(1 << 63), 1 << 63, 120_000, np.int64)
