@@ -6,13 +6,14 @@ in that order share a prefix, and each interval of neighbours that share m
 words is a phrase of m words with its number of occurrences. Counts of shards
 are merged by phrase.
 
-A phrase can't be more frequent than any pair or triple of words in it. So a
-first pass counts words, and pairs by a hash; the second cuts texts at pairs
-whose hash is not frequent, and deals the runs of words that are left anew, to
-as many shards as they fill. There the third counts pairs, and triples by a
-hash; the fourth cuts at triples as well, and counts the longer phrases that
-are left. Few of them are not frequent: equal hashes only let more phrases
-through, and these are counted exactly.
+A phrase can't be more frequent than any pair of words in it. So a first pass
+counts words, and pairs by a hash; the second cuts texts at pairs whose hash is
+not frequent. Of the runs of words that are left each place gives the words that
+follow it, LONGEST at most: equal ones of a shard are one line with its number.
+Lines are dealt by their first three words, pairs by both, so that all
+occurrences of a phrase meet in one place, where they are counted once and only
+what is frequent is told. Lines are never more than places of the texts. Equal
+hashes only let more pairs through, and what they let through is counted exactly.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import PIECE, Scratch, table, values_of
+from tessera.llm.common import PIECE, Scratch, partitions, table, values_of
 
 #: Occurrences of a phrase at least; words of a phrase; phrases of a language that are reported.
 LEAST, LONGEST, BEST = 100, 5, 2000
@@ -37,8 +38,10 @@ SHARD = 2_000_000
 BITS, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 30
 #: What passes has its bit in each part; a part's bit is that of the hash shifted by so much.
 SHIFTS = (0, 18, 36)
-#: Words that are dealt together; languages, the largest first, whose shards may leave out rare triples.
-DEALT, LANGUAGES = 50_000, 1000
+#: Words, or lines, that are dealt together at most.
+DEALT = 50_000
+#: Words of a line for which a task has room; parts that a task gets.
+LINE, SPREAD = 3, 4
 #: Parts in which a language's phrases are ranked before they are ranked together.
 PARTS = 64
 
@@ -273,6 +276,9 @@ def _named(lang: bytes, words: list[bytes], line: np.ndarray, place: np.ndarray,
         yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(some), pa.int64()) for _ in names[4:])], names)
 
 
+# The next three count by shards of texts, a row for each phrase of each shard; tests hold them against brute force. `phrases` does not use them.
+
+
 def _pairs_and_triples(size: int, passing, totals: dict[bytes, int] | None = None, least: int = LEAST):
     """Rows of a shard: (lang, phrase, 2, a, null) of pairs that pass the filter, and (lang, null, 3, a - s, hash) of triples both of whose pairs do, where they occur a > s times; (lang, null, 0, s, null) tells s.
 
@@ -332,6 +338,109 @@ def _phrases(size: int, depth: int, passing, passing3):
     return run
 
 
+# What `phrases` uses: lines are dealt by their words.
+
+
+def _lines(size: int, depth: int, passing, parts: int):
+    """Rows (part, lang, text, a) of a shard: lines of two words, the pairs that pass the filter, and of three to `depth`, what follows a place of its runs; a: how often each line is there.
+
+    The part goes by the first three words, of pairs by both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, shard in _pruned_shards(batches, size, [passing.value]):
+            line, words, hashes = np.concatenate([*shard.line, np.zeros(depth, np.int64)]), [b"\n", *shard.words()[1:]], shard.hashes
+            room = np.zeros(len(line), np.int64)  # words before a bound, `depth` at most
+            here = np.ones(len(line), bool)
+            for m in range(depth):
+                here &= _ahead(line, m) > 0
+                room += here
+            order = suffix_array(line, depth)
+            order = order[room[order] > 1]
+            fresh = np.zeros(len(order), bool)  # whether a place's line is another than that of the place before
+            fresh[:1] = True
+            found = []
+            for m in range(depth):
+                word = np.where(room[order] > m, line[order + m], 0)
+                fresh[1:] |= word[1:] != word[:-1]
+                if m == 1:
+                    start = np.flatnonzero(fresh)
+                    first = order[start]
+                    found.append((first, np.full(len(first), 2), np.diff(np.append(start, len(order))), _pair_hashes(hashes[line[first]], hashes[line[first + 1]], lang)))
+            start = np.flatnonzero(fresh)
+            first, count = order[start], np.diff(np.append(start, len(order)))
+            long = room[first] > 2
+            first, count = first[long], count[long]
+            found.append((first, room[first], count, _triple_hashes(*(hashes[line[first + j]] for j in range(3)), lang)))
+            place, length, a, key = (np.concatenate(x) for x in zip(*found, strict=True))
+            part = (key % np.uint64(parts)).astype(np.int64)
+            by = np.argsort(part, kind="stable")
+            edge = [*np.flatnonzero(np.diff(part[by], prepend=-1)).tolist(), len(by)]
+            for s, e in zip(edge, edge[1:], strict=False):
+                for k in range(s, e, DEALT):
+                    own = by[k : min(e, k + DEALT)]
+                    end = np.cumsum(length[own] + 1)
+                    at = np.arange(int(end[-1])) + np.repeat(place[own] - (end - length[own] - 1), length[own] + 1)
+                    flat = line[at]
+                    flat[end - 1] = 0
+                    text = b" ".join(map(words.__getitem__, flat.tolist()))
+                    columns = pa.array([int(part[own[0]])]), pa.array([lang], pa.binary()).cast(pa.string()), pa.array([text], pa.binary()).cast(pa.string()), pa.array([a[own]], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*columns], ["part", "lang", "text", "a"])
+
+    return run
+
+
+def _frequent(shard: Shard, often: np.ndarray, depth: int, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """m, the words' numbers, a place and the number of each phrase of m words that the shard's lines, each there so often, begin with at least `least` times."""
+    ids = shard.ids()
+    end = np.flatnonzero(ids == 0)
+    start = np.concatenate([[0], end[:-1] + 1])
+    start, length = start[end > start], (end - start)[end > start]
+    rows = np.flatnonzero(length == 2)
+    key = ids[start]
+    for m in range(2, depth + 1):
+        if m == 3:
+            rows = np.flatnonzero(length > 2)
+            key = _ranks(ids[start], ids[start + 1])
+        rows = rows[length[rows] >= m]
+        if not len(rows):
+            continue
+        rank = _ranks(key[rows], ids[start[rows] + m - 1])
+        key = np.zeros(len(start), np.int64)
+        key[rows] = rank
+        total = np.zeros(int(rank.max()) + 1, np.int64)
+        np.add.at(total, rank, often[rows])
+        place = np.zeros(len(total), np.int64)
+        place[rank] = start[rows]
+        good = total >= least
+        yield m, ids, place[good], total[good]
+
+
+def _counted(depth: int, least: int):
+    """Rows (part, lang, text, a) of whole parts, sorted by part and lang -> (lang, phrase, words, a) of the phrases of two words and more with at least `least` occurrences."""
+    names = ["lang", "phrase", "words", "a"]
+
+    def told(lang: bytes, shard: Shard, often: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for m, ids, place, count in _frequent(shard, np.concatenate(often), depth, least):
+            yield from _named(lang, shard.words(), ids, place, count, m, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, shard, often = None, Shard(), []
+        for b in batches:
+            for k in range(b.num_rows):
+                part, lang, text = (b.column(c)[k].as_py() for c in range(3))
+                if (part, lang) != key:
+                    if often:
+                        yield from told(key[1].encode(), shard, often)
+                    key, shard, often = (part, lang), Shard(), []
+                shard.add(text.encode())
+                often.append(b.column(3)[k].values.to_numpy())
+        if often:
+            yield from told(key[1].encode(), shard, often)
+
+    return run
+
+
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard: int = SHARD, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """docs (lang, text, ...) -> (lang, phrase, words, a), phrases of 1 to `longest` words with a >= least occurrences, and (lang, n), the words of each language.
 
@@ -347,26 +456,16 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard:
     singles = singles.groupBy("lang", "word", "pair").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | F.col("word").isNull() & F.col("pair").isNull())
     singles = scratch.write(singles, "phrase-singles")
     pairs = singles.where("pair is not null")
-    passing = spark.sparkContext.broadcast(_filter(pairs, pairs.count()))
-    runs = scratch.write(texts.mapInArrow(_frequent_runs(shard, passing), "lang string, words bigint, text string"), "phrase-runs")
-    sizes = runs.groupBy("lang").agg(F.sum("words").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 1
-    totals = {r.lang.encode(): r.n for r in sizes.orderBy(F.desc("n")).limit(LANGUAGES).collect()}
-    # As many shards as the words that are left fill with some room, a language in as few as can be: each shard gives a row for each of its phrases.
-    dealt = runs.repartitionByRange(-(-5 * total // (4 * shard)), "lang", F.xxhash64("text")).select("lang", "text")
-    twos = dealt.mapInArrow(_pairs_and_triples(shard, passing, totals, least), "lang string, phrase string, words int, a bigint, pair bigint")
-    twos = twos.groupBy("lang", "phrase", "words", "pair").agg(F.sum("a").alias("a")).where((F.col("words") != 2) | (F.col("a") >= least))
-    twos = scratch.write(twos, "phrase-pairs")
-    longer = twos.where((F.col("words") == 2) & F.lit(longest > 1)).select("lang", "phrase", "words", "a")
-    if longest > 2:
-        # A shard that tells nothing of a triple has it s times at most.
-        untold = twos.where("words = 0").select("lang", F.col("a").alias("s"))
-        triples = twos.where("words = 3").join(F.broadcast(untold), "lang", "left").where(F.col("a") + F.coalesce("s", F.lit(0)) >= least).select("pair")
-        passing3 = spark.sparkContext.broadcast(_filter(triples, triples.count()))
-        more = dealt.mapInArrow(_phrases(shard, longest, passing, passing3), "lang string, phrase string, words int, a bigint")
-        longer = longer.unionByName(more.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least))
     words = singles.where("word is not null").select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "a")
-    found = scratch.write(longer.unionByName(words), "phrase-counts")
+    if longest > 1:
+        number, places = pairs.agg(F.count("*"), F.coalesce(F.sum("a"), F.lit(0))).first()
+        passing = spark.sparkContext.broadcast(_filter(pairs, number))
+        # Lines are no more than places of pairs that pass: tasks for as many as fill a shard each, and some parts for each, so that tasks get about the same.
+        tasks = max(partitions(spark), min(number, -(-LINE * places // shard)))
+        lines = texts.mapInArrow(_lines(shard, longest, passing, SPREAD * tasks), "part bigint, lang string, text string, a array<bigint>")
+        lines = lines.repartition(tasks, "part").sortWithinPartitions("part", "lang")
+        words = words.unionByName(lines.mapInArrow(_counted(longest, least), "lang string, phrase string, words int, a bigint"))
+    found = scratch.write(words, "phrase-counts")
     return found, singles.where("word is null and pair is null").select("lang", F.col("a").alias("n"))
 
 

@@ -212,6 +212,30 @@ def test_shards_leave_out_rare_triples_but_no_frequent_one(spark):
     assert sorted(map(tuple, got.collect())) == brute_collocations(rows, 20, 2000)
 
 
+@pytest.mark.parametrize("shard", [400, 2_000_000])
+def test_a_phrase_is_told_once_however_many_shards_hold_it(spark, monkeypatch, shard):
+    """Rows of phrases are the frequent phrases, not those of each shard; so they don't grow with the number of shards."""
+    told, kind = spark.sparkContext.accumulator(0), type(spark.range(1))
+    made = kind.mapInArrow
+
+    def counting(self, run, schema):
+        def counted(batches):
+            for b in run(batches):
+                told.add(b.num_rows)
+                yield b
+
+        return made(self, counted if "phrase" in schema else run, schema)
+
+    monkeypatch.setattr(kind, "mapInArrow", counting)
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["en", "de"]), " ".join(["x y z w v u", *(rnd.choice("abcdef") for _ in range(30)), "x y z"])) for _ in range(120)]
+    f, n = collocations.phrases(spark.createDataFrame(rows, "lang string, text string"), least=30, shard=shard)
+    expected, words = brute_phrases(rows, 30)
+    assert {(r.lang, r.phrase): r.a for r in f.collect()} == expected
+    assert {r.lang: r.n for r in n.collect()} == words
+    assert told.value == sum(" " in phrase for _, phrase in expected)
+
+
 def test_filter_lets_few_others_through(spark):
     """Of hashes that are not in the filter, fewer than one in a thousand passes; of those in it, all do."""
     hashes = np.random.default_rng(4).integers(-(1 << 63), 1 << 63, 120_000, np.int64)
