@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, partitions, those_of, unused, values_of
@@ -212,12 +212,19 @@ def _to_ask(reps: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
     known = label.join(F.broadcast(sizes) if sizes.count() <= 1_000_000 else sizes, "label", "left").select(F.col("node").alias("rep"), "label", F.col("size").isNotNull().alias("big"))
     base = reps.select("rep", "fp", "bands").join(known, "rep", "left").select("rep", "fp", "bands", F.coalesce("label", "rep").alias("label"), F.coalesce("big", F.lit(False)).alias("big"))
     base = scratch.write(base, "dedup-base")
-    keyed = base.mapInArrow(_keys, "key bigint, rep bigint, label bigint, big boolean")
-    open_ = keyed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count_if(~F.col("big")).alias("small"), F.collect_set(F.when(F.col("big"), F.col("label"))).alias("bigs")).where("x <> y").select("key", "small", "bigs")
-    open_ = scratch.write(open_, "dedup-open")
-    within = keyed.where("not big").join(open_.where("small > 1").select("key", F.col("small").alias("size")), "key").select(F.col("key").alias("gid"), F.lit(True).alias("after"), "rep", F.lit(True).alias("ask"), F.lit(True).alias("member"), "size")
+    # Keys are dealt once, and of a large component once for each of its keys; what else is asked of keys is asked of those with more than one label.
+    kinds = "key bigint, rep bigint, label bigint, big boolean"
+    keyed_big = base.where("big").mapInArrow(_keys, kinds)
+    keyed = base.where("not big").mapInArrow(_keys, kinds).unionByName(keyed_big.groupBy("key", "label").agg(F.lit(None).cast("long").alias("rep"), F.lit(True).alias("big")))
+    of_key = Window.partitionBy("key")
+    keyed = keyed.withColumn("x", F.min("label").over(of_key)).withColumn("y", F.max("label").over(of_key)).where("x <> y").drop("x", "y")
+    keyed = scratch.write(keyed, "dedup-keyed")
+    open_ = scratch.write(keyed.groupBy("key").agg(F.count_if(~F.col("big")).alias("small"), F.collect_set(F.when(F.col("big"), F.col("label"))).alias("bigs")), "dedup-open")
+    small = keyed.where("not big")
+    within = small.join(open_.where("small > 1").select("key", F.col("small").alias("size")), "key").select(F.col("key").alias("gid"), F.lit(True).alias("after"), "rep", F.lit(True).alias("ask"), F.lit(True).alias("member"), "size")
     # Of two large components the one with the smaller label asks.
-    some = keyed.join(open_.where("size(bigs) > 0").select(F.col("key").alias("k"), "bigs"), (F.col("key") == F.col("k")) & (~F.col("big") | (F.size("bigs") > 1)))
+    some = small.join(open_.where("size(bigs) > 0").select("key", "bigs"), "key")
+    some = some.unionByName(keyed_big.join(open_.where("size(bigs) > 1").select("key", "bigs"), "key"))
     asked = some.select("rep", "label", "big", F.explode("bigs").alias("gid")).where("gid <> label and (not big or label < gid)").select("gid", "rep").distinct()
     asked = scratch.write(asked, "dedup-asked")
     of = asked.select("gid").distinct().join(sizes, F.col("gid") == F.col("label")).select("gid", "size")
@@ -273,7 +280,7 @@ def similar_components(reps: DataFrame, similarity: float, scratch: Scratch) ->
     compared = compare(sketched.select("a", "b", "x", "y").mapInArrow(_agreeing(least), "a bigint, b bigint"))
     label = labels()
     groups = _to_ask(reps, label, scratch)
-    scratch.drop("dedup-banded", "dedup-stars", "dedup-base", "dedup-open", "dedup-asked")
+    scratch.drop("dedup-banded", "dedup-stars", "dedup-base", "dedup-keyed", "dedup-open", "dedup-asked")
     low, high, asking = 0, PARTNERS, None
     while True:
         step += 1
@@ -322,5 +329,9 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, scratch: Scratc
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     kept = made.select("row", "sig").join(known, "sig").join(ids, "row").groupBy("label").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row))
     kept = scratch.write(kept, "dedup-kept")
-    scratch.drop_but("dedup-", "dedup-numbered", "dedup-kept")
-    return numbered.join(kept, row, "left_semi").drop(row)
+    # Of most corpora less goes than stays; texts stay where they are.
+    gone = scratch.write(made.select(F.col("row").alias(row)).join(kept, row, "left_anti"), "dedup-gone")
+    scratch.drop_but("dedup-", "dedup-numbered", "dedup-kept", "dedup-gone")
+    if gone.count() < kept.count():
+        return those_of(numbered, gone, row, "left_anti").drop(row)
+    return those_of(numbered, kept, row).drop(row)

@@ -119,3 +119,31 @@ def test_one_of_each_awkward(spark):
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == [*range(12), 21, 24, 25, 26]
     assert similar.one_of_each(nothing(spark), scratch=Scratch(spark)).count() == 0
+
+
+def test_keys_are_made_once_and_texts_stay_where_they_are(spark, monkeypatch):
+    """Each text's keys are made and dealt once, whatever the sizes of tables; what is left of the texts is told by a broadcast, without a shuffle of texts."""
+    rnd, read, keys_of = random.Random(12), spark.sparkContext.accumulator(0), similar._keys
+
+    def counted(batches):
+        def seen():
+            for b in batches:
+                read.add(b.num_rows)
+                yield b
+
+        yield from keys_of(seen())
+
+    monkeypatch.setattr(similar, "_keys", counted)
+    texts = [" ".join(f"w{rnd.randrange(200)}" for _ in range(40)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts[:20], *(t + " more" for t in texts[40:50])])]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = similar.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        ids = sorted(r.doc_id for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert ids == list(range(60))
+    assert read.value == 70
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
