@@ -392,3 +392,20 @@ def test_only_the_wanted_form_is_made_and_tasks_give_on_a_few_files_at_once(spar
     monkeypatch.setattr(rasters, "AT_ONCE", 200)
     schema = rasters.pa.schema([("k", rasters.pa.int64()), ("content", rasters.pa.binary())])
     assert [b.num_rows for b in rasters._in_parts(((k, b"x" * 50) for k in range(5)), schema)] == [2, 2, 1]
+
+
+def test_jpeg_blocks_move_each_pixel_once(spark):
+    """The transform of pixels is that of their planes, with edges that repeat; pixels are shuffled once, as one row each, and the size of an image needs no second look at them."""
+    pixels = image(spark, noise(4, 21, 13, 3))
+    got = {(r.channel, r.by, r.bx): r for r in blocks.transformed(pixels).collect()}
+    want = {(r.channel, r.by, r.bx): r.f for r in blocks.coefficients(blocks.planes(pixels)).collect()}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k].f, want[k], atol=1e-9) for k in want)
+    assert {(r.w, r.h) for k, r in got.items() if k[1:] == (2, 1)} == {(13, 21)}
+    plan = jpegs.write_jpegs(pixels, 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Repartition") == 1
+
+
+def test_code_tables_are_as_wide_as_their_longest_code():
+    table = jpegs._table(bytes([0, 2, 1, *[0] * 13, 5, 6, 7]))
+    assert table == ([5, 5, 6, 6, 7, 0, 0, 0], [2, 2, 2, 2, 3, 0, 0, 0], 13)
