@@ -63,7 +63,7 @@ _BLOCKS = f"""{_W}, yuv as (select img_id,y,x,{_YUV} from whole), side as (selec
 
 
 def _quantised(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.quantised(blocks.transformed(whole(spark, d)), _FILE_Q)
+    return blocks.transformed(whole(spark, d), _FILE_Q)
 
 
 @query("jpeg_coefficients", f'select * from (with {_BLOCKS} select img_id,channel,sy "by",sx bx,sum(case when k=0 then z else 0 end)::bigint "first",sum((z<>0)::int)::bigint there,sum(z*(k+1))::bigint checksum from z group by 1,2,3,4)')

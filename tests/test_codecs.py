@@ -402,6 +402,8 @@ def test_jpeg_blocks_move_each_pixel_once(spark):
     assert got.keys() == want.keys()
     assert all(np.allclose(got[k].f, want[k], atol=1e-9) for k in want)
     assert {(r.w, r.h) for k, r in got.items() if k[1:] == (2, 1)} == {(13, 21)}
+    whole = blocks.quantised(blocks.coefficients(blocks.planes(pixels)), 50)
+    assert {(r.channel, r.by, r.bx): r.z for r in blocks.transformed(pixels, 50).collect()} == {(r.channel, r.by, r.bx): r.z for r in whole.collect()}
     plan = jpegs.write_jpegs(pixels, 50)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Repartition") == 1
 
