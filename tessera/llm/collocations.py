@@ -350,7 +350,8 @@ def _lines(size: int, depth: int, passing, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, shard in _pruned_shards(batches, size, [passing.value]):
             line, words, hashes = np.concatenate([*shard.line, np.zeros(depth, np.int64)]), [b"\n", *shard.words()[1:]], shard.hashes
-            room = np.zeros(len(line), np.int64)  # words before a bound, `depth` at most
+            shard.line.clear()
+            room = np.zeros(len(line), np.int8)  # words before a bound, `depth` at most
             here = np.ones(len(line), bool)
             for m in range(depth):
                 here &= _ahead(line, m) > 0
@@ -372,6 +373,7 @@ def _lines(size: int, depth: int, passing, parts: int):
             long = room[first] > 2
             first, count = first[long], count[long]
             found.append((first, room[first], count, _triple_hashes(*(hashes[line[first + j]] for j in range(3)), lang)))
+            del order, fresh, here, word
             place, length, a, key = (np.concatenate(x) for x in zip(*found, strict=True))
             part = (key % np.uint64(parts)).astype(np.int64)
             by = np.argsort(part, kind="stable")
