@@ -70,7 +70,7 @@ def download_files(spark: SparkSession, d: str) -> DataFrame:
     head = F.unhex(F.when(k == 0, "89504E470D0A1A0A").when(k == 1, "474946383961").otherwise("424D"))
     made = views.table(spark, d, "part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string"), F.lit("_opt.bin")).alias("name"), F.concat(head, F.encode("p_name", "UTF-8")).alias("content"))
     folder = f"{Staging(spark).root}/files"
-    made.write.format("assets").mode("append").save(folder)
+    assets.dealt(made).write.format("assets").mode("append").save(folder)
     back = spark.read.format("assets").load(folder).where(F.col("format").isin("image:Png", "image:Gif"))
     return back.where("format = 'image:Png' or name < 'part_15'").select("name", "format", "length", F.md5("content").alias("md5"))
 

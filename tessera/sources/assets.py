@@ -10,6 +10,14 @@ of the wanted format are read whole. The writer puts files into a folder of its
 attempt and moves them to their names when every task has ended. A task that
 fails, and one that runs twice, leaves no file under its name; what a task puts
 down after its attempt was given up lies in a folder that readers pass over.
+
+Many files want folders, since whoever reads a folder lists it whole, and the
+driver moves files that lie in none one by one:
+
+    dealt(results.select("name", "content")).write.format("assets").mode("append").save("file:///out")
+
+Then the driver sees folders only. It renames them, and hands them to tasks,
+which list what lies in them.
 """
 
 from __future__ import annotations
@@ -21,12 +29,14 @@ import itertools
 import json
 import posixpath
 import uuid
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 
 #: First bytes of formats, in hexadecimal digits, with the place where they stand (fixed values).
@@ -36,7 +46,13 @@ HEADS = (
 )
 #: Bytes that are looked at to tell a format; bytes of files that make a partition, about, and what opening one counts.
 HEAD, PARTITION, OPENING = 16, 128 << 20, 1 << 20
-STAGED, LISTED = "_attempt-", "_names"
+STAGED, LISTED, FOLDERS = "_attempt-", "_names", "_folders"
+#: Files of a folder, about, where they are dealt; bytes and rows of them that a reader gives on at once.
+FOLDER, AT_ONCE, ROWS = 4096, 1 << 20, 1024
+#: With fewer folders than this the driver looks into them, so that there are enough partitions, but not when it has seen so many names.
+ENOUGH, SEEN = 64, 1 << 16
+#: Partitions of folders, at most.
+MOST = 8192
 
 
 def format_of(head: bytes) -> str:
@@ -46,6 +62,7 @@ def format_of(head: bytes) -> str:
 @dataclass
 class Files(InputPartition):
     paths: list[tuple[str, int]]
+    folders: list[str] = field(default_factory=list)  # that the task lists itself
 
 
 @dataclass
@@ -81,35 +98,69 @@ class AssetReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        """Wanted names, in groups of about PARTITION bytes."""
+        """Wanted names, in groups of about PARTITION bytes; folders, if there are many, as they are."""
         where, root = pafs.FileSystem.from_uri(self.path)
+        found, folders, seen = [], deque([root]), 0
+        while folders and (not seen or len(folders) < ENOUGH and seen < SEEN):
+            for info in _entries(where, folders.popleft()):
+                seen += 1
+                if info.type == pafs.FileType.Directory:
+                    folders.append(info.path)
+                elif info.base_name in self.name:
+                    found.append((info.path, info.size))
         parts, size = [[]], 0
-        for info in sorted(where.get_file_info(pafs.FileSelector(root, recursive=True)), key=lambda i: i.path):
-            if info.type != pafs.FileType.File or info.base_name not in self.name or f"/{STAGED}" in info.path.removeprefix(root):
-                continue
-            if parts[-1] and size + info.size + OPENING > PARTITION:
+        for path, length in sorted(found):
+            if parts[-1] and size + length + OPENING > PARTITION:
                 parts.append([])
                 size = 0
-            parts[-1].append((info.path, info.size))
-            size += info.size + OPENING
-        return [Files(p) for p in parts]
+            parts[-1].append((path, length))
+            size += length + OPENING
+        left, step = sorted(folders), -(-len(folders) // MOST) or 1
+        return [Files(p) for p in parts if p or not left] + [Files([], left[k : k + step]) for k in range(0, len(left), step)]
+
+    def _below(self, where: pafs.FileSystem, folders: list[str]) -> Iterator[tuple[str, int]]:
+        """Wanted names in folders and those below them, one folder after another."""
+        left = deque(folders)
+        while left:
+            for info in _entries(where, left.popleft()):
+                if info.type == pafs.FileType.Directory:
+                    left.append(info.path)
+                elif info.base_name in self.name:
+                    yield info.path, info.size
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         where, _ = pafs.FileSystem.from_uri(self.path)
         schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("format", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
-        for path, size in partition.paths:
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+
+        held: list[tuple] = []
+        size = 0
+        for path, length in itertools.chain(partition.paths, self._below(where, partition.folders)):
             with where.open_input_file(path) as f:
                 head = f.read(HEAD)
                 kind = format_of(head)
                 if kind not in self.format:
                     continue
                 content = head + f.read()
-            yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((path, posixpath.basename(path), kind, size, content), schema, strict=True)], schema=schema)
+            if held and (size + len(content) > AT_ONCE or len(held) >= ROWS):
+                yield batch()
+                held, size = [], 0
+            held.append((path, posixpath.basename(path), kind, length, content))
+            size += len(content)
+        if held:
+            yield batch()
+
+
+def _entries(where: pafs.FileSystem, folder: str) -> Iterator[pafs.FileInfo]:
+    """Files and folders that lie in a folder, but for what the writer has not committed."""
+    return (i for i in where.get_file_info(pafs.FileSelector(folder)) if i.type in (pafs.FileType.File, pafs.FileType.Directory) and not i.base_name.startswith(STAGED))
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    folder: str  # of a task; its list LISTED has the names, ascending, and where each file lies
+    folder: str  # of a task; its list LISTED has the names, ascending, and where each file lies; FOLDERS has what lies in folders, under its names
 
 
 class AssetWriter(DataSourceWriter):
@@ -119,23 +170,37 @@ class AssetWriter(DataSourceWriter):
     def write(self, rows: Iterator) -> Written:
         """Files of one task, in a folder of its own with a list of them; a name with a folder in it, a null name and a null content are errors."""
         where, root = pafs.FileSystem.from_uri(self.path)
-        folder, done = f"{root}/{self.attempt}/{uuid.uuid4().hex}", []
+        folder, done, inside = f"{root}/{self.attempt}/{uuid.uuid4().hex}", [], {}
         where.create_dir(folder)
         for k, row in enumerate(rows):
-            if not row.name or "/" in row.name or row.content is None:
+            own = getattr(row, "folder", None) or ""
+            if not row.name or "/" in row.name or "/" in own or own in (".", "..") or own.startswith(STAGED) or row.content is None:
                 raise ValueError(f"no file can be written as {row.name!r}")
-            with where.open_output_stream(f"{folder}/{k}") as out:
+            if not own:
+                place = f"{folder}/{k}"
+                done.append((row.name, k))
+            else:
+                place = f"{folder}/{FOLDERS}/{own}/{row.name}"
+                if own not in inside:
+                    where.create_dir(posixpath.dirname(place))
+                names = inside.setdefault(own, set())
+                if row.name in names:
+                    raise ValueError("two files of one name")
+                names.add(row.name)
+            with where.open_output_stream(place) as out:
                 out.write(bytes(row.content))
-            done.append((row.name, k))
         with where.open_output_stream(f"{folder}/{LISTED}") as out:
             for entry in sorted(done):
                 out.write(json.dumps(entry).encode("ascii") + b"\n")
         return Written(folder)
 
     def commit(self, messages: list[Written | None]) -> None:
-        """All files take their names. Two rows of one name are an error, and nothing is written."""
+        """All files take their names. Two rows of one name, and one folder, are an error, and nothing is written."""
         where, root = pafs.FileSystem.from_uri(self.path)
         folders = [w.folder for w in messages if w is not None]
+        inside: dict[str, list[str]] = {}
+        for info in itertools.chain.from_iterable(where.get_file_info(pafs.FileSelector(f"{f}/{FOLDERS}", allow_not_found=True)) for f in folders):
+            inside.setdefault(info.base_name, []).append(info.path)
 
         def listed(folder: str) -> Iterator[tuple[str, str]]:
             with where.open_input_stream(f"{folder}/{LISTED}") as f, io.TextIOWrapper(f, "ascii") as lines:
@@ -145,15 +210,21 @@ class AssetWriter(DataSourceWriter):
         def moves() -> Iterator[tuple[str, str]]:
             return heapq.merge(*map(listed, folders))
 
-        if any(a == b for (a, _), (b, _) in itertools.pairwise(moves())):
+        def meet(parts: list[str]) -> bool:
+            names = [i.base_name for p in parts for i in where.get_file_info(pafs.FileSelector(p))]
+            return len(set(names)) < len(names)
+
+        if any(a == b for (a, _), (b, _) in itertools.pairwise(moves())) or any(meet(parts) for parts in inside.values() if len(parts) > 1):
             self.abort(messages)
             raise ValueError("two files of one name")
         if self.overwrite:
-            for info in where.get_file_info(pafs.FileSelector(root)):
-                if info.type == pafs.FileType.File:
-                    where.delete_file(info.path)
+            for info in _entries(where, root):
+                (where.delete_dir if info.type == pafs.FileType.Directory else where.delete_file)(info.path)
         for name, place in moves():
             where.move(place, f"{root}/{name}")
+        for name, parts in inside.items():
+            for part in parts:
+                _put(where, part, f"{root}/{name}")
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -162,8 +233,19 @@ class AssetWriter(DataSourceWriter):
             where.delete_dir(f"{root}/{self.attempt}")
 
 
+def _put(where: pafs.FileSystem, part: str, folder: str) -> None:
+    """A folder takes its name as a whole; files of one whose name is there already, or that can't be renamed, are moved."""
+    if where.get_file_info(folder).type == pafs.FileType.NotFound:
+        with contextlib.suppress(OSError):
+            where.move(part, folder)
+            return
+    where.create_dir(folder)
+    for info in where.get_file_info(pafs.FileSelector(part)):
+        where.move(info.path, f"{folder}/{info.base_name}")
+
+
 class AssetSource(DataSource):
-    """path, name, format, length, content of files; written are name and content."""
+    """path, name, format, length, content of files; written are name and content, and folder, if the rows have one: a folder of the path."""
 
     @classmethod
     def name(cls) -> str:
@@ -185,6 +267,15 @@ class AssetSource(DataSource):
         return AssetWriter(self._path(), overwrite)
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """files (name, content) with the folder of each, by its name: so many that one has about FOLDER files and PARTITION bytes. Those of a folder are in one task. Few files need no folder."""
+    n, size = files.agg(F.count("*"), F.sum(F.octet_length("content"))).first()
+    folders = max(-(-n // FOLDER), -(-(size or 0) // PARTITION))
+    if folders < 2:
+        return files
+    return files.withColumn("folder", F.lpad(F.pmod(F.xxhash64("name"), F.lit(folders)).cast("string"), len(str(folders)), "0")).repartition("folder")
+
+
 def register(spark: SparkSession) -> None:
     """Makes the source known to the session, and lets conditions reach it."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -111,3 +111,48 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path, bad):
     assert not out.exists() or all(n.startswith(assets.STAGED) for n in os.listdir(out))
     os.makedirs(out, exist_ok=True)
     assert spark.read.format("assets").load(str(out)).count() == 0
+
+
+def test_the_driver_sees_folders_where_files_are_many(tmp_path, monkeypatch):
+    import pickle
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(assets, "ENOUGH", 4)
+    names = [f"part_{k}.bin" for k in range(400)]
+    writer = assets.AssetWriter(f"file://{tmp_path}", False)
+    # Folder 0 comes from both tasks.
+    sent = [writer.write(SimpleNamespace(name=n, content=b"GIF89a" + n.encode(), folder=str(k % 8)) for k, n in enumerate(names) if k % 8 and k % 2 == t or k % 16 == 8 * t) for t in range(2)]
+    moved = []
+    monkeypatch.setattr(assets, "_put", lambda where, part, folder, put=assets._put: (moved.append(folder), put(where, part, folder)))
+    writer.commit(sent)
+    assert len(moved) == 9 and sorted(os.listdir(tmp_path)) == sorted(map(str, range(8)))
+    reader = assets.AssetReader(f"file://{tmp_path}")
+    parts = reader.partitions()
+    assert len(parts) == 8 and b"part_" not in pickle.dumps(parts)
+    assert sorted(n for p in parts for b in reader.read(p) for n in b.column(1).to_pylist()) == sorted(names)
+    reader.name.add(assets.EqualTo(("name",), "part_17.bin"))
+    assert [b.column(4).to_pylist() for p in reader.partitions() for b in reader.read(p)] == [[b"GIF89apart_17.bin"]]
+
+
+def test_files_are_dealt_to_folders_by_their_names(spark, tmp_path, monkeypatch):
+    assets.register(spark)
+    monkeypatch.setattr(assets, "FOLDER", 16)
+    out = tmp_path / "out"
+
+    def back():
+        return sorted((r.name, bytes(r.content)) for r in spark.read.format("assets").load(str(out)).collect())
+
+    df = spark.range(100).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), F.encode(F.col("id").cast("string"), "UTF-8").alias("content")).repartition(3)
+    assets.dealt(df).write.format("assets").mode("append").save(str(out))
+    assert sorted(os.listdir(out)) == [str(k) for k in range(7)]
+    assert back() == sorted((f"n{k}", str(k).encode()) for k in range(100))
+    # Files of names that are there are replaced, as in one folder.
+    assets.dealt(df.withColumn("content", F.encode(F.lit("new"), "UTF-8"))).write.format("assets").mode("append").save(str(out))
+    assert back() == sorted((f"n{k}", b"new") for k in range(100))
+    with pytest.raises(Exception, match="two files of one name"):
+        assets.dealt(df.union(df.where("name = 'n7'"))).write.format("assets").mode("append").save(str(out))
+    with pytest.raises(Exception, match="two files of one name"):  # in two tasks
+        df.where("name = 'n7'").union(df.where("name = 'n7'")).withColumn("folder", F.lit("f")).write.format("assets").mode("append").save(str(out))
+    assert len(back()) == 100
+    df.limit(1).write.format("assets").mode("overwrite").save(str(out))
+    assert len(os.listdir(out)) == len(back()) == 1
