@@ -411,3 +411,48 @@ def test_jpeg_blocks_move_each_pixel_once(spark):
 def test_code_tables_are_as_wide_as_their_longest_code():
     table = jpegs._table(bytes([0, 2, 1, *[0] * 13, 5, 6, 7]))
     assert table == ([5, 5, 6, 6, 7, 0, 0, 0], [2, 2, 2, 2, 3, 0, 0, 0], 13)
+
+
+# ---- forms of PNG ----
+
+
+def test_png_forms_with_alpha_come_back():
+    few = noise(1, 3, 4, 4, 2) * 100
+    gray = np.concatenate([np.repeat(noise(2, 40, 40, 1), 3, axis=2), noise(3, 40, 40, 1)], axis=2)
+    for x, want in ((few, ["rgba", "palette"]), (gray, ["rgba", "graya"]), (few[:, :, [0, 0, 0, 3]], ["rgba", "palette", "graya"])):
+        made = list(rasters.forms(x))
+        assert [name for name, _, _ in made] == want
+        for _, own, palette in made:
+            for f in rasters.FILTERS:
+                assert (rasters.read_png(rasters.png_bytes(own, f, palette)) == x).all()
+
+
+@pytest.mark.parametrize(("colors", "held"), [(256, True), (257, False)])
+def test_a_palette_has_as_many_colors_as_a_byte_tells(colors, held):
+    x = np.arange(colors, dtype=np.uint32)[None, :].astype("<u4").view(np.uint8).reshape(1, colors, 4)
+    assert ("palette" in [name for name, _, _ in rasters.forms(x)]) == held
+    assert all((rasters.read_png(rasters.png_bytes(own, "adaptive", palette)) == x).all() for _, own, palette in rasters.forms(x))
+
+
+def test_gif_of_an_image_that_is_not_opaque_is_null(spark):
+    pixels = spark.createDataFrame([(i, 0, x, 5, 6, 7, 255 - i * x) for i in range(2) for x in range(3)], "img_id long, y long, x long, r long, g long, b long, a long")
+    assert {r.img_id: r.content is None for r in rasters.write_gif(rasters.images(pixels)).collect()} == {0: False, 1: True}
+
+
+def test_png_reencode_takes_every_form(spark, tmp_path):
+    import duckdb
+
+    from tessera import catalog
+
+    # Keys of parts that make an image opaque or clear: black, of one colour, of 320 colours.
+    keys = {1: (256, "black"), 2: (2816, "black"), 3: (1, "one"), 4: (11, "one"), 5: (1, "many"), 6: (11, "many")}
+    rows = [(i, k, p, k if kind == "many" else 0, float(k // 256 if kind == "many" else 0)) for i, (p, kind) in keys.items() for k in range(320)]
+    made = spark.createDataFrame(rows, "l_suppkey long, l_linenumber int, l_partkey long, l_orderkey long, l_quantity double")
+    made.selectExpr("*", "0.0d l_extendedprice", "timestamp '2020-01-01' l_shipdate").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as from '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = sorted(map(tuple, catalog.QUERIES["png_reencode"](spark, str(tmp_path)).select("img_id", "strategy", "n", "checksum").collect()))
+    assert got == sorted(con.sql(f"select img_id,strategy,n,checksum from ({catalog.ORACLE_SQL['png_reencode']})").fetchall())
+    forms = {i: {s.split("-")[0] for k, s, _, _ in got if k == i} for i in keys}
+    assert forms == {1: {"rgba", "rgb", "gray", "graya", "palette"}, 2: {"rgba", "graya", "palette"}, 3: {"rgba", "rgb", "palette"}, 4: {"rgba", "palette"}, 5: {"rgba", "rgb"}, 6: {"rgba"}}
+    assert len(got) == len(rasters.FILTERS) * sum(map(len, forms.values()))
