@@ -49,6 +49,8 @@ HEAD, PARTITION, OPENING = 16, 128 << 20, 1 << 20
 STAGED, LISTED, FOLDERS = "_attempt-", "_names", "_folders"
 #: Files of a folder, about, where they are dealt; bytes and rows of them that a reader gives on at once.
 FOLDER, AT_ONCE, ROWS = 4096, 1 << 20, 1024
+#: Folders of a task that writes, about.
+TOGETHER = 4
 #: With fewer folders than this the driver looks into them, so that there are enough partitions, but not when it has seen so many names.
 ENOUGH, SEEN = 64, 1 << 16
 #: Partitions of folders, at most.
@@ -273,7 +275,7 @@ def dealt(files: DataFrame) -> DataFrame:
     folders = max(-(-n // FOLDER), -(-(size or 0) // PARTITION))
     if folders < 2:
         return files
-    return files.withColumn("folder", F.lpad(F.pmod(F.xxhash64("name"), F.lit(folders)).cast("string"), len(str(folders)), "0")).repartition("folder")
+    return files.withColumn("folder", F.lpad(F.pmod(F.xxhash64("name"), F.lit(folders)).cast("string"), len(str(folders)), "0")).repartition(-(-folders // TOGETHER), "folder")
 
 
 def register(spark: SparkSession) -> None:
